@@ -149,7 +149,7 @@ def score_counts(scored: DataFrame, score: str, by: Sequence[str] = ()) -> DataF
 
 def smallest_key_cutoff(df: DataFrame, key: str, k: int) -> int | str | float | None:
     """The largest of the ``k`` smallest values of a numeric key, duplicates counted."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     ranked = running_totals(counts, key, ["n"])
     row = ranked.where(F.col("n_before") < k).agg(F.max(key).alias("cutoff")).first()
     return row.cutoff

@@ -3,13 +3,15 @@
 All windows and event types come out of one aggregation tree:
 
     (client, type, SKU)      counts, last date, window counts
-      + product by SKU       joined after the reduction, not to raw events
+      + product by SKU       carts and purchases only, after the reduction
     (client, type, category) SKUs and categories become countable rows
     (client)                 pivoted to columns
 
-with distinct days taken from (client, date) rows that join the tree at its
-last level. Every level combines on the map side and the first ones are keyed
-finer than the client, so a client with a third of all events is spread out."""
+Removals and searches skip the product levels, and distinct days come from
+(client, date) rows; both join the tree at its last level. Every level combines
+on the map side and the first ones are keyed finer than the client, so a client
+with a third of all events is spread out. Searches have no SKU and never reach
+the product join, where they would all meet in one partition."""
 
 from __future__ import annotations
 
@@ -57,6 +59,11 @@ def sku_level(history: DataFrame, cutoff: str, windows: Sequence[int]) -> DataFr
     )
 
 
+def counted_skus(history: DataFrame, cutoff: str, windows: Sequence[int]) -> DataFrame:
+    """SKU-level rows that count as one SKU each, or as none without a SKU."""
+    return sku_level(history, cutoff, windows).withColumn("skus", F.col("sku").isNotNull().cast("long")).drop("sku")
+
+
 def with_products(df: DataFrame, products: DataFrame) -> DataFrame:
     """Category and price by SKU; ``products`` must be unique on SKU. The join
     strategy is left to Spark, which knows the size of the product table."""
@@ -116,7 +123,7 @@ def product_aggregates(prefix: str) -> list[Column]:
 
 def activity_features(events: DataFrame, cutoff: str, windows: Sequence[int] = FEATURE_WINDOWS) -> DataFrame:
     """Counts, distinct SKUs, recency and window counts per event type."""
-    skus = sku_level(history_of(events, cutoff), cutoff, windows).withColumn("skus", F.col("sku").isNotNull().cast("long"))
+    skus = counted_skus(history_of(events, cutoff), cutoff, windows)
     return skus.groupBy("client_id").agg(*(a for t in FEATURE_TYPES for a in type_aggregates(t, cutoff, windows)))
 
 
@@ -156,10 +163,12 @@ def build_features(
     """One row per client with history, from events before the cutoff only.
     ``active_windows`` adds ``active_days_count_<w>d`` helper columns."""
     cutoff = snapshot.cutoff
-    history = history_of(events, cutoff)
-    categories = category_level(with_products(sku_level(history, cutoff, windows), products), windows)
-    # Day rows have no event type, category rows no date: one union, one shuffle.
-    tree = categories.unionByName(day_level(history), allowMissingColumns=True)
+    priced = sku_level(history_of(events, cutoff, (CART, BUY)), cutoff, windows)
+    categories = category_level(with_products(priced, products), windows)
+    others = counted_skus(history_of(events, cutoff, (REMOVE, SEARCH)), cutoff, windows)
+    days = day_level(history_of(events, cutoff))
+    # Day rows have no event type, the other rows no date: one union, one shuffle.
+    tree = categories.unionByName(others, allowMissingColumns=True).unionByName(days, allowMissingColumns=True)
     is_day = F.col("event_date").isNotNull()
     aggregates = [a for t in FEATURE_TYPES for a in type_aggregates(t, cutoff, windows)]
     aggregates += [a for prefix in PRODUCT_PREFIX for a in product_aggregates(prefix)]

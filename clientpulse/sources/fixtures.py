@@ -80,11 +80,11 @@ def order_events(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
             BUY: made(BUY, "l_shipdate"),
             REMOVE: F.when(F.col("l_returnflag") == "R", made(REMOVE, "l_shipdate")),
         }
-        rows = F.array_compact(F.array(*(made_of[t] for t in types if t in made_of)))
+        rows = F.array(*(made_of[t] for t in types if t in made_of))
         parts.append(
-            lines.select(F.col("o_custkey").alias("client_id"), F.col("l_partkey").alias("sku"), F.inline(rows)).select(
-                *columns
-            )
+            lines.select(F.col("o_custkey").alias("client_id"), F.col("l_partkey").alias("sku"), F.inline(rows))
+            .where(F.col("event_type").isNotNull())
+            .select(*columns)
         )
     if SEARCH in types:
         parts.append(
@@ -102,11 +102,11 @@ def order_events(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
 
 
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product rows with one row per SKU."""
+    """Product rows with one row per SKU; prices are whole tenths."""
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("sku"),
         F.regexp_extract("p_brand", r"(\d+)", 1).try_cast("bigint").alias("category"),
-        F.col("p_retailprice").alias("price"),
+        F.round(F.col("p_retailprice") * 10).cast("bigint").alias("price"),
         F.col("p_name").alias("name"),
     )
 
