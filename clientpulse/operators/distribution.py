@@ -9,7 +9,8 @@ only how the work is spread; every result is exact."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql.window import Window
 from clientpulse.config import TOPK_PERCENTS
 
 RANGES = 128
+# Up to this many rows, checked by counting, are accumulated in one window.
+FEW_ROWS = 1_000_000
 _EVERYTHING = "__all"
 
 
@@ -28,12 +31,22 @@ def running_totals(
     sums: Sequence[str],
     by: Sequence[str] = (),
     few_groups: bool = False,
+    few_rows: bool = False,
     ranges: int = RANGES,
 ) -> DataFrame:
     """For each row, add ``<sum>_before`` (over rows of the group with a smaller
     numeric ``key``) and ``<sum>_total``. ``df`` holds one row per group and key.
     Groups are segments or column names, not clients; set ``few_groups`` where
-    the program itself bounds their number, and the range edges are broadcast."""
+    the program itself bounds their number, and the range edges are broadcast;
+    set ``few_rows`` only after counting at most ``FEW_ROWS`` rows."""
+    if few_rows:
+        before = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*by)
+        return df.select(
+            "*",
+            *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums),
+            *(F.sum(s).over(whole).alias(f"{s}_total") for s in sums),
+        )
     probabilities = [i / ranges for i in range(1, ranges)]
     edges_of = F.percentile_approx(key, probabilities, 100 * ranges).alias("__edges")
     groups = list(by) or [_EVERYTHING]
@@ -155,74 +168,101 @@ def smallest_key_cutoff(df: DataFrame, key: str, k: int) -> int | str | float |
     return row.cutoff
 
 
+def score_ranks(scored: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct scores of each group, best first, with the rows and positives
+    before them. AUC and top-K metrics both read this table."""
+    return running_totals(score_counts(scored, score, by), "key", ["n", "pos"], by)
+
+
+@contextmanager
+def held_ranks(scored: DataFrame, score: str, by: Sequence[str] = ()) -> Iterator[DataFrame]:
+    """``score_ranks`` over counts kept for the block; few distinct scores take
+    the short way."""
+    counts = score_counts(scored, score, by).persist()
+    try:
+        yield running_totals(counts, "key", ["n", "pos"], by, few_rows=counts.count() <= FEW_ROWS)
+    finally:
+        counts.unpersist()
+
+
 def topk_cutoffs(
     scored: DataFrame,
     score: str = "prediction_score",
     percents: Iterable[int] = TOPK_PERCENTS,
     by: Sequence[str] = (),
     tie_break: str = "client_id",
+    ranks: DataFrame | None = None,
 ) -> DataFrame:
-    """Where the top K% of each group ends: the order is score descending, then
-    ``tie_break`` ascending, and K = max(1, ceil(n * percent / 100)).
+    """Where the top K% of each group ends and what it holds: the order is score
+    descending, then ``tie_break`` ascending, and K = max(1, ceil(n * percent / 100)).
 
-    The result has one row per group and percent and is built from driver-side
-    rows of that number only; a group's rows are never collected."""
-    spark = scored.sparkSession
-    percents = sorted(set(percents))
-    counts = score_counts(scored, score, by).persist()
-    try:
-        ranked = running_totals(counts, "key", ["n", "pos"], by)
-        # ceil by whole numbers: n * percent / 100 is not exact in doubles
-        targets = F.array(
-            *(
-                F.struct(
-                    F.lit(p).alias("top_percent"),
-                    F.greatest(F.lit(1), F.floor((F.col("n_total") * p + 99) / 100)).cast("long").alias("k"),
-                )
-                for p in percents
+    The cutoff score comes from ``score_ranks``. Where only part of the rows with
+    that score fit, their ids are ranked the same way. The result is built from
+    driver-side rows, one per group and percent; rows of ``scored`` are never
+    sorted or collected."""
+    if ranks is None:
+        with held_ranks(scored, score, by) as found:
+            return topk_cutoffs(scored, score, percents, by, tie_break, found)
+    spark, by = scored.sparkSession, list(by)
+    n_before, n = F.col("n_before"), F.col("n")
+    # ceil by whole numbers: n * percent / 100 is not exact in doubles
+    targets = F.array(
+        *(
+            F.struct(
+                F.lit(p).alias("top_percent"),
+                F.greatest(F.lit(1), F.floor((F.col("n_total") * p + 99) / 100)).cast("long").alias("k"),
             )
+            for p in sorted(set(percents))
         )
-        reached = F.filter(
-            targets, lambda t: (F.col("n_before") < t["k"]) & (t["k"] <= F.col("n_before") + F.col("n"))
-        )
-        ends = ranked.select("*", F.inline(reached)).select(
-            *by,
-            "top_percent",
-            "k",
-            F.col("score").alias("cutoff_score"),
-            (F.col("k") - F.col("n_before")).alias("take"),
-            "n",
-            F.col("n_total").alias("row_count"),
-            F.col("pos_total").alias("positive_count"),
-        )
-        schema = ends.schema
-        end_rows = ends.collect()
-    finally:
-        counts.unpersist()
-    ends = spark.createDataFrame(end_rows, schema)
-    split = ends.where(F.col("take") < F.col("n"))
+    )
+    reached = F.filter(targets, lambda t: (n_before < t["k"]) & (t["k"] <= n_before + n))
+    ends = ranks.select("*", F.inline(reached)).select(
+        *by,
+        "top_percent",
+        "k",
+        F.col("score").alias("cutoff_score"),
+        (F.col("k") - n_before).alias("take"),
+        "n",
+        "n_before",
+        "pos",
+        "pos_before",
+        F.col("n_total").alias("row_count"),
+        F.col("pos_total").alias("positive_count"),
+    )
+    schema = ends.schema
+    rows = ends.collect()
+    tied_at = _cut_inside_ties(scored, score, by, tie_break, spark.createDataFrame(rows, schema), rows)
     id_type = scored.schema[tie_break].dataType
-    if not any(row["take"] < row["n"] for row in end_rows):
-        no_id = F.lit(None).cast(id_type).alias("cutoff_id")
-        return ends.select(*by, "top_percent", "k", "cutoff_score", no_id, "row_count", "positive_count")
-    # Only part of the rows with the cutoff score belong to the top K.
-    on = [scored[c].eqNullSafe(split[c]) for c in by] + [scored[score] == split["cutoff_score"]]
+    out_schema = T.StructType(
+        [*schema.fields, T.StructField("cutoff_id", id_type)]
+        + [T.StructField(c, T.LongType()) for c in ("top_k_count", "positives_in_top")]
+    )
+    out = []
+    for row in rows:
+        cutoff_id, taken, hits = tied_at.get(tuple(row[c] for c in (*by, "top_percent")), (None, row.n, row.pos))
+        out.append((*row, cutoff_id, row.n_before + taken, row.pos_before + hits))
+    return spark.createDataFrame(out, out_schema).select(
+        *by, "top_percent", "k", "cutoff_score", "cutoff_id", "top_k_count", "positives_in_top", "row_count", "positive_count"
+    )
+
+
+def _cut_inside_ties(scored, score, by, tie_break, ends, rows) -> dict[tuple, tuple]:
+    """For cutoffs that split rows of equal score: last id taken, rows and positives taken."""
+    if all(row["take"] == row["n"] for row in rows):
+        return {}
+    split = ends.where(F.col("take") < F.col("n"))
+    keys = [*by, "top_percent"]
+    on = [scored[c] == split[c] for c in by] + [scored[score] == split["cutoff_score"]]
     tied = (
         scored.join(F.broadcast(split), on)
-        .select(*(split[c] for c in by), split["top_percent"], split["take"], scored[tie_break].alias("id"))
-        .groupBy(*by, "top_percent", "take", "id")
-        .agg(F.count("*").alias("m"))
-    )
-    ids = (
-        running_totals(tied, "id", ["m"], [*by, "top_percent"])
-        .where(F.col("m_before") < F.col("take"))
-        .groupBy(*by, "top_percent")
-        .agg(F.max("id").alias("cutoff_id"))
+        .select(*(split[c] for c in keys), split["take"], scored[tie_break].alias("id"), scored["label"])
+        .groupBy(*keys, "take", "id")
+        .agg(F.count("*").alias("m"), F.sum(F.col("label").cast("long")).alias("hits"))
     )
-    id_rows = {tuple(r[c] for c in (*by, "top_percent")): r["cutoff_id"] for r in ids.collect()}
-    rows = [(*r, id_rows.get(tuple(r[c] for c in (*by, "top_percent")))) for r in end_rows]
-    out = spark.createDataFrame(rows, T.StructType([*schema.fields, T.StructField("cutoff_id", id_type)]))
-    return out.select(*by, "top_percent", "k", "cutoff_score", "cutoff_id", "row_count", "positive_count")
+    few = sum(row["n"] for row in rows if row["take"] < row["n"]) <= FEW_ROWS
+    taken = running_totals(tied, "id", ["m"], keys, few_rows=few).where(F.col("m_before") < F.col("take"))
+    totals = taken.groupBy(*keys).agg(F.max("id").alias("id"), F.sum("m").alias("m"), F.sum("hits").alias("hits"))
+    return {tuple(r[c] for c in keys): (r["id"], r["m"], r["hits"]) for r in totals.collect()}
 
 
 def in_top(score: Column, tie_break: Column, cutoff_score: Column, cutoff_id: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientpulse.config import BUY, MAX_ITER, PRUNING_VARIANTS, TOPK_PERCENTS, VELOCITY_GROUPS
-from clientpulse.operators.metrics import auc_exact, score_delta, segment_metrics, topk_metrics, topk_overlap, with_segments
+from clientpulse.operators.metrics import ranking_metrics, score_delta, segment_metrics, topk_overlap, with_segments
 from clientpulse.operators.model import fit, score
 from clientpulse.operators.profile import score_stats
 
@@ -44,8 +44,9 @@ def held(*frames: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
 def evaluate(scored: DataFrame) -> dict[str, Any]:
     """Rows, classes, exact AUCs and top-K metrics of scored rows."""
     with held(scored.select("client_id", "label", "prediction_score")) as (rows,):
-        out = auc_exact(rows).first().asDict()
-        for top in topk_metrics(rows).collect():
+        areas, tops = ranking_metrics(rows)
+        out = areas.first().asDict()
+        for top in tops.collect():
             for m in ("precision", "recall", "lift"):
                 out[f"{m}_at_{top.top_percent}pct"] = top[f"{m}_at_k"]
     return out

@@ -17,7 +17,7 @@ from clientpulse.functions import feature_bucket, safe_ratio, score_bucket, scor
 from clientpulse.functions.buckets import SEARCH_SEGMENTS, bucketize
 from clientpulse.functions.predicates import ratio_or_zero
 from clientpulse.operators.checks import modeling_summary
-from clientpulse.operators.distribution import in_top, quantile, running_totals, score_counts, topk_cutoffs
+from clientpulse.operators.distribution import held_ranks, in_top, quantile, score_ranks, topk_cutoffs
 
 SCORE = "prediction_score"
 
@@ -136,47 +136,19 @@ def topk_metrics(
     percents: Iterable[int] = TOPK_PERCENTS,
     by: Sequence[str] = (),
     tie_break: str = "client_id",
+    ranks: DataFrame | None = None,
 ) -> DataFrame:
-    """Positives, precision, recall and lift in the top K% of each group. Rows
-    are compared with the group's cutoffs; they are never sorted."""
-    cutoffs = topk_cutoffs(scored, score, percents, by, tie_break)
-    inside = in_top(F.col(score), F.col(tie_break), F.col("cutoff_score"), F.col("cutoff_id"))
-    # Cutoffs are local rows, one per group and percent; without groups they ride
-    # along as one small array.
-    if by:
-        flagged = scored.join(F.broadcast(cutoffs), list(by)).where(inside)
-    else:
-        ends = F.array(
-            *(
-                F.struct(
-                    F.lit(end.top_percent).alias("top_percent"),
-                    F.lit(end.cutoff_score).alias("cutoff_score"),
-                    F.lit(end.cutoff_id).cast(scored.schema[tie_break].dataType).alias("cutoff_id"),
-                )
-                for end in cutoffs.collect()
-            )
-        )
-        flagged = scored.select(
-            "label",
-            F.inline(
-                F.filter(
-                    ends, lambda end: in_top(F.col(score), F.col(tie_break), end["cutoff_score"], end["cutoff_id"])
-                )
-            ),
-        )
-    counted = flagged.groupBy(*by, "top_percent").agg(
-        F.count("*").alias("top_k_count"), F.sum(F.col("label").cast("long")).alias("positives_in_top")
-    )
-    base = ratio_or_zero(F.col("positive_count"), F.col("row_count"))
-    precision = ratio_or_zero(F.col("positives_in_top"), F.col("top_k_count"))
-    return counted.join(F.broadcast(cutoffs), [*by, "top_percent"]).select(
+    """Positives, precision, recall and lift in the top K% of each group."""
+    hits, positives = F.col("positives_in_top"), F.col("positive_count")
+    precision = ratio_or_zero(hits, F.col("top_k_count"))
+    return topk_cutoffs(scored, score, percents, by, tie_break, ranks).select(
         *by,
         "top_percent",
         "top_k_count",
-        F.col("positives_in_top").alias("positive_count"),
+        hits.alias("positive_count"),
         precision.alias("precision_at_k"),
-        ratio_or_zero(F.col("positives_in_top"), F.col("positive_count")).alias("recall_at_k"),
-        ratio_or_zero(precision, base).alias("lift_at_k"),
+        ratio_or_zero(hits, positives).alias("recall_at_k"),
+        ratio_or_zero(precision, ratio_or_zero(positives, F.col("row_count"))).alias("lift_at_k"),
     )
 
 
@@ -248,12 +220,14 @@ def policy_table(points: DataFrame, topk: DataFrame) -> DataFrame:
     return by_threshold.unionByName(by_rank)
 
 
-def auc_exact(scored: DataFrame, score: str = SCORE, by: Sequence[str] = ()) -> DataFrame:
+def auc_exact(
+    scored: DataFrame, score: str = SCORE, by: Sequence[str] = (), ranks: DataFrame | None = None
+) -> DataFrame:
     """Exact ROC-AUC and PR-AUC per group; null when a class is missing.
 
     Each distinct score is one step of both curves, and the area under a step
     needs only the totals before it, which come from running totals."""
-    steps = running_totals(score_counts(scored, score, by), "key", ["n", "pos"], by)
+    steps = score_ranks(scored, score, by) if ranks is None else ranks
     pos, tp0, tps = F.col("pos").cast("double"), F.col("pos_before").cast("double"), F.col("pos_total").cast("double")
     neg = (F.col("n") - F.col("pos")).cast("double")
     seen0 = F.col("n_before").cast("double")
@@ -382,6 +356,15 @@ def score_delta(joined: DataFrame, first: str, second: str) -> DataFrame:
     return joined.select("*", (F.col(second) - F.col(first)).alias("score_delta"))
 
 
+def ranking_metrics(scored: DataFrame, score: str = SCORE, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Exact AUCs and top-K metrics of each group from one ranking of the scores.
+    Both results are local: one row per group, and one per group and percent."""
+    with held_ranks(scored, score, by) as ranks:
+        areas = auc_exact(scored, score, by, ranks)
+        local = scored.sparkSession.createDataFrame(areas.collect(), areas.schema)
+        return local, topk_metrics(scored, score, by=by, ranks=ranks)
+
+
 SEGMENTS = ("activity_segment", "lifecycle_segment")
 
 
@@ -403,8 +386,7 @@ def segment_metrics(scored: DataFrame, segments: Sequence[str] = SEGMENTS, score
     pairs = F.array(*(F.struct(F.lit(s).alias("segment_type"), F.col(s).alias("segment_name")) for s in segments))
     by = ["segment_type", "segment_name"]
     long = scored.select("client_id", "label", score, F.inline(pairs))
-    areas = auc_exact(long, score, by)
-    tops = topk_metrics(long, score, by=by)
+    areas, tops = ranking_metrics(long, score, by)
     wide = tops.groupBy(*by).agg(
         *(
             F.max(F.when(F.col("top_percent") == p, F.col(f"{m}_at_k"))).alias(f"{m}_at_{p}pct")

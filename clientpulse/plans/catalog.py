@@ -637,8 +637,11 @@ def model_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, validation = _temporal(spark, sf_dir)
-    return experiments.ablate_families(train, validation, feature_columns(train), feature_families())
+    def build() -> DataFrame:
+        train, validation = _temporal(spark, sf_dir)
+        return experiments.ablate_families(train, validation, feature_columns(train), feature_families())
+
+    return stored(spark, sf_dir, "ablation", build)
 
 
 @query
@@ -684,10 +687,9 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def family_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, validation = _temporal(spark, sf_dir)
+    train, _ = _temporal(spark, sf_dir)
     families = feature_families()
-    dropped = experiments.ablate_families(train, validation, feature_columns(train), families)
-    drops = dropped.select(
+    drops = ablation(spark, sf_dir).select(
         F.col("scenario").alias("feature_family"), "pr_auc_drop_relative", "lift_5pct_drop_relative"
     )
     matrix = audit.correlation_matrix(train, families)

@@ -372,14 +372,14 @@ flags AS (
 
 COHORTS = """
 cohort AS (
-  SELECT client_id, bought_in_target, unnest(list_filter([
-    CASE WHEN in_cart OR in_buy THEN 'current_prior_cart_or_purchase' END,
-    CASE WHEN in_cart THEN 'cart_only' END,
-    CASE WHEN in_search OR in_cart OR in_buy THEN 'search_cart_buy' END,
-    CASE WHEN in_buy THEN 'buy_only' END,
-    CASE WHEN in_search AND NOT in_cart AND NOT in_buy THEN 'search_only' END], x -> x IS NOT NULL)) AS candidate,
-    in_cart OR in_buy AS in_current, in_cart
-  FROM flags
+  SELECT client_id, bought_in_target, candidate, in_cart OR in_buy AS in_current, in_cart FROM (
+    SELECT *, unnest([
+      CASE WHEN in_cart OR in_buy THEN 'current_prior_cart_or_purchase' END,
+      CASE WHEN in_cart THEN 'cart_only' END,
+      CASE WHEN in_search OR in_cart OR in_buy THEN 'search_cart_buy' END,
+      CASE WHEN in_buy THEN 'buy_only' END,
+      CASE WHEN in_search AND NOT in_cart AND NOT in_buy THEN 'search_only' END]) AS candidate
+    FROM flags) WHERE candidate IS NOT NULL
 ),
 names AS (SELECT unnest(['current_prior_cart_or_purchase', 'cart_only', 'search_cart_buy', 'buy_only', 'search_only'])
           AS candidate)"""
