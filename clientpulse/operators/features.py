@@ -2,16 +2,17 @@
 
 All windows and event types come out of one aggregation tree:
 
-    (client, type, SKU)      counts, last date, window counts
-      + product by SKU       carts and purchases only, after the reduction
-    (client, type, category) SKUs and categories become countable rows
-    (client)                 pivoted to columns
-
-Removals and searches skip the product levels, and distinct days come from
-(client, date) rows; both join the tree at its last level. Every level combines
-on the map side and the first ones are keyed finer than the client, so a client
-with a third of all events is spread out. Searches have no SKU and never reach
-the product join, where they would all meet in one partition."""
+    (client, SKU)      counts, last date and window counts of the three SKU types
+      + product by SKU joined after the reduction, not to raw events
+    (client, category) SKUs and categories become countable rows
+    (client)           one row
+
+Searches and active days come from (client, date) rows, which join the tree at
+its last level. A client's cart, removal and purchase of one SKU share a row, so
+the event type is never a shuffle key. Every level combines on the map side, and
+the first ones are keyed finer than the client, so a client with a third of all
+events is spread out. Searches have no SKU and never reach the product join,
+where they would all meet in one partition."""
 
 from __future__ import annotations
 
@@ -24,6 +25,7 @@ from clientpulse.config import (
     BUY,
     CART,
     ELIGIBLE,
+    ELIGIBLE_TYPES,
     FEATURE_TYPES,
     FEATURE_WINDOWS,
     RECENT_SEARCH_DAYS,
@@ -47,21 +49,20 @@ def history_of(events: DataFrame, cutoff: str, types: Sequence[str] = FEATURE_TY
     return events.where(in_history(cutoff) & F.col("event_type").isin(*types) & F.col("client_id").isNotNull())
 
 
-def recent_count(cutoff: str, days: int) -> Column:
-    return F.count_if(F.col("event_date") >= F.date_sub(day(cutoff), days))
-
-
-def sku_level(history: DataFrame, cutoff: str, windows: Sequence[int]) -> DataFrame:
-    return history.groupBy("client_id", "event_type", "sku").agg(
-        F.count("*").alias("n"),
-        F.max("event_date").alias("last_date"),
-        *(recent_count(cutoff, w).alias(f"n_{w}") for w in windows),
-    )
+def since(cutoff: str, days: int) -> Column:
+    return F.col("event_date") >= F.date_sub(day(cutoff), days)
 
 
-def counted_skus(history: DataFrame, cutoff: str, windows: Sequence[int]) -> DataFrame:
-    """SKU-level rows that count as one SKU each, or as none without a SKU."""
-    return sku_level(history, cutoff, windows).withColumn("skus", F.col("sku").isNotNull().cast("long")).drop("sku")
+def sku_level(history: DataFrame, cutoff: str, windows: Sequence[int], types: Sequence[str] = SKU_TYPES) -> DataFrame:
+    aggregates = []
+    for t in types:
+        hit = F.col("event_type") == t
+        aggregates += [
+            F.count_if(hit).alias(f"{t}_n"),
+            F.max(F.when(hit, F.col("event_date"))).alias(f"{t}_last"),
+            *(F.count_if(hit & since(cutoff, w)).alias(f"{t}_n_{w}") for w in windows),
+        ]
+    return history.where(F.col("event_type").isin(*types)).groupBy("client_id", "sku").agg(*aggregates)
 
 
 def with_products(df: DataFrame, products: DataFrame) -> DataFrame:
@@ -70,21 +71,24 @@ def with_products(df: DataFrame, products: DataFrame) -> DataFrame:
     return df.join(products.select("sku", "category", "price"), "sku", "left")
 
 
-def category_level(skus: DataFrame, windows: Sequence[int]) -> DataFrame:
-    priced = F.when(F.col("price").isNotNull(), F.col("n"))
-    return skus.groupBy("client_id", "event_type", "category").agg(
-        F.sum("n").alias("n"),
-        F.max("last_date").alias("last_date"),
-        *(F.sum(f"n_{w}").alias(f"n_{w}") for w in windows),
-        F.count("sku").alias("skus"),
-        F.sum(priced).alias("priced"),
-        F.sum(F.col("price").cast("double") * F.col("n")).alias("price_sum"),
-        F.max("price").alias("max_price"),
-    )
+def category_level(skus: DataFrame, windows: Sequence[int], types: Sequence[str] = SKU_TYPES) -> DataFrame:
+    price = F.col("price")
+    aggregates = []
+    for t in types:
+        n = F.col(f"{t}_n")
+        aggregates += [F.sum(c).alias(c) for c in (f"{t}_n", *(f"{t}_n_{w}" for w in windows))]
+        aggregates += [F.max(f"{t}_last").alias(f"{t}_last"), F.count_if((n > 0) & F.col("sku").isNotNull()).alias(f"{t}_skus")]
+        if t in ELIGIBLE_TYPES:
+            aggregates += [
+                F.sum(F.when(price.isNotNull(), n)).alias(f"{t}_priced"),
+                F.sum(price.cast("double") * n).alias(f"{t}_price_sum"),
+                F.max(F.when(n > 0, price)).alias(f"{t}_max_price"),
+            ]
+    return skus.groupBy("client_id", "category").agg(*aggregates)
 
 
 def day_level(history: DataFrame) -> DataFrame:
-    return history.groupBy("client_id", "event_date").agg(F.max(F.col("event_type") == SEARCH).alias("searched"))
+    return history.groupBy("client_id", "event_date").agg(F.count_if(F.col("event_type") == SEARCH).alias("searches"))
 
 
 def active_days(events: DataFrame, cutoff: str, days: int | None = None) -> DataFrame:
@@ -96,42 +100,64 @@ def active_days(events: DataFrame, cutoff: str, days: int | None = None) -> Data
     return day_level(history).groupBy("client_id").agg(F.count("*").alias(name))
 
 
-def of_type(event_type: str, column: str) -> Column:
-    return F.when(F.col("event_type") == event_type, F.col(column))
-
+def total(column: str | Column) -> Column:
+    return F.coalesce(F.sum(column), F.lit(0))
 
-def type_aggregates(event_type: str, cutoff: str, windows: Sequence[int]) -> list[Column]:
-    def total(column: str) -> Column:
-        return F.coalesce(F.sum(of_type(event_type, column)), F.lit(0))
 
-    out = [total("n").alias(f"{event_type}_count")]
-    if event_type in SKU_TYPES:
-        out.append(total("skus").alias(f"distinct_{event_type}_sku_count"))
-    last = F.max(of_type(event_type, "last_date"))
-    out.append(F.datediff(day(cutoff), last).alias(f"days_since_last_{event_type}"))
-    return out + [total(f"n_{w}").alias(f"{event_type}_count_{w}d") for w in windows]
+def sku_aggregates(cutoff: str, windows: Sequence[int]) -> list[Column]:
+    out = []
+    for t in SKU_TYPES:
+        out += [
+            total(f"{t}_n").alias(f"{t}_count"),
+            total(f"{t}_skus").alias(f"distinct_{t}_sku_count"),
+            F.datediff(day(cutoff), F.max(f"{t}_last")).alias(f"days_since_last_{t}"),
+            *(total(f"{t}_n_{w}").alias(f"{t}_count_{w}d") for w in windows),
+        ]
+    return out
 
 
-def product_aggregates(prefix: str) -> list[Column]:
-    t = PRODUCT_PREFIX[prefix]
+def day_aggregates(cutoff: str, windows: Sequence[int], active_windows: Sequence[int] = ()) -> list[Column]:
+    """Of rows that have a date only when they are day rows."""
+    searches = F.col("searches")
+    last = F.max(F.when(searches > 0, F.col("event_date")))
     return [
-        F.count(of_type(t, "category")).alias(f"distinct_{prefix}_category_count"),
-        safe_ratio(F.sum(of_type(t, "price_sum")), F.sum(of_type(t, "priced"))).alias(f"avg_{prefix}_price"),
-        F.max(of_type(t, "max_price")).alias(f"max_{prefix}_price"),
+        total(searches).alias(f"{SEARCH}_count"),
+        F.count_if(searches > 0).alias("distinct_search_days"),
+        F.datediff(day(cutoff), last).alias(f"days_since_last_{SEARCH}"),
+        *(total(F.when(since(cutoff, w), searches)).alias(f"{SEARCH}_count_{w}d") for w in windows),
+        F.count("event_date").alias("active_days_count"),
+        *(F.count_if(since(cutoff, w)).alias(f"active_days_count_{w}d") for w in active_windows),
     ]
 
 
+def product_aggregates() -> list[Column]:
+    out = []
+    for prefix, t in PRODUCT_PREFIX.items():
+        known = F.col("category").isNotNull() & (F.col(f"{t}_n") > 0)
+        out += [
+            F.count_if(known).alias(f"distinct_{prefix}_category_count"),
+            safe_ratio(F.sum(f"{t}_price_sum"), F.sum(f"{t}_priced")).alias(f"avg_{prefix}_price"),
+            F.max(f"{t}_max_price").alias(f"max_{prefix}_price"),
+        ]
+    return out
+
+
 def activity_features(events: DataFrame, cutoff: str, windows: Sequence[int] = FEATURE_WINDOWS) -> DataFrame:
     """Counts, distinct SKUs, recency and window counts per event type."""
-    skus = counted_skus(history_of(events, cutoff), cutoff, windows)
-    return skus.groupBy("client_id").agg(*(a for t in FEATURE_TYPES for a in type_aggregates(t, cutoff, windows)))
+    history = history_of(events, cutoff)
+    skus = sku_level(history, cutoff, windows)
+    one = F.col("sku").isNotNull()
+    skus = skus.withColumns({f"{t}_skus": (one & (F.col(f"{t}_n") > 0)).cast("long") for t in SKU_TYPES}).drop("sku")
+    tree = skus.unionByName(day_level(history), allowMissingColumns=True)
+    wanted = [*sku_aggregates(cutoff, windows), *day_aggregates(cutoff, windows)]
+    return tree.groupBy("client_id").agg(*wanted).drop("distinct_search_days", "active_days_count")
 
 
 def product_features(events: DataFrame, products: DataFrame, cutoff: str) -> DataFrame:
     """Categories and prices of carted and bought SKUs, per client."""
-    skus = sku_level(history_of(events, cutoff, (CART, BUY)), cutoff, ())
-    categories = category_level(with_products(skus, products), ())
-    return categories.groupBy("client_id").agg(*(a for prefix in PRODUCT_PREFIX for a in product_aggregates(prefix)))
+    skus = sku_level(history_of(events, cutoff, ELIGIBLE_TYPES), cutoff, (), ELIGIBLE_TYPES)
+    categories = category_level(with_products(skus, products), (), ELIGIBLE_TYPES)
+    return categories.groupBy("client_id").agg(*product_aggregates())
 
 
 def ratio_features(df: DataFrame) -> DataFrame:
@@ -163,22 +189,15 @@ def build_features(
     """One row per client with history, from events before the cutoff only.
     ``active_windows`` adds ``active_days_count_<w>d`` helper columns."""
     cutoff = snapshot.cutoff
-    priced = sku_level(history_of(events, cutoff, (CART, BUY)), cutoff, windows)
-    categories = category_level(with_products(priced, products), windows)
-    others = counted_skus(history_of(events, cutoff, (REMOVE, SEARCH)), cutoff, windows)
-    days = day_level(history_of(events, cutoff))
-    # Day rows have no event type, the other rows no date: one union, one shuffle.
-    tree = categories.unionByName(others, allowMissingColumns=True).unionByName(days, allowMissingColumns=True)
-    is_day = F.col("event_date").isNotNull()
-    aggregates = [a for t in FEATURE_TYPES for a in type_aggregates(t, cutoff, windows)]
-    aggregates += [a for prefix in PRODUCT_PREFIX for a in product_aggregates(prefix)]
-    aggregates += [
-        F.count_if(is_day & F.col("searched")).alias("distinct_search_days"),
-        F.count_if(is_day).alias("active_days_count"),
-        F.max(F.coalesce(F.col("event_type").isin(CART, BUY), F.lit(False)).cast("int")).alias(ELIGIBLE),
-        *(recent_count(cutoff, w).alias(f"active_days_count_{w}d") for w in active_windows),
-    ]
-    wide = ratio_features(tree.groupBy("client_id").agg(*aggregates))
+    history = history_of(events, cutoff)
+    categories = category_level(with_products(sku_level(history, cutoff, windows), products), windows)
+    # Day rows have no category, category rows no date: one union, one shuffle.
+    tree = categories.unionByName(day_level(history), allowMissingColumns=True)
+    wide = tree.groupBy("client_id").agg(
+        *sku_aggregates(cutoff, windows), *product_aggregates(), *day_aggregates(cutoff, windows, active_windows)
+    )
+    in_cohort = F.col(f"{CART}_count") + F.col(f"{BUY}_count") > 0
+    wide = ratio_features(wide.withColumn(ELIGIBLE, in_cohort.cast("int")))
     extra = [f"active_days_count_{w}d" for w in active_windows]
     return wide.select("client_id", *feature_names(tuple(windows)), *extra)
 

@@ -430,8 +430,9 @@ def card_sql() -> str:
         terms.append(f"coalesce(CAST({name} AS DOUBLE), {default!r}::DOUBLE) * {c!r}::DOUBLE")
         filled.append(f"CASE WHEN {name} IS NULL THEN '{name}' END")
     return f"""carded AS (
-      SELECT *, 1 / (1 + exp(-({' + '.join(terms)}))) AS raw_score,
-             concat_ws(',', {', '.join(filled)}) AS missing_features_filled FROM features)"""
+      SELECT *, CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END AS raw_score,
+             concat_ws(',', {', '.join(filled)}) AS missing_features_filled
+      FROM (SELECT *, {' + '.join(terms)} AS z FROM features))"""
 
 
 def stats_select(source: str, columns, quantiles: dict[str, float]) -> list[str]:
