@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientpulse.config import FEATURE_TYPES, FEATURE_WINDOWS
@@ -96,14 +96,14 @@ def variance_audit(df: DataFrame, families: Families, exact: bool = True) -> Dat
     )
 
 
-def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Columns with two different values, nulls read as 0 the way correlations are."""
-    ends = [F.struct(F.min(_number(c)), F.max(_number(c))).alias(c) for c in columns]
-    row = df.agg(*ends).first()
+def varying(df: DataFrame, columns: Sequence[str], nulls_as_zero: bool = False) -> list[str]:
+    """Columns with two different values, from the extremes of all of them at once."""
+    read = _number if nulls_as_zero else (lambda c: F.col(c).cast("double"))
+    row = df.agg(*(F.struct(F.min(read(c)), F.max(read(c))).alias(c) for c in columns)).first()
     return [c for c in columns if row[c][0] is not None and row[c][0] != row[c][1]]
 
 
-def _number(column: str):
+def _number(column: str) -> Column:
     return F.coalesce(F.col(column).cast("double"), F.lit(0.0))
 
 
@@ -115,7 +115,7 @@ def correlations(df: DataFrame, columns: Sequence[str], nulls: str = "zero") ->
     the rows with a null, as conditional aggregates of one pass."""
     columns = list(columns)
     if nulls == "zero":
-        columns = varying(df, columns)
+        columns = varying(df, columns, nulls_as_zero=True)
         if not columns:
             return {}
         numbers = df.select(*(_number(c).alias(c) for c in columns))
@@ -144,7 +144,7 @@ def correlation_matrix(df: DataFrame, families: Families, nulls: str = "zero") -
     """Every pair of features once, in family order; constants are skipped."""
     columns = [f for fs in families.values() for f in fs]
     family_of = {f: family for family, fs in families.items() for f in fs}
-    constant = {r.feature_name for r in variance_audit(df, families).where("is_constant").collect()}
+    constant = set(columns) - set(varying(df, columns))
     found = correlations(df, [c for c in columns if c not in constant], nulls)
     rows = []
     for i, left in enumerate(columns):

@@ -125,27 +125,31 @@ def candidate_cohorts(flags: DataFrame) -> DataFrame:
 
 def overlap_matrix(flags: DataFrame) -> DataFrame:
     """Intersection, share of the left cohort and Jaccard index of every pair."""
-    defined = framings()
-    cells = [
-        F.struct(
-            F.lit(left).alias("left_candidate"),
-            F.lit(right).alias("right_candidate"),
-            size(defined[left]).alias("left_count"),
-            size(defined[right]).alias("right_count"),
-            size(defined[left] & defined[right]).alias("intersection_count"),
-            size(defined[left] | defined[right]).alias("union_count"),
-        ).alias(f"{left}__{right}")
-        for left in defined
-        for right in defined
-    ]
-    wide = flag_patterns(flags).agg(*cells)
-    inter = F.col("intersection_count")
-    return wide.select(F.inline(F.array(*(F.col(c) for c in wide.columns)))).select(
-        "left_candidate",
-        "right_candidate",
-        "left_count",
-        "right_count",
-        "intersection_count",
-        safe_ratio(inter, F.col("left_count")).alias("intersection_over_left_rate"),
-        safe_ratio(inter, F.col("union_count")).alias("jaccard_rate"),
+
+    def members(side: str) -> Column:
+        named = (
+            F.struct(F.lit(name).alias(f"{side}_candidate"), cohort.alias(f"in_{side}")) for name, cohort in framings().items()
+        )
+        return F.inline(F.array(*named))
+
+    # 25 pairs of cohorts for each of at most 16 patterns
+    pairs = flag_patterns(flags).select("*", members("left")).select("*", members("right"))
+    left, right, inter = F.col("in_left"), F.col("in_right"), F.col("intersection_count")
+    return (
+        pairs.groupBy("left_candidate", "right_candidate")
+        .agg(
+            size(left).alias("left_count"),
+            size(right).alias("right_count"),
+            size(left & right).alias("intersection_count"),
+            size(left | right).alias("union_count"),
+        )
+        .select(
+            "left_candidate",
+            "right_candidate",
+            "left_count",
+            "right_count",
+            "intersection_count",
+            safe_ratio(inter, F.col("left_count")).alias("intersection_over_left_rate"),
+            safe_ratio(inter, F.col("union_count")).alias("jaccard_rate"),
+        )
     )

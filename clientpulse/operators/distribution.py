@@ -97,9 +97,22 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
 
-def quantiles_of_counts(counts: DataFrame, quantiles: Mapping[str, float], by: Sequence[str]) -> DataFrame:
-    """Interpolated quantiles of (``by``, value, n) rows, one row per group."""
-    ranked = running_totals(counts, "value", ["n"], by, few_groups=list(by) == ["column_name"])
+@contextmanager
+def held_totals(counts: DataFrame, key: str, sums: Sequence[str], by: Sequence[str] = ()) -> Iterator[DataFrame]:
+    """Running totals over counts that are kept for the block, so that the passes
+    over them do not repeat the scan below; few rows take the short way."""
+    kept = counts.persist()
+    try:
+        yield running_totals(kept, key, sums, by, list(by) == ["column_name"], kept.count() <= FEW_ROWS)
+    finally:
+        kept.unpersist()
+
+
+def quantiles_of_counts(
+    counts: DataFrame, quantiles: Mapping[str, float], by: Sequence[str] = (), extra: Sequence[Column] = ()
+) -> DataFrame:
+    """Interpolated quantiles of (``by``, value, n) rows: one local row per group.
+    ``extra`` aggregates over the same rows come along in the same pass."""
     n_before, n, total = F.col("n_before"), F.col("n"), F.col("n_total")
 
     def at(position: Column) -> Column:
@@ -113,12 +126,15 @@ def quantiles_of_counts(counts: DataFrame, quantiles: Mapping[str, float], by: S
             at(F.ceil(position)).alias(f"__{name}_high"),
             F.max(position - F.floor(position)).alias(f"__{name}_part"),
         ]
-    wide = ranked.groupBy(*by).agg(F.count("*").alias("distinct_count"), *aggregates)
     values = [
         (F.col(f"__{n}_low") + F.col(f"__{n}_part") * (F.col(f"__{n}_high") - F.col(f"__{n}_low"))).alias(n)
         for n in quantiles
     ]
-    return wide.select(*by, "distinct_count", *values)
+    with held_totals(counts, "value", ["n"], by) as ranked:
+        wide = ranked.groupBy(*by).agg(F.count("*").alias("distinct_count"), *aggregates, *extra)
+        more = [c for c in wide.columns if not c.startswith("__") and c not in (*by, "distinct_count")]
+        found = wide.select(*by, "distinct_count", *values, *more)
+        return counts.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
 def quantiles(
@@ -160,29 +176,19 @@ def score_counts(scored: DataFrame, score: str, by: Sequence[str] = ()) -> DataF
     )
 
 
-def smallest_key_cutoff(df: DataFrame, key: str, k: int) -> int | str | float | None:
+def smallest_key_cutoff(df: DataFrame, key: str, k: int) -> int | float | None:
     """The largest of the ``k`` smallest values of a numeric key, duplicates counted."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, key, ["n"])
-    row = ranked.where(F.col("n_before") < k).agg(F.max(key).alias("cutoff")).first()
-    return row.cutoff
+    with held_totals(counts, key, ["n"]) as ranked:
+        return ranked.where(F.col("n_before") < k).agg(F.max(key).alias("cutoff")).first().cutoff
 
 
-def score_ranks(scored: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+@contextmanager
+def score_ranks(scored: DataFrame, score: str, by: Sequence[str] = ()) -> Iterator[DataFrame]:
     """Distinct scores of each group, best first, with the rows and positives
     before them. AUC and top-K metrics both read this table."""
-    return running_totals(score_counts(scored, score, by), "key", ["n", "pos"], by)
-
-
-@contextmanager
-def held_ranks(scored: DataFrame, score: str, by: Sequence[str] = ()) -> Iterator[DataFrame]:
-    """``score_ranks`` over counts kept for the block; few distinct scores take
-    the short way."""
-    counts = score_counts(scored, score, by).persist()
-    try:
-        yield running_totals(counts, "key", ["n", "pos"], by, few_rows=counts.count() <= FEW_ROWS)
-    finally:
-        counts.unpersist()
+    with held_totals(score_counts(scored, score, by), "key", ["n", "pos"], by) as ranks:
+        yield ranks
 
 
 def topk_cutoffs(
@@ -201,7 +207,7 @@ def topk_cutoffs(
     driver-side rows, one per group and percent; rows of ``scored`` are never
     sorted or collected."""
     if ranks is None:
-        with held_ranks(scored, score, by) as found:
+        with score_ranks(scored, score, by) as found:
             return topk_cutoffs(scored, score, percents, by, tie_break, found)
     spark, by = scored.sparkSession, list(by)
     n_before, n = F.col("n_before"), F.col("n")

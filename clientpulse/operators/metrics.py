@@ -17,7 +17,7 @@ from clientpulse.functions import feature_bucket, safe_ratio, score_bucket, scor
 from clientpulse.functions.buckets import SEARCH_SEGMENTS, bucketize
 from clientpulse.functions.predicates import ratio_or_zero
 from clientpulse.operators.checks import modeling_summary
-from clientpulse.operators.distribution import held_ranks, in_top, quantile, score_ranks, topk_cutoffs
+from clientpulse.operators.distribution import in_top, quantile, score_ranks, topk_cutoffs
 
 SCORE = "prediction_score"
 
@@ -223,11 +223,13 @@ def policy_table(points: DataFrame, topk: DataFrame) -> DataFrame:
 def auc_exact(
     scored: DataFrame, score: str = SCORE, by: Sequence[str] = (), ranks: DataFrame | None = None
 ) -> DataFrame:
-    """Exact ROC-AUC and PR-AUC per group; null when a class is missing.
+    """Exact ROC-AUC and PR-AUC per group, as local rows; null when a class is missing.
 
     Each distinct score is one step of both curves, and the area under a step
     needs only the totals before it, which come from running totals."""
-    steps = score_ranks(scored, score, by) if ranks is None else ranks
+    if ranks is None:
+        with score_ranks(scored, score, by) as found:
+            return auc_exact(scored, score, by, found)
     pos, tp0, tps = F.col("pos").cast("double"), F.col("pos_before").cast("double"), F.col("pos_total").cast("double")
     neg = (F.col("n") - F.col("pos")).cast("double")
     seen0 = F.col("n_before").cast("double")
@@ -239,12 +241,13 @@ def auc_exact(
     pr_step = pos * (precision + previous) / 2.0
     positives, negatives = F.max(tps), F.max(negs)
     both = (positives > 0) & (negatives > 0)
-    return steps.groupBy(*by).agg(
+    areas = ranks.groupBy(*by).agg(
         F.sum("n").alias("row_count"),
         F.sum("pos").alias("positive_count"),
         F.when(both, F.sum(roc_step) / (positives * negatives)).alias("roc_auc"),
         F.when(both, F.sum(pr_step) / positives).alias("pr_auc"),
     )
+    return scored.sparkSession.createDataFrame(areas.collect(), areas.schema)
 
 
 def auc_binned(scored: DataFrame, score: str = SCORE) -> dict[str, float | None]:
@@ -359,10 +362,8 @@ def score_delta(joined: DataFrame, first: str, second: str) -> DataFrame:
 def ranking_metrics(scored: DataFrame, score: str = SCORE, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Exact AUCs and top-K metrics of each group from one ranking of the scores.
     Both results are local: one row per group, and one per group and percent."""
-    with held_ranks(scored, score, by) as ranks:
-        areas = auc_exact(scored, score, by, ranks)
-        local = scored.sparkSession.createDataFrame(areas.collect(), areas.schema)
-        return local, topk_metrics(scored, score, by=by, ranks=ranks)
+    with score_ranks(scored, score, by) as ranks:
+        return auc_exact(scored, score, by, ranks), topk_metrics(scored, score, by=by, ranks=ranks)
 
 
 SEGMENTS = ("activity_segment", "lifecycle_segment")

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from clientpulse.config import BUY, CART, RECENT_SEARCH_DAYS, SEARCH, TRANSITION_DAYS, Snapshot
 from clientpulse.functions import in_history, in_target, safe_ratio
 from clientpulse.functions.predicates import day
-from clientpulse.operators.distribution import quantiles
+from clientpulse.operators.distribution import quantiles_of_counts
 
 SLICE_SECONDS = 3600
 MICROS = 1_000_000
@@ -161,16 +161,17 @@ def cart_delays(events: DataFrame, snapshot: Snapshot) -> DataFrame:
     )
 
 
-def cart_delay_quantiles(events: DataFrame, snapshot: Snapshot, exact: bool = True) -> DataFrame:
-    delays = cart_delays(events, snapshot)
-    ranks = quantiles(delays, ["delay_days"], DELAY_QUANTILES, exact).select(F.struct(*DELAY_QUANTILES)).scalar()
-    ends = delays.agg(
-        F.count("*").alias("path_count"),
-        F.min("delay_days").alias("min_delay_days"),
-        F.max("delay_days").alias("max_delay_days"),
-    )
-    return ends.withColumn("__q", ranks).select(
-        "path_count", "min_delay_days", *(F.col(f"__q.{q}").alias(f"{q}_delay_days") for q in DELAY_QUANTILES), "max_delay_days"
+def cart_delay_quantiles(events: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """Count, ends and quantiles of the delays, all from the table of distinct delays."""
+    value = F.col("delay_days").cast("double").alias("value")
+    counts = cart_delays(events, snapshot).groupBy(value).agg(F.count("*").alias("n"))
+    ends = [
+        F.coalesce(F.sum("n"), F.lit(0)).alias("path_count"),
+        F.min("value").cast("bigint").alias("min_delay_days"),
+        F.max("value").cast("bigint").alias("max_delay_days"),
+    ]
+    return quantiles_of_counts(counts, DELAY_QUANTILES, extra=ends).select(
+        "path_count", "min_delay_days", *(F.col(q).alias(f"{q}_delay_days") for q in DELAY_QUANTILES), "max_delay_days"
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientpulse.config import EVENT_SPECS, EventSpec
@@ -136,29 +136,29 @@ def prepare_products(products: DataFrame, sample: float | None = None) -> tuple[
 
 
 def metadata_profile(products: DataFrame, label: str) -> DataFrame:
-    """How stable category and price are within a SKU, as one row."""
+    """How stable category and price are within a SKU, as one row. Only whether a
+    SKU has several values matters, so extremes stand in for distinct counts."""
+
+    def several(column: str) -> Column:
+        return F.coalesce(F.min(column) < F.max(column), F.lit(False))
+
     per_sku = (
         pair_counts(products)
         .groupBy("sku")
         .agg(
             F.sum("n").alias("rows"),
-            F.count_distinct("category").alias("categories"),
-            F.count_distinct("price").alias("prices"),
-            F.count("*").alias("pairs"),
+            several("category").alias("categories"),
+            several("price").alias("prices"),
+            (F.count("*") > 1).alias("pairs"),
         )
     )
     return per_sku.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
         F.count("sku").alias("distinct_sku_count"),
-        *(
-            F.count_if(F.col(c) > 1).alias(f"sku_with_multiple_{name}")
-            for c, name in (
-                ("rows", "rows"),
-                ("categories", "category_values"),
-                ("prices", "price_values"),
-                ("pairs", "category_price_pairs"),
-            )
-        ),
+        F.count_if(F.col("rows") > 1).alias("sku_with_multiple_rows"),
+        F.count_if("categories").alias("sku_with_multiple_category_values"),
+        F.count_if("prices").alias("sku_with_multiple_price_values"),
+        F.count_if("pairs").alias("sku_with_multiple_category_price_pairs"),
         F.coalesce(F.max("rows"), F.lit(0)).alias("max_rows_per_sku"),
     ).select(F.lit(label).alias("source"), "*")
 

@@ -144,32 +144,28 @@ def purchase_frequency(events: DataFrame) -> DataFrame:
     """How often buying clients buy: one row over all purchases."""
     clients = events.where(F.col("event_type") == BUY).groupBy("client_id").agg(F.count("*").alias("purchases"))
     # Clients fall on few distinct purchase counts, so everything else is cheap.
-    counts = (
-        clients.groupBy(F.col("purchases").cast("double").alias("value"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("column_name", F.lit("purchases"))
-    )
+    counts = clients.groupBy(F.col("purchases").cast("double").alias("value")).agg(F.count("*").alias("n"))
     value, n = F.col("value"), F.col("n")
-    base = counts.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("total_purchasing_clients"),
-        F.coalesce(F.sum(n * value), F.lit(0.0)).cast("bigint").alias("total_purchase_events"),
-        F.coalesce(F.sum(F.when(value == 1, n)), F.lit(0)).alias("clients_with_exactly_1_purchase"),
-        *(
-            F.coalesce(F.sum(F.when(value >= k, n)), F.lit(0)).alias(f"clients_with_{k}_plus_purchases")
-            for k in (2, 3, 5)
-        ),
-    )
+    sums = {
+        "total_purchasing_clients": F.sum(n),
+        "total_purchase_events": F.sum(n * value).cast("bigint"),
+        "clients_with_exactly_1_purchase": F.sum(F.when(value == 1, n)),
+        **{f"clients_with_{k}_plus_purchases": F.sum(F.when(value >= k, n)) for k in (2, 3, 5)},
+    }
     names = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
     wanted = {f"purchase_count_{name}": q for name, q in names.items()}
-    quants = quantiles_of_counts(counts, wanted, ["column_name"]).select(F.struct(*wanted)).scalar()
+    totals = [F.coalesce(expr, F.lit(0)).alias(name) for name, expr in sums.items()]
     total = F.col("total_purchasing_clients")
-    shares = [
-        F.round(F.when(total > 0, F.col(c) / total * 100), 4).alias(f"{c}_pct")
-        for c in base.columns
-        if c.startswith("clients_with")
-    ]
-    average = F.when(total > 0, F.col("total_purchase_events") / total).alias("average_purchases_per_purchasing_client")
-    return base.withColumn("__q", quants).select(*base.columns, average, *shares, "__q.*")
+    return quantiles_of_counts(counts, wanted, extra=totals).select(
+        *sums,
+        F.when(total > 0, F.col("total_purchase_events") / total).alias("average_purchases_per_purchasing_client"),
+        *(
+            F.round(F.when(total > 0, F.col(c) / total * 100), 4).alias(f"{c}_pct")
+            for c in sums
+            if c.startswith("clients_with")
+        ),
+        *wanted,
+    )
 
 
 FEATURE_QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
