@@ -54,7 +54,7 @@ def labels_from_events(events: DataFrame, snapshot: Snapshot) -> DataFrame:
     history = kind.isin(CART, BUY) & in_history(snapshot.cutoff)
     target = (kind == BUY) & in_target(snapshot.cutoff, snapshot.target_end)
     return (
-        events.where((history | target) & F.col("client_id").isNotNull())
+        events.where(kind.isin(CART, BUY) & (history | target) & F.col("client_id").isNotNull())
         .groupBy("client_id")
         .agg(F.max(history).alias("in_cohort"), F.count_if(target).alias("target_event_count"))
         .where("in_cohort")

@@ -93,7 +93,7 @@ def sku_paths(events: DataFrame, snapshot: Snapshot) -> DataFrame:
     carted = (F.col("event_type") == CART) & in_history(snapshot.cutoff, grain="ts")
     bought = (F.col("event_type") == BUY) & in_target(snapshot.cutoff, snapshot.target_end)
     return (
-        events.where(carted | bought)
+        events.where(F.col("event_type").isin(CART, BUY) & (carted | bought))
         .groupBy("client_id", "sku")
         .agg(
             F.max(F.when(carted, F.col("event_ts"))).alias("last_cart_ts"),
@@ -207,7 +207,8 @@ def recent_then(events: DataFrame, cutoff: str, recent_days: int = RECENT_SEARCH
     kind, ts = F.col("event_type"), F.col("event_ts")
     recent = (kind == SEARCH) & (F.col("event_date") >= F.date_sub(day(cutoff), recent_days))
     return (
-        events.where(in_history(cutoff) & (recent | (kind == CART)) & F.col("client_id").isNotNull())
+        events.where(in_history(cutoff) & kind.isin(CART, SEARCH) & (recent | (kind == CART)))
+        .where(F.col("client_id").isNotNull())
         .groupBy("client_id")
         .agg(F.max(F.when(kind == CART, ts)).alias("last_cart"), F.min(F.when(recent, ts)).alias("first_search"))
         .where(F.col("last_cart") >= F.col("first_search"))
