@@ -213,17 +213,21 @@ def compare_feature_sets(
     validation: DataFrame,
     sets: Mapping[str, Sequence[str]],
     rules: Mapping[str, str] | None = None,
+    bases: Mapping[str, str] | None = None,
     max_iter: int = MAX_ITER,
 ) -> DataFrame:
-    """Fit each named list of columns and judge it against the one before it."""
+    """Fit each named list of columns and judge it, by its rule, against its base:
+    an earlier set named in ``bases``, or else the one before it."""
     rows: list[dict[str, Any]] = []
     with held(train, validation) as (t, v):
         for name, columns in sets.items():
             metrics = fit_and_evaluate(t, v, columns, max_iter)[1]
-            base = rows[-1] if rows else metrics
+            named = (bases or {}).get(name)
+            base = next((r for r in reversed(rows) if named in (None, r["feature_set"])), metrics)
             rows.append(
                 {
                     "feature_set": name,
+                    "compared_with": base.get("feature_set"),
                     "decision": decide(metrics, base, (rules or {}).get(name, "gain")) if rows else "BASE",
                     "feature_count": len(columns),
                     **metrics,
@@ -231,7 +235,7 @@ def compare_feature_sets(
                 }
             )
     numbers = ("feature_count", *METRICS, *(f"{m}_change" for m in CORE))
-    return metric_table(train.sparkSession, rows, ("feature_set", "decision"), numbers)
+    return metric_table(train.sparkSession, rows, ("feature_set", "compared_with", "decision"), numbers)
 
 
 def join_scores(first: DataFrame, second: DataFrame, first_name: str, second_name: str) -> DataFrame:

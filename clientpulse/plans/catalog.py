@@ -652,33 +652,39 @@ def combined_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _velocity(spark: SparkSession, sf_dir: str, snap) -> DataFrame:
+def _engineered(spark: SparkSession, sf_dir: str, snap) -> DataFrame:
+    """The training table with every engineered feature; recency limits come from
+    the train snapshot for both snapshots."""
+
     def build() -> DataFrame:
         helper = feature_frame(spark, sf_dir, snap).select("client_id", "active_days_count_30d")
-        return features.velocity_features(training_frame(spark, sf_dir, snap).join(helper, "client_id"))
+        limits = features.recency_thresholds(training_frame(spark, sf_dir, fx.ORDERS_TRAIN))
+        table = features.velocity_features(training_frame(spark, sf_dir, snap).join(helper, "client_id"))
+        events = fx.order_events(spark, sf_dir, CART, SEARCH)
+        return features.add_transition_features(features.search_buckets(table, limits), events, snap.cutoff)
 
-    return stored(spark, sf_dir, f"velocity_{snap.name}", build)
+    return stored(spark, sf_dir, f"engineered_{snap.name}", build)
 
 
 @query
 def pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, validation = (_velocity(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
+    train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
     base = FEATURE_SETS["v2_2"].columns(feature_names())
     return experiments.prune(train, validation, base)
 
 
 @query
 def feature_set_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, validation = (_velocity(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
-    names = ("baseline", "v2_1", "v2_2", "e6", "v2_4")
-    sets = {name: FEATURE_SETS[name].columns(feature_names()) for name in names}
+    train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
+    sets = {name: fs.columns(feature_names()) for name, fs in FEATURE_SETS.items()}
     rules = {"v2_1": "not_worse", "v2_2": "not_worse", "e6": "review", "v2_4": "any_gain"}
-    return experiments.compare_feature_sets(train, validation, sets, rules)
+    bases = {name: "v2_2" for name in ("v2_3a", "v2_3b", "v2_3c", "e6", "v2_4")}
+    return experiments.compare_feature_sets(train, validation, sets, rules, bases)
 
 
 @query
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, validation = (_velocity(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
+    train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
     fitted = [model.fit(train, FEATURE_SETS[n].columns(feature_names())) for n in ("v2_2", "v2_4")]
     report = experiments.benchmark(*fitted, validation)
     overall = report["overall"].withColumns({"segment_type": F.lit("all"), "segment_name": F.lit("all")})
