@@ -26,5 +26,20 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
-QUERIES: dict[str, Query] = {"op4_exact_dedup": op4_exact_dedup}
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clientpulse.llm.mixing import mix_table
+
+    return mix_table(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clientpulse.llm.quality import quality_table
+
+    return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op4_exact_dedup, op7_source_mix, op9_quality_rules)
+}
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
