@@ -26,6 +26,23 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from clientpulse.llm.bpe import digest_table
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return digest_table(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from clientpulse.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clientpulse.llm.mixing import mix_table
 
@@ -40,6 +57,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op4_exact_dedup, op7_source_mix, op9_quality_rules)
+    for f in (op4_exact_dedup, op5_byte_bpe, op6_token_counts, op7_source_mix, op9_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
