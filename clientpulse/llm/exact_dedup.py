@@ -6,9 +6,8 @@ rows again: a row with any position hit once is the only one of its text and
 passes straight through; the others are possible copies, and only they are
 shuffled, by their SHA-256. False positives cost a shuffled row, never a result.
 
-The bitmap has ``BITS_PER_ROW`` bits a row and at most ``MOST_BITS`` (64-bit
-words: a million rows of two longs), so its broadcast is bounded. Beyond that it
-fills up and more rows take the second path; results stay the same.
+The bitmap is bounded (``bitmap.py``). A corpus beyond it fills it up and more rows
+take the second path; results stay the same.
 
 Defined cases: a null text counts as an empty one; all empty texts are copies of
 each other. Null ids are smaller than any id; a group of null ids only keeps a
@@ -21,45 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clientpulse.llm.bitmap import bitmap_bits, marked, repeated_bitmap, text_keys
 from clientpulse.llm.common import fresh, quoted, text_of
 
-BITS_PER_ROW = 32
-MOST_BITS = 1 << 26
-LEAST_BITS = 1 << 16
-PROBES = 2
-
-
-def bitmap_bits(n_rows: int) -> int:
-    """A power of two, so that positions are masks of a hash."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, n_rows * BITS_PER_ROW) - 1).bit_length()))
-
-
-def positions(text: Column, bits: int) -> list[Column]:
-    return [F.xxhash64(F.lit(j), text).bitwiseAND(F.lit(bits - 1)) for j in range(PROBES)]
-
-
-def repeated_positions(docs: DataFrame, text: Column, bits: int) -> DataFrame:
-    """(word, mask): the bitmap of positions that are hit more than once."""
-    hits = docs.select(F.explode(F.array(*positions(text, bits))).alias("position"))
-    twice = hits.groupBy("position").agg(F.count("*").alias("n")).where("n > 1")
-    return twice.groupBy(F.expr("shiftright(position, 6)").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(position & 63 AS int))")).alias("mask")
-    )
-
-
-def possible_copies(docs: DataFrame, text: Column, flag: str, n_rows: int | None = None) -> DataFrame:
+def possible_copies(docs: DataFrame, text: Column, flag: str) -> DataFrame:
     """``docs`` with ``flag``: false only where no other row has the same text."""
-    bits = bitmap_bits(docs.count() if n_rows is None else n_rows)
-    bitmap = repeated_positions(docs, text, bits)
-    out, hit = docs, F.lit(True)
-    for position in positions(text, bits):
-        word, mask = fresh([*out.columns], "word", "mask")
-        side = bitmap.select(F.col("word").alias(word), F.col("mask").alias(mask))
-        # bounded: at most MOST_BITS / 64 rows of two longs
-        out = out.join(F.broadcast(side), F.shiftright(position, 6) == quoted(word), "left")
-        bit = F.call_function("shiftright", quoted(mask), position.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-        hit = hit & quoted(mask).isNotNull() & (bit == 1)
-    return out.select(*(quoted(c) for c in docs.columns), F.coalesce(hit, F.lit(False)).alias(flag))
+    bits = bitmap_bits(docs.count())
+    keys = text_keys(text)
+    return marked(docs, keys, repeated_bitmap(docs, keys, bits), bits, flag)
 
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

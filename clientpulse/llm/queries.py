@@ -55,8 +55,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clientpulse.llm.minhash import near_table
+
+    return near_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op4_exact_dedup, op5_byte_bpe, op6_token_counts, op7_source_mix, op9_quality_rules)
+    for f in (op4_exact_dedup, op5_byte_bpe, op6_token_counts, op7_source_mix, op9_quality_rules, op10_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
