@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clientpulse.llm.suffix_dedup import repeat_table
+
+    return repeat_table(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clientpulse.llm.exact_dedup import copy_groups
 
@@ -49,6 +55,12 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clientpulse.llm.fm_index import later_table
+
+    return later_table(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clientpulse.llm.quality import quality_table
 
@@ -63,6 +75,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op4_exact_dedup, op5_byte_bpe, op6_token_counts, op7_source_mix, op9_quality_rules, op10_near_dedup)
+    for f in (op1_suffix_dedup, op4_exact_dedup, op5_byte_bpe, op6_token_counts, op7_source_mix, op8_substring_dedup, op9_quality_rules, op10_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
