@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientpulse.llm.common import fresh, quoted
+from clientpulse.llm.common import Scratch, fresh, quoted, text_of
 
 BITS_PER_KEY = 32
 MOST_BITS = 1 << 26
@@ -62,3 +62,25 @@ def marked(rows: DataFrame, keys: Sequence[Column], bitmap: DataFrame, bits: int
         bit = F.call_function("shiftright", quoted(mask), position.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
         hit = hit & quoted(mask).isNotNull() & (bit == 1)
     return out.select(*(quoted(c) for c in rows.columns), F.coalesce(hit, F.lit(False)).alias(flag))
+
+
+def meet_spans(
+    docs: DataFrame, spans: DataFrame, by_id: bool, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame, str]:
+    """The rows of ``docs`` without repeats, and the others with the ``spans`` of their
+    repeats in a column of the returned name. Only rows that the bitmap marks are
+    shuffled."""
+    spans = Scratch(docs.sparkSession, "spans").keep(spans)
+    bits = bitmap_bits(spans.count())
+    keys = text_keys(text_of(text_col))
+    flag, own_id, s0, s1, name = fresh(docs.columns, "maybe", "own_id", "s0", "s1", "spans")
+    flagged = marked(docs, keys, set_bitmap(spans, [F.col("k0"), F.col("k1")], bits), bits, flag)
+    columns = [quoted(c) for c in docs.columns]
+    clean = flagged.where(~quoted(flag)).select(*columns)
+    same = (keys[0] == F.col(s0)) & (keys[1] == F.col(s1))
+    side = spans.withColumnsRenamed({"k0": s0, "k1": s1, "spans": name})
+    if by_id:
+        side = side.withColumnRenamed("doc_id", own_id)
+        same = same & quoted(id_col).eqNullSafe(F.col(own_id))
+    dirty = flagged.where(quoted(flag)).join(side, same, "left").select(*columns, name)
+    return clean, dirty, name

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clientpulse.llm.anchors import Repeats, Units, meet_spans
+from clientpulse.llm.anchors import Repeats, Units
+from clientpulse.llm.bitmap import meet_spans
 from clientpulse.llm.common import quoted, text_of
 
 WIDTH = 20

@@ -19,6 +19,43 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_table(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clientpulse.llm.line_dedup import line_table
+
+    return line_table(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+wordy AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+windows AS (
+  SELECT a.doc_id, a.n, [a.pos, b.pos, c.pos] AS covers,
+         row_number() OVER (PARTITION BY a.line, b.line, c.line ORDER BY a.doc_id, a.n) AS turn
+  FROM wordy a JOIN wordy b ON b.doc_id = a.doc_id AND b.n = a.n + 1
+               JOIN wordy c ON c.doc_id = a.doc_id AND c.n = a.n + 2),
+gone AS (SELECT DISTINCT doc_id, unnest(covers) AS pos FROM windows WHERE turn > 1),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text
+  FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(w.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM wordy GROUP BY 1) w USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g USING (doc_id)
+LEFT JOIN kept k USING (doc_id)
+"""
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clientpulse.llm.html_text import page_table
+
+    return page_table(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clientpulse.llm.exact_dedup import copy_groups
 
@@ -75,6 +112,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op4_exact_dedup, op5_byte_bpe, op6_token_counts, op7_source_mix, op8_substring_dedup, op9_quality_rules, op10_near_dedup)
+    for f in (op1_suffix_dedup, op2_line_dedup, op3_html_text, op4_exact_dedup, op5_byte_bpe, op6_token_counts, op7_source_mix, op8_substring_dedup, op9_quality_rules, op10_near_dedup)
 }
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL}
