@@ -172,7 +172,8 @@ def drop_later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with the repeated words taken out; what is left is joined by spaces in
     the texts that lose words."""
     clean, dirty, name = with_spans(docs, id_col, text_col)
-    place, width = docs.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    place, width = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +181,6 @@ def drop_later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             texts = [b" ".join(left_words(t, s)[0]).decode() if s else t for t, s in pairs]
             arrays = list(batch.columns[:width])
             arrays[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return clean.unionByName(dirty.mapInArrow(run, T.StructType(docs.schema.fields)))

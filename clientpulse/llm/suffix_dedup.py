@@ -234,7 +234,8 @@ def repeat_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut out of the texts."""
     clean, dirty, name = with_spans(docs, id_col, text_col)
-    place, width = docs.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    place, width = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,6 +243,6 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [t if t is None else cut(t.encode(), s)[0].decode(errors="replace") for t, s in pairs]
             arrays = list(batch.columns[:width])
             arrays[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return clean.unionByName(dirty.mapInArrow(run, T.StructType(docs.schema.fields)))
