@@ -37,7 +37,7 @@ WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 8192
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 SEED = 7
 ROUNDS = 4
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,26 +85,30 @@ def targets(sources: DataFrame, most: int = MOST_TIMES) -> DataFrame:
 
 
 def source_plan(rows: DataFrame, scratch: Scratch, weights: Sequence[int], block_words: int) -> DataFrame:
-    """(source, src, words, target, blocks, slots), one row per source."""
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("words"))
+    """(source, src, words, n_rows, target, blocks, slots), one row per source."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n_rows"))
     numbered = ranked(sizes, "source", "src", scratch)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("src") % len(weights) + 1).cast("int"))
     table = targets(scratch.keep(numbered.withColumn("weight", weight)))
     blocks = F.ceil(F.col("words") / block_words).cast("long")
     slots = F.when(F.col("words") > 0, F.floor(F.col("target") * blocks / F.col("words") + 0.5)).otherwise(0).cast("long")
-    return scratch.keep(table.select("source", "src", "words", "target", blocks.alias("blocks"), slots.alias("slots")))
+    return scratch.keep(
+        table.select("source", "src", "words", "n_rows", "target", blocks.alias("blocks"), slots.alias("slots"))
+    )
 
 
 # --- blocks ----------------------------------------------------------------------
 
 
 def placed(rows: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each row's first word index within its source. A source is cut into buckets by
-    hash, so a hot one is many groups."""
-    n_buckets = max(1, -(-rows.count() // BUCKET_ROWS))
-    side = plan.select(F.col("source").alias("s"), "src", F.col("words").alias("source_size"), "target")
+    """Each row's first word index within its source. A source is cut by hash into
+    buckets of about ``BUCKET_ROWS``, so a hot one is many groups."""
+    n_buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS).cast("long")
+    side = plan.select(
+        F.col("source").alias("s"), "src", F.col("words").alias("source_size"), "target", n_buckets.alias("n_buckets")
+    )
     keyed = rows.join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "order"), F.lit(n_buckets)))
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "order"), F.col("n_buckets")))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy("src", "bucket")
@@ -238,7 +242,8 @@ def tagged_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
 def picked_pieces(rows: DataFrame, scratch: Scratch, weights, block_words) -> tuple[DataFrame, DataFrame]:
     plan = source_plan(rows, scratch, weights, block_words)
     starts = placed(rows, plan, scratch)
-    times = slots(plan).groupBy("src", "block").agg(F.count("*").alias("times"))
+    # mapInArrow hides how many slots a small plan becomes; without the hint they would be broadcast
+    times = slots(plan).groupBy("src", "block").agg(F.count("*").alias("times")).hint("merge")
     return starts, pieces(starts, block_words).join(times, ["src", "block"])
 
 
@@ -294,12 +299,12 @@ def mixed(
     whole = F.sum("words").over(Window.partitionBy("tag"))
     sized = picked.withColumn("got", whole).join(starts.select("tag", "size"), "tag")
     part = F.struct("first", "words", F.col("times").cast("int").alias("times"), (F.col("got") == F.col("size")).alias("whole"))
-    names = fresh([*docs.columns, tag], "parts", "tag_of_parts")
-    lists = sized.groupBy("tag").agg(F.collect_list(part).alias(names[0])).withColumnRenamed("tag", names[1])
-    joined = stored.join(lists, quoted(tag) == F.col(names[1])).drop(names[1], tag)
+    parts_name, other_tag = fresh([*docs.columns, tag], "parts", "tag_of_parts")
+    lists = sized.groupBy("tag").agg(F.collect_list(part).alias(parts_name)).withColumnRenamed("tag", other_tag)
+    joined = stored.join(lists, quoted(tag) == F.col(other_tag)).drop(other_tag, tag)
     schema = T.StructType(docs.schema.fields)
-    place = docs.columns.index(text_col)
-    width = len(docs.columns)
+    names = docs.columns
+    place, width = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,6 +318,6 @@ def mixed(
             rest = batch.select(range(width)).take(pa.array(index, pa.int64()))
             arrays = rest.columns
             arrays[place] = pa.array(cut, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return joined.mapInArrow(run, schema)
