@@ -2,16 +2,18 @@
 
 A document's set is its distinct shingles of ``SHINGLE`` words, A-Z lower-cased,
 hashed to 64 bits. Documents of equal sets are one class, and only one per class
-goes on. A class has ``BANDS * ROWS`` MinHash samples. ``BANDS`` hashes of ``ROWS``
-samples each put classes of similar sets into common buckets: two sets of similarity
-0.75 miss each other in all bands in 5 of a million cases. The samples folded into
-a parity bitmap give the odd sketch; the XOR of two sketches has a population count
-that follows the number of differing samples, and a pair is dropped where it stands
-for a similarity below ``THRESHOLD - MARGIN``, which a pair at the threshold does
-with a probability below 1e-8. What is left is confirmed on the full sets.
+goes on. ``BANDS`` hashes of ``ROWS`` MinHash values each put classes of similar sets
+into common buckets: two sets of similarity 0.75 miss each other in all bands in 5 of
+a million cases. One more permutation cut into ``BINS`` bins gives a sample per bin,
+nearly the whole set if it is small. These samples folded into a parity bitmap are
+the odd sketch. The population count of the XOR of two sketches tells how many samples
+differ; a pair is dropped where that is more than ``SIGMAS`` standard deviations above
+what a pair at the threshold shows (one such pair in millions). What is left is
+confirmed on the full sets.
 
 A bucket never becomes pairs of all its classes. First each class is paired with the
-smallest class of its buckets, and confirmed links are joined into components. Then
+most popular class of its buckets, the one that meets most others over all bands, as
+an original does its edited copies; confirmed links are joined into components. Then
 only buckets that still hold several components are looked at, and there only the
 classes outside a bucket's largest component are compared with the others. So every
 two classes of a bucket are in one component, or were refused.
@@ -25,7 +27,6 @@ along in ``drop_near_copies``. Empty tables give empty results."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,9 @@ SHINGLE = 5
 THRESHOLD = 75  # percent
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 1024
-MARGIN = 0.25
+BINS = 4096
+SKETCH_BITS = 4096
+SIGMAS = 5.0
 _rng = np.random.default_rng(10)
 FACTORS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 OFFSETS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -70,43 +72,44 @@ def band_hashes(mins: np.ndarray) -> np.ndarray:
     return mix(parts + np.arange(BANDS, dtype=np.uint64) * STEP)
 
 
-def odd_sketch(mins: np.ndarray) -> np.ndarray:
-    """Parities of the samples' positions, as 64-bit words."""
-    positions = mix(mins + np.arange(SAMPLES, dtype=np.uint64) * STEP) % np.uint64(SKETCH_BITS)
+def odd_sketch(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """Parities of the positions of the bins' samples, as 64-bit words; and the number of
+    samples. The set is sorted, so a bin's smallest value is its first."""
+    shift = np.uint64(64 - (BINS - 1).bit_length())
+    first = shingles[np.diff((shingles >> shift).astype(np.int64), prepend=-1) != 0]
+    positions = mix(first + STEP) % np.uint64(SKETCH_BITS)
     bits = (np.bincount(positions.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
-
-
-def most_odd_bits(similarity: float) -> int:
-    """Expected population count of the XOR of two sketches at a similarity."""
-    return int(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / SKETCH_BITS)))
+    return np.packbits(bits).view(np.int64), len(first)
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add set size, set digest, band hashes and odd sketch to the rows; the last column
     is the text, which goes."""
     for batch in batches:
-        sizes, digests, bands, odds = [], [], [], []
+        sizes, digests, bands, odds, counts = [], [], [], [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
             found = shingle_set(text)
             sizes.append(len(found))
             if len(found):
-                mins = samples(found)
+                odd, count = odd_sketch(found)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                bands.append(band_hashes(mins).view(np.int64))
-                odds.append(odd_sketch(mins))
+                bands.append(band_hashes(samples(found)).view(np.int64))
+                odds.append(odd)
+                counts.append(count)
             else:
                 digests.append(None)
                 bands.append(None)
                 odds.append(None)
+                counts.append(None)
         arrays = [
             *batch.columns[:-1],
             pa.array(sizes, pa.int64()),
             pa.array(digests, pa.binary()),
             pa.array(bands, pa.list_(pa.int64())),
             pa.array(odds, pa.list_(pa.int64())),
+            pa.array(counts, pa.int64()),
         ]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k0", "k1", "n_shingles", "sid", "bands", "odd"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k0", "k1", "n_shingles", "sid", "bands", "odd", "n_samples"])
 
 
 def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +128,30 @@ def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def alike(odd_a: Column, odd_b: Column) -> Column:
-    """May two sketches stand for similar sets?"""
-    differing = F.zip_with(odd_a, odd_b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    limit = most_odd_bits(THRESHOLD / 100 - MARGIN)
-    return F.aggregate(differing, F.lit(0), lambda total, n: total + n) <= limit
+#: What the sketch test reads of a class.
+SKETCH = ("odd", "n_samples", "n_shingles")
+
+
+def alike(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """May two sketches stand for sets at the threshold? Of the samples of a union of
+    ``union`` shingles, a pair at the threshold shares that part; what it may fall short
+    is the deviation of drawing samples, of bins hit twice, and of parities."""
+    part = THRESHOLD / 100
+    differing = F.zip_with(a["odd"], b["odd"], lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    z = F.aggregate(differing, F.lit(0), lambda total, n: total + n).cast("double")
+    decay = F.greatest(1 - 2 * z / SKETCH_BITS, F.lit(1e-3))
+    differ = -F.log(decay) * SKETCH_BITS / 2
+    shared = (a["n_samples"] + b["n_samples"] - differ) / 2
+    union = (a["n_shingles"] + b["n_shingles"]) / (1 + part)
+    drawn = BINS * (1 - F.exp(-union / BINS))
+    drawing = drawn * part * (1 - part) * (1 - drawn / union)
+    doubles = part**2 * F.least(union * union / (2 * BINS), drawn)
+    parities = (SKETCH_BITS * (1 - decay * decay) / 4 - differ * decay * decay) / (4 * decay * decay)
+    return shared >= part * drawn - SIGMAS * F.sqrt(drawing + doubles + F.greatest(parities, F.lit(0.0))) - 1
+
+
+def sketch_of(side: str) -> dict[str, Column]:
+    return {c: F.col(f"{c}_{side}") for c in SKETCH}
 
 
 class Classes:
@@ -140,13 +162,13 @@ class Classes:
         self.texts = docs.select(quoted(id_col).alias("doc_id"), text_of(text_col).alias("text"))
         k0, k1 = text_keys(F.col("text"))
         id_type = docs.schema[id_col].dataType.simpleString()
-        schema = f"doc_id {id_type}, k0 bigint, k1 bigint, n_shingles bigint, sid binary, bands array<bigint>, odd array<bigint>"
+        schema = f"doc_id {id_type}, k0 bigint, k1 bigint, n_shingles bigint, sid binary, bands array<bigint>, odd array<bigint>, n_samples bigint"
         keyed = self.texts.select("doc_id", k0.alias("k0"), k1.alias("k1"), "text")
         self.rows = self.scratch.keep(keyed.mapInArrow(sketch_batches, schema))
         one = (
             self.rows.where(F.col("sid").isNotNull())
             .groupBy("sid")
-            .agg(F.first(F.struct("k0", "k1", "bands", "odd")).alias("one"), F.min("doc_id").alias("least_doc"))
+            .agg(F.first(F.struct("k0", "k1", "bands", *SKETCH)).alias("one"), F.min("doc_id").alias("least_doc"))
         )
         # numbers that writing fixes
         self.reps = self.scratch.keep(
@@ -158,16 +180,25 @@ class Classes:
         return self.reps.select("rid", F.explode("bands").alias("key"))
 
     def shared_members(self) -> DataFrame:
-        """(key, rid, least) of buckets with more than one class."""
+        """(key, rid, n) of buckets with ``n`` > 1 classes."""
         members = self.members()
-        shared = members.groupBy("key").agg(F.min("rid").alias("least"), F.max("rid").alias("most"))
-        return members.join(shared.where("least < most").select("key", "least"), "key")
+        shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        return members.join(shared, "key")
+
+    def stars(self, shared: DataFrame) -> DataFrame:
+        """Each class with the most popular class of each of its buckets."""
+        met = shared.groupBy("rid").agg(F.sum("n").alias("met"))
+        centers = shared.join(met, "rid").groupBy("key").agg(F.max_by("rid", F.struct("met", "rid")).alias("center"))
+        pairs = shared.join(centers, "key").where("rid <> center")
+        return pairs.select(F.least("center", "rid").alias("a"), F.greatest("center", "rid").alias("b")).distinct()
+
+    def sketches(self, key: str, side: str) -> DataFrame:
+        return self.reps.select(F.col("rid").alias(key), *(F.col(c).alias(f"{c}_{side}") for c in SKETCH))
 
     def pairs_alike(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) pairs that pass the sketch test."""
-        odd_a = self.reps.select(F.col("rid").alias("a"), F.col("odd").alias("odd_a"))
-        odd_b = self.reps.select(F.col("rid").alias("b"), F.col("odd").alias("odd_b"))
-        return pairs.join(odd_b, "b").join(odd_a, "a").where(alike(F.col("odd_a"), F.col("odd_b"))).select("a", "b")
+        both = pairs.join(self.sketches("b", "b"), "b").join(self.sketches("a", "a"), "a")
+        return both.where(alike(sketch_of("a"), sketch_of("b"))).select("a", "b")
 
     def texts_of(self, pairs: DataFrame) -> DataFrame:
         """(rid, text) of the classes in ``pairs``. A bitmap of their text keys keeps the
@@ -203,16 +234,17 @@ class Classes:
             .where("parts > 1")
             .select("key", "main")
         )
-        odd = self.reps.select("rid", "odd")
-        open_members = self.scratch.keep(placed.join(mixed, "key").join(odd, "rid"))
+        open_members = self.scratch.keep(placed.join(mixed, "key").join(self.reps.select("rid", *SKETCH), "rid"))
         few = open_members.where("root <> main").select(
-            "key", F.col("rid").alias("x"), F.col("root").alias("root_x"), F.col("odd").alias("odd_x")
+            "key", F.col("rid").alias("x"), F.col("root").alias("root_x"), *(F.col(c).alias(f"{c}_x") for c in SKETCH)
+        )
+        every = open_members.select(
+            "key", "main", F.col("rid").alias("y"), "root", *(F.col(c).alias(f"{c}_y") for c in SKETCH)
         )
-        every = open_members.select("key", "main", F.col("rid").alias("y"), "root", "odd")
         met = few.join(every, "key").where(
             (F.col("root_x") != F.col("root"))
             & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("y")))
-            & alike(F.col("odd_x"), F.col("odd"))
+            & alike(sketch_of("x"), sketch_of("y"))
         )
         return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -220,8 +252,7 @@ class Classes:
         """(node, root) of the linked classes."""
         keep = self.scratch.keep
         shared = keep(self.shared_members())
-        stars = shared.where("rid <> least").select(F.col("least").alias("a"), F.col("rid").alias("b")).distinct()
-        first = keep(self.pairs_alike(stars))
+        first = keep(self.pairs_alike(self.stars(shared)))
         links = self.confirmed(first)
         roots = keep(connected(links, self.scratch))
         rest = keep(self.crossing(shared, roots).join(first, ["a", "b"], "left_anti"))

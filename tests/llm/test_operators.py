@@ -166,16 +166,27 @@ def test_chains_of_near_copies_are_one_component(spark):
     assert {r.doc_id for r in left.collect()} == {c for _, c in want.values()}
 
 
-def test_odd_sketches_follow_similarity():
-    texts = [fx.prose(1, 400)]
-    words = texts[0].split()
-    words[::40] = ["new"] * len(words[::40])
-    texts.append(" ".join(words))
-    a, b, c = (minhash.shingle_set(t) for t in (*texts, fx.prose(2, 400)))
-    odd = [minhash.odd_sketch(minhash.samples(s)) for s in (a, b, c)]
-    bits = [sum(int(x).bit_count() for x in (o ^ odd[0]).view("uint64")) for o in odd]
-    true = len(set(a) & set(b)) / len(set(a) | set(b))
-    assert bits[0] == 0 and abs(bits[1] - minhash.most_odd_bits(true)) < 40 and bits[2] > minhash.most_odd_bits(0.3)
+def test_odd_sketches_pass_links_and_stop_most_others(spark):
+    words = fx.prose(1, 300).split()
+    texts = []
+    for i in range(60):
+        edited = list(words)
+        edited[: i * 4 : 7] = [f"e{i}"] * len(edited[: i * 4 : 7])
+        texts.append(" ".join(edited))
+    sets = [minhash.shingle_set(t) for t in texts]
+    rows = []
+    for i, s in enumerate(sets):
+        odd, n = minhash.odd_sketch(s)
+        rows.append((i, odd.tolist(), n, len(s)))
+    side = spark.createDataFrame(rows, "i bigint, odd array<bigint>, n_samples bigint, n_shingles bigint")
+    a, b = (side.select(*(F.col(c).alias(f"{c}_{x}") for c in side.columns)) for x in "ab")
+    passed = a.join(b, F.col("i_a") < F.col("i_b")).where(minhash.alike(minhash.sketch_of("a"), minhash.sketch_of("b")))
+    passed = {(r.i_a, r.i_b) for r in passed.select("i_a", "i_b").collect()}
+    for i in range(60):
+        for j in range(i + 1, 60):
+            same = len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j]))
+            assert same < 0.75 or (i, j) in passed
+            assert same > 0.62 or (i, j) not in passed
 
 
 # --- mixing ---------------------------------------------------------------------------------
