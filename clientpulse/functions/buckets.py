@@ -87,6 +87,9 @@ def feature_bucket(name: str) -> Column:
     return bucketize(value, RATIO_RANGES if "ratio" in name else COUNT_RANGES)
 
 
+OUTSIDE_RANGE = "outside_range"
+
+
 def score_bucket_labels(bins: int = 10) -> list[str]:
     return [f"{i / bins:.1f}-{(i + 1) / bins:.1f}" for i in range(bins)]
 
@@ -94,7 +97,7 @@ def score_bucket_labels(bins: int = 10) -> list[str]:
 def score_bucket(score: Column, bins: int = 10) -> Column:
     """Tenths of [0, 1], the last one closed; compared with the literal bounds,
     because ``floor(score * bins)`` is off by one for some doubles."""
-    expr = F.when(score.isNull() | (score < 0.0) | (score > 1.0), F.lit("outside_range"))
+    expr = F.when(score.isNull() | (score < 0.0) | (score > 1.0), F.lit(OUTSIDE_RANGE))
     for i, label in enumerate(score_bucket_labels(bins)[:-1]):
         expr = expr.when(score < F.lit((i + 1) / bins), F.lit(label))
     return expr.otherwise(F.lit(score_bucket_labels(bins)[-1]))

@@ -1,87 +1,82 @@
 """Exact running totals, quantiles and top-k cutoffs without a global sort.
 
 A window over a whole table would put it in one task. Here the rows are first
-reduced to one per distinct value, which also folds any number of tied rows
-into one. Approximate percentiles then cut the values into ranges of similar
-size, each range is accumulated on its own, and the totals of the preceding
-ranges (at most ``RANGES`` rows per group) are added. The percentiles decide
-only how the work is spread; every result is exact."""
+reduced to one per distinct value, which also folds any number of tied rows into
+one. A sample of the keys, drawn by their hashes and so the same in every pass,
+cuts them into ranges, each range is accumulated on its own, and the totals of the
+preceding ranges are added. The sample decides only how the work is spread; every
+result is exact. Keys may be of any ordered type, groups may be null, and nothing
+runs before the result is asked for."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from clientpulse.config import TOPK_PERCENTS
 
-RANGES = 128
-# Up to this many rows, checked by counting, are accumulated in one window.
-FEW_ROWS = 1_000_000
+ROWS_PER_RANGE = 50_000
+# Over all groups together; more rows than this many ranges hold make longer ranges.
+MOST_RANGES = 1024
 _EVERYTHING = "__all"
 
 
+def range_edges(rows: DataFrame, key: str, groups: Sequence[str], rows_per_range: int) -> DataFrame:
+    """(groups, __edges): sorted keys that cut each group, about ``MOST_RANGES`` in all at
+    most, none for a small table."""
+    total = rows.agg(F.count("*").alias("n")).select(
+        F.when(
+            F.col("n") > rows_per_range, F.least(F.col("n") / rows_per_range, F.lit(float(MOST_RANGES))) / F.col("n")
+        ).otherwise(0.0)
+    )
+    drawn = F.pmod(F.xxhash64(F.lit("range"), key), F.lit(1 << 31)) / float(1 << 31)
+    sample = rows.where(F.col(key).isNotNull() & (drawn < total.scalar()))
+    return sample.groupBy(*groups).agg(F.sort_array(F.collect_set(key)).alias("__edges"))
+
+
 def running_totals(
-    df: DataFrame,
-    key: str,
-    sums: Sequence[str],
-    by: Sequence[str] = (),
-    few_groups: bool = False,
-    few_rows: bool = False,
-    ranges: int = RANGES,
+    df: DataFrame, key: str, sums: Sequence[str], by: Sequence[str] = (), rows_per_range: int | None = None
 ) -> DataFrame:
-    """For each row, add ``<sum>_before`` (over rows of the group with a smaller
-    numeric ``key``) and ``<sum>_total``. ``df`` holds one row per group and key.
-    Groups are segments or column names, not clients; set ``few_groups`` where
-    the program itself bounds their number, and the range edges are broadcast;
-    set ``few_rows`` only after counting at most ``FEW_ROWS`` rows."""
-    if few_rows:
-        before = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*by)
-        return df.select(
-            "*",
-            *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums),
-            *(F.sum(s).over(whole).alias(f"{s}_total") for s in sums),
-        )
-    probabilities = [i / ranges for i in range(1, ranges)]
-    edges_of = F.percentile_approx(key, probabilities, 100 * ranges).alias("__edges")
+    """For each row, add ``<sum>_before`` (over rows of the group with a smaller ``key``)
+    and ``<sum>_total``. ``df`` holds one row per group and key."""
     groups = list(by) or [_EVERYTHING]
-    if by:
-        edges = df.groupBy(*by).agg(edges_of)
-        rows = df.join(F.broadcast(edges) if few_groups else edges, list(by))
-    else:
-        rows = df.withColumn(_EVERYTHING, F.lit(0)).withColumn("__edges", df.agg(edges_of).scalar())
-    ranged = rows.withColumn("__range", F.size(F.filter("__edges", lambda edge: edge < F.col(key)))).drop("__edges")
+    rows = df if by else df.withColumn(_EVERYTHING, F.lit(0))
+    edges = range_edges(rows, key, groups, rows_per_range or ROWS_PER_RANGE)
+    names = {g: f"__{g}_of_edges" for g in groups}
+    side = edges.select(*(F.col(g).alias(n) for g, n in names.items()), "__edges")
+    on = F.lit(True)
+    for g, n in names.items():
+        on = on & F.col(g).eqNullSafe(F.col(n))
+    # bounded: about MOST_RANGES keys in all
+    met = rows.join(F.broadcast(side), on, "left")
+    place = F.coalesce(F.size(F.filter("__edges", lambda edge: edge < F.col(key))), F.lit(0))
+    ranged = met.select(*rows.columns, F.greatest(place, F.lit(0)).alias("__range"))
     before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
     offsets = (
         ranged.groupBy(*groups, "__range")
         .agg(*(F.sum(s).alias(f"__{s}") for s in sums))
         .select(
-            *groups,
-            "__range",
+            *(F.col(g).alias(f"__{g}_of_offsets") for g in groups),
+            F.col("__range").alias("__range_of_offsets"),
             *(F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__{s}_offset") for s in sums),
             *(F.sum(f"__{s}").over(whole).alias(f"{s}_total") for s in sums),
         )
     )
     inside = Window.partitionBy(*groups, "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ranged.select(
-            *groups,
-            "__range",
-            *(c for c in df.columns if c not in groups),
-            *(F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"__{s}_inside") for s in sums),
-        )
-        .join(offsets, [*groups, "__range"])
-        .select(
-            *df.columns,
-            *((F.col(f"__{s}_inside") + F.col(f"__{s}_offset")).alias(f"{s}_before") for s in sums),
-            *(f"{s}_total" for s in sums),
-        )
+    counted = ranged.select(
+        "*", *(F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"__{s}_inside") for s in sums)
+    )
+    on = F.col("__range") == F.col("__range_of_offsets")
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"__{g}_of_offsets"))
+    return counted.join(offsets, on).select(
+        *df.columns,
+        *((F.col(f"__{s}_inside") + F.col(f"__{s}_offset")).alias(f"{s}_before") for s in sums),
+        *(f"{s}_total" for s in sums),
     )
 
 
@@ -97,21 +92,10 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
 
-@contextmanager
-def held_totals(counts: DataFrame, key: str, sums: Sequence[str], by: Sequence[str] = ()) -> Iterator[DataFrame]:
-    """Running totals over counts that are kept for the block, so that the passes
-    over them do not repeat the scan below; few rows take the short way."""
-    kept = counts.persist()
-    try:
-        yield running_totals(kept, key, sums, by, list(by) == ["column_name"], kept.count() <= FEW_ROWS)
-    finally:
-        kept.unpersist()
-
-
 def quantiles_of_counts(
     counts: DataFrame, quantiles: Mapping[str, float], by: Sequence[str] = (), extra: Sequence[Column] = ()
 ) -> DataFrame:
-    """Interpolated quantiles of (``by``, value, n) rows: one local row per group.
+    """Interpolated quantiles of (``by``, value, n) rows: one row per group.
     ``extra`` aggregates over the same rows come along in the same pass."""
     n_before, n, total = F.col("n_before"), F.col("n"), F.col("n_total")
 
@@ -130,11 +114,11 @@ def quantiles_of_counts(
         (F.col(f"__{n}_low") + F.col(f"__{n}_part") * (F.col(f"__{n}_high") - F.col(f"__{n}_low"))).alias(n)
         for n in quantiles
     ]
-    with held_totals(counts, "value", ["n"], by) as ranked:
-        wide = ranked.groupBy(*by).agg(F.count("*").alias("distinct_count"), *aggregates, *extra)
-        more = [c for c in wide.columns if not c.startswith("__") and c not in (*by, "distinct_count")]
-        found = wide.select(*by, "distinct_count", *values, *more)
-        return counts.sparkSession.createDataFrame(found.collect(), found.schema)
+    wide = running_totals(counts, "value", ["n"], by).groupBy(*by).agg(
+        F.count("*").alias("distinct_count"), *aggregates, *extra
+    )
+    more = [c for c in wide.columns if not c.startswith("__") and c not in (*by, "distinct_count")]
+    return wide.select(*by, "distinct_count", *values, *more)
 
 
 def quantiles(
@@ -176,19 +160,17 @@ def score_counts(scored: DataFrame, score: str, by: Sequence[str] = ()) -> DataF
     )
 
 
-def smallest_key_cutoff(df: DataFrame, key: str, k: int) -> int | float | None:
-    """The largest of the ``k`` smallest values of a numeric key, duplicates counted."""
+def smallest_key_cutoff(df: DataFrame, key: str, k: int):
+    """The largest of the ``k`` smallest values of an ordered key, duplicates counted."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    with held_totals(counts, key, ["n"]) as ranked:
-        return ranked.where(F.col("n_before") < k).agg(F.max(key).alias("cutoff")).first().cutoff
+    ranked = running_totals(counts, key, ["n"])
+    return ranked.where(F.col("n_before") < k).agg(F.max(key).alias("cutoff")).first().cutoff
 
 
-@contextmanager
-def score_ranks(scored: DataFrame, score: str, by: Sequence[str] = ()) -> Iterator[DataFrame]:
+def score_ranks(scored: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Distinct scores of each group, best first, with the rows and positives
     before them. AUC and top-K metrics both read this table."""
-    with held_totals(score_counts(scored, score, by), "key", ["n", "pos"], by) as ranks:
-        yield ranks
+    return running_totals(score_counts(scored, score, by), "key", ["n", "pos"], by)
 
 
 def topk_cutoffs(
@@ -198,77 +180,83 @@ def topk_cutoffs(
     by: Sequence[str] = (),
     tie_break: str = "client_id",
     ranks: DataFrame | None = None,
+    population: Column | None = None,
 ) -> DataFrame:
     """Where the top K% of each group ends and what it holds: the order is score
-    descending, then ``tie_break`` ascending, and K = max(1, ceil(n * percent / 100)).
+    descending, then ``tie_break`` ascending, and K = max(1, ceil(n * percent / 100))
+    of the group's scored rows, or of ``population`` rows.
 
     The cutoff score comes from ``score_ranks``. Where only part of the rows with
-    that score fit, their ids are ranked the same way. The result is built from
-    driver-side rows, one per group and percent; rows of ``scored`` are never
+    that score fit, their ids are ranked the same way. Rows of ``scored`` are never
     sorted or collected."""
     if ranks is None:
-        with score_ranks(scored, score, by) as found:
-            return topk_cutoffs(scored, score, percents, by, tie_break, found)
-    spark, by = scored.sparkSession, list(by)
-    n_before, n = F.col("n_before"), F.col("n")
+        ranks = score_ranks(scored, score, by)
+    by, keys = list(by), [*by, "top_percent"]
+    n_before, n, total = F.col("n_before"), F.col("n"), F.col("n_total")
+    rows = total if population is None else population
     # ceil by whole numbers: n * percent / 100 is not exact in doubles
-    targets = F.array(
+    wanted = F.array(
         *(
             F.struct(
                 F.lit(p).alias("top_percent"),
-                F.greatest(F.lit(1), F.floor((F.col("n_total") * p + 99) / 100)).cast("long").alias("k"),
+                F.greatest(F.lit(1), F.floor((rows * p + 99) / 100)).cast("long").alias("k"),
             )
             for p in sorted(set(percents))
         )
     )
-    reached = F.filter(targets, lambda t: (n_before < t["k"]) & (t["k"] <= n_before + n))
-    ends = ranks.select("*", F.inline(reached)).select(
-        *by,
-        "top_percent",
-        "k",
-        F.col("score").alias("cutoff_score"),
-        (F.col("k") - n_before).alias("take"),
-        "n",
-        "n_before",
-        "pos",
-        "pos_before",
-        F.col("n_total").alias("row_count"),
-        F.col("pos_total").alias("positive_count"),
-    )
-    schema = ends.schema
-    rows = ends.collect()
-    tied_at = _cut_inside_ties(scored, score, by, tie_break, spark.createDataFrame(rows, schema), rows)
-    id_type = scored.schema[tie_break].dataType
-    out_schema = T.StructType(
-        [*schema.fields, T.StructField("cutoff_id", id_type)]
-        + [T.StructField(c, T.LongType()) for c in ("top_k_count", "positives_in_top")]
+    last = F.least(F.col("k"), total)
+    ends = (
+        ranks.select("*", F.inline(wanted))
+        .where((n_before < last) & (last <= n_before + n))
+        .select(
+            *keys,
+            "k",
+            F.col("score").alias("cutoff_score"),
+            (last - n_before).alias("take"),
+            "n",
+            "n_before",
+            "pos",
+            "pos_before",
+            total.alias("row_count"),
+            F.col("pos_total").alias("positive_count"),
+        )
     )
-    out = []
-    for row in rows:
-        cutoff_id, taken, hits = tied_at.get(tuple(row[c] for c in (*by, "top_percent")), (None, row.n, row.pos))
-        out.append((*row, cutoff_id, row.n_before + taken, row.pos_before + hits))
-    return spark.createDataFrame(out, out_schema).select(
-        *by, "top_percent", "k", "cutoff_score", "cutoff_id", "top_k_count", "positives_in_top", "row_count", "positive_count"
+    cut = _cut_inside_ties(scored, score, by, tie_break, ends)
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    inside = F.col("take") < F.col("n")
+    return ends.join(cut, on, "left").select(
+        *keys,
+        "k",
+        "cutoff_score",
+        F.when(inside, F.col("cutoff_id")).alias("cutoff_id"),
+        (n_before + F.when(inside, F.col("taken")).otherwise(n)).alias("top_k_count"),
+        (F.col("pos_before") + F.when(inside, F.col("hits")).otherwise(F.col("pos"))).alias("positives_in_top"),
+        "row_count",
+        "positive_count",
     )
 
 
-def _cut_inside_ties(scored, score, by, tie_break, ends, rows) -> dict[tuple, tuple]:
+def _cut_inside_ties(scored: DataFrame, score: str, by: Sequence[str], tie_break: str, ends: DataFrame) -> DataFrame:
     """For cutoffs that split rows of equal score: last id taken, rows and positives taken."""
-    if all(row["take"] == row["n"] for row in rows):
-        return {}
-    split = ends.where(F.col("take") < F.col("n"))
     keys = [*by, "top_percent"]
-    on = [scored[c] == split[c] for c in by] + [scored[score] == split["cutoff_score"]]
+    split = ends.where(F.col("take") < F.col("n")).select(
+        *(F.col(c).alias(f"__{c}") for c in keys), F.col("cutoff_score").alias("__cutoff"), "take"
+    )
+    on = F.col(score) == F.col("__cutoff")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    ids = scored.select(*by, score, F.col(tie_break).alias("__id"), F.col("label").cast("long").alias("__label"))
     tied = (
-        scored.join(F.broadcast(split), on)
-        .select(*(split[c] for c in keys), split["take"], scored[tie_break].alias("id"), scored["label"])
-        .groupBy(*keys, "take", "id")
-        .agg(F.count("*").alias("m"), F.sum(F.col("label").cast("long")).alias("hits"))
+        ids.join(split, on)
+        .groupBy(*(f"__{c}" for c in keys), "take", "__id")
+        .agg(F.count("*").alias("m"), F.sum("__label").alias("h"))
+    )
+    taken = running_totals(tied, "__id", ["m"], [f"__{c}" for c in keys]).where(F.col("m_before") < F.col("take"))
+    return taken.groupBy(*(f"__{c}" for c in keys)).agg(
+        F.max("__id").alias("cutoff_id"), F.sum("m").alias("taken"), F.sum("h").alias("hits")
     )
-    few = sum(row["n"] for row in rows if row["take"] < row["n"]) <= FEW_ROWS
-    taken = running_totals(tied, "id", ["m"], keys, few_rows=few).where(F.col("m_before") < F.col("take"))
-    totals = taken.groupBy(*keys).agg(F.max("id").alias("id"), F.sum("m").alias("m"), F.sum("hits").alias("hits"))
-    return {tuple(r[c] for c in keys): (r["id"], r["m"], r["hits"]) for r in totals.collect()}
 
 
 def in_top(score: Column, tie_break: Column, cutoff_score: Column, cutoff_id: Column) -> Column:

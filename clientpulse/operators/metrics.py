@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from clientpulse.config import BUY, TOPK_PERCENTS
 from clientpulse.functions import feature_bucket, safe_ratio, score_bucket, score_bucket_labels
+from clientpulse.functions.buckets import OUTSIDE_RANGE
 from clientpulse.functions.buckets import SEARCH_SEGMENTS, bucketize
 from clientpulse.functions.predicates import ratio_or_zero
 from clientpulse.operators.checks import modeling_summary
@@ -159,35 +160,43 @@ def topk_overlap(
     percents: Iterable[int] = TOPK_PERCENTS,
     tie_break: str = "client_id",
 ) -> DataFrame:
-    """How many clients are in the top K% of both scores."""
+    """How many clients are in the top K% of both scores. K is a share of all rows; a
+    score that fewer rows have fills less than K, and each side reports its own rest."""
     flags = {}
     sizes = {}
+    everyone = joined.agg(F.count("*")).scalar()
     id_type = joined.schema[tie_break].dataType
     for score in (first, second):
-        for end in topk_cutoffs(joined, score, percents, (), tie_break).collect():
+        for end in topk_cutoffs(joined, score, percents, (), tie_break, population=everyone).collect():
             cutoff_id = F.lit(end.cutoff_id).cast(id_type)
             flags[score, end.top_percent] = in_top(F.col(score), F.col(tie_break), F.lit(end.cutoff_score), cutoff_id)
-            sizes[end.top_percent] = end.k
+            sizes.setdefault(end.top_percent, end.k)
+
+    def inside(score: str, percent: int) -> Column:
+        # a score that no row has puts nobody at the top
+        return flags.get((score, percent), F.lit(False))
+
     counts = joined.agg(
         F.array(
             *(
                 F.struct(
                     F.lit(p).alias("top_percent"),
                     F.lit(k).cast("long").alias("top_k_count"),
-                    F.count_if(flags[first, p] & flags[second, p]).alias("overlap_count"),
+                    F.count_if(inside(first, p) & inside(second, p)).alias("overlap_count"),
+                    F.count_if(inside(first, p)).alias("first_count"),
+                    F.count_if(inside(second, p)).alias("second_count"),
                 )
                 for p, k in sizes.items()
             )
         ).alias("rows")
     ).select(F.inline("rows"))
-    rest = F.col("top_k_count") - F.col("overlap_count")
     return counts.select(
         "top_percent",
         "top_k_count",
         "overlap_count",
         (F.col("overlap_count") / F.col("top_k_count")).alias("overlap_rate"),
-        rest.alias("first_only_count"),
-        rest.alias("second_only_count"),
+        (F.col("first_count") - F.col("overlap_count")).alias("first_only_count"),
+        (F.col("second_count") - F.col("overlap_count")).alias("second_only_count"),
     )
 
 
@@ -223,13 +232,12 @@ def policy_table(points: DataFrame, topk: DataFrame) -> DataFrame:
 def auc_exact(
     scored: DataFrame, score: str = SCORE, by: Sequence[str] = (), ranks: DataFrame | None = None
 ) -> DataFrame:
-    """Exact ROC-AUC and PR-AUC per group, as local rows; null when a class is missing.
+    """Exact ROC-AUC and PR-AUC per group; null when a class is missing.
 
     Each distinct score is one step of both curves, and the area under a step
     needs only the totals before it, which come from running totals."""
     if ranks is None:
-        with score_ranks(scored, score, by) as found:
-            return auc_exact(scored, score, by, found)
+        ranks = score_ranks(scored, score, by)
     pos, tp0, tps = F.col("pos").cast("double"), F.col("pos_before").cast("double"), F.col("pos_total").cast("double")
     neg = (F.col("n") - F.col("pos")).cast("double")
     seen0 = F.col("n_before").cast("double")
@@ -241,13 +249,12 @@ def auc_exact(
     pr_step = pos * (precision + previous) / 2.0
     positives, negatives = F.max(tps), F.max(negs)
     both = (positives > 0) & (negatives > 0)
-    areas = ranks.groupBy(*by).agg(
+    return ranks.groupBy(*by).agg(
         F.sum("n").alias("row_count"),
         F.sum("pos").alias("positive_count"),
         F.when(both, F.sum(roc_step) / (positives * negatives)).alias("roc_auc"),
         F.when(both, F.sum(pr_step) / positives).alias("pr_auc"),
     )
-    return scored.sparkSession.createDataFrame(areas.collect(), areas.schema)
 
 
 def auc_binned(scored: DataFrame, score: str = SCORE) -> dict[str, float | None]:
@@ -264,8 +271,12 @@ def auc_binned(scored: DataFrame, score: str = SCORE) -> dict[str, float | None]
 
 
 def calibration(scored: DataFrame, bins: int = 10, score: str = SCORE) -> DataFrame:
-    """Mean score against positive rate in equal-width score bins, empty ones too."""
-    index = F.least(F.floor(F.col(score) * bins).cast("int"), F.lit(bins - 1))
+    """Mean score against positive rate in equal-width score bins, empty ones too.
+    Scores outside [0, 1] are counted in a row ``outside_range``, if there are any."""
+    value = F.col(score)
+    index = F.when((value < 0) | (value > 1) | F.isnan(value), bins).otherwise(
+        F.least(F.floor(value * bins).cast("int"), F.lit(bins - 1))
+    )
     filled = (
         scored.where(F.col(score).isNotNull())
         .groupBy(index.alias("bucket"))
@@ -275,12 +286,13 @@ def calibration(scored: DataFrame, bins: int = 10, score: str = SCORE) -> DataFr
             F.avg(F.col("label").cast("double")).alias("actual"),
         )
     )
-    labels = F.array(*(F.lit(label) for label in score_bucket_labels(bins)))
+    labels = F.array(*(F.lit(label) for label in (*score_bucket_labels(bins), OUTSIDE_RANGE)))
     zero = F.lit(0.0)
     return (
-        scored.sparkSession.range(0, bins, 1, 1)
+        scored.sparkSession.range(0, bins + 1, 1, 1)
         .select(F.col("id").cast("int").alias("bucket"))
         .join(filled, "bucket", "left")
+        .where((F.col("bucket") < bins) | (F.col("n") > 0))
         .select(
             labels[F.col("bucket")].alias("score_bucket"),
             F.coalesce("n", F.lit(0)).alias("sample_count"),
@@ -292,11 +304,12 @@ def calibration(scored: DataFrame, bins: int = 10, score: str = SCORE) -> DataFr
 
 
 def calibration_summary(curve: DataFrame) -> DataFrame:
-    """Calibration error, gaps, monotonicity and verdict of a calibration curve."""
+    """Calibration error, gaps, monotonicity and verdict of a calibration curve; scores
+    that are no probabilities are left out."""
     n, gap = F.col("sample_count"), F.col("absolute_gap")
     # The curve has one row per bin, so the window is over a handful of rows.
     previous = F.lag("actual_positive_rate").over(Window.orderBy("score_bucket"))
-    used = curve.where(n > 0).withColumn("falls", previous > F.col("actual_positive_rate"))
+    used = curve.where((n > 0) & (F.col("score_bucket") != OUTSIDE_RANGE)).withColumn("falls", previous > F.col("actual_positive_rate"))
     over = F.col("predicted_probability_avg") - F.col("actual_positive_rate") > OVERCONFIDENCE_LIMIT
     totals = used.agg(
         F.count("*").alias("non_empty_bucket_count"),
@@ -360,10 +373,9 @@ def score_delta(joined: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def ranking_metrics(scored: DataFrame, score: str = SCORE, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Exact AUCs and top-K metrics of each group from one ranking of the scores.
-    Both results are local: one row per group, and one per group and percent."""
-    with score_ranks(scored, score, by) as ranks:
-        return auc_exact(scored, score, by, ranks), topk_metrics(scored, score, by=by, ranks=ranks)
+    """Exact AUCs and top-K metrics of each group from one ranking of the scores."""
+    ranks = score_ranks(scored, score, by)
+    return auc_exact(scored, score, by, ranks), topk_metrics(scored, score, by=by, ranks=ranks)
 
 
 SEGMENTS = ("activity_segment", "lifecycle_segment")

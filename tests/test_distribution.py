@@ -29,14 +29,17 @@ def top(rows, percent):
     return sorted(rows, key=lambda r: (-r[2], r[0]))[:k]
 
 
-@pytest.mark.parametrize("few", [True, False])
-@pytest.mark.parametrize("ranges", [4, 128])
+@pytest.mark.parametrize("as_text", [True, False])
+@pytest.mark.parametrize("rows_per_range", [1, 7, 50_000])
 @pytest.mark.parametrize("groups", [[], ["g"]])
-def test_running_totals(spark, few, ranges, groups):
-    values = {(g, k): (k * 7) % 5 + 1 for g in ("x", "y") for k in range(-50, 50) if g == "x" or k % 3 == 0}
+def test_running_totals(spark, as_text, rows_per_range, groups):
+    values = {(g, k): (k * 7) % 5 + 1 for g in ("x", None) for k in range(-50, 50) if g == "x" or k % 3 == 0}
     rows = [(g, k, v) for (g, k), v in values.items() if groups or g == "x"]
     df = spark.createDataFrame(rows, "g string, k long, v long")
-    found = d.running_totals(df, "k", ["v"], groups, few_rows=few, ranges=ranges).collect()
+    if as_text:
+        rows = [(g, f"{k:+04d}", v) for g, k, v in rows]
+        df = spark.createDataFrame(rows, "g string, k string, v long")
+    found = d.running_totals(df, "k", ["v"], groups, rows_per_range).collect()
     assert len(found) == len(rows)
     for r in found:
         assert r.v_before == sum(v for g, k, v in rows if g == r.g and k < r.k)
@@ -57,9 +60,9 @@ def test_quantiles(spark, values):
     assert near.m in values
 
 
-@pytest.mark.parametrize("few", [10**6, 0])
-def test_topk_with_a_hot_score(scored, monkeypatch, few):
-    monkeypatch.setattr(d, "FEW_ROWS", few)
+@pytest.mark.parametrize("rows_per_range", [50_000, 5])
+def test_topk_with_a_hot_score(scored, monkeypatch, rows_per_range):
+    monkeypatch.setattr(d, "ROWS_PER_RANGE", rows_per_range)
     rows = list(zip(IDS, LABELS, SCORES))
     found = by(metrics.topk_metrics(scored, percents=(1, 5, 10, 60)), "top_percent")
     for percent in (1, 5, 10, 60):
@@ -91,6 +94,33 @@ def test_overlap(scored):
     assert found[60]["first_only_count"] == len(first - second)
 
 
+def test_overlap_takes_k_from_all_rows(scored):
+    part = F.when(F.col("client_id") < 20, 1 - F.col("prediction_score"))
+    found = by(metrics.topk_overlap(scored.withColumn("other", part), "prediction_score", "other", [1, 60]), "top_percent")
+    assert [found[p]["top_k_count"] for p in (1, 60)] == [9, 540]
+    first = {r[0] for r in top(list(zip(IDS, LABELS, SCORES)), 60)}
+    both = len(first & set(range(20)))
+    assert (found[60]["overlap_count"], found[60]["first_only_count"], found[60]["second_only_count"]) == (both, 540 - both, 20 - both)
+    none = metrics.topk_overlap(scored.withColumn("other", F.lit(None).cast("double")), "prediction_score", "other", [5])
+    assert none.first().second_only_count == 0 and none.first().first_only_count == 45
+
+
+@pytest.mark.parametrize("rows_per_range", [50_000, 2])
+def test_null_segments_and_text_ids(scored, monkeypatch, rows_per_range):
+    monkeypatch.setattr(d, "ROWS_PER_RANGE", rows_per_range)
+    segment = F.when(F.col("segment") == "a", "a")
+    df = scored.select(F.format_string("id%05d", "client_id").alias("client_id"), "label", "prediction_score", segment.alias("segment"))
+    found = by(metrics.topk_metrics(df, by=["segment"]), "segment", "top_percent")
+    for s in ("a", None):
+        rows = [(f"id{i:05d}", y, x) for i, y, x, g in zip(IDS, LABELS, SCORES, SEGMENTS) if (g == "a") == (s == "a")]
+        for percent in (1, 5, 10):
+            expected = top(rows, percent)
+            assert found[s, percent]["top_k_count"] == len(expected)
+            assert found[s, percent]["positive_count"] == sum(r[1] for r in expected)
+    text = scored.select(F.format_string("id%05d", "client_id").alias("k"))
+    assert d.smallest_key_cutoff(text, "k", 10) == "id00009"
+
+
 def test_auc(scored):
     s, y = np.array(SCORES), np.array(LABELS)
     pos, neg = s[y == 1], s[y == 0]
@@ -142,7 +172,10 @@ def test_calibration(spark):
     curve = by(metrics.calibration(df), "score_bucket")
     assert len(curve) == 10 and curve["0.5-0.6"]["sample_count"] == 0 and curve["0.5-0.6"]["absolute_gap"] == 0
     assert curve["0.9-1.0"]["sample_count"] == 11
-    row = metrics.calibration_summary(metrics.calibration(df)).first()
+    odd = df.unionByName(spark.createDataFrame([(13, 1, -0.5), (14, 1, 1.5)], df.schema))
+    more = by(metrics.calibration(odd), "score_bucket")
+    assert more.pop("outside_range")["sample_count"] == 2 and more == curve
+    row = metrics.calibration_summary(metrics.calibration(odd)).first()
     assert row.calibration_quality == "FAIL" and row.high_score_overconfident and row.monotonic_actual_positive_rate
 
 
