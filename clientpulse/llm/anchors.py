@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientpulse.llm.bitmap import bitmap_bits, marked, repeated_bitmap, set_bitmap, text_keys
-from clientpulse.llm.common import Scratch, quoted, text_of
+from clientpulse.llm.common import Scratch, quoted, slices, text_of
 from clientpulse.llm.hashing import BYTE_VALUES, STEP, mix, prefix_sums, run_hashes, word_bounds
 
 MOST_SEGMENTS = 4096
@@ -98,7 +98,7 @@ def run_batches(units: Units):
     """Runs of (doc_id, k0, k1, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts, index = [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 found = units.runs(prefix_sums(units.read(text.encode())[2]))
@@ -120,7 +120,7 @@ def fetch_batches(units: Units):
     """Contents of (text, wanted) rows: the segments as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw = text.as_py().encode()
                 starts, ends, _ = units.read(raw)
@@ -138,7 +138,7 @@ def window_batches(units: Units):
     """(anchor, segment, window, h0, h1) of each window of (anchor, segment, content) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for anchor, segment, content in zip(*(c.to_pylist() for c in batch.columns)):
                 values = units.read(content)[2]
                 at = np.arange(len(values) - units.width + 1)
@@ -181,7 +181,7 @@ def shard_batches(index: Index):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 if size >= SHARD_BYTES and row["anchor"] != held[-1]["anchor"]:
                     yield flush(held)

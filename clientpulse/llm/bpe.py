@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientpulse.llm.common import quoted, text_of
+from clientpulse.llm.common import quoted, slices, text_of
 
 MOST_STATES = 200_000
 MOST_PIECES = 500_000
@@ -230,7 +230,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             code = encoder(name, pattern)
             ids = [code.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -245,7 +245,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     id_type = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             table = encoder(name, GPT_PATTERN).transducer.bytes_of
             texts = ["".join(decode_stream([ids or []], table)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -262,7 +262,7 @@ def digest_table(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             code = encoder(name, pattern)
             table = code.transducer.bytes_of
             counts, ids_digests, text_digests = [], [], []

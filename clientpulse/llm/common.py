@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,14 @@ def text_of(name: str) -> Column:
     return F.coalesce(quoted(name).cast("string"), F.lit(""))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows: what a task holds besides a batch stays small
+    however long its texts are."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 class Scratch:
     """Tables in the cluster's shared folder that cut lineage between passes. A
     lost executor costs a file read. ``drop`` removes a table that no result reads."""

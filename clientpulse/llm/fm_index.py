@@ -31,10 +31,10 @@ from pyspark.sql import types as T
 
 from clientpulse.llm.anchors import Repeats, Units
 from clientpulse.llm.bitmap import meet_spans
-from clientpulse.llm.common import quoted, text_of
+from clientpulse.llm.common import quoted, slices, text_of
 
 WIDTH = 20
-GRAM = 5
+GRAM = 7
 UNITS = Units(True, WIDTH, GRAM)
 
 
@@ -110,7 +110,9 @@ def later_windows(
     hashes = [UNITS.read(c)[2] for c in contents]
     lengths = np.array([len(h) for h in hashes])
     offsets = np.cumsum(lengths + 1) - lengths - 1
-    numbers = np.unique(np.concatenate(hashes), return_inverse=True)[1] + 1
+    # a word that the shard has once is in no repeat: it separates, and the alphabet is smaller
+    _, numbers, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    numbers = np.where(often > 1, np.cumsum(often > 1), 0)[numbers]
     text = np.zeros(int(lengths.sum()) + len(lengths), dtype=np.int64)
     inside = np.ones(len(text), dtype=bool)
     inside[offsets + lengths] = False
@@ -118,6 +120,8 @@ def later_windows(
     counts = np.array(counts)
     owner = np.repeat(np.arange(len(counts)), counts)
     starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[owner]
+    separators = np.concatenate([[0], np.cumsum(text == 0)])
+    starts = starts[separators[starts] == separators[starts + WIDTH]]
     again, rows = matched(text, starts)
     order = np.lexsort((again, rows))
     again, rows = again[order], rows[order]
@@ -139,7 +143,7 @@ def left_words(text: str, spans: list[list[int]]) -> tuple[list[bytes], int]:
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         total, removed, sha = [], [], []
         for text, spans in zip(*(c.to_pylist() for c in batch.columns[1:])):
             words, n = left_words(text, spans)
@@ -176,7 +180,7 @@ def drop_later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place, width = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pairs = zip(batch.column(place).to_pylist(), batch.column(width).to_pylist())
             texts = [b" ".join(left_words(t, s)[0]).decode() if s else t for t, s in pairs]
             arrays = list(batch.columns[:width])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientpulse.llm.common import quoted, text_of
+from clientpulse.llm.common import quoted, slices, text_of
 
 MOST_DEPTH = 200
 TOKEN = re.compile(
@@ -301,7 +301,7 @@ def render(page: str) -> str:
 
 
 def render_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [render(p) for p in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientpulse.llm.bitmap import bitmap_bits, marked, set_bitmap, text_keys
-from clientpulse.llm.common import Scratch, fresh, quoted, text_of
+from clientpulse.llm.common import Scratch, fresh, quoted, slices, text_of
 from clientpulse.llm.components import connected
 from clientpulse.llm.hashing import STEP, gram_hashes, mix, word_hashes
 
@@ -85,7 +85,7 @@ def odd_sketch(shingles: np.ndarray) -> tuple[np.ndarray, int]:
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add set size, set digest, band hashes and odd sketch to the rows; the last column
     is the text, which goes."""
-    for batch in batches:
+    for batch in slices(batches):
         sizes, digests, bands, odds, counts = [], [], [], [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
             found = shingle_set(text)
@@ -114,7 +114,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the (a, b, text_a, text_b) rows whose full sets are similar."""
-    for batch in batches:
+    for batch in slices(batches):
         a, b, text_a, text_b = batch.columns
         keep = np.zeros(batch.num_rows, dtype=bool)
         last, set_a = None, np.zeros(0, dtype=np.uint64)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clientpulse.llm.common import SPACE_RUN, Scratch, fresh, quoted, text_of
+from clientpulse.llm.common import Scratch, SPACE_RUN, fresh, quoted, slices, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -169,7 +169,7 @@ def draw_shards(seed: int, n_shards: int):
     """Per source, how many of its slots each shard gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 rng = np.random.default_rng((seed, row["src"]))
                 counts = rng.multinomial(row["slots"], np.full(n_shards, 1 / n_shards))
@@ -194,7 +194,7 @@ def map_slots(seed: int):
     """The block of each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 slot = np.arange(row["first"], row["first"] + row["n"], dtype=np.int64)
                 turn, index = slot // row["blocks"], slot % row["blocks"]
@@ -307,7 +307,7 @@ def mixed(
     place, width = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(place).to_pylist()
             parts = batch.column(width).to_pylist()
             index, cut = [], []

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from clientpulse.llm.anchors import Repeats, Units
 from clientpulse.llm.bitmap import meet_spans
-from clientpulse.llm.common import quoted, text_of
+from clientpulse.llm.common import quoted, slices, text_of
 
 WIDTH = 400
 GRAM = 128
@@ -196,7 +196,7 @@ def cut(raw: bytes, spans: list[list[int]]) -> tuple[bytes, int, int]:
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text, spans in zip(*(c.to_pylist() for c in batch.columns[1:])):
             raw = text.encode()
@@ -238,7 +238,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place, width = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pairs = zip(batch.column(place).to_pylist(), batch.column(width).to_pylist())
             texts = [t if t is None else cut(t.encode(), s)[0].decode(errors="replace") for t, s in pairs]
             arrays = list(batch.columns[:width])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientpulse.llm.bpe import GPT_PATTERN, MOST_PIECES, ship, splitter
-from clientpulse.llm.common import Scratch, quoted, text_of
+from clientpulse.llm.common import Scratch, quoted, slices, text_of
 
 LIMIT = 512
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens bigint"
@@ -77,7 +77,7 @@ def piece_counter(name: str) -> PieceCounter:
 
 def count_batches(name: str, tokenizer_digest: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts = [piece_counter(name).count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([tokenizer_digest] * len(counts), pa.string()), pa.array(counts, pa.int64())],
