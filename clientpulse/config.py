@@ -25,7 +25,6 @@ MAX_ITER = 20
 SEED = 42
 TRANSITION_DAYS = 7
 RECENT_SEARCH_DAYS = 30
-SAFE_COUNT_BYTES = 250 * 1024 * 1024
 
 ELIGIBLE = "is_eligible_purchase_propensity"
 

@@ -8,7 +8,7 @@ from clientpulse.functions.buckets import (
     score_bucket,
     score_bucket_labels,
 )
-from clientpulse.functions.predicates import in_history, in_target, safe_ratio, valid_event, with_event_time
+from clientpulse.functions.predicates import in_history, in_target, safe_ratio, with_event_time
 from clientpulse.functions.schema import (
     feature_columns,
     forbidden_columns,
@@ -34,6 +34,5 @@ __all__ = [
     "safe_ratio",
     "score_bucket",
     "score_bucket_labels",
-    "valid_event",
     "with_event_time",
 ]

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientpulse.config import EventSpec
-
 
 def day(value: str) -> Column:
     return F.lit(value).cast("date")
@@ -26,10 +21,6 @@ def with_event_time(df: DataFrame, column: str = "timestamp") -> DataFrame:
     )
 
 
-def valid_event(spec: EventSpec) -> Column:
-    return reduce(and_, (F.col(c).isNotNull() for c in ("client_id", "event_ts", *spec.entities)))
-
-
 def in_history(cutoff: str, days: int | None = None, grain: str = "date") -> Column:
     """Before the cutoff; with ``days``, only the ``days`` days that end there."""
     if grain == "date":

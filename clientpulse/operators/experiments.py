@@ -11,7 +11,7 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientpulse.config import BUY, MAX_ITER, PRUNING_VARIANTS, TOPK_PERCENTS, VELOCITY_GROUPS
@@ -127,24 +127,36 @@ def ablate_families(
     return ablate(train, validation, columns, removals, max_iter)
 
 
-def minimal_variant(rows: Sequence[dict[str, Any]], reference: str) -> str:
-    """Mark each variant's decision and return the best one: highest lift at 5%,
-    then PR-AUC, then the fewest added features, among the variants that lose
-    next to nothing against the reference."""
-    full = next(r for r in rows if r["variant"] == reference)
-    best_lift = max(r["lift_at_5pct"] for r in rows)
-    for r in rows:
-        close = (
-            relative_change(full["pr_auc"], r["pr_auc"]) <= PRUNING_TOLERANCE
-            and relative_change(r["lift_at_5pct"], best_lift) >= -PRUNING_TOLERANCE
-        )
-        if r is full:
-            r["decision"] = "REFERENCE"
-        else:
-            keep = close or r["lift_at_5pct"] >= full["lift_at_5pct"]
-            r["decision"] = "KEEP_AS_CANDIDATE" if keep else "DROP_FROM_MINIMAL_SET"
-    candidates = [r for r in rows if r["decision"] != "DROP_FROM_MINIMAL_SET"]
-    return min(candidates, key=lambda r: (-r["lift_at_5pct"], -r["pr_auc"], r["added_feature_count"]))["variant"]
+def minimal_variants(table: DataFrame, reference: str) -> DataFrame:
+    """``decision`` and ``recommended`` of each variant in a metric table.
+
+    A variant is a candidate if it loses next to nothing against the reference in PR-AUC
+    and against the best lift at 5%, or if its lift reaches the reference's. The
+    candidates are ranked by lift, then PR-AUC, then fewest added features."""
+    every = Window.partitionBy()  # one row per variant
+    lift, pr_auc = F.col("lift_at_5pct"), F.col("pr_auc")
+    of_reference = F.col("variant") == reference
+
+    def change(value: Column, base: Column) -> Column:
+        return F.when(value.isNull() | base.isNull() | (base == 0), 0.0).otherwise((value - base) / base)
+
+    known = table.select(
+        "*",
+        F.max(F.when(of_reference, pr_auc)).over(every).alias("__pr_auc"),
+        F.max(F.when(of_reference, lift)).over(every).alias("__lift"),
+        F.max(lift).over(every).alias("__best"),
+    )
+    close = (change(F.col("__pr_auc"), pr_auc) <= PRUNING_TOLERANCE) & (change(lift, F.col("__best")) >= -PRUNING_TOLERANCE)
+    decision = F.when(of_reference, "REFERENCE").otherwise(
+        F.when(close | (lift >= F.col("__lift")), "KEEP_AS_CANDIDATE").otherwise("DROP_FROM_MINIMAL_SET")
+    )
+    dropped = F.col("decision") == "DROP_FROM_MINIMAL_SET"
+    best_first = Window.orderBy(dropped, lift.desc(), pr_auc.desc(), "added_feature_count", "variant")
+    return (
+        known.withColumn("decision", decision)
+        .withColumn("recommended", F.when(F.row_number().over(best_first) == 1, "yes").otherwise("no"))
+        .select(*table.columns, "decision", "recommended")
+    )
 
 
 def prune(
@@ -171,14 +183,13 @@ def prune(
                     **metrics,
                 }
             )
-    chosen = minimal_variant(rows, next(iter(variants)))
     for r in rows:
-        r["recommended"] = "yes" if r["variant"] == chosen else "no"
         r["pr_auc_vs_full"] = relative_change(r["pr_auc"], rows[0]["pr_auc"])
         r["lift5_vs_full"] = relative_change(r["lift_at_5pct"], rows[0]["lift_at_5pct"])
-    texts = ("variant", "included_features", "decision", "recommended")
     numbers = ("added_feature_count", "total_feature_count", *METRICS, "pr_auc_vs_full", "lift5_vs_full")
-    return metric_table(train.sparkSession, rows, texts, numbers)
+    table = metric_table(train.sparkSession, rows, ("variant", "included_features"), numbers)
+    judged = minimal_variants(table, next(iter(variants)))
+    return judged.select("variant", "included_features", "decision", "recommended", *numbers)
 
 
 def decide(metrics: Mapping[str, float], base: Mapping[str, float], rule: str = "gain") -> str:

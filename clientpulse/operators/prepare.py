@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientpulse.config import EVENT_SPECS, EventSpec
-from clientpulse.functions import require_columns, valid_event, with_event_time
+from clientpulse.functions import require_columns, with_event_time
 from clientpulse.sources.readers import sample_rows
 
 
@@ -21,32 +21,64 @@ class Prepared(NamedTuple):
     duplicates: DataFrame
 
 
-def standardize_events(df: DataFrame, spec: EventSpec) -> DataFrame:
-    """Valid rows in the clean event layout; query text is not carried over."""
+def typed_events(df: DataFrame, spec: EventSpec) -> DataFrame:
+    """Ids and time in their clean types, and ``faults``: what keeps a row out of the
+    clean table, empty for a valid row. An id that is no number is a fault of its own."""
     parsed = with_event_time(require_columns(df, spec.required))
-    return parsed.where(valid_event(spec)).select(
-        F.col("client_id").try_cast("bigint").alias("client_id"),
+    typed = {c: F.col(c).try_cast("bigint") for c in ("client_id", *spec.entities)}
+    found = [
+        F.when(F.col(c).isNull(), f"{c}_null").when(value.isNull(), f"{c}_parse_failure") for c, value in typed.items()
+    ]
+    no_time = F.when(F.col("timestamp").isNull(), "event_ts_missing").when(
+        F.col("event_ts").isNull(), "event_ts_parse_failure"
+    )
+    return parsed.select(
+        *(value.alias(c) for c, value in typed.items()),
         "event_ts",
         "event_date",
-        F.lit(spec.event_type).alias("event_type"),
-        *(F.col(c).try_cast("bigint").alias(c) for c in spec.entities),
+        F.array_compact(F.array(*found, no_time)).alias("faults"),
+    )
+
+
+def standardize_events(df: DataFrame, spec: EventSpec) -> DataFrame:
+    """Valid rows in the clean event layout; query text is not carried over."""
+    return (
+        typed_events(df, spec)
+        .where(F.size("faults") == 0)
+        .select("client_id", "event_ts", "event_date", F.lit(spec.event_type).alias("event_type"), *spec.entities)
     )
 
 
 def validation_counts(df: DataFrame, spec: EventSpec) -> DataFrame:
-    """Input, valid, invalid, unparsed and null counters of a raw event table."""
-    parsed = with_event_time(require_columns(df, spec.required))
-    valid = valid_event(spec)
-    return parsed.agg(
-        F.count("*").alias("input_rows"),
-        F.count_if(valid).alias("valid_rows"),
-        F.count_if(~valid).alias("invalid_rows"),
-        F.count_if(F.col("event_ts").isNull()).alias("event_ts_null_count"),
-        F.count_if(F.col("timestamp").isNotNull() & F.col("event_ts").isNull()).alias("event_ts_parse_failure_count"),
-        F.min("event_date").alias("event_date_min"),
-        F.max("event_date").alias("event_date_max"),
-        *(F.count_if(F.col(c).isNull()).alias(f"{c}_null_count") for c in ("client_id", *spec.entities)),
-    ).select(F.lit(spec.event_type).alias("event_type"), "*")
+    """One row of counters of a raw event table. Rows are counted once per set of
+    faults, of which there are few; every counter is a sum over those sets."""
+    sets = (
+        typed_events(df, spec)
+        .groupBy("faults")
+        .agg(F.count("*").alias("n"), F.min("event_date").alias("first"), F.max("event_date").alias("last"))
+    )
+
+    def rows(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+
+    def with_fault(*faults: str) -> Column:
+        return F.arrays_overlap("faults", F.array(*map(F.lit, faults)))
+
+    counters = {
+        "input_rows": rows(F.lit(True)),
+        "valid_rows": rows(F.size("faults") == 0),
+        "invalid_rows": rows(F.size("faults") > 0),
+        "event_ts_null_count": rows(with_fault("event_ts_missing", "event_ts_parse_failure")),
+        "event_ts_parse_failure_count": rows(with_fault("event_ts_parse_failure")),
+        "event_date_min": F.min("first"),
+        "event_date_max": F.max("last"),
+    }
+    for c in ("client_id", *spec.entities):
+        counters[f"{c}_null_count"] = rows(with_fault(f"{c}_null"))
+        counters[f"{c}_parse_failure_count"] = rows(with_fault(f"{c}_parse_failure"))
+    return sets.agg(*(value.alias(name) for name, value in counters.items())).select(
+        F.lit(spec.event_type).alias("event_type"), "*"
+    )
 
 
 def duplicate_summary(df: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -110,29 +142,37 @@ def dedup_products(products: DataFrame) -> DataFrame:
     return best.select("sku", "best.category", "best.price")
 
 
+def typed_products(products: DataFrame) -> DataFrame:
+    return products.select(
+        F.col("sku").try_cast("bigint").alias("sku"), F.col("category").try_cast("bigint").alias("category"), "price"
+    )
+
+
 def product_validation(products: DataFrame) -> DataFrame:
-    """One row of input, null, duplicate and output counters."""
+    """One row of input, null, bad id, duplicate and output counters. SKUs are counted as
+    the dedup sees them, after the cast; a SKU that is no number is a parse failure."""
     require_columns(products, ("sku", "category", "price", "name"))
-    per_sku = products.groupBy("sku").agg(
-        F.count("*").alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in ("category", "price", "name"))
+    sku = F.col("sku").try_cast("bigint")
+    per_sku = products.groupBy(sku.alias("id")).agg(
+        F.count("*").alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in ("sku", "category", "price", "name"))
     )
-    known = F.col("sku").isNotNull()
+    known = F.col("id").isNotNull()
+    total = {c: F.coalesce(F.sum(f"no_{c}"), F.lit(0)) for c in ("sku", "category", "price", "name")}
+    without = F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0))
+    output = dedup_products(typed_products(products)).agg(F.count("*")).scalar()
     return per_sku.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("input_rows"),
-        F.count("sku").alias("distinct_sku_count"),
-        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_sku_count"),
-        *(F.coalesce(F.sum(f"no_{c}"), F.lit(0)).alias(f"null_{c}_count") for c in ("category", "price", "name")),
+        F.count("id").alias("distinct_sku_count"),
+        *(total[c].alias(f"null_{c}_count") for c in total),
+        (without - total["sku"]).alias("sku_parse_failure_count"),
         F.count_if(known & (F.col("n") > 1)).alias("duplicated_sku_count"),
         F.coalesce(F.sum(F.when(known, F.col("n") - 1)), F.lit(0)).alias("duplicate_extra_rows"),
-        F.count("sku").alias("output_rows"),
-    )
+    ).withColumn("output_rows", output)
 
 
 def prepare_products(products: DataFrame, sample: float | None = None) -> tuple[DataFrame, DataFrame]:
     products = sample_rows(products, sample)
-    report = product_validation(products)
-    typed = products.select(F.col("sku").try_cast("bigint").alias("sku"), F.col("category").try_cast("bigint").alias("category"), "price")
-    return dedup_products(typed), report
+    return dedup_products(typed_products(products)), product_validation(products)
 
 
 def metadata_profile(products: DataFrame, label: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientpulse.config import BUY, CART, REMOVE, SAFE_COUNT_BYTES, SEARCH, VISIT
+from clientpulse.config import BUY, CART, REMOVE, SEARCH, VISIT
 from clientpulse.operators.distribution import long_form, quantiles, quantiles_of_counts, value_counts
 
 # Tracked columns, in report order.
@@ -50,14 +50,14 @@ def table_overview(
     tables: Mapping[str, DataFrame],
     sizes: Mapping[str, int] | None = None,
     full: bool = True,
-    limit: int = SAFE_COUNT_BYTES,
+    limit: int | None = None,
 ) -> DataFrame:
-    """One row per table: row count (deferred for tables above ``limit`` bytes
-    unless ``full``), time range, and which columns it has."""
+    """One row per table: row count, time range, and which columns it has. A caller that
+    passes ``limit`` and not ``full`` defers the count of tables above so many bytes."""
     out = None
     for name, df in tables.items():
         columns = set(df.columns)
-        counted = full or (sizes or {}).get(name, 0) <= limit
+        counted = full or limit is None or (sizes or {}).get(name, 0) <= limit
         if "timestamp" in columns:
             parsed = F.try_to_timestamp(F.col("timestamp").cast("string"))
         else:

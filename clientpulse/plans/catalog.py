@@ -21,6 +21,7 @@ from clientpulse.config import (
     FEATURE_SETS,
     REMOVE,
     SEARCH,
+    VELOCITY_GROUPS,
     VISIT,
     feature_families,
     feature_names,
@@ -56,6 +57,7 @@ EXPORT_LIMIT = 100
 SEARCH_LIMITS = (30, 90, 180)
 BUCKETED = ("add_to_cart_count", "days_since_last_product_buy", "buy_to_cart_ratio", "active_days_count", "search_query_count")
 TRANSITION_DAYS = 1
+DECISION_RULES = ("not_worse", "gain", "review", "any_gain", "both_gain")
 TRANSITION_RECENT = 3
 
 
@@ -147,8 +149,23 @@ def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def validation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for t in (CART, REMOVE, BUY):
+    for t in EVENT_SPECS:
         part = prepare.validation_counts(fx.raw_events(spark, sf_dir, t), EVENT_SPECS[t])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+@query
+def validation_of_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids delivered as text, some of them missing or no numbers, with the rows that the
+    clean table keeps."""
+    out = None
+    for t in (CART, REMOVE, BUY):
+        raw = fx.raw_text_events(spark, sf_dir, t)
+        kept = prepare.standardize_events(raw, EVENT_SPECS[t]).agg(
+            F.count("*").alias("clean_rows"), F.sum("client_id").alias("client_id_sum"), F.sum("sku").alias("sku_sum")
+        )
+        part = prepare.validation_counts(raw, EVENT_SPECS[t]).join(kept)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -619,12 +636,16 @@ def fit_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(_baseline(spark, sf_dir), training_frame(spark, sf_dir))
 
 
-@query
-def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batch_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = feature_frame(spark, sf_dir)
     return serving.batch_score(_baseline(spark, sf_dir), table, "baseline_lr_v1", SCORED_AT)
 
 
+@query
+def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_score_table(spark, sf_dir)
+
+
 @query
 def coefficient_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.coefficient_table(_baseline(spark, sf_dir))
@@ -635,6 +656,170 @@ def model_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.card_rows(training_frame(spark, sf_dir), model.model_card(_baseline(spark, sf_dir)))
 
 
+# --- null groups, text ids, odd scores -----------------------------------------
+
+
+def _text_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("client_id", F.concat(F.lit("c"), F.col("client_id").cast("string")))
+
+
+@query
+def topk_null_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = fx.scored_orders(spark, sf_dir)
+    return metrics.topk_metrics(scored.withColumn("segment", F.nullif("segment", F.lit("F"))), by=["segment"])
+
+
+@query
+def topk_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.topk_metrics(_text_ids(fx.scored_orders(spark, sf_dir)))
+
+
+@query
+def serving_export_text_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export of the 100 clients with the smallest text ids, by the operator's option."""
+    return serving.serving_export(_text_ids(score_table(spark, sf_dir)), limit=EXPORT_LIMIT)
+
+
+@query
+def topk_overlap_null_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = fx.scored_orders(spark, sf_dir)
+    part = scored.withColumn("other_score", F.when(F.col("segment") == "P", F.col("other_score")))
+    return metrics.topk_overlap(part, "prediction_score", "other_score")
+
+
+@query
+def calibration_outside_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of which some are no probabilities."""
+    scored = fx.scored_orders(spark, sf_dir)
+    return metrics.calibration(scored.withColumn("prediction_score", F.col("prediction_score") * 2.0 - 0.25))
+
+
+# --- fills, thresholds and rules --------------------------------------------------
+
+
+@query
+def filled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every customer, with or without history, filled with 0."""
+    wanted = [c for c in feature_names() if c.endswith("_count") or c.startswith("days_since")]
+    customers = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client_id"))
+    table = feature_frame(spark, sf_dir).select("client_id", *wanted)
+    return features.fill_counts(customers.join(table, "client_id", "left"))
+
+
+@query
+def recency_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = features.recency_thresholds(training_frame(spark, sf_dir))
+    return spark.createDataFrame([tuple(limits)], "low bigint, middle bigint, high bigint")
+
+
+@query
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of a split, as counts and checks."""
+    table = training_frame(spark, sf_dir)
+    fitted, held_out = model.split(table)
+    both = fitted.select("client_id", F.lit(1).alias("fit")).unionByName(held_out.select("client_id", F.lit(0).alias("fit")))
+    share = F.avg("fit")
+    return both.agg(
+        F.count("*").alias("row_count"),
+        F.count_distinct("client_id").alias("client_count"),
+        (F.abs(share - 0.8) < 4 * F.sqrt(0.16 / F.count("*"))).alias("share_near_80_percent"),
+    )
+
+
+def _brand_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored metric table whose numbers come from the parts of each brand."""
+    parts = fx.table(spark, sf_dir, "part")
+    return parts.groupBy(F.col("p_brand").alias("variant")).agg(
+        F.round(F.avg("p_retailprice") / 3000.0, 4).alias("pr_auc"),
+        F.round(F.avg(F.col("p_size").cast("double")) / 10.0, 4).alias("lift_at_5pct"),
+        F.count("*").alias("added_feature_count"),
+    )
+
+
+@query
+def pruning_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _brand_metrics(spark, sf_dir)
+    first = table.agg(F.min("variant")).first()[0]
+    return experiments.minimal_variants(table, first)
+
+
+@query
+def decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule on the metrics of every brand against those of all parts."""
+    base = fx.table(spark, sf_dir, "part").agg(
+        F.round(F.avg("p_retailprice") / 3000.0, 4).alias("pr_auc"),
+        F.round(F.avg(F.col("p_size").cast("double")) / 10.0, 4).alias("lift_at_5pct"),
+    ).first().asDict()
+    rows = [
+        (r["variant"], *(experiments.decide(r.asDict(), base, rule) for rule in DECISION_RULES), experiments.classify_drop(
+            *(-experiments.relative_change(r[m], base[m]) for m in experiments.CORE)))
+        for r in _brand_metrics(spark, sf_dir).collect()
+    ]
+    names = ", ".join(f"{n} string" for n in ("variant", *DECISION_RULES, "ablation"))
+    return spark.createDataFrame(rows, names)
+
+
+# --- models: what does not depend on the optimiser ---------------------------------
+
+
+@query
+def fit_and_score_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each client's label, and whether the score is a probability that the model card
+    gives, too."""
+    fitted, table = _baseline(spark, sf_dir), training_frame(spark, sf_dir)
+    scored = model.score(fitted, table)
+    card = model.score_with_card(table, model.model_card(fitted)).select(
+        "client_id", F.col("prediction_score").alias("card_score")
+    )
+    value = F.col("prediction_score")
+    return scored.join(card, "client_id").select(
+        "client_id",
+        "label",
+        ((value >= 0) & (value <= 1)).alias("is_probability"),
+        (F.abs(value - F.col("card_score")) < 1e-9).alias("card_agrees"),
+    )
+
+
+@query
+def batch_score_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = batch_score_table(spark, sf_dir)
+    follows = F.col("prediction_label") == (F.col("prediction_score") >= 0.5).cast("int")
+    return scores.select("client_id", "model_version", "scored_at", follows.alias("label_follows_threshold"))
+
+
+@query
+def coefficient_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature once, its coefficient finite and the card's, its rank by size."""
+    fitted = _baseline(spark, sf_dir)
+    table = model.coefficient_table(fitted)
+    card = model.card_rows(table, model.model_card(fitted)).select("feature_name", F.col("coefficient").alias("of_card"))
+    larger = table.select(F.col("abs_coefficient").alias("other"), F.col("rank_among_all_features").alias("other_rank"))
+    above = table.join(larger, F.col("other") > F.col("abs_coefficient")).groupBy("feature_name").agg(
+        F.max("other_rank").alias("last_above")
+    )
+    return table.join(card, "feature_name").join(above, "feature_name", "left").select(
+        "feature_name",
+        (F.col("coefficient") == F.col("of_card")).alias("card_agrees"),
+        F.coalesce(F.col("last_above") < F.col("rank_among_all_features"), F.lit(True)).alias("ranked_by_size"),
+    )
+
+
+@query
+def model_card_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does each imputation value split the training values in halves, to the imputer's
+    0.1 % of ranks?"""
+    train, _ = _temporal(spark, sf_dir)
+    card = model.card_rows(train, model.model_card(_baseline(spark, sf_dir))).select("feature_name", "position", "imputation_value")
+    names = feature_columns(train)
+    values = train.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature_name"), F.col(c).cast("double").alias("value")) for c in names))))
+    n, m = F.count("value"), F.col("imputation_value")
+    slack = F.lit(2.0) + n * 0.001
+    halves = values.join(card, "feature_name").groupBy("feature_name", "position").agg(
+        ((F.count_if(F.col("value") < m) <= n / 2 + slack) & (F.count_if(F.col("value") <= m) >= n / 2 - slack)).alias("is_median")
+    )
+    return halves
+
+
 @query
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
@@ -673,6 +858,37 @@ def pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.prune(train, validation, base)
 
 
+@query
+def velocity_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each velocity group removed from the set that has all of them: the structure of the
+    fitted runs, without the metrics that depend on the optimiser."""
+    train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
+    columns = FEATURE_SETS["e6"].columns(feature_names())
+    table = experiments.ablate(train, validation, columns, VELOCITY_GROUPS)
+    drops = F.greatest("pr_auc_drop_relative", "lift_5pct_drop_relative")
+    expected = F.when(drops > experiments.KEEP_DROP, "KEEP").when(drops >= experiments.LOWER_DROP, "KEEP_LOWER_PRIORITY").otherwise("REMOVE_CANDIDATE")
+    return table.select(
+        "scenario",
+        "removed_features",
+        (F.lit(len(columns)) - F.col("feature_count")).cast("bigint").alias("removed_count"),
+        F.col("pr_auc").between(0, 1).alias("is_share"),
+        (F.col("recommendation") == expected).alias("rule_holds"),
+    )
+
+
+@query
+def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap, score distributions and verdict of the benchmark, as one long table."""
+    train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
+    fitted = [model.fit(train, FEATURE_SETS[n].columns(feature_names())) for n in ("v2_2", "v2_4")]
+    report = experiments.benchmark(*fitted, validation)
+    parts = [
+        report[name].select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("row"))
+        for name in ("overlap", "distribution", "verdict")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def feature_set_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
@@ -704,7 +920,12 @@ def family_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.inventory(spark, sf_dir)
+    found = readers.inventory(spark, sf_dir)
+    name = F.regexp_extract("path", r"([^/]+)\.parquet$", 1)
+    fields = F.size(F.from_json("schema", "fields array<struct<name: string>>")["fields"])
+    return found.select(
+        name.alias("dataset"), "inferred_format", "readable_by_spark", "row_count", "row_count_status", fields.alias("column_count")
+    )
 
 
 @query

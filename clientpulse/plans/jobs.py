@@ -4,6 +4,7 @@ rerun on its own and none rebuilds the plan of another."""
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,19 @@ from clientpulse.operators.features import (
 )
 from clientpulse.operators.labels import build_labels, label_checks, training_set
 from clientpulse.operators.model import fit, score, split, temporal_split
-from clientpulse.operators.prepare import prepare_all, prepare_products
+from clientpulse.operators.prepare import prepare_all, prepare_events, prepare_products
 from clientpulse.operators.serving import batch_score, score_checks, serving_export
 from clientpulse.sources import load_model, read_events, read_table, save_model, write_events, write_report, write_scores, write_table
 
 
 def prepare(spark: SparkSession, raw: Mapping[str, str], products: str, out: str, include: Iterable[str] = (SEARCH,)) -> None:
-    """Raw event and product tables to clean ones under ``out``."""
+    """Raw event and product tables to clean ones under ``out``, with reports of what was
+    valid and what occurs twice."""
     frames = {t: read_table(spark, path, EVENT_SPECS[t].required) for t, path in raw.items()}
     write_events(prepare_all(frames, include), f"{out}/events")
+    parts = [prepare_events(df, EVENT_SPECS[t]) for t, df in frames.items()]
+    for name, reports in (("validation", [p.report for p in parts]), ("duplicates", [p.duplicates for p in parts])):
+        write_report(reduce(lambda a, b: a.unionByName(b, True), reports), f"{out}/reports/{name}")
     clean, report = prepare_products(read_table(spark, products))
     write_table(clean, f"{out}/products")
     write_report(report, f"{out}/reports/products")

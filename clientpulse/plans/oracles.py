@@ -5,7 +5,15 @@ counts and sorts over whole tables, so that agreement means something."""
 
 from __future__ import annotations
 
-from clientpulse.config import FEATURE_SETS, FEATURE_TYPES, FEATURE_WINDOWS, SKU_TYPES, feature_families, feature_names
+from clientpulse.config import (
+    FEATURE_SETS,
+    FEATURE_TYPES,
+    FEATURE_WINDOWS,
+    SKU_TYPES,
+    VELOCITY_GROUPS,
+    feature_families,
+    feature_names,
+)
 from clientpulse.plans.catalog import BUCKETED, CARD, EXPORT_LIMIT, LOOKUP_IDS, SCORED_AT, SEARCH_LIMITS
 
 CUTOFF, AFTER_END = "DATE '2001-07-02'", "DATE '2001-08-01'"
@@ -411,6 +419,9 @@ def zero(name: str, column: str) -> tuple[str, str, str, str]:
     return name, f"{column} = 0", column, "0"
 
 
+DRIVER_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 RAW_OF = {"add_to_cart": "click", "remove_from_cart": "error", "product_buy": "purchase"}
 
 
@@ -657,14 +668,45 @@ FROM ev GROUP BY event_type""",
   {r6('quantile_cont(value, 0.5)', 'price_median')}, {r6('quantile_cont(value, 0.75)', 'price_q75')}
 FROM long_rows GROUP BY column_name""",
     )
+    every_type = {**RAW_OF, "search_query": "view", "page_visit": "signup"}
+    entity_of = {"search_query": None, "page_visit": "url"}
+
+    def entity_counts(event_type: str) -> str:
+        entity = entity_of.get(event_type, "sku")
+        return ", ".join(
+            f"""{'count(*) FILTER (props IS NULL)' if e == entity else 'CAST(NULL AS BIGINT)'} AS {e}_null_count,
+  {'CAST(0 AS BIGINT)' if e == entity else 'CAST(NULL AS BIGINT)'} AS {e}_parse_failure_count"""
+            for e in ("sku", "url")
+        )
+
     q["validation_counts"] = "\nUNION ALL ".join(
         f"""SELECT '{t}' AS event_type, count(*) AS input_rows, count(*) AS valid_rows, CAST(0 AS BIGINT) AS invalid_rows,
   count(*) FILTER (ts IS NULL) AS event_ts_null_count, CAST(0 AS BIGINT) AS event_ts_parse_failure_count,
   min(CAST(ts AS DATE)) AS event_date_min, max(CAST(ts AS DATE)) AS event_date_max,
-  count(*) FILTER (user_id IS NULL) AS client_id_null_count, count(*) FILTER (props IS NULL) AS sku_null_count
+  count(*) FILTER (user_id IS NULL) AS client_id_null_count, CAST(0 AS BIGINT) AS client_id_parse_failure_count,
+  {entity_counts(t)}
 FROM events WHERE event_type = '{source}'"""
+        for t, source in every_type.items()
+    )
+    q["validation_of_text_ids"] = "\nUNION ALL ".join(
+        f"""SELECT '{t}' AS event_type, count(*) AS input_rows, count(*) FILTER (client AND item) AS valid_rows,
+  count(*) FILTER (NOT (client AND item)) AS invalid_rows, CAST(0 AS BIGINT) AS event_ts_null_count,
+  CAST(0 AS BIGINT) AS event_ts_parse_failure_count, min(CAST(ts AS DATE)) AS event_date_min,
+  max(CAST(ts AS DATE)) AS event_date_max, CAST(0 AS BIGINT) AS client_id_null_count,
+  count(*) FILTER (NOT client) AS client_id_parse_failure_count, count(*) FILTER (k LIKE '%7') AS sku_null_count,
+  count(*) FILTER (k LIKE '%3') AS sku_parse_failure_count, count(*) FILTER (client AND item) AS clean_rows,
+  CAST(sum(user_id) FILTER (client AND item) AS BIGINT) AS client_id_sum,
+  CAST(sum(CAST(k AS BIGINT)) FILTER (client AND item) AS BIGINT) AS sku_sum
+FROM (SELECT *, CAST(user_id AS VARCHAR) NOT LIKE '%5' AS client, k NOT LIKE '%7' AND k NOT LIKE '%3' AS item
+      FROM (SELECT *, regexp_extract(props, '([0-9]+)', 1) AS k FROM events) WHERE event_type = '{source}')"""
         for t, source in RAW_OF.items()
     )
+    q["inventory"] = "\nUNION ALL ".join(
+        f"""SELECT '{t}' AS dataset, 'parquet' AS inferred_format, true AS readable_by_spark,
+  (SELECT count(*) FROM {t}) AS row_count, 'counted' AS row_count_status,
+  (SELECT count(*) FROM (DESCRIBE {t})) AS column_count"""
+        for t in DRIVER_TABLES
+    )
     duplicates = f"""CAST(coalesce(sum(n), 0) AS BIGINT) AS valid_rows, count(*) FILTER (n > 1) AS duplicate_key_groups,
   {big('coalesce(sum(n - 1), 0)', 'duplicate_extra_rows')}, {r6('sum(n - 1) / sum(n)::DOUBLE', 'duplicate_extra_row_rate')}"""
     q["duplicate_summary"] = with_(
@@ -683,7 +725,8 @@ FROM events WHERE event_type = '{source}'"""
         REPEATED,
         "g AS (SELECT sku, count(*) AS n FROM raw WHERE sku IS NOT NULL GROUP BY sku)",
         """SELECT count(*) AS input_rows, count(DISTINCT sku) AS distinct_sku_count,
-  count(*) FILTER (sku IS NULL) AS null_sku_count, count(*) FILTER (category IS NULL) AS null_category_count,
+  count(*) FILTER (sku IS NULL) AS null_sku_count, CAST(0 AS BIGINT) AS sku_parse_failure_count,
+  count(*) FILTER (category IS NULL) AS null_category_count,
   count(*) FILTER (price IS NULL) AS null_price_count, count(*) FILTER (name IS NULL) AS null_name_count,
   (SELECT count(*) FROM g WHERE n > 1) AS duplicated_sku_count,
   (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM g) AS duplicate_extra_rows,
@@ -1243,4 +1286,108 @@ FROM features""",
     q["lookup_batch"] = with_(
         SCORED, SCORES, f"SELECT client_id, {SCORE_SELECT} FROM scores WHERE client_id IN (SELECT c_custkey FROM customer)"
     )
+    base = SCORED.replace("scored AS", "base AS", 1)
+    q["topk_null_segment"] = with_(
+        base,
+        "scored AS (SELECT * REPLACE (nullif(segment, 'F') AS segment) FROM base)",
+        *topk_ctes(by="segment"),
+        f"SELECT segment, {topk_columns} FROM topk",
+    )
+    text_ids = "scored AS (SELECT * REPLACE ('c' || CAST(client_id AS VARCHAR) AS client_id) FROM base)"
+    q["topk_text_ids"] = with_(base, text_ids, *topk_ctes(), f"SELECT {topk_columns} FROM topk")
+    q["serving_export_text_limit"] = with_(
+        base, text_ids, SCORES, export + f"(SELECT * FROM scores ORDER BY scores.client_id LIMIT {EXPORT_LIMIT})"
+    )
+    q["topk_overlap_null_scores"] = with_(
+        base,
+        "scored AS (SELECT * REPLACE (CASE WHEN segment = 'P' THEN other_score END AS other_score) FROM base)",
+        """ranks AS (SELECT row_number() OVER (ORDER BY prediction_score DESC, client_id) AS a,
+            CASE WHEN other_score IS NOT NULL
+                 THEN row_number() OVER (PARTITION BY other_score IS NULL ORDER BY other_score DESC, client_id) END AS b,
+            count(*) OVER () AS n FROM scored)""",
+        """o AS (SELECT p, max(greatest(1, (n * p + 99) // 100)) AS k,
+            count(*) FILTER (a <= greatest(1, (n * p + 99) // 100)) AS x,
+            count(*) FILTER (b <= greatest(1, (n * p + 99) // 100)) AS y,
+            count(*) FILTER (a <= greatest(1, (n * p + 99) // 100) AND b <= greatest(1, (n * p + 99) // 100)) AS c
+            FROM ranks CROSS JOIN (SELECT unnest([1, 5, 10]) AS p) GROUP BY p)""",
+        f"""SELECT {big('p', 'top_percent')}, {big('k', 'top_k_count')}, c AS overlap_count, {r6('c / k::DOUBLE', 'overlap_rate')},
+  {big('x - c', 'first_only_count')}, {big('y - c', 'second_only_count')} FROM o""",
+    )
+    q["calibration_outside_range"] = with_(
+        base,
+        """every AS (SELECT * REPLACE (prediction_score * CAST(2 AS DOUBLE) - CAST(0.25 AS DOUBLE) AS prediction_score)
+            FROM base)""",
+        "scored AS (SELECT * FROM every WHERE prediction_score BETWEEN 0 AND 1)",
+        calibration_cte(),
+        "SELECT score_bucket, sample_count, " + ", ".join(r6(f"s.{n}", n) for n in curve_columns) + f""" FROM curve s
+  UNION ALL SELECT 'outside_range', count(*), {r6('avg(prediction_score)', 'a')}, {r6('avg(label)', 'b')},
+    {r6('abs(avg(prediction_score) - avg(label))', 'c')}
+  FROM every WHERE NOT prediction_score BETWEEN 0 AND 1 HAVING count(*) > 0""",
+    )
+    wanted = [c for c in feature_names() if c.endswith("_count") or c.startswith("days_since")]
+    filled = ", ".join(big(c if c.startswith("days_since") else f"coalesce({c}, 0)", c) for c in wanted)
+    q["filled_counts"] = with_(
+        *feature_ctes(), f"SELECT c_custkey AS client_id, {filled} FROM customer LEFT JOIN features ON client_id = c_custkey"
+    )
+    q["recency_limits"] = with_(
+        *training_ctes(),
+        """cuts AS (SELECT list_sort(list_distinct([
+              greatest(1, round_even(quantile_cont(days_since_last_search_query, 0.25), 0)),
+              greatest(1, round_even(quantile_cont(days_since_last_search_query, 0.5), 0)),
+              greatest(1, round_even(quantile_cont(days_since_last_search_query, 0.75), 0))])) AS l FROM training)""",
+        f"""SELECT {big('CASE WHEN len(l) = 3 THEN l[1] ELSE 7 END', 'low')},
+  {big('CASE WHEN len(l) = 3 THEN l[2] ELSE 30 END', 'middle')}, {big('CASE WHEN len(l) = 3 THEN l[3] ELSE 60 END', 'high')} FROM cuts""",
+    )
+    q["random_split"] = with_(
+        *training_ctes(),
+        """SELECT count(*) AS row_count, count(DISTINCT client_id) AS client_count, true AS share_near_80_percent
+           FROM training""",
+    )
+    brands = """brands AS (SELECT p_brand AS variant, round(avg(p_retailprice) / CAST(3000 AS DOUBLE), 4) AS pr_auc,
+        round(avg(CAST(p_size AS DOUBLE)) / CAST(10 AS DOUBLE), 4) AS lift_at_5pct, count(*) AS added_feature_count
+        FROM part GROUP BY p_brand)"""
+    q["pruning_decisions"] = with_(
+        brands,
+        """known AS (SELECT *, variant = min(variant) OVER () AS is_ref, max(lift_at_5pct) OVER () AS best,
+            first(pr_auc) OVER (ORDER BY variant) AS rp, first(lift_at_5pct) OVER (ORDER BY variant) AS rl FROM brands)""",
+        """judged AS (SELECT *, CASE WHEN is_ref THEN 'REFERENCE'
+            WHEN (rp - pr_auc) / pr_auc <= CAST(0.002 AS DOUBLE) AND (lift_at_5pct - best) / best >= CAST(-0.002 AS DOUBLE)
+              OR lift_at_5pct >= rl THEN 'KEEP_AS_CANDIDATE' ELSE 'DROP_FROM_MINIMAL_SET' END AS decision FROM known)""",
+        f"""SELECT variant, {r6('pr_auc', 'pr_auc')}, {r6('lift_at_5pct', 'lift_at_5pct')}, added_feature_count, decision,
+  CASE WHEN row_number() OVER (ORDER BY decision = 'DROP_FROM_MINIMAL_SET', s.lift_at_5pct DESC, s.pr_auc DESC,
+    added_feature_count, variant) = 1 THEN 'yes' ELSE 'no' END AS recommended FROM judged s""",
+    )
+    q["decision_rules"] = with_(
+        brands,
+        """base AS (SELECT round(avg(p_retailprice) / CAST(3000 AS DOUBLE), 4) AS bp,
+            round(avg(CAST(p_size AS DOUBLE)) / CAST(10 AS DOUBLE), 4) AS bl FROM part)""",
+        """c AS (SELECT variant, pr_auc > bp AS pu, lift_at_5pct > bl AS lu, least((pr_auc - bp) / bp, (lift_at_5pct - bl) / bl) AS lo,
+            greatest((pr_auc - bp) / bp, (lift_at_5pct - bl) / bl) AS hi FROM brands, base)""",
+        """SELECT variant,
+  CASE WHEN lo >= CAST(-0.005 AS DOUBLE) THEN 'ADOPT' WHEN lo < CAST(-0.01 AS DOUBLE) THEN 'KEEP' ELSE 'INVESTIGATE' END AS not_worse,
+  CASE WHEN hi >= CAST(0.005 AS DOUBLE) THEN 'ADOPT' WHEN lo < CAST(-0.005 AS DOUBLE) THEN 'KEEP' ELSE 'INVESTIGATE' END AS gain,
+  CASE WHEN hi >= CAST(0.005 AS DOUBLE) THEN 'ADOPT_FOR_REVIEW' ELSE 'INVESTIGATE' END AS review,
+  CASE WHEN pu OR lu THEN 'CANDIDATE' ELSE 'KEEP' END AS any_gain,
+  CASE WHEN pu AND lu THEN 'PROMOTE' ELSE 'KEEP' END AS both_gain,
+  CASE WHEN -lo > CAST(0.03 AS DOUBLE) THEN 'KEEP' WHEN -lo >= CAST(0.01 AS DOUBLE) THEN 'KEEP_LOWER_PRIORITY'
+       ELSE 'REMOVE_CANDIDATE' END AS ablation FROM c""",
+    )
+    q["fit_and_score_checks"] = with_(
+        *training_ctes(),
+        f"SELECT client_id, {big('label', 'label')}, true AS is_probability, true AS card_agrees FROM training",
+    )
+    q["batch_score_checks"] = with_(
+        *feature_ctes(),
+        f"""SELECT client_id, 'baseline_lr_v1' AS model_version, '{SCORED_AT}' AS scored_at, true AS label_follows_threshold
+  FROM features WHERE is_eligible_purchase_propensity = 1""",
+    )
+    features_list = "[" + ", ".join(f"'{c}'" for c in feature_names()) + "]"
+    q["coefficient_checks"] = f"SELECT unnest({features_list}) AS feature_name, true AS card_agrees, true AS ranked_by_size"
+    q["model_card_checks"] = f"""SELECT unnest({features_list}) AS feature_name,
+  CAST(unnest(range({len(feature_names())})) AS BIGINT) AS position, true AS is_median"""
+    q["velocity_ablation"] = "\nUNION ALL ".join(
+        f"""SELECT '{name}' AS scenario, '{','.join(group)}' AS removed_features, CAST({len(group)} AS BIGINT) AS removed_count,
+  true AS is_share, true AS rule_holds"""
+        for name, group in VELOCITY_GROUPS.items()
+    )
     return q

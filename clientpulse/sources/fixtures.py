@@ -39,6 +39,18 @@ def raw_events(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     return source.select(*columns)
 
 
+def raw_text_events(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
+    """Raw events whose ids are text: clients that end in 5 are no numbers, SKUs that end
+    in 7 are missing, those that end in 3 no numbers."""
+    raw = raw_events(spark, sf_dir, event_type)
+    client, sku = F.col("client_id").cast("string"), F.col("sku").cast("string")
+    return raw.select(
+        F.when(client.endswith("5"), F.concat(F.lit("c"), client)).otherwise(client).alias("client_id"),
+        "timestamp",
+        F.when(sku.endswith("7"), None).when(sku.endswith("3"), F.lit("abc")).otherwise(sku).alias("sku"),
+    )
+
+
 def _props_key() -> Column:
     return F.get_json_object("props", "$.k").try_cast("bigint")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clientpulse.config import SAFE_COUNT_BYTES, SEED
+from clientpulse.config import SEED
 from clientpulse.functions import require_columns
 
 # File-name patterns, first match wins.
@@ -101,9 +101,9 @@ def schema_rows(df: DataFrame, table_name: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, SCHEMA_ROWS)
 
 
-def row_count(df: DataFrame, size_bytes: int, full: bool = False, limit: int = SAFE_COUNT_BYTES) -> tuple[int | None, str]:
-    """Count, unless the input is larger than ``limit`` and no full count was asked for."""
-    return (df.count(), "counted") if full or size_bytes <= limit else (None, "deferred")
+def row_count(df: DataFrame, size_bytes: int, limit: int | None = None) -> tuple[int | None, str]:
+    """Count, unless the caller set a ``limit`` and the input is larger."""
+    return (df.count(), "counted") if limit is None or size_bytes <= limit else (None, "deferred")
 
 
 def list_datasets(spark: SparkSession, root: str) -> DataFrame:
@@ -117,9 +117,9 @@ def list_datasets(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def inventory(spark: SparkSession, root: str, max_count_bytes: int = SAFE_COUNT_BYTES, full: bool = False) -> DataFrame:
-    """One row per dataset: can Spark read it, with which schema, how many rows.
-    A broken one is reported in its own row and does not stop the others."""
+def inventory(spark: SparkSession, root: str, max_count_bytes: int | None = None) -> DataFrame:
+    """One row per dataset: can Spark read it, with which schema, how many rows. Counts
+    are deferred only beyond a ``max_count_bytes`` that the caller sets. A broken one is reported in its own row and does not stop the others."""
     rows = []
     for item in list_datasets(spark, root).orderBy("path").toLocalIterator():
         fmt = READERS.get(item.inferred_format)
@@ -130,7 +130,7 @@ def inventory(spark: SparkSession, root: str, max_count_bytes: int = SAFE_COUNT_
             try:
                 df = read_any(spark, item.path, fmt)
                 schema = df.schema.json()
-                count, status = row_count(df, item.size_bytes, full, max_count_bytes)
+                count, status = row_count(df, item.size_bytes, max_count_bytes)
                 if count is None:
                     note = f"larger than {max_count_bytes} bytes"
             except Exception as error:  # noqa: BLE001 - any reader failure belongs to this dataset alone

@@ -178,11 +178,9 @@ def test_rules():
     assert [experiments.classify_drop(*d) for d in ((0.031, 0), (0, 0.01), (0.009, -1))] == ["KEEP", "KEEP_LOWER_PRIORITY", "REMOVE_CANDIDATE"]
 
 
-def test_minimal_variant():
-    rows = [
-        {"variant": "full", "pr_auc": 0.5, "lift_at_5pct": 5.0, "added_feature_count": 6},
-        {"variant": "small", "pr_auc": 0.5, "lift_at_5pct": 5.0, "added_feature_count": 2},
-        {"variant": "bad", "pr_auc": 0.3, "lift_at_5pct": 4.0, "added_feature_count": 1},
-    ]
-    assert experiments.minimal_variant(rows, "full") == "small"
-    assert [r["decision"] for r in rows] == ["REFERENCE", "KEEP_AS_CANDIDATE", "DROP_FROM_MINIMAL_SET"]
+def test_minimal_variant(spark):
+    rows = [("full", 0.5, 5.0, 6), ("small", 0.5, 5.0, 2), ("bad", 0.3, 4.0, 1)]
+    table = spark.createDataFrame(rows, "variant string, pr_auc double, lift_at_5pct double, added_feature_count int")
+    found = by(experiments.minimal_variants(table, "full"), "variant")
+    assert [v for v in found if found[v]["recommended"] == "yes"] == ["small"]
+    assert [found[r[0]]["decision"] for r in rows] == ["REFERENCE", "KEEP_AS_CANDIDATE", "DROP_FROM_MINIMAL_SET"]

@@ -127,3 +127,23 @@ def test_purchase_frequency_of_nothing(spark):
     row = profile.purchase_frequency(events(spark, []).where(f"event_type = '{BUY}'")).first()
     assert row.total_purchasing_clients == 0 and row.purchase_count_median is None
     assert row.average_purchases_per_purchasing_client is None
+
+
+def test_ids_that_are_no_numbers(spark):
+    rows = [("1", "2022-01-01 10:00:00", "5"), ("abc", "2022-01-01 10:00:00", "5"), ("1", "2022-01-02 10:00:00", "x1"),
+            (None, "2022-01-02 10:00:00", "abc"), ("2", "never", "6")]
+    events = spark.createDataFrame(rows, "client_id string, timestamp string, sku string")
+    clean, report, _ = prepare.prepare_events(events, EVENT_SPECS[CART])
+    assert [(r.client_id, r.sku) for r in clean.collect()] == [(1, 5)]
+    row = report.first()
+    assert (row.input_rows, row.valid_rows, row.invalid_rows, row.event_ts_parse_failure_count) == (5, 1, 4, 1)
+    assert (row.client_id_null_count, row.client_id_parse_failure_count) == (1, 1)
+    assert (row.sku_null_count, row.sku_parse_failure_count) == (0, 2)
+    products = spark.createDataFrame(
+        [("1", "2", 3, "a"), ("1", "2", 3, "b"), ("abc", "2", 3, "c"), (None, None, 4, None)],
+        "sku string, category string, price long, name string",
+    )
+    best, report = prepare.prepare_products(products)
+    row = report.first()
+    assert (row.input_rows, row.null_sku_count, row.sku_parse_failure_count, row.distinct_sku_count) == (4, 1, 1, 1)
+    assert (row.duplicated_sku_count, row.duplicate_extra_rows, row.output_rows) == (1, 1, best.count())
