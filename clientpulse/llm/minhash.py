@@ -4,12 +4,12 @@ A document's set is its distinct shingles of ``SHINGLE`` words, A-Z lower-cased,
 hashed to 64 bits. Documents of equal sets are one class, and only one per class
 goes on. ``BANDS`` hashes of ``ROWS`` MinHash values each put classes of similar sets
 into common buckets: two sets of similarity 0.75 miss each other in all bands in 5 of
-a million cases. One more permutation cut into ``BINS`` bins gives a sample per bin,
-nearly the whole set if it is small. These samples folded into a parity bitmap are
-the odd sketch. The population count of the XOR of two sketches tells how many samples
-differ; a pair is dropped where that is more than ``SIGMAS`` standard deviations above
-what a pair at the threshold shows (one such pair in millions). What is left is
-confirmed on the full sets.
+a million cases. The smallest values of one more permutation, those below a limit
+halved until at most ``MOST_SAMPLES`` are left (all of a small set), are folded into a
+parity bitmap, the odd sketch. The population count of the XOR of two sketches tells
+how many samples differ; a pair is dropped where that is more than ``SIGMAS`` standard
+deviations above what a pair at the threshold shows (one such pair in millions). Pairs
+with different limits are not tested. What is left is confirmed on the full sets.
 
 A bucket never becomes pairs of all its classes. First each class is paired with the
 most popular class of its buckets, the one that meets most others over all bands, as
@@ -44,7 +44,7 @@ SHINGLE = 5
 THRESHOLD = 75  # percent
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-BINS = 4096
+MOST_SAMPLES = 2048
 SKETCH_BITS = 4096
 SIGMAS = 5.0
 _rng = np.random.default_rng(10)
@@ -72,35 +72,39 @@ def band_hashes(mins: np.ndarray) -> np.ndarray:
     return mix(parts + np.arange(BANDS, dtype=np.uint64) * STEP)
 
 
-def odd_sketch(shingles: np.ndarray) -> tuple[np.ndarray, int]:
-    """Parities of the positions of the bins' samples, as 64-bit words; and the number of
-    samples. The set is sorted, so a bin's smallest value is its first."""
-    shift = np.uint64(64 - (BINS - 1).bit_length())
-    first = shingles[np.diff((shingles >> shift).astype(np.int64), prepend=-1) != 0]
-    positions = mix(first + STEP) % np.uint64(SKETCH_BITS)
+def odd_sketch(shingles: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Parities of the positions of the samples, as 64-bit words; the number of samples;
+    and how often the limit was halved for it. The set is sorted, so the samples are its
+    first values."""
+    level = max(0, (len(shingles) - 1).bit_length() - MOST_SAMPLES.bit_length() + 1)
+    if level:
+        shingles = shingles[: np.searchsorted(shingles, np.uint64(1 << (64 - level)))]
+    positions = mix(shingles + STEP) % np.uint64(SKETCH_BITS)
     bits = (np.bincount(positions.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64), len(first)
+    return np.packbits(bits).view(np.int64), len(shingles), level
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add set size, set digest, band hashes and odd sketch to the rows; the last column
     is the text, which goes."""
     for batch in slices(batches):
-        sizes, digests, bands, odds, counts = [], [], [], [], []
+        sizes, digests, bands, odds, counts, levels = [], [], [], [], [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
             found = shingle_set(text)
             sizes.append(len(found))
             if len(found):
-                odd, count = odd_sketch(found)
+                odd, count, level = odd_sketch(found)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 bands.append(band_hashes(samples(found)).view(np.int64))
                 odds.append(odd)
                 counts.append(count)
+                levels.append(level)
             else:
                 digests.append(None)
                 bands.append(None)
                 odds.append(None)
                 counts.append(None)
+                levels.append(None)
         arrays = [
             *batch.columns[:-1],
             pa.array(sizes, pa.int64()),
@@ -108,8 +112,9 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             pa.array(bands, pa.list_(pa.int64())),
             pa.array(odds, pa.list_(pa.int64())),
             pa.array(counts, pa.int64()),
+            pa.array(levels, pa.int32()),
         ]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k0", "k1", "n_shingles", "sid", "bands", "odd", "n_samples"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k0", "k1", "n_shingles", "sid", "bands", "odd", "n_samples", "level"])
 
 
 def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,25 +134,28 @@ def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 #: What the sketch test reads of a class.
-SKETCH = ("odd", "n_samples", "n_shingles")
+SKETCH = ("odd", "n_samples", "level")
 
 
 def alike(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """May two sketches stand for sets at the threshold? Of the samples of a union of
-    ``union`` shingles, a pair at the threshold shares that part; what it may fall short
-    is the deviation of drawing samples, of bins hit twice, and of parities."""
+    """May two sketches stand for sets at the threshold? Of ``union`` samples such a pair
+    shares that part, less the deviations of drawing samples and of parities."""
     part = THRESHOLD / 100
     differing = F.zip_with(a["odd"], b["odd"], lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     z = F.aggregate(differing, F.lit(0), lambda total, n: total + n).cast("double")
     decay = F.greatest(1 - 2 * z / SKETCH_BITS, F.lit(1e-3))
     differ = -F.log(decay) * SKETCH_BITS / 2
-    shared = (a["n_samples"] + b["n_samples"] - differ) / 2
-    union = (a["n_shingles"] + b["n_shingles"]) / (1 + part)
-    drawn = BINS * (1 - F.exp(-union / BINS))
-    drawing = drawn * part * (1 - part) * (1 - drawn / union)
-    doubles = part**2 * F.least(union * union / (2 * BINS), drawn)
-    parities = (SKETCH_BITS * (1 - decay * decay) / 4 - differ * decay * decay) / (4 * decay * decay)
-    return shared >= part * drawn - SIGMAS * F.sqrt(drawing + doubles + F.greatest(parities, F.lit(0.0))) - 1
+    samples_of_both = a["n_samples"] + b["n_samples"]
+    shared = (samples_of_both - differ) / 2
+    # what a pair at the threshold would show
+    union = samples_of_both / (1 + part)
+    differ_there = 2 * samples_of_both * (1 - part) / (2 * (1 + part))
+    decay_there = F.exp(-2 * differ_there / SKETCH_BITS)
+    spread = SKETCH_BITS * (1 - decay_there * decay_there) / 4 - differ_there * decay_there * decay_there
+    parities = F.greatest(spread, F.lit(0.0)) / (4 * decay_there * decay_there)
+    drawing = union * part * (1 - part) * (1 - F.pow(F.lit(0.5), a["level"]))
+    enough = shared >= part * union - SIGMAS * F.sqrt(drawing + parities) - 1
+    return (a["level"] != b["level"]) | enough
 
 
 def sketch_of(side: str) -> dict[str, Column]:
@@ -162,7 +170,7 @@ class Classes:
         self.texts = docs.select(quoted(id_col).alias("doc_id"), text_of(text_col).alias("text"))
         k0, k1 = text_keys(F.col("text"))
         id_type = docs.schema[id_col].dataType.simpleString()
-        schema = f"doc_id {id_type}, k0 bigint, k1 bigint, n_shingles bigint, sid binary, bands array<bigint>, odd array<bigint>, n_samples bigint"
+        schema = f"doc_id {id_type}, k0 bigint, k1 bigint, n_shingles bigint, sid binary, bands array<bigint>, odd array<bigint>, n_samples bigint, level int"
         keyed = self.texts.select("doc_id", k0.alias("k0"), k1.alias("k1"), "text")
         self.rows = self.scratch.keep(keyed.mapInArrow(sketch_batches, schema))
         one = (

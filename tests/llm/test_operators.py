@@ -166,19 +166,20 @@ def test_chains_of_near_copies_are_one_component(spark):
     assert {r.doc_id for r in left.collect()} == {c for _, c in want.values()}
 
 
-def test_odd_sketches_pass_links_and_stop_most_others(spark):
-    words = fx.prose(1, 300).split()
+@pytest.mark.parametrize("size", [300, 6000])
+def test_odd_sketches_pass_links_and_stop_most_others(spark, size):
+    words = fx.prose(1, size, 5000).split()
     texts = []
     for i in range(60):
         edited = list(words)
-        edited[: i * 4 : 7] = [f"e{i}"] * len(edited[: i * 4 : 7])
+        edited[: i * size // 75 : 7] = [f"e{i}"] * len(edited[: i * size // 75 : 7])
         texts.append(" ".join(edited))
     sets = [minhash.shingle_set(t) for t in texts]
     rows = []
     for i, s in enumerate(sets):
-        odd, n = minhash.odd_sketch(s)
-        rows.append((i, odd.tolist(), n, len(s)))
-    side = spark.createDataFrame(rows, "i bigint, odd array<bigint>, n_samples bigint, n_shingles bigint")
+        odd, n, level = minhash.odd_sketch(s)
+        rows.append((i, odd.tolist(), n, level))
+    side = spark.createDataFrame(rows, "i bigint, odd array<bigint>, n_samples bigint, level int")
     a, b = (side.select(*(F.col(c).alias(f"{c}_{x}") for c in side.columns)) for x in "ab")
     passed = a.join(b, F.col("i_a") < F.col("i_b")).where(minhash.alike(minhash.sketch_of("a"), minhash.sketch_of("b")))
     passed = {(r.i_a, r.i_b) for r in passed.select("i_a", "i_b").collect()}
@@ -186,7 +187,7 @@ def test_odd_sketches_pass_links_and_stop_most_others(spark):
         for j in range(i + 1, 60):
             same = len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j]))
             assert same < 0.75 or (i, j) in passed
-            assert same > 0.62 or (i, j) not in passed
+            assert same > (0.7 if size == 300 else 0.64) or (i, j) not in passed
 
 
 # --- mixing ---------------------------------------------------------------------------------
