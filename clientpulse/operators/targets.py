@@ -18,68 +18,74 @@ TARGETS = (
     ("cart_conversion", "cart", True, "low_to_medium", 2, "high", 1),
     ("purchase_based_churn", "buy", False, "low", 1, "medium", 2),
 )
+WINDOW_COLUMNS = ("history_start", "cutoff_date", "target_end", "history_days")
 BALANCE_CENTER = 0.25
 MIN_NON_CHURN_RATE = 0.03
 
 
+def client_dates(events: DataFrame, broad: bool = False) -> DataFrame:
+    """First and last purchase, first cart and, with ``broad``, first event of each client:
+    all that cohorts and buyers of any window follow from."""
+    kind, date = F.col("event_type"), F.col("event_date")
+    rows = events if broad else events.where(kind.isin(CART, BUY))
+    return rows.groupBy("client_id").agg(
+        F.min(F.when(kind == BUY, date)).alias("first_buy"),
+        F.max(F.when(kind == BUY, date)).alias("last_buy"),
+        F.min(F.when(kind == CART, date)).alias("first_cart"),
+        F.min(date).alias("first_any"),
+    )
+
+
+def with_windows(bounds: DataFrame, days: Sequence[int]) -> DataFrame:
+    """(target_days, history_start, cutoff_date, target_end, history_days) of each length:
+    a window ends on the last purchase date."""
+    cutoff = F.date_sub(F.col("target_end"), F.col("target_days") - 1)
+    return bounds.select("*", F.explode(F.array(*(F.lit(d) for d in days))).alias("target_days")).withColumns(
+        {"cutoff_date": cutoff, "history_days": F.datediff(cutoff, "history_start")}
+    )
+
+
 def target_windows(events: DataFrame, days: Sequence[int] = TARGET_WINDOWS) -> DataFrame:
-    """One row per window length: it ends on the last purchase date."""
+    """One row per window length."""
     bounds = events.where(F.col("event_type") == BUY).agg(
         F.min("event_date").alias("history_start"), F.max("event_date").alias("target_end")
     )
-    cutoff = F.date_sub(F.col("target_end"), F.col("target_days") - 1)
-    return bounds.select(
-        F.explode(F.array(*(F.lit(d) for d in days))).alias("target_days"), "history_start", "target_end"
-    ).select(
-        "target_days",
-        "history_start",
-        cutoff.alias("cutoff_date"),
-        "target_end",
-        F.datediff(cutoff, "history_start").alias("history_days"),
-    )
+    return with_windows(bounds, days).select("target_days", *WINDOW_COLUMNS)
 
 
 def window_counts(events: DataFrame, days: Sequence[int] = TARGET_WINDOWS, broad: bool = False) -> DataFrame:
-    """Cohort sizes and buyers for all windows from one scan and one shuffle.
-
-    Clients carry one set of flags per window; ``active`` is cart or purchase
-    history and ``any`` (only with ``broad``) any event in history."""
-    kind, date = F.col("event_type"), F.col("event_date")
-    last = events.where(kind == BUY).agg(F.max("event_date")).scalar()
-    rows = (events if broad else events.where(kind.isin(CART, BUY))).select(
-        "client_id", "event_type", "event_date", last.alias("target_end")
-    )
-    flags = []
-    for d in days:
-        cutoff = F.date_sub("target_end", d - 1)
-        flags += [
-            F.max((kind == BUY) & (date < cutoff)).alias(f"buy_{d}"),
-            F.max((kind == CART) & (date < cutoff)).alias(f"cart_{d}"),
-            F.max(date < cutoff).alias(f"any_{d}"),
-            F.max((kind == BUY) & (date >= cutoff) & (date <= F.col("target_end"))).alias(f"bought_{d}"),
-        ]
-    clients = rows.groupBy("client_id").agg(*flags)
+    """Window, cohort size and buyers for all windows, from one aggregation by client.
+
+    ``active`` is cart or purchase history and ``any`` (only with ``broad``) any event
+    in history. The bounds are taken from the clients' dates, so events are read once."""
+    clients = client_dates(events, broad)
+    bounds = clients.agg(
+        F.struct(F.min("first_buy").alias("history_start"), F.max("last_buy").alias("target_end")).alias("b")
+    ).scalar()
+    dated = clients.withColumn("b", bounds)
+    names = ("buy", "cart", "active", *(("any",) if broad else ()))
     cells = []
     for d in days:
-        bought = F.col(f"bought_{d}")
-        cohorts = {
-            "buy": F.col(f"buy_{d}"),
-            "cart": F.col(f"cart_{d}"),
-            "active": F.col(f"buy_{d}") | F.col(f"cart_{d}"),
+        cutoff = F.date_sub(F.col("b.target_end"), d - 1)
+        buys, carts = F.col("first_buy") < cutoff, F.col("first_cart") < cutoff
+        members = {
+            "buy": buys,
+            "cart": carts,
+            "active": F.coalesce(buys, F.lit(False)) | F.coalesce(carts, F.lit(False)),
+            "any": F.col("first_any") < cutoff,
         }
-        if broad:
-            cohorts["any"] = F.col(f"any_{d}")
-        for name, member in cohorts.items():
+        for name in names:
             cells.append(
                 F.struct(
-                    F.lit(d).alias("target_days"),
+                    F.lit(d).alias("days"),
                     F.lit(name).alias("cohort"),
-                    F.count_if(member).alias("eligible_clients"),
-                    F.count_if(member & bought).alias("buyers"),
-                ).alias(f"{name}_{d}")
+                    F.count_if(members[name]).alias("eligible_clients"),
+                    F.count_if(members[name] & (F.col("last_buy") >= cutoff)).alias("buyers"),
+                )
             )
-    wide = clients.agg(*cells)
-    return wide.select(F.inline(F.array(*(F.col(c) for c in wide.columns))))
+    counted = dated.agg(F.array(*cells).alias("cells"), F.max("b.history_start").alias("history_start"), F.max("b.target_end").alias("target_end"))
+    rows = with_windows(counted, days).select("target_days", *WINDOW_COLUMNS, F.inline("cells"))
+    return rows.where(F.col("days") == F.col("target_days")).drop("days")
 
 
 def rate6(part: Column, whole: Column) -> Column:
@@ -90,12 +96,9 @@ def churn_balance(events: DataFrame, days: Sequence[int] = TARGET_WINDOWS) -> Da
     """Of the clients who bought in history, how many do not buy in the window."""
     eligible, stayed = F.col("eligible_clients"), F.col("buyers")
     counts = window_counts(events, days).where(F.col("cohort") == "buy")
-    return target_windows(events, days).join(counts, "target_days").select(
+    return counts.select(
         "target_days",
-        "history_start",
-        "cutoff_date",
-        "target_end",
-        "history_days",
+        *WINDOW_COLUMNS,
         "eligible_clients",
         (eligible - stayed).alias("churn_clients"),
         stayed.alias("non_churn_clients"),
@@ -161,7 +164,7 @@ def target_comparison(events: DataFrame, days: Sequence[int] = TARGET_WINDOWS) -
             F.row_number().over(Window.orderBy("overall_recommendation_score", "target_days", "target_order")) == 1,
         )
     )
-    return target_windows(events, days).join(ranked, "target_days").select(
+    return ranked.select(
         "target_name",
         "target_days",
         "history_start",
@@ -207,28 +210,21 @@ def active_cohorts(events: DataFrame, days: Sequence[int] = TARGET_WINDOWS, broa
     """Cohort options per window: A purchase history, B purchase or cart, C any
     event. C needs the large page-visit table, so it is skipped unless ``broad``."""
     option = F.when(F.col("cohort") == "buy", "A").when(F.col("cohort") == "active", "B").otherwise("C")
-    counts = (
-        window_counts(events, days, broad)
-        .where(F.col("cohort") != "cart")
-        .select(
-            "target_days",
-            option.alias("cohort_option"),
-            "eligible_clients",
-            F.col("buyers").alias("clients_with_purchase_in_target"),
-            rate6(F.col("buyers"), F.col("eligible_clients")).alias("target_positive_rate"),
-            F.lit("computed").alias("status"),
-        )
+    eligible, buyers = F.col("eligible_clients"), F.col("buyers")
+    computed = F.struct(
+        option.alias("cohort_option"),
+        eligible.alias("eligible_clients"),
+        buyers.alias("clients_with_purchase_in_target"),
+        rate6(buyers, eligible).alias("target_positive_rate"),
+        F.lit("computed").alias("status"),
     )
-    windows = target_windows(events, days).select("target_days", "cutoff_date", "target_end")
-    out = windows.join(counts, "target_days")
-    if not broad:
-        skipped = windows.select(
-            "*",
-            F.lit("C").alias("cohort_option"),
-            F.lit(None).cast("bigint").alias("eligible_clients"),
-            F.lit(None).cast("bigint").alias("clients_with_purchase_in_target"),
-            F.lit(None).cast("double").alias("target_positive_rate"),
-            F.lit("skipped").alias("status"),
-        )
-        out = out.unionByName(skipped)
-    return out
+    skipped = F.struct(
+        F.lit("C").alias("cohort_option"),
+        F.lit(None).cast("bigint").alias("eligible_clients"),
+        F.lit(None).cast("bigint").alias("clients_with_purchase_in_target"),
+        F.lit(None).cast("double").alias("target_positive_rate"),
+        F.lit("skipped").alias("status"),
+    )
+    options = F.array(computed) if broad else F.when(F.col("cohort") == "buy", F.array(computed, skipped)).otherwise(F.array(computed))
+    counts = window_counts(events, days, broad).where(F.col("cohort") != "cart")
+    return counts.select("target_days", "cutoff_date", "target_end", F.inline(options))

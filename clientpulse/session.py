@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,17 +35,25 @@ def pin_time_zone(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. A temporary folder is used only by a local
-    master, where the driver and the executors are the same machine."""
+    master, where the driver and the executors are the same machine, and goes with it."""
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set(CHECKPOINT_CONF, folder)
     return folder
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this package wrote to the shared folder; for the end of a
+    session's work, as results may still read them before."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/clientpulse")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

@@ -14,8 +14,8 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from clientpulse.session import build_session
+def spark(tmp_path_factory):
+    from clientpulse.session import build_session, release
 
     session = build_session(
         "tests",
@@ -24,8 +24,10 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
