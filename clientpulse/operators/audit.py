@@ -66,7 +66,8 @@ def variance_audit(df: DataFrame, families: Families, exact: bool = True) -> Dat
         .groupBy(F.col("column_name").alias("feature_name"))
         .agg(
             F.count("*").alias("row_count"),
-            F.count("value").alias("non_null_count"),
+            # NaN is a missing value, too
+            F.count(F.nanvl("value", F.lit(None))).alias("non_null_count"),
             F.stddev("value").alias("stddev"),
             F.variance("value").alias("variance"),
             F.min("value").alias("min"),
@@ -107,12 +108,20 @@ def _number(column: str) -> Column:
     return F.coalesce(F.col(column).cast("double"), F.lit(0.0))
 
 
+def _correlation(x: Column, y: Column) -> Column:
+    """Of the rows where both are known; null where one of them does not vary."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
 def correlations(df: DataFrame, columns: Sequence[str], nulls: str = "zero") -> dict[tuple[str, str], float]:
     """Pearson correlation of every pair of columns that vary.
 
     ``nulls='zero'`` reads a null as 0 and computes the whole matrix in one
     distributed pass over assembled vectors; ``'skip'`` leaves out, per pair,
-    the rows with a null, as conditional aggregates of one pass."""
+    the rows with a null: a row becomes one row per column, grouped by it, and each
+    group holds the sums against all columns."""
     columns = list(columns)
     if nulls == "zero":
         columns = varying(df, columns, nulls_as_zero=True)
@@ -124,19 +133,18 @@ def correlations(df: DataFrame, columns: Sequence[str], nulls: str = "zero") ->
         return {(a, b): float(matrix[i][j]) for i, a in enumerate(columns) for j, b in enumerate(columns)}
     if nulls != "skip":
         raise ValueError(f"nulls must be 'zero' or 'skip', not {nulls!r}")
-    x, y = F.col("x"), F.col("y")
-    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    x = F.col("x")
     values = df.select(F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
     rows = (
         values.select("v", F.posexplode("v").alias("i", "x"))
         .where(x.isNotNull())
-        .select("i", "x", F.posexplode("v").alias("j", "y"))
-        .where(y.isNotNull() & (F.col("i") < F.col("j")))
-        .groupBy("i", "j")
-        .agg(F.when(spread > 0, F.covar_pop(x, y) / spread).alias("r"))
+        .groupBy("i")
+        .agg(*(_correlation(x, F.col("v")[j]).alias(str(j)) for j in range(len(columns))))
         .collect()
     )
-    found = {(columns[r.i], columns[r.j]): r.r for r in rows if r.r is not None}
+    found = {
+        (columns[r.i], columns[j]): r[str(j)] for r in rows for j in range(r.i + 1, len(columns)) if r[str(j)] is not None
+    }
     return found | {(b, a): r for (a, b), r in found.items()}
 
 

@@ -9,6 +9,7 @@ from clientpulse.config import BUY, CART, ELIGIBLE, Snapshot
 from clientpulse.functions import forbidden_columns, in_history, in_target, label_like
 from clientpulse.operators.checks import Check, check_table, none_of, per_client
 
+# The rule as the check reports it, and below the names of the checks.
 BOUNDARY_RULE = "event_ts >= cutoff_date and event_ts < date_add(target_end, 1)"
 
 

@@ -202,6 +202,7 @@ def topk_overlap(
 
 def policy_table(points: DataFrame, topk: DataFrame) -> DataFrame:
     """Threshold policies next to top-K policies."""
+    # The labels of the policies.
     names = {
         "max_f1": "Best-F1 threshold",
         "precision_ge_20_lowest_threshold": "Precision >= 20% threshold",

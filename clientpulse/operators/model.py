@@ -126,7 +126,7 @@ def check_card(card: Mapping[str, Any]) -> None:
     if missing:
         raise ValueError("model card is missing " + ", ".join(missing))
     if len(card["feature_order"]) != len(card["coefficients"]):
-        raise ValueError("feature_order and coefficients must have the same length")
+        raise ValueError("a model card needs one coefficient for each feature")
     unknown = [f for f in card["feature_order"] if f not in card["imputation_values"]]
     if unknown:
         raise ValueError("no imputation value for " + ", ".join(unknown))

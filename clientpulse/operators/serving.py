@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from clientpulse.config import SCORE_THRESHOLD, SEED
 from clientpulse.functions import forbidden_columns, require_columns
@@ -55,6 +57,7 @@ def score_checks(scores: DataFrame, eligible_rows: DataFrame, loaded: bool = Tru
         *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums), F.count_if(F.col("rows") > 1).alias("duplicates")
     ).withColumn("eligible", eligible_rows.agg(F.count("*")).scalar())
     leaks = forbidden_columns(scores, "scores")
+    # fixed values: the names of the checks
     return check_table(
         summary,
         [
@@ -126,15 +129,25 @@ def lookup(scores: DataFrame, ids: Sequence[str | int] | DataFrame, buckets: int
 
     A list becomes a pushed-down filter, also on the bucket column of a table
     written with ``write_scores``; a DataFrame of ids becomes a semi join."""
-    text = F.col("client_id").cast("string")
+    kind = scores.schema["client_id"].dataType
+    bucketed = "client_bucket" in scores.columns
     if isinstance(ids, DataFrame):
-        wanted = ids.select(F.col("client_id").cast("string").alias("__id")).distinct()
-        return scores.join(wanted, text == F.col("__id"), "left_semi").select(*SCORE_COLUMNS)
+        text = F.col("client_id").cast("string")
+        wanted = ids.select(text.try_cast(kind).alias("__id"), client_bucket(text, buckets).alias("__bucket")).distinct()
+        same = F.col("client_id") == F.col("__id")
+        if bucketed:
+            same = same & (F.col("client_bucket") == F.col("__bucket"))
+        return scores.join(wanted, same, "left_semi").select(*SCORE_COLUMNS)
     values = [str(i) for i in ids]
     if not values:
         return scores.limit(0).select(*SCORE_COLUMNS)
-    found = scores.where(text.isin(*values))
-    if "client_bucket" in scores.columns:
+    if isinstance(kind, IntegralType):
+        # text that is no number of this type is nobody's id
+        typed = [int(v) for v in values if re.fullmatch(r"-?\d{1,18}", v)]
+    else:
+        typed = values
+    found = scores.where(F.col("client_id").isin(*typed)) if typed else scores.limit(0)
+    if bucketed:
         rows = scores.sparkSession.createDataFrame([(v,) for v in values], "v string")
         opened = {r[0] for r in rows.select(client_bucket(F.col("v"), buckets)).collect()}
         found = found.where(F.col("client_bucket").isin(*sorted(opened)))

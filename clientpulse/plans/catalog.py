@@ -548,8 +548,7 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def correlation_matrix_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    families = {"recency_features": feature_families()["recency_features"], "overall_activity": ("active_days_count",)}
-    return audit.correlation_matrix(feature_frame(spark, sf_dir), families, nulls="skip")
+    return audit.correlation_matrix(feature_frame(spark, sf_dir), feature_families(), nulls="skip")
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1215,7 +1215,7 @@ FROM features""",
   {r6('stddev', 'stddev')}, {r6('variance', 'variance')}, {r6('lo', 'min')}, {r6('hi', 'max')}, is_constant FROM audited""",
     )
     q["correlation_matrix"] = with_(*audit_ctes(), *matrix_ctes("training"), MATRIX_SELECT)
-    skip = {"recency_features": feature_families()["recency_features"], "overall_activity": ("active_days_count",)}
+    skip = feature_families()
     q["correlation_matrix_skip"] = with_(
         *feature_ctes(),
         long_cte("features", [f for fs in skip.values() for f in fs]),
