@@ -21,20 +21,33 @@ from clientpulse.config import TOPK_PERCENTS
 ROWS_PER_RANGE = 50_000
 # Over all groups together; more rows than this many ranges hold make longer ranges.
 MOST_RANGES = 1024
-_EVERYTHING = "__all"
 
 
-def range_edges(rows: DataFrame, key: str, groups: Sequence[str], rows_per_range: int) -> DataFrame:
-    """(groups, __edges): sorted keys that cut each group, about ``MOST_RANGES`` in all at
-    most, none for a small table."""
-    total = rows.agg(F.count("*").alias("n")).select(
-        F.when(
-            F.col("n") > rows_per_range, F.least(F.col("n") / rows_per_range, F.lit(float(MOST_RANGES))) / F.col("n")
-        ).otherwise(0.0)
-    )
+def null_safe(groups: Sequence[str], other: str) -> Column:
+    """Null-safe equality of group columns with those named after ``other``."""
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(other.format(g)))
+    return on
+
+
+def with_range(rows: DataFrame, key: str, groups: Sequence[str], rows_per_range: int) -> DataFrame:
+    """Add ``__range``: the number of edges below the key. Edges are keys drawn by their
+    hashes, about ``MOST_RANGES`` in all at most, none for a small table."""
+    share = F.least(F.col("n") / rows_per_range, F.lit(float(MOST_RANGES))) / F.col("n")
+    total = rows.agg(F.count("*").alias("n")).select(F.when(F.col("n") > rows_per_range, share).otherwise(0.0))
     drawn = F.pmod(F.xxhash64(F.lit("range"), key), F.lit(1 << 31)) / float(1 << 31)
     sample = rows.where(F.col(key).isNotNull() & (drawn < total.scalar()))
-    return sample.groupBy(*groups).agg(F.sort_array(F.collect_set(key)).alias("__edges"))
+    edges_of = F.sort_array(F.collect_set(key)).alias("__edges")
+    if groups:
+        edges = sample.groupBy(*groups).agg(edges_of)
+        side = edges.select(*(F.col(g).alias(f"__{g}_of_edges") for g in groups), "__edges")
+        # bounded: about MOST_RANGES keys in all
+        met = rows.join(F.broadcast(side), null_safe(groups, "__{}_of_edges"), "left")
+    else:
+        met = rows.withColumn("__edges", sample.agg(edges_of).scalar())
+    below = F.size(F.filter("__edges", lambda edge: edge < F.col(key)))
+    return met.select(*rows.columns, F.when(F.col("__edges").isNull(), 0).otherwise(below).alias("__range"))
 
 
 def running_totals(
@@ -42,20 +55,11 @@ def running_totals(
 ) -> DataFrame:
     """For each row, add ``<sum>_before`` (over rows of the group with a smaller ``key``)
     and ``<sum>_total``. ``df`` holds one row per group and key."""
-    groups = list(by) or [_EVERYTHING]
-    rows = df if by else df.withColumn(_EVERYTHING, F.lit(0))
-    edges = range_edges(rows, key, groups, rows_per_range or ROWS_PER_RANGE)
-    names = {g: f"__{g}_of_edges" for g in groups}
-    side = edges.select(*(F.col(g).alias(n) for g, n in names.items()), "__edges")
-    on = F.lit(True)
-    for g, n in names.items():
-        on = on & F.col(g).eqNullSafe(F.col(n))
-    # bounded: about MOST_RANGES keys in all
-    met = rows.join(F.broadcast(side), on, "left")
-    place = F.coalesce(F.size(F.filter("__edges", lambda edge: edge < F.col(key))), F.lit(0))
-    ranged = met.select(*rows.columns, F.greatest(place, F.lit(0)).alias("__range"))
+    groups = list(by)
+    ranged = with_range(df, key, groups, rows_per_range or ROWS_PER_RANGE)
     before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
+    # one row per group and range
     offsets = (
         ranged.groupBy(*groups, "__range")
         .agg(*(F.sum(s).alias(f"__{s}") for s in sums))
@@ -70,9 +74,7 @@ def running_totals(
     counted = ranged.select(
         "*", *(F.coalesce(F.sum(s).over(inside), F.lit(0)).alias(f"__{s}_inside") for s in sums)
     )
-    on = F.col("__range") == F.col("__range_of_offsets")
-    for g in groups:
-        on = on & F.col(g).eqNullSafe(F.col(f"__{g}_of_offsets"))
+    on = (F.col("__range") == F.col("__range_of_offsets")) & null_safe(groups, "__{}_of_offsets")
     return counted.join(offsets, on).select(
         *df.columns,
         *((F.col(f"__{s}_inside") + F.col(f"__{s}_offset")).alias(f"{s}_before") for s in sums),
@@ -222,11 +224,8 @@ def topk_cutoffs(
         )
     )
     cut = _cut_inside_ties(scored, score, by, tie_break, ends)
-    on = F.lit(True)
-    for c in keys:
-        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
     inside = F.col("take") < F.col("n")
-    return ends.join(cut, on, "left").select(
+    return ends.join(cut, null_safe(keys, "__{}"), "left").select(
         *keys,
         "k",
         "cutoff_score",
@@ -244,9 +243,7 @@ def _cut_inside_ties(scored: DataFrame, score: str, by: Sequence[str], tie_break
     split = ends.where(F.col("take") < F.col("n")).select(
         *(F.col(c).alias(f"__{c}") for c in keys), F.col("cutoff_score").alias("__cutoff"), "take"
     )
-    on = F.col(score) == F.col("__cutoff")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    on = (F.col(score) == F.col("__cutoff")) & null_safe(by, "__{}")
     ids = scored.select(*by, score, F.col(tie_break).alias("__id"), F.col("label").cast("long").alias("__label"))
     tied = (
         ids.join(split, on)

@@ -163,9 +163,9 @@ def validation_of_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t in (CART, REMOVE, BUY):
         raw = fx.raw_text_events(spark, sf_dir, t)
         kept = prepare.standardize_events(raw, EVENT_SPECS[t]).agg(
-            F.count("*").alias("clean_rows"), F.sum("client_id").alias("client_id_sum"), F.sum("sku").alias("sku_sum")
+            F.struct(F.count("*").alias("clean_rows"), F.sum("client_id").alias("client_id_sum"), F.sum("sku").alias("sku_sum"))
         )
-        part = prepare.validation_counts(raw, EVENT_SPECS[t]).join(kept)
+        part = prepare.validation_counts(raw, EVENT_SPECS[t]).withColumn("kept", kept.scalar()).select("*", "kept.*").drop("kept")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -7,12 +7,11 @@ import re
 import pytest
 from conftest import SF
 
-import __spark_entry__ as entry
-from clientpulse.operators import features, labels, paths
+from clientpulse.operators import features, labels, paths, targets
+from clientpulse.plans.catalog import QUERIES
 from clientpulse.sources import fixtures as fx
 from clientpulse.sources import read_events, write_events
 
-QUERIES = entry.queries()
 MODELS = {
     "ablation",
     "combined_ablation",
@@ -24,6 +23,9 @@ MODELS = {
     "batch_score",
     "coefficient_table",
     "model_card",
+    "velocity_ablation",
+    "benchmark_report",
+    "coefficient_checks",  # compares features with features, not rows with rows
 }
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CollectLimit")
 
@@ -82,3 +84,11 @@ def test_transitions_window_over_slices(spark, stored):
     plan = plan_of(features.transition_features(read_events(spark, stored), fx.ORDERS_SNAPSHOT.cutoff))
     partitions = re.findall(r"windowspecdefinition\(([^)]*?)specifiedwindowframe", plan)
     assert partitions and all("__slice" in p for p in partitions)
+
+
+def test_targets_read_events_once(spark, stored):
+    rows = targets.target_comparison(read_events(spark, stored))
+    rows.collect()
+    final = plan_of(rows).split("== Initial Plan ==")[0]
+    # the second reference, for the bounds, is the reused exchange
+    assert final.count("FileScan") == 1 or "ReusedExchange" in final
