@@ -82,18 +82,18 @@ class Transducer:
 
     def merge(self, piece: bytes) -> list[int]:
         """Merges by rank, lowest and leftmost first; for the short strings of two tokens."""
+        get, none = self.ranks.get, len(self.ranks) + (1 << 32)
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], none)
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], none)
+        return [self.ranks[p] for p in parts]
 
     def follows(self, left: int, right: int) -> bool:
         """May token ``right`` come directly after ``left`` (-1: the start) in an encoding?"""
@@ -123,14 +123,14 @@ class Transducer:
         prefix = (*state.prefix, end)
         # places where a later token may still start
         live = [j for j in range(max(0, n - self.longest), n) if text[j:] in self.starts] + [n]
-        chains = [self.chain(prefix, j) for j in live]
-        common = chains[0]
-        for chain in chains[1:]:
-            k = 0
-            while k < len(common) and k < len(chain) and common[k] == chain[k]:
-                k += 1
-            common = common[:k]
-        cut = sum(len(self.bytes_of[t]) for t in common)
+        # the last place that the encodings of all of them pass
+        places = set(live)
+        while len(places) > 1:
+            far = max(places)
+            places.remove(far)
+            places.add(far - len(self.bytes_of[prefix[far - 1]]))
+        cut = places.pop()
+        common = self.chain(prefix, cut)
         last = common[-1] if common else state.last
         key = (last, text[cut:])
         target = self.states.get(key)
