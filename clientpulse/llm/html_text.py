@@ -50,17 +50,24 @@ IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th", "caption"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
+    "tr": ({"tr", "td", "th", "caption"}, {"table", "template"}),
+    "td": ({"td", "th"}, {"tr", "table", "template"}),
+    "th": ({"td", "th"}, {"tr", "table", "template"}),
+    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table", "template"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table", "template"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table", "template"}),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
 SCOPE = frozenset("table td th caption html button object template".split())
+#: Start tag inside a table -> elements it may stand in; whatever is open within those ends.
+GROUPS = frozenset("thead tbody tfoot".split())
+PLACE = (
+    dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), frozenset({"table"}))
+    | dict.fromkeys(("td", "th"), GROUPS | {"table", "tr"})
+    | {"tr": GROUPS | {"table"}, "col": frozenset({"table", "colgroup"})}
+)
 
 
 class Element:
@@ -93,13 +100,32 @@ def build(page: str) -> Element:
                 close(ends, until)
                 return
 
+    def place(tag: str) -> bool:
+        """Make room in the innermost table; False if there is none."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == "template":
+                return False
+            if stack[i].tag in PLACE[tag]:
+                if stack[i].tag != "table" and not any(e.tag == "table" for e in stack[:i]):
+                    return False
+                del stack[i + 1 :]
+                return True
+            if stack[i].tag == "table":
+                return False
+        return False
+
+    def write(text: str) -> None:
+        if stack[-1].tag == "colgroup" and text.strip(" \t\n\r\f"):
+            stack.pop()
+        stack[-1].children.append(html.unescape(text))
+
     while at < n:
         token = TOKEN.search(page, at)
         if token is None:
-            stack[-1].children.append(html.unescape(page[at:]))
+            write(page[at:])
             break
         if token.start() > at:
-            stack[-1].children.append(html.unescape(page[at : token.start()]))
+            write(page[at : token.start()])
         at = token.end()
         if token[2] is None:
             continue
@@ -111,12 +137,21 @@ def build(page: str) -> Element:
                 if stack[i].tag == tag:
                     del stack[i:]
                     break
-                if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body"):
+                if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "template"):
                     break
             continue
         if tag == "html":
             continue
-        if tag in IMPLIED_END:
+        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            stack.pop()
+        if tag == "form" and (stack[-1].tag in GROUPS or stack[-1].tag in ("table", "tr")):
+            continue  # as in browsers, such a form holds nothing
+        if tag in PLACE and place(tag):
+            if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < MOST_DEPTH:
+                row = Element("tr")
+                stack[-1].children.append(row)
+                stack.append(row)
+        elif tag in IMPLIED_END:
             close(*IMPLIED_END[tag])
         elif tag in CLOSES_P:
             close({"p"}, SCOPE)
@@ -245,33 +280,39 @@ def cell_text(cell: Element) -> str:
     return " ".join(line.strip() for line in out.done() if line.strip())
 
 
-def rows_of(table: Element) -> Iterator[Element]:
+def parts_of(table: Element, rows: list[Element], loose: list[Element | str]) -> None:
+    """Split what a table shows into its rows and all else."""
     for child in table.children:
-        if isinstance(child, Element) and not hidden(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from rows_of(child)
+        if isinstance(child, str):
+            loose.append(child)
+        elif child.tag in ("col", "colgroup") or hidden(child):
+            continue
+        elif child.tag == "tr":
+            rows.append(child)
+        elif child.tag in GROUPS:
+            parts_of(child, rows, loose)
+        else:
+            loose.append(child)
 
 
 def table_lines(table: Element) -> list[str]:
-    """Rows with aligned cells; what is in a table but in no cell comes first."""
+    """Rows with aligned cells; what is in a table but in no row comes first."""
+    rows: list[Element] = []
     loose = Element("div")
-    loose.children = [
-        c for c in table.children if isinstance(c, str) or c.tag not in ("tr", "thead", "tbody", "tfoot", "col", "colgroup")
-    ]
+    parts_of(table, rows, loose.children)
     out = Lines()
     show(loose, out)
     grid: list[list[tuple[str, int]]] = []
-    for row in rows_of(table):
+    for row in rows:
         cells = []
         for cell in row.children:
             if isinstance(cell, str):
                 if cell.strip():
                     cells.append((SPACE.sub(" ", cell).strip(), 1))
             elif not hidden(cell):
-                span = cell.get("colspan") or "1"
-                cells.append((cell_text(cell), min(int(span), 1000) if span.isdecimal() and int(span) else 1))
+                span, text = cell.get("colspan") or "1", cell_text(cell)
+                if text or cell.tag in ("td", "th"):
+                    cells.append((text, min(int(span), 1000) if span.isdecimal() and int(span) else 1))
         grid.append(cells)
     widths: dict[int, int] = {}
     for cells in grid:

@@ -29,6 +29,29 @@ def test_layout(page, text):
     assert render(page or "") == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><colgroup><col><tr><td>x</table>", "x"),
+        ("<table><colgroup><col><tbody><tr><td>x<td>y</table>z", "x  y\n\nz"),
+        ("<table><caption>c<colgroup><col><td>x</table>", "c\nx"),
+        ("<table><colgroup>loose<tr><td>x</table>", "loose\nx"),
+        ("<table><td>x<td>y</table>", "x  y"),
+        ("<table><tbody><td>x<tr><td>y</table>", "x\ny"),
+        ("<table><tbody>loose<tr><td>x</table>", "loose\nx"),
+        ("<table><tbody><p>loose</p><tr><td>x</table>", "loose\nx"),
+        ("<table><tbody><form><tr><td>x<td>y</form></table>", "x  y"),
+        ("<table><tr><form><td>x<td>y<tr><td>aa<td>b</form></table>", "x   y\naa  b"),
+        ("<table><tbody><center><tr><td>x</center></table>", "x"),
+        ("<table><tbody hidden>no<tr><td>no</tbody><tr><td>x</table>", "x"),
+        ("<table><tr><td>x<template><tr><td>no</template>y</table>", "xy"),
+        ("<table><tr><td><table><td>in</table><td>x</table>", "in  x"),
+    ],
+)
+def test_tables_keep_all_their_text(page, text):
+    assert render(page) == text
+
+
 def test_deep_and_broken_pages_end():
     assert render("<div>" * 5000 + "deep") == "deep"
     assert render("<td>" * 50 + "</table></p>x<").endswith("x<")
