@@ -60,6 +60,11 @@ IMPLIED_END = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
+#: What an open head or colgroup may hold; anything else, and text that is not blank, ends it.
+HOLDS = {
+    "head": frozenset("base basefont bgsound link meta title style script template noscript noframes head".split()),
+    "colgroup": frozenset({"col", "template"}),
+}
 SCOPE = frozenset("table td th caption html button object template".split())
 #: Start tag inside a table -> elements it may stand in; whatever is open within those ends.
 GROUPS = frozenset("thead tbody tfoot".split())
@@ -115,7 +120,7 @@ def build(page: str) -> Element:
         return False
 
     def write(text: str) -> None:
-        if stack[-1].tag == "colgroup" and text.strip(" \t\n\r\f"):
+        if stack[-1].tag in HOLDS and text.strip(" \t\n\r\f"):
             stack.pop()
         stack[-1].children.append(html.unescape(text))
 
@@ -142,8 +147,10 @@ def build(page: str) -> Element:
             continue
         if tag == "html":
             continue
-        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+        while stack[-1].tag in HOLDS and tag not in HOLDS[stack[-1].tag]:
             stack.pop()
+        if tag == "head" and len(stack) > 1:
+            continue
         if tag == "form" and (stack[-1].tag in GROUPS or stack[-1].tag in ("table", "tr")):
             continue  # as in browsers, such a form holds nothing
         if tag in PLACE and place(tag):

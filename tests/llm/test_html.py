@@ -52,6 +52,21 @@ def test_tables_keep_all_their_text(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>T</title><h1>Hi</h1><p>text", "Hi\n\ntext"),
+        ("<html><head><meta charset=utf-8>\n<link rel=x>\n<script>s</script>text", "text"),
+        ("<head><title>T</title>\n<noscript><link></noscript><style>s</style><template>t</template></head>x", "x"),
+        ("<head><title>T</title><div>a</div></head><body>b", "a\nb"),
+        ("<body>a<head>b", "ab"),
+        ("<html>\n<head>\n<body>x", "x"),
+    ],
+)
+def test_head_ends_where_its_content_does(page, text):
+    assert render(page) == text
+
+
 def test_deep_and_broken_pages_end():
     assert render("<div>" * 5000 + "deep") == "deep"
     assert render("<td>" * 50 + "</table></p>x<").endswith("x<")
