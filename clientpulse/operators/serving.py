@@ -22,6 +22,8 @@ from clientpulse.sources.sinks import SCORE_BUCKETS, client_bucket
 # Columns of the score table.
 SCORE_COLUMNS = ("client_id", "prediction_score", "prediction_label", "model_version", "scored_at")
 
+INTEGER_BITS = {"byte": 8, "short": 16, "integer": 32, "long": 64}
+
 
 def as_scores(scored: DataFrame, version: str, scored_at: str, threshold: float = SCORE_THRESHOLD) -> DataFrame:
     return scored.select(
@@ -143,7 +145,9 @@ def lookup(scores: DataFrame, ids: Sequence[str | int] | DataFrame, buckets: int
         return scores.limit(0).select(*SCORE_COLUMNS)
     if isinstance(kind, IntegralType):
         # text that is no number of this type is nobody's id
-        typed = [int(v) for v in values if re.fullmatch(r"-?\d{1,18}", v)]
+        most = 2 ** (INTEGER_BITS[kind.typeName()] - 1)
+        parts = (re.fullmatch(r"(-?)0*([0-9]{1,19})", v) for v in values)
+        typed = [n for p in parts if p and -most <= (n := int(p[1] + p[2])) < most]
     else:
         typed = values
     found = scores.where(F.col("client_id").isin(*typed)) if typed else scores.limit(0)

@@ -70,6 +70,16 @@ def test_lookup_opens_only_the_buckets_it_needs(spark, tmp_path):
     assert [r.client_id for r in serving.lookup(table, ids).collect()] == ["3"]
 
 
+def test_lookup_reaches_the_ends_of_integer_types(spark):
+    least, most = -(2**63), 2**63 - 1
+    table = spark.createDataFrame([(i, 0.5, 1, "v1", "2024-01-01") for i in (least, 10**18, most, 7)], SCHEMA)
+    ids = [str(least), 10**18, 9223372036854775807, most + 1, least - 1, "7x", "00000000000000000007"]
+    found = [r.client_id for r in serving.lookup(table, ids).collect()]
+    assert sorted(found) == [least, 7, 10**18, most]
+    small = scores(spark).withColumn("client_id", F.col("client_id").cast("int"))
+    assert [r.client_id for r in serving.lookup(small, [7, 2**31, 10**18]).collect()] == [7]
+
+
 def test_formats(spark):
     names = {
         "a.parquet": "parquet",
