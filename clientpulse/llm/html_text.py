@@ -4,8 +4,13 @@ A tokenizer over one regular expression feeds a tree builder that closes what HT
 lets pages leave open (``IMPLIED_END``), ignores end tags without a start, and closes
 everything at the end. A renderer walks the tree and writes all visible text:
 
-* ``head``, scripts, styles, templates, comments, ``hidden`` attributes and the inline
-  styles ``display:none`` and ``visibility:hidden`` show nothing; images show their alt text;
+* what a browser does not render shows nothing: ``head``, ``title``, ``script``, ``style``,
+  ``template``, ``noscript``, ``iframe``, ``noembed``, ``noframes``, ``datalist``, what stands
+  in for ``object``, ``canvas``, ``audio`` and ``video``, comments, ``hidden`` attributes and the
+  inline styles ``display:none`` and ``visibility:hidden``; images show their alt text;
+* formulas (``math``) show their text without annotations, fractions and cells set apart;
+  drawings (``svg``) the text and HTML drawn in place, not what ``use`` repeats;
+* a drop-down list shows its selected, else its first enabled option, a list box all options;
 * white space is one space, and kept in ``pre`` and ``textarea``;
 * blocks start on lines of their own, paragraphs and headings with a blank line around;
 * list items are indented by depth and marked with ``-`` or their number;
@@ -34,12 +39,21 @@ TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]*/\Z")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object svg math canvas audio video select datalist".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object canvas audio video datalist".split())
+FOREIGN = frozenset("svg math".split())
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask pattern marker lineargradient radialgradient filter".split())
+UNWRITTEN = frozenset("annotation annotation-xml mphantom".split())
+#: Elements of drawings and formulas that may hold HTML, and HTML tags that end a drawing or formula elsewhere.
+HOLDS_HTML = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset hr".split())
 BLOCK = SPACED | frozenset(
     "address article aside body center dd details dialog dir div dt fieldset figcaption footer form header html legend li main menu nav optgroup option section summary tbody tfoot thead tr caption".split()
@@ -65,7 +79,7 @@ HOLDS = {
     "head": frozenset("base basefont bgsound link meta title style script template noscript noframes head".split()),
     "colgroup": frozenset({"col", "template"}),
 }
-SCOPE = frozenset("table td th caption html button object template".split())
+SCOPE = frozenset("table td th caption html button object template".split()) | HOLDS_HTML
 #: Start tag inside a table -> elements it may stand in; whatever is open within those ends.
 GROUPS = frozenset("thead tbody tfoot".split())
 PLACE = (
@@ -92,7 +106,7 @@ class Element:
 def build(page: str) -> Element:
     """The tree of a page."""
     root = Element("html")
-    stack, at, n = [root], 0, len(page)
+    stack, at, n, drawn = [root], 0, len(page), False
 
     def close(ends, until) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -119,6 +133,15 @@ def build(page: str) -> Element:
                 return False
         return False
 
+    def foreign() -> int:
+        """The place of the drawing or formula whose own content comes next, or 0."""
+        for i in range(len(stack) - 1, 0, -1) if drawn else ():
+            if stack[i].tag in HOLDS_HTML:
+                return 0
+            if stack[i].tag in FOREIGN:
+                return i
+        return 0
+
     def write(text: str) -> None:
         if stack[-1].tag in HOLDS and text.strip(" \t\n\r\f"):
             stack.pop()
@@ -133,6 +156,10 @@ def build(page: str) -> Element:
             write(page[at : token.start()])
         at = token.end()
         if token[2] is None:
+            if page.startswith("<![CDATA[", token.start()) and foreign():
+                end = page.find("]]>", token.start())
+                at = n if end < 0 else end + 3
+                stack[-1].children.append(page[token.start() + 9 : n if end < 0 else end])
             continue
         tag = token[2].lower()
         if token[1]:
@@ -147,6 +174,8 @@ def build(page: str) -> Element:
             continue
         if tag == "html":
             continue
+        while drawn and tag in BREAKS_OUT and (i := foreign()):
+            del stack[i:]
         while stack[-1].tag in HOLDS and tag not in HOLDS[stack[-1].tag]:
             stack.pop()
         if tag == "head" and len(stack) > 1:
@@ -168,6 +197,9 @@ def build(page: str) -> Element:
         stack[-1].children.append(element)
         if tag in VOID:
             continue
+        drawn = drawn or tag in FOREIGN
+        if drawn and token[3].endswith("/") and not UNQUOTED_END.search(token[3]) and (tag in FOREIGN or foreign()):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE).search(page, at)
             raw = page[at : end.start()]
@@ -251,6 +283,15 @@ def show(element: Element, out: Lines, kept: bool = False, depth: int = 0) -> No
             out.end(True)
         elif tag == "img":
             out.text(child.get("alt") or "")
+        elif tag == "svg":
+            drawing(child, out)
+        elif tag == "math":
+            apart = (child.get("display") or "").lower() == "block"
+            out.block(False) if apart else None
+            formula(child, out)
+            out.block(False) if apart else None
+        elif tag == "select":
+            choice(child, out)
         elif tag == "table":
             out.block(True)
             for line in table_lines(child):
@@ -281,6 +322,87 @@ def show(element: Element, out: Lines, kept: bool = False, depth: int = 0) -> No
             show(child, out, kept or tag == "textarea", depth)
 
 
+def drawing(element: Element, out: Lines) -> None:
+    """The text of a drawing, each label set apart."""
+    if element.tag in UNDRAWN or element.get("display") == "none" or element.get("visibility") in ("hidden", "collapse"):
+        return
+    if element.tag == "svg" and "0" in (element.get("width"), element.get("height")):
+        return
+    if element.tag == "text":
+        out.text(" ")
+        label(element, out)
+        out.text(" ")
+        return
+    if element.tag == "foreignobject":
+        out.block(False)
+        show(element, out)
+        out.block(False)
+        return
+    parts = [c for c in element.children if isinstance(c, Element)]
+    if element.tag == "switch":  # the first that fits; languages are not known
+        parts = ([c for c in parts if c.get("systemlanguage") is None] or parts)[:1]
+    for child in parts:
+        if not hidden(child):
+            drawing(child, out)
+
+
+def label(text: Element, out: Lines) -> None:
+    for child in text.children:
+        if isinstance(child, str):
+            out.text(child)
+        elif not hidden(child) and child.tag not in UNDRAWN and child.get("display") != "none":
+            if any(child.get(k) is not None for k in ("x", "y", "dy")):
+                out.text(" ")
+            label(child, out)
+
+
+def formula(element: Element, out: Lines) -> None:
+    parts = element.children
+    if element.tag in ("semantics", "maction"):
+        parts = [c for c in parts if isinstance(c, Element)][:1]
+    for child in parts:
+        if isinstance(child, str):
+            out.text(child)
+        elif not hidden(child) and child.tag not in UNWRITTEN:
+            if element.tag == "mfrac" or child.tag in ("mtr", "mtd"):
+                out.text(" ")
+            (show if child.tag in HOLDS_HTML else formula)(child, out)
+    if element.tag in ("mfrac", "mtable"):
+        out.text(" ")
+
+
+def option_text(option: Element) -> str:
+    return SPACE.sub(" ", option.get("label") or "").strip() or cell_text(option)
+
+
+def choice(select: Element, out: Lines) -> None:
+    """The options that a list shows while it is closed."""
+    size = select.get("size") or ""
+    box = select.get("multiple") is not None or (re.fullmatch(r"\d{1,9}", size) is not None and int(size) > 1)
+    options: list[tuple[Element, bool]] = []
+
+    def collect(element: Element, off: bool) -> None:
+        for child in element.children:
+            if isinstance(child, str) or box and hidden(child) or child.tag in UNSEEN:
+                continue
+            if child.tag in ("option", "optgroup"):
+                options.append((child, off or child.get("disabled") is not None))
+            if child.tag != "option":
+                collect(child, off or child.tag == "optgroup" and child.get("disabled") is not None)
+
+    collect(select, False)
+    if box:
+        for option, _ in options:
+            out.block(False)
+            out.text(option_text(option) if option.tag == "option" else option.get("label") or "")
+        out.block(False)
+        return
+    options = [(o, off) for o, off in options if o.tag == "option"]
+    shown = [o for o, _ in options if o.get("selected") is not None][-1:] or [o for o, off in options if not off][:1]
+    for option in shown:
+        out.text(f" {option_text(option)} ")
+
+
 def cell_text(cell: Element) -> str:
     out = Lines()
     show(cell, out)

@@ -67,6 +67,31 @@ def test_head_ends_where_its_content_does(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("so <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.", "so x=2."),
+        ("<math><semantics><mrow><mi>y</mi></mrow><annotation>no</annotation></semantics></math>", "y"),
+        ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>", "1 2"),
+        ("<p><math><mtext><b>if</b></mtext><mi>z</math>!", "ifz!"),
+        ("<svg><title>no</title><defs><text>no</text></defs>no<g><path d='M0'/><text>one</text><text x=1>two</text></g></svg>z", "one two z"),
+        ("<svg><text><tspan x=0>a</tspan><tspan x=0 dy=9>b</tspan><![CDATA[c<d]]></text></svg>", "a bc<d"),
+        ("<svg><title/><path/>" + "<path/>" * 300 + "<text>deep</text></svg>", "deep"),
+        ("<p><svg><switch><foreignObject><div>html</div></foreignObject><text>no</text></switch></svg>", "html"),
+        ("<svg><path><p>after</p>", "after"),
+        ("<a href=x/>link</a><svg/>y", "linky"),
+        ("<svg display=none><text>no</text></svg><svg width=0 height=0><text>no</text></svg>x", "x"),
+        ("Day<select><option>Mon<option selected>Tue</select>!", "Day Tue !"),
+        ("<select><option disabled>no<optgroup label=g><option>a &amp; b<option>c</select>", "a & b"),
+        ("<select><option selected disabled hidden>Choose<option>a</select>", "Choose"),
+        ("<select multiple><optgroup label=g><option>a<option label=l>b</select>z", "g\na\nl\nz"),
+        ("<select><option>a</select><datalist><option>no</datalist><canvas>no</canvas><video>no</video>", "a"),
+    ],
+)
+def test_formulas_drawings_and_lists_show_their_text(page, text):
+    assert render(page) == text
+
+
 def test_deep_and_broken_pages_end():
     assert render("<div>" * 5000 + "deep") == "deep"
     assert render("<td>" * 50 + "</table></p>x<").endswith("x<")
