@@ -15,17 +15,19 @@ everything at the end. A renderer walks the tree and writes all visible text:
 * blocks start on lines of their own, paragraphs and headings with a blank line around;
 * list items are indented by depth and marked with ``-`` or their number;
 * table rows are lines, their cells padded to the width of their column; a cell takes
-  ``colspan`` columns, and lines of a cell are joined by spaces.
+  ``colspan`` columns and keeps them for ``rowspan`` rows of its part of the table, and
+  lines of a cell are joined by spaces.
 
 Defined cases: null and empty pages give an empty text, as do pages without visible
 text; broken markup is text or ignored, never an error; nesting beyond ``MOST_DEPTH``
-stays at that depth. Each page is rendered alone, so equal pages give equal texts.
+shows its text at that depth, hidden or not as its own elements say. Each page is rendered alone, so equal pages give equal texts.
 Extra columns are not read; an empty table gives an empty result."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from clientpulse.llm.common import quoted, slices, text_of
 
 MOST_DEPTH = 200
+#: Levels more for what a drawing, formula or list holds; open elements that a tag looks back over.
+MORE_DEPTH, FAR = 60, 1000
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
 )
@@ -90,10 +94,11 @@ PLACE = (
 
 
 class Element:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "depth", "most", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.depth, self.most = 0, MOST_DEPTH
 
     def get(self, name: str) -> str | None:
         """An attribute's value, empty without one; None without the attribute."""
@@ -107,13 +112,44 @@ def build(page: str) -> Element:
     """The tree of a page."""
     root = Element("html")
     stack, at, n, drawn = [root], 0, len(page), False
+    opened: Counter[str] = Counter()
+
+    def push(element: Element) -> None:
+        """Open an element that the tree has. Beyond the depth it stays empty there: what is
+        in it goes to its parent, or nowhere if it is hidden."""
+        parent = stack[-1]
+        most = MOST_DEPTH + MORE_DEPTH if element.tag in FOREIGN or element.tag == "select" else parent.most
+        if parent.depth + 1 < most:
+            element.depth = parent.depth + 1
+        else:
+            if element.tag in ("td", "th"):
+                parent.children.append(" ")
+            element = Element(element.tag, element.attributes)
+            element.depth = parent.depth
+            if not hidden(element):
+                element.children = parent.children
+        element.most = most
+        stack.append(element)
+        opened[element.tag] += 1
+
+    def cut(i: int) -> None:
+        for outer, e in zip(stack[i - 1 :], stack[i:]):
+            opened[e.tag] -= 1
+            if e.depth == outer.depth and e.tag in BLOCK:
+                e.children.append(Element("div"))  # beyond the depth, a block still ends its line
+        del stack[i:]
+
+    def back() -> range:
+        return range(len(stack) - 1, max(0, len(stack) - FAR), -1)
 
     def close(ends, until) -> None:
-        for i in range(len(stack) - 1, 0, -1):
+        if not any(opened[tag] > 0 for tag in ends):
+            return
+        for i in back():
             if stack[i].tag in until:
                 return
             if stack[i].tag in ends:
-                del stack[i:]
+                cut(i)
                 if not ends & {"tr", "tbody", "option"}:
                     return
                 close(ends, until)
@@ -121,13 +157,13 @@ def build(page: str) -> Element:
 
     def place(tag: str) -> bool:
         """Make room in the innermost table; False if there is none."""
-        for i in range(len(stack) - 1, 0, -1):
+        if opened["table"] <= 0:
+            return False
+        for i in back():
             if stack[i].tag == "template":
                 return False
             if stack[i].tag in PLACE[tag]:
-                if stack[i].tag != "table" and not any(e.tag == "table" for e in stack[:i]):
-                    return False
-                del stack[i + 1 :]
+                cut(i + 1)
                 return True
             if stack[i].tag == "table":
                 return False
@@ -135,7 +171,7 @@ def build(page: str) -> Element:
 
     def foreign() -> int:
         """The place of the drawing or formula whose own content comes next, or 0."""
-        for i in range(len(stack) - 1, 0, -1) if drawn else ():
+        for i in back() if drawn else ():
             if stack[i].tag in HOLDS_HTML:
                 return 0
             if stack[i].tag in FOREIGN:
@@ -144,7 +180,7 @@ def build(page: str) -> Element:
 
     def write(text: str) -> None:
         if stack[-1].tag in HOLDS and text.strip(" \t\n\r\f"):
-            stack.pop()
+            cut(len(stack) - 1)
         stack[-1].children.append(html.unescape(text))
 
     while at < n:
@@ -163,11 +199,11 @@ def build(page: str) -> Element:
             continue
         tag = token[2].lower()
         if token[1]:
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            if tag == "p" and not opened["p"]:
                 stack[-1].children.append(Element("p"))
-            for i in range(len(stack) - 1, 0, -1):
+            for i in back() if opened[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "template"):
                     break
@@ -175,18 +211,18 @@ def build(page: str) -> Element:
         if tag == "html":
             continue
         while drawn and tag in BREAKS_OUT and (i := foreign()):
-            del stack[i:]
+            cut(i)
         while stack[-1].tag in HOLDS and tag not in HOLDS[stack[-1].tag]:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag == "head" and len(stack) > 1:
             continue
         if tag == "form" and (stack[-1].tag in GROUPS or stack[-1].tag in ("table", "tr")):
             continue  # as in browsers, such a form holds nothing
         if tag in PLACE and place(tag):
-            if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < MOST_DEPTH:
+            if tag in ("td", "th") and stack[-1].tag != "tr":
                 row = Element("tr")
                 stack[-1].children.append(row)
-                stack.append(row)
+                push(row)
         elif tag in IMPLIED_END:
             close(*IMPLIED_END[tag])
         elif tag in CLOSES_P:
@@ -205,8 +241,8 @@ def build(page: str) -> Element:
             raw = page[at : end.start()]
             element.children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
             at = end.end()
-        elif len(stack) < MOST_DEPTH:
-            stack.append(element)
+        else:
+            push(element)
     return root
 
 
@@ -409,15 +445,15 @@ def cell_text(cell: Element) -> str:
     return " ".join(line.strip() for line in out.done() if line.strip())
 
 
-def parts_of(table: Element, rows: list[Element], loose: list[Element | str]) -> None:
-    """Split what a table shows into its rows and all else."""
+def parts_of(table: Element, rows: list[tuple[Element, Element]], loose: list[Element | str]) -> None:
+    """Split what a table shows into its rows, each with the part it stands in, and all else."""
     for child in table.children:
         if isinstance(child, str):
             loose.append(child)
         elif child.tag in ("col", "colgroup") or hidden(child):
             continue
         elif child.tag == "tr":
-            rows.append(child)
+            rows.append((child, table))
         elif child.tag in GROUPS:
             parts_of(child, rows, loose)
         else:
@@ -426,43 +462,64 @@ def parts_of(table: Element, rows: list[Element], loose: list[Element | str]) ->
 
 def table_lines(table: Element) -> list[str]:
     """Rows with aligned cells; what is in a table but in no row comes first."""
-    rows: list[Element] = []
+    rows: list[tuple[Element, Element]] = []
     loose = Element("div")
     parts_of(table, rows, loose.children)
     out = Lines()
     show(loose, out)
-    grid: list[list[tuple[str, int]]] = []
-    for row in rows:
-        cells = []
+    grid: list[list[tuple[int, str, int]]] = []
+    #: column -> last row that a cell above takes it in
+    taken: dict[int, int] = {}
+    group = None
+    for y, (row, part) in enumerate(rows):
+        if part is not group:
+            group, taken = part, {}
+        cells, at = [], 0
         for cell in row.children:
+            span, height = 1, 1
             if isinstance(cell, str):
-                if cell.strip():
-                    cells.append((SPACE.sub(" ", cell).strip(), 1))
-            elif not hidden(cell):
-                span, text = cell.get("colspan") or "1", cell_text(cell)
-                if text or cell.tag in ("td", "th"):
-                    cells.append((text, min(int(span), 1000) if span.isdecimal() and int(span) else 1))
+                text = SPACE.sub(" ", cell).strip()
+                if not text:
+                    continue
+            elif hidden(cell):
+                continue
+            else:
+                text = cell_text(cell)
+                if not text and cell.tag not in ("td", "th"):
+                    continue
+                span = whole(cell.get("colspan"), 1000) or 1
+                height = whole(cell.get("rowspan"), 65534)
+            while taken.get(at, -1) >= y:
+                at += 1
+            cells.append((at, text, span))
+            if height != 1:  # 0 reaches to the end of the part
+                taken.update(dict.fromkeys(range(at, at + span), y + height - 1 if height else len(rows)))
+            at += span
         grid.append(cells)
     widths: dict[int, int] = {}
     for cells in grid:
-        at = 0
-        for text, span in cells:
+        for at, text, span in cells:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), len(text))
-            at += span
     lines = out.done()
     for cells in grid:
-        at, parts = 0, []
-        for text, span in cells:
+        reached, parts = 0, []
+        for at, text, span in cells:
+            parts += (" " * widths.get(i, 0) for i in range(reached, at))
             room = sum(widths.get(at + i, 0) for i in range(span)) + 2 * (span - 1)
             parts.append(text.ljust(room))
-            at += span
+            reached = at + span
         line = "  ".join(parts).rstrip()
         if line.strip():
             lines.append(line)
     return lines
 
 
+def whole(value: str | None, most: int) -> int:
+    """A span as written, 1 if it is missing or no number."""
+    return min(int(value), most) if value and re.fullmatch(r"[0-9]{1,9}", value) else 1
+
+
 def render(page: str) -> str:
     """The visible text of a page."""
     out = Lines()

@@ -92,6 +92,30 @@ def test_formulas_drawings_and_lists_show_their_text(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<b>" * 300 + "a<i hidden>no</i>b", "ab"),
+        ("<b>" * 300 + "a<div style='display:none'>no<div>no</div>no</div>b", "ab"),
+        ("<b>" * 300 + "a<noscript>no<b>no</noscript>b", "ab"),
+        ("<b>" * 300 + "<li hidden>no<li>b", "b"),
+        ("<ul><li>a<i>" + "<b>" * 300 + "<ul><li>b</li></ul>c</i><li>d</ul>", None),
+        ("<div hidden>no" + "<b>" * 300 + "<div>no</div>no</div>x", "x"),
+        ("<b>" * 300 + "<svg><path/>no<text>label</text></svg><select><option>a<option>no</select>", "label a"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td>a<td rowspan=0>bb<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  bb  c\nd      e\nf      g"),
+        ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c<tr><td>d<td>e<td>f</table>", "a     b\n      c\nd  e  f"),
+    ],
+)
+def test_depth_and_rows_spanned(page, text):
+    found = render(page)
+    if text is None:
+        assert found.split("\n")[-1] == "- d" and [w for w in found.split() if w != "-"] == list("abcd")
+    else:
+        assert found == text
+
+
 def test_deep_and_broken_pages_end():
     assert render("<div>" * 5000 + "deep") == "deep"
     assert render("<td>" * 50 + "</table></p>x<").endswith("x<")
