@@ -126,6 +126,16 @@ def profile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(fx.raw_events(spark, sf_dir, CART), CART, exact=True)
 
 
+@query
+def profile_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of every raw event table; columns that a table has not are null."""
+    out = None
+    for t in EVENT_SPECS:
+        part = profile.profile(fx.raw_events(spark, sf_dir, t), t, exact=True)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 @query
 def table_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.table_overview({t: fx.raw_events(spark, sf_dir, t) for t in EVENT_SPECS})

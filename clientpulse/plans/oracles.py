@@ -629,6 +629,26 @@ SELECT 'add_to_cart' AS table_name, count(*) AS row_count, count(*) FILTER (user
   CAST(min(ts) AS VARCHAR) AS timestamp_min, CAST(max(ts) AS VARCHAR) AS timestamp_max,
   count(ts) AS timestamp_parse_success_count, CAST(0 AS BIGINT) AS timestamp_parse_failure_count
 FROM events WHERE event_type = 'click'"""
+    none, key = "CAST(NULL AS BIGINT)", "count(DISTINCT regexp_extract(props, '([0-9]+)', 1))"
+    q["profile_all_events"] = "\nUNION ALL ".join(
+        f"""
+SELECT '{name}' AS table_name, count(*) AS row_count, count(*) FILTER (user_id IS NULL) AS client_id_null_count,
+  {nulls if entity == 'sku' else none} AS sku_null_count, count(*) FILTER (ts IS NULL) AS timestamp_null_count,
+  count(DISTINCT user_id) AS client_id_distinct_count, {key if entity == 'sku' else none} AS sku_distinct_count,
+  CAST(min(ts) AS VARCHAR) AS timestamp_min, CAST(max(ts) AS VARCHAR) AS timestamp_max,
+  count(ts) AS timestamp_parse_success_count, CAST(0 AS BIGINT) AS timestamp_parse_failure_count,
+  {nulls if entity == 'query' else none} AS query_null_count, {nulls if entity == 'url' else none} AS url_null_count,
+  {key if entity == 'url' else none} AS url_distinct_count
+FROM events WHERE event_type = '{source}'"""
+        for nulls in ("count(*) FILTER (props IS NULL)",)
+        for name, source, entity in (
+            ("add_to_cart", "click", "sku"),
+            ("remove_from_cart", "error", "sku"),
+            ("product_buy", "purchase", "sku"),
+            ("search_query", "view", "query"),
+            ("page_visit", "signup", "url"),
+        )
+    )
     q["table_overview"] = "\nUNION ALL ".join(
         overview_part(name, source, columns, n)
         for name, source, columns, n in (

@@ -34,6 +34,13 @@ def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_every_event_table_is_profiled(spark):
+    rows = {r.table_name: r for r in QUERIES["profile_all_events"](spark, SF).collect()}
+    assert set(rows) == set(catalog.EVENT_SPECS)
+    assert sum(r.row_count for r in rows.values()) == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert rows["page_visit"].url_distinct_count > 0 and rows["page_visit"].sku_distinct_count is None
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and len(df.columns) == 37
