@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from clientpulse import BUY, CART, REMOVE, SEARCH, Snapshot
 
+#: The smallest of the driver's table sets.
+SF = "/root/testdata/sf0.001"
 SNAP = Snapshot("2024-03-01", "2024-03-10", "test")
 EVENT_SCHEMA = "client_id long, ts string, event_type string, sku long"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from compare import connect, differences
-from conftest import SF
+from data import SF
 
 import __spark_entry__ as entry
 from clientpulse.plans import catalog, oracles

@@ -1,8 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF
-from data import SNAP, by, events
+from data import SF, SNAP, by, events
 
 from pyspark.sql import functions as F
 

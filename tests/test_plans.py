@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import SF
+from data import SF
 
 from clientpulse.operators import features, labels, paths, targets
 from clientpulse.plans.catalog import QUERIES
