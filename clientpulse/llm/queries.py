@@ -110,8 +110,50 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_table(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clientpulse.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+wordy AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+  FROM wordy, (VALUES (1), (2), (3), (4), (5)) AS sizes(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM wordy GROUP BY lang),
+held AS (
+  SELECT lang, array_to_string(p[i : i + k - 1], ' ') AS phrase, max(n) AS longer
+  FROM (SELECT lang, n, k AS size, string_split(phrase, ' ') AS p FROM f WHERE k > 2) longer_phrases,
+       (VALUES (2), (3), (4)) AS sizes(k), (VALUES (1), (2), (3), (4)) AS starts(i)
+  WHERE k < size AND i + k - 1 <= size GROUP BY ALL),
+alive AS (
+  SELECT f.lang, f.phrase, f.k, f.n AS a, string_split(f.phrase, ' ') AS p
+  FROM f LEFT JOIN held USING (lang, phrase) WHERE f.k > 1 AND (longer IS NULL OR 100 * longer < 100 * f.n)),
+cuts AS (
+  SELECT alive.lang, alive.phrase, a, l.n AS l, r.n AS r, t.n, c,
+         (1000::HUGEINT * a * t.n) // (l.n::HUGEINT * r.n) AS score
+  FROM alive JOIN (VALUES (1), (2), (3), (4)) AS cut(c) ON c < alive.k
+  JOIN f l ON l.lang = alive.lang AND l.phrase = array_to_string(p[1 : c], ' ')
+  JOIN f r ON r.lang = alive.lang AND r.phrase = array_to_string(p[c + 1 : alive.k], ' ')
+  JOIN totals t ON t.lang = alive.lang),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS turn FROM cuts),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+  FROM low WHERE turn = 1)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_line_dedup, op3_html_text, op4_exact_dedup, op5_byte_bpe, op6_token_counts, op7_source_mix, op8_substring_dedup, op9_quality_rules, op10_near_dedup)
+    for f in (op1_suffix_dedup, op2_line_dedup, op3_html_text, op4_exact_dedup, op5_byte_bpe, op6_token_counts, op7_source_mix, op8_substring_dedup, op9_quality_rules, op10_near_dedup, op12_collocations)
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op12_collocations": OP12_SQL}
