@@ -110,6 +110,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_table(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clientpulse.llm.whitening import whitened_rows
+
+    return whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clientpulse.llm.collocations import collocations
 
@@ -152,8 +158,14 @@ SELECT * FROM ranked WHERE rank <= 2000
 """
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clientpulse.llm.ngram_join import linked_documents
+
+    return linked_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_line_dedup, op3_html_text, op4_exact_dedup, op5_byte_bpe, op6_token_counts, op7_source_mix, op8_substring_dedup, op9_quality_rules, op10_near_dedup, op12_collocations)
+    for f in (op1_suffix_dedup, op2_line_dedup, op3_html_text, op4_exact_dedup, op5_byte_bpe, op6_token_counts, op7_source_mix, op8_substring_dedup, op9_quality_rules, op10_near_dedup, op11_embedding_whitening, op12_collocations, op13_ngram_join)
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op12_collocations": OP12_SQL}

@@ -75,7 +75,7 @@ def shingles(text) -> frozenset:
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
 
-def components(rows: list[tuple]) -> dict:
+def components(rows: list[tuple], percent: int = 75) -> dict:
     """doc_id: (n_shingles, component_id) over all pairs of (doc_id, text) rows."""
     sets = {d: shingles(t) for d, t in rows}
     holders = defaultdict(list)
@@ -96,7 +96,7 @@ def components(rows: list[tuple]) -> dict:
         return d
 
     for (a, b), n in shared.items():
-        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             x, y = find(a), find(b)
             top[max(x, y)] = min(x, y)
     return {d: (len(s), find(d)) for d, s in sets.items()}
