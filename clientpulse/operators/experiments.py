@@ -1,7 +1,7 @@
 """Model experiments: evaluation, ablation, pruning, comparison and verdicts.
 
-Each experiment is a short loop of distributed fits over two persisted frames;
-only metric rows reach the driver."""
+All variants of an experiment share one imputation and assembly, one long score table
+and one score index (``variants.py``); only metric rows reach the driver."""
 
 from __future__ import annotations
 
@@ -15,9 +15,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientpulse.config import BUY, MAX_ITER, PRUNING_VARIANTS, TOPK_PERCENTS, VELOCITY_GROUPS
-from clientpulse.operators.metrics import ranking_metrics, score_delta, segment_metrics, topk_overlap, with_segments
+from clientpulse.operators.metrics import (
+    SEGMENTS,
+    by_segment,
+    ranking_metrics,
+    score_delta,
+    segment_metrics,
+    topk_overlap,
+    with_segments,
+)
 from clientpulse.operators.model import fit, score
 from clientpulse.operators.profile import score_stats
+from clientpulse.operators.score_index import build_index
+from clientpulse.operators.variants import fit_variants, run_variants, score_side_by_side, vectors
+from clientpulse.session import stable
 
 METRICS = ("roc_auc", "pr_auc", *(f"{m}_at_{p}pct" for p in TOPK_PERCENTS for m in ("precision", "recall", "lift")))
 CORE = ("pr_auc", "lift_at_5pct")
@@ -44,12 +55,7 @@ def held(*frames: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
 def evaluate(scored: DataFrame) -> dict[str, Any]:
     """Rows, classes, exact AUCs and top-K metrics of scored rows."""
     with held(scored.select("client_id", "label", "prediction_score")) as (rows,):
-        areas, tops = ranking_metrics(rows)
-        out = areas.first().asDict()
-        for top in tops.collect():
-            for m in ("precision", "recall", "lift"):
-                out[f"{m}_at_{top.top_percent}pct"] = top[f"{m}_at_k"]
-    return out
+        return ranking_metrics(build_index(rows)).first().asDict()
 
 
 def fit_and_evaluate(
@@ -88,25 +94,25 @@ def ablate(
 ) -> DataFrame:
     """Refit without each named group of features; relative drops against the
     full model tell which groups matter."""
+    # None names the full model, as no group can
+    left = {None: list(columns)} | {name: [c for c in columns if c not in set(gone)] for name, gone in removals.items()}
+    found = run_variants(train, validation, {str(i): listed for i, listed in enumerate(left.values())}, max_iter)
+    base, *judged = (found[str(i)] for i in range(len(left)))
     rows = []
-    with held(train, validation) as (t, v):
-        _, base = fit_and_evaluate(t, v, columns, max_iter)
-        for name, removed in removals.items():
-            left = [c for c in columns if c not in set(removed)]
-            metrics = base if len(left) == len(columns) else fit_and_evaluate(t, v, left, max_iter)[1]
-            drops = {m: -relative_change(metrics[m], base[m]) for m in ("roc_auc", *CORE)}
-            rows.append(
-                {
-                    "scenario": name,
-                    "removed_features": ",".join(c for c in columns if c in set(removed)),
-                    "recommendation": classify_drop(drops["pr_auc"], drops["lift_at_5pct"]),
-                    "feature_count": len(left),
-                    **{m: metrics[m] for m in METRICS},
-                    "roc_auc_drop_relative": drops["roc_auc"],
-                    "pr_auc_drop_relative": drops["pr_auc"],
-                    "lift_5pct_drop_relative": drops["lift_at_5pct"],
-                }
-            )
+    for (name, removed), metrics in zip(removals.items(), judged):
+        drops = {m: -relative_change(metrics[m], base[m]) for m in ("roc_auc", *CORE)}
+        rows.append(
+            {
+                "scenario": name,
+                "removed_features": ",".join(c for c in columns if c in set(removed)),
+                "recommendation": classify_drop(drops["pr_auc"], drops["lift_at_5pct"]),
+                "feature_count": len(left[name]),
+                **{m: metrics[m] for m in METRICS},
+                "roc_auc_drop_relative": drops["roc_auc"],
+                "pr_auc_drop_relative": drops["pr_auc"],
+                "lift_5pct_drop_relative": drops["lift_at_5pct"],
+            }
+        )
     numbers = ("feature_count", *METRICS, "roc_auc_drop_relative", "pr_auc_drop_relative", "lift_5pct_drop_relative")
     return metric_table(train.sparkSession, rows, ("scenario", "removed_features", "recommendation"), numbers)
 
@@ -169,20 +175,18 @@ def prune(
 ) -> DataFrame:
     """Fit every variant of added feature groups and choose a minimal set. The
     first variant is the reference that has all groups."""
-    rows: list[dict[str, Any]] = []
-    with held(train, validation) as (t, v):
-        for name, kept in variants.items():
-            added = [f for g in kept for f in groups[g]]
-            metrics = fit_and_evaluate(t, v, [*base_columns, *added], max_iter)[1]
-            rows.append(
-                {
-                    "variant": name,
-                    "included_features": ",".join(added),
-                    "added_feature_count": len(added),
-                    "total_feature_count": len(base_columns) + len(added),
-                    **metrics,
-                }
-            )
+    added = {name: [f for g in kept for f in groups[g]] for name, kept in variants.items()}
+    found = run_variants(train, validation, {n: [*base_columns, *more] for n, more in added.items()}, max_iter)
+    rows: list[dict[str, Any]] = [
+        {
+            "variant": name,
+            "included_features": ",".join(more),
+            "added_feature_count": len(more),
+            "total_feature_count": len(base_columns) + len(more),
+            **found[name],
+        }
+        for name, more in added.items()
+    ]
     for r in rows:
         r["pr_auc_vs_full"] = relative_change(r["pr_auc"], rows[0]["pr_auc"])
         r["lift5_vs_full"] = relative_change(r["lift_at_5pct"], rows[0]["lift_at_5pct"])
@@ -229,22 +233,21 @@ def compare_feature_sets(
 ) -> DataFrame:
     """Fit each named list of columns and judge it, by its rule, against its base:
     an earlier set named in ``bases``, or else the one before it."""
+    found = run_variants(train, validation, sets, max_iter)
     rows: list[dict[str, Any]] = []
-    with held(train, validation) as (t, v):
-        for name, columns in sets.items():
-            metrics = fit_and_evaluate(t, v, columns, max_iter)[1]
-            named = (bases or {}).get(name)
-            base = next((r for r in reversed(rows) if named in (None, r["feature_set"])), metrics)
-            rows.append(
-                {
-                    "feature_set": name,
-                    "compared_with": base.get("feature_set"),
-                    "decision": decide(metrics, base, (rules or {}).get(name, "gain")) if rows else "BASE",
-                    "feature_count": len(columns),
-                    **metrics,
-                    **{f"{m}_change": relative_change(metrics[m], base[m]) for m in CORE},
-                }
-            )
+    for name, columns in sets.items():
+        metrics, named = found[name], (bases or {}).get(name)
+        base = next((r for r in reversed(rows) if named in (None, r["feature_set"])), metrics)
+        rows.append(
+            {
+                "feature_set": name,
+                "compared_with": base.get("feature_set"),
+                "decision": decide(metrics, base, (rules or {}).get(name, "gain")) if rows else "BASE",
+                "feature_count": len(columns),
+                **metrics,
+                **{f"{m}_change": relative_change(metrics[m], base[m]) for m in CORE},
+            }
+        )
     numbers = ("feature_count", *METRICS, *(f"{m}_change" for m in CORE))
     return metric_table(train.sparkSession, rows, ("feature_set", "compared_with", "decision"), numbers)
 
@@ -255,36 +258,55 @@ def join_scores(first: DataFrame, second: DataFrame, first_name: str, second_nam
     return first.withColumnRenamed("prediction_score", first_name).join(other, "client_id")
 
 
-def benchmark(first: PipelineModel, second: PipelineModel, validation: DataFrame) -> dict[str, DataFrame]:
-    """Two models on one validation set: overall and segment metrics, top-K
-    overlap, score distributions and the verdict on the second model."""
-    spark = validation.sparkSession
-    context = ("label", "active_days_count", f"{BUY}_count")
-    a = score(first, validation, *context)
-    b = score(second, validation, "label")
-    with held(with_segments(join_scores(a, b, "first", "second"))) as (joined,):
-        def rows(name: str) -> DataFrame:
-            return joined.withColumn("prediction_score", F.col(name))
-
-        overall = {name: evaluate(rows(name)) for name in ("first", "second")}
-        segments = {name: segment_metrics(rows(name)).collect() for name in overall}
-        overlap = topk_overlap(joined, "first", "second").collect()
-        distribution = score_stats(score_delta(joined, "first", "second"), ["first", "second", "score_delta"]).collect()
-    lifts = {
-        name: {r.segment_name: (r.pr_auc, r.lift_at_5pct) for r in found} for name, found in segments.items()
-    }
+def compare_scores(joined: DataFrame, first: str = "first", second: str = "second") -> dict[str, DataFrame]:
+    """Two scores of the same clients: ``joined`` has client_id, label, both scores and the
+    segments. Both models' rows, whole and by segment, are groups of one score index;
+    overlaps read one index per score. The verdict is on the second score."""
+    spark = joined.sparkSession
+    # everybody is a segment, too
+    every = joined.withColumn("all", F.lit("all"))
+    sides = F.array(*(F.struct(F.lit(n).alias("model"), F.col(n).alias("prediction_score")) for n in (first, second)))
+    long = every.select("client_id", "label", "all", *SEGMENTS, F.inline(sides))
+    keys = ["model", "segment_type", "segment_name"]
+    with held(by_segment(long, ("all", *SEGMENTS), keep=["model"])) as (rows,):
+        found = segment_metrics(None, index=build_index(rows, by=keys)).collect()
+    indexes = {name: build_index(joined, name) for name in (first, second)}
+    overall = {r.model: r.asDict() for r in found if r.segment_type == "all"}
+    parts = [r.asDict() for r in found if r.segment_type != "all"]
+    of = {(r["model"], r["segment_name"]): r for r in parts}
     regressions = sorted(
         s
-        for s, (pr_auc, lift) in lifts["second"].items()
-        if s in lifts["first"] and pr_auc is not None and lifts["first"][s][0] is not None and lift < lifts["first"][s][1]
+        for (m, s), r in of.items()
+        if m == second and (b := of.get((first, s))) and None not in (r["pr_auc"], b["pr_auc"]) and r["lift_at_5pct"] < b["lift_at_5pct"]
     )
-    verdict = decide(overall["second"], overall["first"], "both_gain")
+    verdict = decide(overall[second], overall[first], "both_gain")
     numbers = ("row_count", "positive_count", *METRICS)
-    flat = [{"model": name, **r.asDict()} for name, found in segments.items() for r in found]
     return {
-        "overall": metric_table(spark, ({"model": n, **m} for n, m in overall.items()), ("model",), numbers),
-        "segments": metric_table(spark, flat, ("model", "segment_type", "segment_name"), numbers),
-        "overlap": spark.createDataFrame(overlap),
-        "distribution": spark.createDataFrame(distribution),
+        "overall": metric_table(spark, (overall[n] for n in (first, second)), ("model",), numbers),
+        "segments": metric_table(spark, parts, ("model", "segment_type", "segment_name"), numbers),
+        "overlap": topk_overlap(joined, first, second, indexes=indexes),
+        "distribution": score_stats(score_delta(joined, first, second), [first, second, "score_delta"]),
         "verdict": spark.createDataFrame([(verdict, ",".join(regressions))], "verdict string, segment_regressions string"),
     }
+
+
+def benchmark(first: PipelineModel, second: PipelineModel, validation: DataFrame) -> dict[str, DataFrame]:
+    """Two models on one validation set: overall and segment metrics, top-K
+    overlap, score distributions and the verdict on the second model."""
+    context = ("label", "active_days_count", f"{BUY}_count")
+    a = score(first, validation, *context)
+    b = score(second, validation, "label")
+    # the reports read this table several times, and later
+    return compare_scores(stable(with_segments(join_scores(a, b, "first", "second"))))
+
+
+def benchmark_sets(
+    train: DataFrame, validation: DataFrame, first: Sequence[str], second: Sequence[str], max_iter: int = MAX_ITER
+) -> dict[str, DataFrame]:
+    """``benchmark`` of the models of two lists of columns, fitted from shared vectors."""
+    sets = {"first": list(first), "second": list(second)}
+    columns = list(dict.fromkeys([*first, *second]))
+    context = ("active_days_count", f"{BUY}_count")
+    with vectors(train, validation, columns, context) as of:
+        scored = score_side_by_side(of, sets, fit_variants(of, sets, max_iter), context)
+        return compare_scores(stable(with_segments(scored)))

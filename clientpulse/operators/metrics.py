@@ -5,7 +5,7 @@ per threshold bucket, per calibration bin or per distinct score."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,8 @@ from clientpulse.functions.buckets import OUTSIDE_RANGE
 from clientpulse.functions.buckets import SEARCH_SEGMENTS, bucketize
 from clientpulse.functions.predicates import ratio_or_zero
 from clientpulse.operators.checks import modeling_summary
-from clientpulse.operators.distribution import in_top, quantile, score_ranks, topk_cutoffs
+from clientpulse.operators.distribution import in_top, null_safe, quantile, score_ranks, topk_cutoffs
+from clientpulse.operators.score_index import ScoreIndex, build_index, wanted
 
 SCORE = "prediction_score"
 
@@ -140,9 +141,14 @@ def topk_metrics(
     ranks: DataFrame | None = None,
 ) -> DataFrame:
     """Positives, precision, recall and lift in the top K% of each group."""
+    return topk_table(topk_cutoffs(scored, score, percents, by, tie_break, ranks), by)
+
+
+def topk_table(cutoffs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The metrics of top-K cutoffs, from ``topk_cutoffs`` or a score index."""
     hits, positives = F.col("positives_in_top"), F.col("positive_count")
     precision = ratio_or_zero(hits, F.col("top_k_count"))
-    return topk_cutoffs(scored, score, percents, by, tie_break, ranks).select(
+    return cutoffs.select(
         *by,
         "top_percent",
         "top_k_count",
@@ -159,38 +165,48 @@ def topk_overlap(
     second: str,
     percents: Iterable[int] = TOPK_PERCENTS,
     tie_break: str = "client_id",
+    indexes: Mapping[str, ScoreIndex] | None = None,
 ) -> DataFrame:
     """How many clients are in the top K% of both scores. K is a share of all rows; a
-    score that fewer rows have fills less than K, and each side reports its own rest."""
-    flags = {}
-    sizes = {}
+    score that fewer rows have fills less than K, and each side reports its own rest.
+
+    The cutoffs of a score, read from its index if there is one, are a map of one row
+    that the count over the joined rows looks up; nothing runs before it."""
+    percents = sorted(set(percents))
     everyone = joined.agg(F.count("*")).scalar()
-    id_type = joined.schema[tie_break].dataType
+    ends = {}
     for score in (first, second):
-        for end in topk_cutoffs(joined, score, percents, (), tie_break, population=everyone).collect():
-            cutoff_id = F.lit(end.cutoff_id).cast(id_type)
-            flags[score, end.top_percent] = in_top(F.col(score), F.col(tie_break), F.lit(end.cutoff_score), cutoff_id)
-            sizes.setdefault(end.top_percent, end.k)
-
-    def inside(score: str, percent: int) -> Column:
+        if indexes and score in indexes:
+            cutoffs = indexes[score].cutoffs(percents, everyone)
+        else:
+            cutoffs = topk_cutoffs(joined, score, percents, (), tie_break, population=everyone)
+        entry = F.struct("top_percent", F.struct("cutoff_score", "cutoff_id"))
+        ends[score] = cutoffs.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    sizes = joined.agg(F.count("*").alias("n")).where("n > 0").select(F.inline(wanted(F.col("n"), percents)))
+
+    def inside(score: str, name: str, percent: int) -> Column:
         # a score that no row has puts nobody at the top
-        return flags.get((score, percent), F.lit(False))
+        end = F.col(name)[F.lit(percent)]
+        return F.coalesce(in_top(F.col(score), F.col(tie_break), end["cutoff_score"], end["cutoff_id"]), F.lit(False))
 
-    counts = joined.agg(
+    flagged = joined.select(first, second, tie_break).withColumns({"__first": ends[first], "__second": ends[second]})
+    one = {p: inside(first, "__first", p) for p in percents}
+    two = {p: inside(second, "__second", p) for p in percents}
+    counts = flagged.agg(
         F.array(
             *(
                 F.struct(
                     F.lit(p).alias("top_percent"),
-                    F.lit(k).cast("long").alias("top_k_count"),
-                    F.count_if(inside(first, p) & inside(second, p)).alias("overlap_count"),
-                    F.count_if(inside(first, p)).alias("first_count"),
-                    F.count_if(inside(second, p)).alias("second_count"),
+                    F.count_if(one[p] & two[p]).alias("overlap_count"),
+                    F.count_if(one[p]).alias("first_count"),
+                    F.count_if(two[p]).alias("second_count"),
                 )
-                for p, k in sizes.items()
+                for p in percents
             )
         ).alias("rows")
     ).select(F.inline("rows"))
-    return counts.select(
+    # one row per percent
+    return counts.join(sizes.withColumnRenamed("k", "top_k_count"), "top_percent").select(
         "top_percent",
         "top_k_count",
         "overlap_count",
@@ -373,10 +389,20 @@ def score_delta(joined: DataFrame, first: str, second: str) -> DataFrame:
     return joined.select("*", (F.col(second) - F.col(first)).alias("score_delta"))
 
 
-def ranking_metrics(scored: DataFrame, score: str = SCORE, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Exact AUCs and top-K metrics of each group from one ranking of the scores."""
-    ranks = score_ranks(scored, score, by)
-    return auc_exact(scored, score, by, ranks), topk_metrics(scored, score, by=by, ranks=ranks)
+def ranking_metrics(index: ScoreIndex) -> DataFrame:
+    """Exact AUCs and, as one column per metric and percent, top-K metrics of each group."""
+    keys = list(index.by)
+    tops = topk_table(index.cutoffs(), keys)
+    wide = tops.groupBy(*keys).agg(
+        *(
+            F.max(F.when(F.col("top_percent") == p, F.col(f"{m}_at_k"))).alias(f"{m}_at_{p}pct")
+            for p in TOPK_PERCENTS
+            for m in ("precision", "recall", "lift")
+        )
+    )
+    areas = auc_exact(index.ranks, by=keys, ranks=index.ranks)
+    side = wide.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in wide.columns if c not in keys))
+    return areas.join(side, null_safe(keys, "__{}"), "left").drop(*(f"__{k}" for k in keys))
 
 
 SEGMENTS = ("activity_segment", "lifecycle_segment")
@@ -395,28 +421,26 @@ def with_segments(df: DataFrame) -> DataFrame:
     )
 
 
-def segment_metrics(scored: DataFrame, segments: Sequence[str] = SEGMENTS, score: str = SCORE) -> DataFrame:
-    """AUC and top-K metrics within every segment, all segments at once."""
+def by_segment(scored: DataFrame, segments: Sequence[str] = SEGMENTS, score: str = SCORE, keep: Sequence[str] = ()) -> DataFrame:
+    """Each row once per segment type, with the name of its segment."""
     pairs = F.array(*(F.struct(F.lit(s).alias("segment_type"), F.col(s).alias("segment_name")) for s in segments))
-    by = ["segment_type", "segment_name"]
-    long = scored.select("client_id", "label", score, F.inline(pairs))
-    areas, tops = ranking_metrics(long, score, by)
-    wide = tops.groupBy(*by).agg(
-        *(
-            F.max(F.when(F.col("top_percent") == p, F.col(f"{m}_at_k"))).alias(f"{m}_at_{p}pct")
-            for p in TOPK_PERCENTS
-            for m in ("precision", "recall", "lift")
-        )
-    )
-    return areas.join(wide, by).select(
-        *by,
-        "row_count",
-        "positive_count",
+    return scored.select("client_id", "label", score, *keep, F.inline(pairs))
+
+
+def segment_metrics(
+    scored: DataFrame | None, segments: Sequence[str] = SEGMENTS, score: str = SCORE, index: ScoreIndex | None = None
+) -> DataFrame:
+    """AUC and top-K metrics within every segment, all segments at once; from an index of
+    ``by_segment`` rows where there is one."""
+    if index is None:
+        index = build_index(by_segment(scored, segments, score), score, ["segment_type", "segment_name"])
+    found = ranking_metrics(index)
+    first = (*index.by, "row_count", "positive_count")
+    return found.select(
+        *first,
         (F.col("row_count") - F.col("positive_count")).alias("negative_count"),
         ratio_or_zero(F.col("positive_count"), F.col("row_count")).alias("positive_rate"),
-        "roc_auc",
-        "pr_auc",
-        *(c for c in wide.columns if c not in by),
+        *(c for c in found.columns if c not in first),
     )
 
 

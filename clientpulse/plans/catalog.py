@@ -8,8 +8,9 @@ copy per session, the way the stages of a run do."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any, TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,13 +30,15 @@ from clientpulse.config import (
 from clientpulse.functions import feature_columns
 from clientpulse.operators import audit, checks, cohorts, experiments, features, labels, metrics, model, paths, prepare
 from clientpulse.operators import profile, serving, targets
+from clientpulse.operators.score_index import ScoreIndex, build_index
 from clientpulse.session import pin_time_zone, stable
 from clientpulse.sources import fixtures as fx
 from clientpulse.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+T_ = TypeVar("T_")
+_stored: dict[tuple, Any] = {}
 
 # A fixed card, so that scores do not depend on a fit.
 CARD = {
@@ -83,13 +86,25 @@ def query(function: Query) -> Query:
     return function
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def stored_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], T_]) -> T_:
+    """What ``build`` stores, once per session and state of the tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, table_stamp(spark, sf_dir), name)
     if key not in _stored:
-        _stored[key] = stable(build())
+        _stored[key] = build()
     return _stored[key]
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return stored_once(spark, sf_dir, name, lambda: stable(build()))
+
+
+def table_stamp(spark: SparkSession, sf_dir: str) -> int:
+    """Changes when a table in the folder is written anew."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return max((e.getModificationTime() for e in entries), default=0)
+
+
 def feature_frame(spark: SparkSession, sf_dir: str, snap=fx.ORDERS_SNAPSHOT) -> DataFrame:
     def build() -> DataFrame:
         return features.build_features(
@@ -498,24 +513,55 @@ def prediction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.prediction_summary(fx.scored_orders(spark, sf_dir))
 
 
+def _index(spark: SparkSession, sf_dir: str, score: str = metrics.SCORE, by: tuple[str, ...] = ()) -> ScoreIndex:
+    """The score index of the scored orders, stored once per session."""
+    return stored_once(
+        spark, sf_dir, f"index_{score}_{'_'.join(by)}", lambda: build_index(fx.scored_orders(spark, sf_dir), score, by)
+    )
+
+
 @query
 def topk_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.topk_metrics(fx.scored_orders(spark, sf_dir))
+    return metrics.topk_table(_index(spark, sf_dir).cutoffs())
 
 
 @query
 def topk_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.topk_metrics(fx.scored_orders(spark, sf_dir), by=["segment"])
+    return metrics.topk_table(_index(spark, sf_dir, by=("segment",)).cutoffs(), ["segment"])
 
 
 @query
 def topk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.topk_overlap(fx.scored_orders(spark, sf_dir), "prediction_score", "other_score")
+    names = ("prediction_score", "other_score")
+    indexes = {name: _index(spark, sf_dir, name) for name in names}
+    return metrics.topk_overlap(fx.scored_orders(spark, sf_dir), *names, indexes=indexes)
 
 
 @query
 def auc_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.auc_exact(fx.scored_orders(spark, sf_dir))
+    index = _index(spark, sf_dir)
+    return metrics.auc_exact(index.ranks, ranks=index.ranks)
+
+
+@query
+def auc_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas of each segment from the index that its top-K metrics read."""
+    index = _index(spark, sf_dir, by=("segment",))
+    return metrics.auc_exact(index.ranks, by=["segment"], ranks=index.ranks)
+
+
+@query
+def score_index_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sidecar of the index of each segment, summed: what its ranges hold is what the
+    scored rows are, each range starts where those before it end, and no range is empty."""
+    ranges = _index(spark, sf_dir, by=("segment",)).ranges
+    before = F.sum("n").over(Window.partitionBy("segment").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    checked = ranges.withColumn("joins", F.coalesce(before, F.lit(0)) == F.col("n_before"))
+    return checked.groupBy("segment").agg(
+        F.sum("n").alias("row_count"),
+        F.sum("pos").alias("positive_count"),
+        F.bool_and(F.col("joins") & (F.col("n") > 0) & (F.col("n_total") >= F.col("n_before") + F.col("n"))).alias("is_whole"),
+    )
 
 
 @query
@@ -539,8 +585,11 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def segment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = stored(spark, sf_dir, "carded_segments", lambda: metrics.with_segments(carded(spark, sf_dir)))
-    return metrics.segment_metrics(scored)
+    def build() -> ScoreIndex:
+        rows = metrics.by_segment(metrics.with_segments(carded(spark, sf_dir)))
+        return build_index(rows, by=("segment_type", "segment_name"))
+
+    return metrics.segment_metrics(None, index=stored_once(spark, sf_dir, "index_of_segments", build))
 
 
 # --- audits -------------------------------------------------------------------
@@ -885,12 +934,18 @@ def velocity_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    def build() -> dict[str, DataFrame]:
+        train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
+        return experiments.benchmark_sets(train, validation, *(FEATURE_SETS[n].columns(feature_names()) for n in ("v2_2", "v2_4")))
+
+    return stored_once(spark, sf_dir, "benchmark", build)
+
+
 @query
 def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap, score distributions and verdict of the benchmark, as one long table."""
-    train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
-    fitted = [model.fit(train, FEATURE_SETS[n].columns(feature_names())) for n in ("v2_2", "v2_4")]
-    report = experiments.benchmark(*fitted, validation)
+    report = _benchmark(spark, sf_dir)
     parts = [
         report[name].select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("row"))
         for name in ("overlap", "distribution", "verdict")
@@ -909,9 +964,7 @@ def feature_set_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
-    fitted = [model.fit(train, FEATURE_SETS[n].columns(feature_names())) for n in ("v2_2", "v2_4")]
-    report = experiments.benchmark(*fitted, validation)
+    report = _benchmark(spark, sf_dir)
     overall = report["overall"].withColumns({"segment_type": F.lit("all"), "segment_name": F.lit("all")})
     return overall.unionByName(report["segments"])
 

@@ -1213,6 +1213,16 @@ FROM features""",
     q["auc_exact"] = with_(
         SCORED, *auc_ctes(), f"SELECT row_count, positive_count, {r6('roc_auc', 'roc_auc')}, {r6('pr_auc', 'pr_auc')} FROM auc"
     )
+    q["auc_by_segment"] = with_(
+        SCORED,
+        *auc_ctes(by="segment"),
+        f"SELECT segment, row_count, positive_count, {r6('roc_auc', 'roc_auc')}, {r6('pr_auc', 'pr_auc')} FROM auc",
+    )
+    q["score_index_ranges"] = with_(
+        SCORED,
+        f"""SELECT segment, count(*) AS row_count, {big('sum(label)', 'positive_count')}, true AS is_whole
+  FROM scored WHERE prediction_score IS NOT NULL GROUP BY segment""",
+    )
     q["score_stats"] = with_(SCORED, *stats_select("scored", ["prediction_score", "other_score"], SCORE_QS), score_stats_select())
     q["score_delta"] = with_(
         SCORED,

@@ -54,12 +54,13 @@ def release(spark: SparkSession) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def stable(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back. Columns that
+    partition the table have to be its last ones.
 
     Used where a frame feeds several passes: the later passes read columns of a
     stored table, and a lost executor costs a file read, not a rebuild."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/clientpulse/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
