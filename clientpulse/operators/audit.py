@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,20 +109,12 @@ def _number(column: str) -> Column:
     return F.coalesce(F.col(column).cast("double"), F.lit(0.0))
 
 
-def _correlation(x: Column, y: Column) -> Column:
-    """Of the rows where both are known; null where one of them does not vary."""
-    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
-    return F.when(spread > 0, F.covar_pop(x, y) / spread)
-
-
 def correlations(df: DataFrame, columns: Sequence[str], nulls: str = "zero") -> dict[tuple[str, str], float]:
     """Pearson correlation of every pair of columns that vary.
 
-    ``nulls='zero'`` reads a null as 0 and computes the whole matrix in one
-    distributed pass over assembled vectors; ``'skip'`` leaves out, per pair,
-    the rows with a null: a row becomes one row per column, grouped by it, and each
-    group holds the sums against all columns."""
+    ``nulls='zero'`` reads a null as 0; ``'skip'`` leaves out, per pair, the rows with a
+    null (``pairwise_correlations``). Either computes the whole matrix in one distributed
+    pass over assembled vectors."""
     columns = list(columns)
     if nulls == "zero":
         columns = varying(df, columns, nulls_as_zero=True)
@@ -133,19 +126,58 @@ def correlations(df: DataFrame, columns: Sequence[str], nulls: str = "zero") ->
         return {(a, b): float(matrix[i][j]) for i, a in enumerate(columns) for j, b in enumerate(columns)}
     if nulls != "skip":
         raise ValueError(f"nulls must be 'zero' or 'skip', not {nulls!r}")
-    x = F.col("x")
-    values = df.select(F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
-    rows = (
-        values.select("v", F.posexplode("v").alias("i", "x"))
-        .where(x.isNotNull())
-        .groupBy("i")
-        .agg(*(_correlation(x, F.col("v")[j]).alias(str(j)) for j in range(len(columns))))
-        .collect()
+    return pairwise_correlations(df, columns)
+
+
+#: A part of the squares below which what is left of them is rounding.
+NO_SPREAD = 1e-12
+
+
+def second_moments(vectors: DataFrame, column: str) -> tuple[int, np.ndarray]:
+    """Rows, and the mean product of every two entries of a vector column. Spark adds up
+    the matrix in its tasks and over a tree; only sums by pair reach the driver."""
+    if vectors.isEmpty():
+        return 0, np.zeros((0, 0))
+    summary = vectors.agg(Summarizer.metrics("count", "mean", "std").summary(F.col(column)).alias("s")).select("s.*").first()
+    n = summary["count"]
+    mean, std = summary["mean"].toArray(), summary["std"].toArray()
+    if n < 2:
+        return n, np.outer(mean, mean)
+    matrix = np.nan_to_num(Correlation.corr(vectors, column).first()[0].toArray())
+    return n, matrix * np.outer(std, std) * ((n - 1) / n) + np.outer(mean, mean)
+
+
+def known_entries(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One vector a row: known-flags of the columns, values and squares; nulls as 0."""
+    number = [F.col(c).cast("double") for c in columns]
+    means = df.agg(*(F.avg(v).alias(f"m{i}") for i, v in enumerate(number))).first()
+    centred = [v - F.lit(means[f"m{i}"] or 0.0) for i, v in enumerate(number)]
+    rows = df.select(
+        *(v.isNotNull().cast("double").alias(f"k{i}") for i, v in enumerate(number)),
+        *(F.coalesce(y, F.lit(0.0)).alias(f"y{i}") for i, y in enumerate(centred)),
+        *(F.coalesce(y * y, F.lit(0.0)).alias(f"s{i}") for i, y in enumerate(centred)),
     )
-    found = {
-        (columns[r.i], columns[j]): r[str(j)] for r in rows for j in range(r.i + 1, len(columns)) if r[str(j)] is not None
-    }
-    return found | {(b, a): r for (a, b), r in found.items()}
+    return VectorAssembler(inputCols=rows.columns, outputCol="v").transform(rows).select("v")
+
+
+def pairwise_correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float]:
+    """Correlations over the rows that know both columns, from the second moments of each
+    row's known-flags, values and squares: they hold the count, sums and sums of products
+    of every pair, and no row is multiplied. Values are centred on the column means, which
+    changes no correlation and keeps the sums exact enough to subtract."""
+    if not columns:
+        return {}
+    rows, moments = second_moments(known_entries(df, columns), "v")
+    if rows < 2:
+        return {}
+    n = len(columns)
+    of = {(a, b): moments[i * n : (i + 1) * n, j * n : (j + 1) * n] for i, a in enumerate("kys") for j, b in enumerate("kys")}
+    both, x, y = of["k", "k"], of["y", "k"], of["k", "y"]
+    xx, yy = of["s", "k"] * both - x * x, of["k", "s"] * both - y * y
+    spread = (xx > NO_SPREAD * of["s", "k"] * both) & (yy > NO_SPREAD * of["k", "s"] * both)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (of["y", "y"] * both - x * y) / np.sqrt(xx * yy)
+    return {(a, b): float(r[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns) if i != j and spread[i, j]}
 
 
 def correlation_matrix(df: DataFrame, families: Families, nulls: str = "zero") -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_, or_
 from typing import Any
 
 from pyspark import StorageLevel
@@ -76,6 +78,35 @@ def classify_drop(pr_auc_drop: float, lift_drop: float) -> str:
     return "KEEP_LOWER_PRIORITY" if worst >= LOWER_DROP else "REMOVE_CANDIDATE"
 
 
+def change(value: Column, base: Column) -> Column:
+    """``relative_change`` of columns."""
+    return F.when(value.isNull() | base.isNull() | (base == 0), 0.0).otherwise((value - base) / base)
+
+
+def drop_class(*drops: Column) -> Column:
+    """``classify_drop`` of columns."""
+    worst = F.greatest(*drops)
+    return F.when(worst > KEEP_DROP, "KEEP").when(worst >= LOWER_DROP, "KEEP_LOWER_PRIORITY").otherwise("REMOVE_CANDIDATE")
+
+
+def decision(metrics: Mapping[str, Column], base: Mapping[str, Column], rule: str = "gain") -> Column:
+    """``decide`` of columns: every variant of a metric table judged where it lies."""
+    changes = [change(metrics[m], base[m]) for m in CORE]
+    least, most = F.least(*changes), F.greatest(*changes)
+    better = [F.coalesce(metrics[m] > base[m], F.lit(False)) for m in CORE]
+    if rule == "not_worse":
+        return F.when(least >= -SMALL_CHANGE, "ADOPT").when(least < -CLEAR_LOSS, "KEEP").otherwise("INVESTIGATE")
+    if rule == "gain":
+        return F.when(most >= SMALL_CHANGE, "ADOPT").when(least < -SMALL_CHANGE, "KEEP").otherwise("INVESTIGATE")
+    if rule == "review":
+        return F.when(most >= SMALL_CHANGE, "ADOPT_FOR_REVIEW").otherwise("INVESTIGATE")
+    if rule == "any_gain":
+        return F.when(reduce(or_, better), "CANDIDATE").otherwise("KEEP")
+    if rule == "both_gain":
+        return F.when(reduce(and_, better), "PROMOTE").otherwise("KEEP")
+    raise ValueError(f"unknown rule {rule!r}")
+
+
 def metric_table(spark, rows: Iterable[Mapping[str, Any]], texts: Sequence[str], numbers: Sequence[str]) -> DataFrame:
     """Driver-side metric rows as a DataFrame with a fixed schema."""
     schema = ", ".join([f"{t} string" for t in texts] + [f"{n} double" for n in numbers])
@@ -143,9 +174,6 @@ def minimal_variants(table: DataFrame, reference: str) -> DataFrame:
     lift, pr_auc = F.col("lift_at_5pct"), F.col("pr_auc")
     of_reference = F.col("variant") == reference
 
-    def change(value: Column, base: Column) -> Column:
-        return F.when(value.isNull() | base.isNull() | (base == 0), 0.0).otherwise((value - base) / base)
-
     known = table.select(
         "*",
         F.max(F.when(of_reference, pr_auc)).over(every).alias("__pr_auc"),

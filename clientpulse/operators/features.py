@@ -42,6 +42,8 @@ from clientpulse.functions.predicates import day
 from clientpulse.operators.distribution import long_form, quantiles
 from clientpulse.operators.paths import recent_then, transition_counts
 
+#: The column of a daily table that says how many events a row stands for.
+EVENT_COUNT = "event_count"
 PRODUCT_PREFIX = {"cart": CART, "bought": BUY}
 
 
@@ -53,14 +55,29 @@ def since(cutoff: str, days: int) -> Column:
     return F.col("event_date") >= F.date_sub(day(cutoff), days)
 
 
+def daily_activity(events: DataFrame, types: Sequence[str] = FEATURE_TYPES) -> DataFrame:
+    """(client, type, SKU, day) rows with the number of events in ``EVENT_COUNT``. All that
+    features and labels know of an event is in them, so a stored daily table serves any
+    number of cutoffs, each by sums over a range of days, and new days are appended."""
+    known = events.where(F.col("event_type").isin(*types) & F.col("client_id").isNotNull())
+    return known.groupBy("client_id", "event_type", "sku", "event_date").agg(F.count("*").alias(EVENT_COUNT))
+
+
+def counted(events: DataFrame, hit: Column) -> Column:
+    """The number of events that ``hit``: rows, or in a daily table the sum of their counts."""
+    if EVENT_COUNT in events.columns:
+        return F.coalesce(F.sum(F.when(hit, F.col(EVENT_COUNT))), F.lit(0))
+    return F.count_if(hit)
+
+
 def sku_level(history: DataFrame, cutoff: str, windows: Sequence[int], types: Sequence[str] = SKU_TYPES) -> DataFrame:
     aggregates = []
     for t in types:
         hit = F.col("event_type") == t
         aggregates += [
-            F.count_if(hit).alias(f"{t}_n"),
+            counted(history, hit).alias(f"{t}_n"),
             F.max(F.when(hit, F.col("event_date"))).alias(f"{t}_last"),
-            *(F.count_if(hit & since(cutoff, w)).alias(f"{t}_n_{w}") for w in windows),
+            *(counted(history, hit & since(cutoff, w)).alias(f"{t}_n_{w}") for w in windows),
         ]
     return history.where(F.col("event_type").isin(*types)).groupBy("client_id", "sku").agg(*aggregates)
 
@@ -88,7 +105,9 @@ def category_level(skus: DataFrame, windows: Sequence[int], types: Sequence[str]
 
 
 def day_level(history: DataFrame) -> DataFrame:
-    return history.groupBy("client_id", "event_date").agg(F.count_if(F.col("event_type") == SEARCH).alias("searches"))
+    return history.groupBy("client_id", "event_date").agg(
+        counted(history, F.col("event_type") == SEARCH).alias("searches")
+    )
 
 
 def active_days(events: DataFrame, cutoff: str, days: int | None = None) -> DataFrame:

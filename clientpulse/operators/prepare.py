@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from clientpulse.config import EVENT_SPECS, EventSpec
@@ -45,10 +47,15 @@ def standardize_events(df: DataFrame, spec: EventSpec) -> DataFrame:
     return (
         typed_events(df, spec)
         .where(F.size("faults") == 0)
-        .select("client_id", "event_ts", "event_date", F.lit(spec.event_type).alias("event_type"), *spec.entities)
+        .select(*clean_columns(spec))
     )
 
 
+def clean_columns(spec: EventSpec) -> list[Column]:
+    names = ("client_id", "event_ts", "event_date")
+    return [*map(F.col, names), F.lit(spec.event_type).alias("event_type"), *map(F.col, spec.entities)]
+
+
 def validation_counts(df: DataFrame, spec: EventSpec) -> DataFrame:
     """One row of counters of a raw event table. Rows are counted once per set of
     faults, of which there are few; every counter is a sum over those sets."""
@@ -81,6 +88,40 @@ def validation_counts(df: DataFrame, spec: EventSpec) -> DataFrame:
     )
 
 
+def observed_events(df: DataFrame, spec: EventSpec) -> tuple[DataFrame, Observation]:
+    """The clean rows, and the counters of ``validation_counts`` as an observation: they
+    are collected by whatever job reads the rows, so writing the clean table counts the
+    raw one in the same scan. Rows pass the counters before invalid ones are dropped."""
+    seen = Observation(f"validation_{spec.event_type}_{uuid.uuid4().hex}")
+
+    def with_fault(*faults: str) -> Column:
+        return F.count_if(F.arrays_overlap("faults", F.array(*map(F.lit, faults))))
+
+    counters = {
+        "input_rows": F.count(F.lit(1)),
+        "valid_rows": F.count_if(F.size("faults") == 0),
+        "invalid_rows": F.count_if(F.size("faults") > 0),
+        "event_ts_null_count": with_fault("event_ts_missing", "event_ts_parse_failure"),
+        "event_ts_parse_failure_count": with_fault("event_ts_parse_failure"),
+        "event_date_min": F.min("event_date"),
+        "event_date_max": F.max("event_date"),
+    }
+    for c in ("client_id", *spec.entities):
+        counters[f"{c}_null_count"] = with_fault(f"{c}_null")
+        counters[f"{c}_parse_failure_count"] = with_fault(f"{c}_parse_failure")
+    rows = typed_events(df, spec).observe(seen, *(value.alias(name) for name, value in counters.items()))
+    return rows.where(F.size("faults") == 0).select(*clean_columns(spec)), seen
+
+
+def observed_report(spark: SparkSession, seen: Mapping[str, Observation]) -> DataFrame:
+    """One row of counters per event type, once the job that read the rows has run."""
+    rows = [{"event_type": t, **observation.get} for t, observation in seen.items()]
+    names = list(dict.fromkeys(name for row in rows for name in row))
+    types = {"event_type": "string", "event_date_min": "date", "event_date_max": "date"}
+    schema = ", ".join(f"{name} {types.get(name, 'bigint')}" for name in names)
+    return spark.createDataFrame([tuple(row.get(name) for name in names) for row in rows], schema)
+
+
 def duplicate_summary(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     """Key groups with more than one row, and the rows they have too many."""
     groups = df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -101,24 +142,36 @@ def prepare_events(df: DataFrame, spec: EventSpec, sample: float | None = None)
     return Prepared(clean, validation_counts(df, spec), duplicates)
 
 
-def prepare_all(raw: Mapping[str, DataFrame], include: Iterable[str] = (), sample: float | None = None) -> DataFrame:
-    """All enabled event types as one clean event table. Search and page visits
-    are off unless they are named in ``include``."""
+def enabled_specs(raw: Mapping[str, DataFrame], include: Iterable[str] = ()) -> dict[str, EventSpec]:
+    """The event types of ``raw`` that a run takes in. Search and page visits are off
+    unless they are named in ``include``."""
     include = set(include)
     unknown = include - set(EVENT_SPECS)
     if unknown:
         raise ValueError("unknown event types: " + ", ".join(sorted(unknown)))
-    out = None
-    for event_type, spec in EVENT_SPECS.items():
-        if event_type in raw and (spec.default_enabled or event_type in include):
-            part = standardize_events(sample_rows(raw[event_type], sample), spec)
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    found = {t: s for t, s in EVENT_SPECS.items() if t in raw and (s.default_enabled or t in include)}
+    if not found:
         raise ValueError("no enabled event type has an input table")
-    for column in ("sku", "url"):
-        if column not in out.columns:
-            out = out.withColumn(column, F.lit(None).cast("bigint"))
-    return out
+    return found
+
+
+def one_table(parts: Iterable[DataFrame]) -> DataFrame:
+    """Clean rows of several event types as one table; what a type has not is null."""
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return out.withColumns({c: F.lit(None).cast("bigint") for c in ("sku", "url") if c not in out.columns})
+
+
+def prepare_all(raw: Mapping[str, DataFrame], include: Iterable[str] = (), sample: float | None = None) -> DataFrame:
+    """All enabled event types as one clean event table."""
+    return one_table(standardize_events(sample_rows(raw[t], sample), spec) for t, spec in enabled_specs(raw, include).items())
+
+
+def prepare_observed(
+    raw: Mapping[str, DataFrame], include: Iterable[str] = (), sample: float | None = None
+) -> tuple[DataFrame, dict[str, Observation]]:
+    """``prepare_all``, with the counters of each type as an observation."""
+    parts = {t: observed_events(sample_rows(raw[t], sample), spec) for t, spec in enabled_specs(raw, include).items()}
+    return one_table(clean for clean, _ in parts.values()), {t: seen for t, (_, seen) in parts.items()}
 
 
 def pair_counts(products: DataFrame) -> DataFrame:

