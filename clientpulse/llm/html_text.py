@@ -39,9 +39,9 @@ from clientpulse.llm.common import quoted, slices, text_of
 MOST_DEPTH = 200
 #: Levels more for what a drawing, formula or list holds; open elements that a tag looks back over.
 MORE_DEPTH, FAR = 60, 1000
-TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
-)
+COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.DOTALL)
+NAME_END = re.compile(r"[\s/>]")
+TAG_MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]*/\Z")
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -108,6 +108,71 @@ class Element:
         return None
 
 
+class Ahead:
+    """The next place of a pattern from a position on; asked in any order within one gap, it
+    is searched for once."""
+
+    def __init__(self, page: str, pattern: re.Pattern):
+        self.page, self.pattern, self.first, self.found = page, pattern, 1, 0
+
+    def __call__(self, at: int) -> int:
+        if not self.first <= at <= self.found:
+            match = self.pattern.search(self.page, at)
+            self.first, self.found = at, match.start() if match else len(self.page)
+        return self.found
+
+
+class Tokens:
+    """The tags, comments and declarations of a page, in one pass forward. A tag ends at the
+    first ``>`` outside of quotes; what has none, or a quote without its partner, is text.
+    Quotes from which no end is reached are remembered, so broken pages take linear time."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.name_end, self.mark = Ahead(page, NAME_END), Ahead(page, TAG_MARK)
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes start at ``at``, or -1."""
+        page, seen = self.page, []
+        while at <= self.last[">"]:
+            at = self.mark(at)
+            sign = page[at : at + 1]
+            if sign == ">":
+                return at
+            if not sign or at in self.dead or self.last[sign] <= at:
+                break
+            seen.append(at)
+            at = page.find(sign, at + 1) + 1
+        self.dead.update(seen)
+        return -1
+
+    def following(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, is it an end tag, name, attributes) of the next token; no name for
+        what is no tag."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            sign = page[start + 1 : start + 2]
+            if sign and sign in "!?":
+                if page.startswith("<!--", start):
+                    return start, COMMENT.match(page, start).end(), False, None, ""
+                end = page.find(">", start + 2)
+                return start, len(page) if end < 0 else end + 1, False, None, ""
+            first = start + 2 if sign == "/" else start + 1
+            letter = page[first : first + 1]
+            if letter.isascii() and letter.isalpha() and first <= self.last[">"]:
+                stop = self.name_end(first)
+                end = self.tag_end(stop)
+                if end < 0 and self.mark(first) < stop:
+                    # a quote in the name may open the attributes
+                    stop, end = self.mark(first), self.tag_end(first)
+                if end >= 0:
+                    return start, end + 1, sign == "/", page[first:stop], page[stop:end]
+            at = start + 1
+        return None
+
+
 def build(page: str) -> Element:
     """The tree of a page."""
     root = Element("html")
@@ -183,22 +248,24 @@ def build(page: str) -> Element:
             cut(len(stack) - 1)
         stack[-1].children.append(html.unescape(text))
 
+    tokens = Tokens(page)
     while at < n:
-        token = TOKEN.search(page, at)
+        token = tokens.following(at)
         if token is None:
             write(page[at:])
             break
-        if token.start() > at:
-            write(page[at : token.start()])
-        at = token.end()
-        if token[2] is None:
-            if page.startswith("<![CDATA[", token.start()) and foreign():
-                end = page.find("]]>", token.start())
+        start, end, is_end, name, attributes = token
+        if start > at:
+            write(page[at:start])
+        at = end
+        if name is None:
+            if page.startswith("<![CDATA[", start) and foreign():
+                end = page.find("]]>", start)
                 at = n if end < 0 else end + 3
-                stack[-1].children.append(page[token.start() + 9 : n if end < 0 else end])
+                stack[-1].children.append(page[start + 9 : n if end < 0 else end])
             continue
-        tag = token[2].lower()
-        if token[1]:
+        tag = name.lower()
+        if is_end:
             if tag == "p" and not opened["p"]:
                 stack[-1].children.append(Element("p"))
             for i in back() if opened[tag] else ():
@@ -229,12 +296,12 @@ def build(page: str) -> Element:
             close({"p"}, SCOPE)
         if tag == "li" or tag in ("dd", "dt"):
             close({"p"}, SCOPE | {"ul", "ol", "dl"})
-        element = Element(tag, token[3])
+        element = Element(tag, attributes)
         stack[-1].children.append(element)
         if tag in VOID:
             continue
         drawn = drawn or tag in FOREIGN
-        if drawn and token[3].endswith("/") and not UNQUOTED_END.search(token[3]) and (tag in FOREIGN or foreign()):
+        if drawn and attributes.endswith("/") and not UNQUOTED_END.search(attributes) and (tag in FOREIGN or foreign()):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE).search(page, at)

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
+from clientpulse.llm import html_text
 from clientpulse.llm.html_text import page_table, page_texts, render
 
 
@@ -128,3 +131,29 @@ def test_pages_table(spark):
     assert sorted((r.page_id or 0, r.text) for r in page_texts(pages).collect()) == [(0, ""), (1, "a"), (1, "a")]
     assert sorted((r.n_chars, r.n_lines) for r in page_table(pages).collect()) == [(0, 0), (1, 1), (1, 1)]
     assert page_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("broken", ["<a ", '<a "', "<a<a", "<a '\"", '"<a \'>', '<a x="', "<!--", '<a"b '])
+@pytest.mark.parametrize("tail", ["", ">", "\">"])
+def test_long_broken_pages_take_linear_time(broken, tail):
+    def seconds(size):
+        start = time.process_time()
+        html_text.render(broken * (size // len(broken)) + tail)
+        return time.process_time() - start
+
+    assert seconds(1_000_000) < 20
+
+
+def test_tokens_end_outside_of_quotes():
+    page = "a <b title='x>y' alt=\">\">bold</b> 1 < 2 <p <i>in</i> <u class=\"open>text"
+    found, at = [], 0
+    tokens = html_text.Tokens(page)
+    while token := tokens.following(at):
+        at = token[1]
+        found.append((page[token[0] : at], token[2], token[3]))
+    assert found == [
+        ("<b title='x>y' alt=\">\">", False, "b"),
+        ("</b>", True, "b"),
+        ("<p <i>", False, "p"),
+        ("</i>", True, "i"),
+    ]
