@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "clientpulse", **conf: str) -> SparkSession:
@@ -28,6 +31,25 @@ def build_session(app: str = "clientpulse", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per application: their Python
+    workers need it for functions that tasks run, and a cluster has it on the driver only."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():
+        return  # imported from an archive, which was shipped by whoever made it
+    folder = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
 def pin_time_zone(spark: SparkSession) -> None:
     """Date and timestamp boundaries agree only in one fixed session zone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
