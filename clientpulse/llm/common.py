@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientpulse.session import shared_dir
+from clientpulse.session import shared_dir, ship_package
 
 #: White space between words: space, and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -49,6 +49,7 @@ class Scratch:
     lost executor costs a file read. ``drop`` removes a table that no result reads."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/clientpulse/{name}-{uuid.uuid4().hex}"
         self.count = 0

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientpulse.llm.common import quoted, slices, text_of
+from clientpulse.session import ship_package
 
 MOST_DEPTH = 200
 #: Levels more for what a drawing, formula or list holds; open elements that a tag looks back over.
@@ -604,6 +605,7 @@ def render_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text."""
+    ship_package(pages.sparkSession)
     rows = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).alias("url"), text_of(html_col).alias("html"))
     id_type = pages.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(render_batches, f"page_id {id_type}, url string, text string")

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientpulse.llm.common import quoted, slices
+from clientpulse.session import ship_package
 
 SCALE = 64
 SHIFT = 1_000_000
@@ -73,6 +74,7 @@ class Whitening:
 
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector) of the rows that stay, vectors as doubles."""
+    ship_package(rows.sparkSession)
     vector = quoted(vector_col).cast("array<double>")
     bad = F.exists("vector", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     return (
