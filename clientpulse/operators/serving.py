@@ -152,7 +152,6 @@ def lookup(scores: DataFrame, ids: Sequence[str | int] | DataFrame, buckets: int
         typed = values
     found = scores.where(F.col("client_id").isin(*typed)) if typed else scores.limit(0)
     if bucketed:
-        rows = scores.sparkSession.createDataFrame([(v,) for v in values], "v string")
-        opened = {r[0] for r in rows.select(client_bucket(F.col("v"), buckets)).collect()}
-        found = found.where(F.col("client_bucket").isin(*sorted(opened)))
+        # hashes of literals: the optimiser folds them, and the scan is pruned by partition
+        found = found.where(F.col("client_bucket").isin(*(client_bucket(F.lit(v), buckets) for v in dict.fromkeys(values))))
     return found.select(*SCORE_COLUMNS)
