@@ -9,11 +9,13 @@ level by level from the flow through the nodes.
 
 Three things keep the graph small; none changes a result.
 
-* A first pass counts hashed words and word pairs by fragments of the hash space and
-  keeps those that may reach ``LEAST`` as a bitmap of bounded size (``MOST_BITS``). A
-  phrase with a rarer pair is too rare itself, so pieces are cut between the words of
-  such pairs, and rare words are only counted in the total. A full bitmap cuts less.
-* A task builds the graph of a few hundred thousand words at a time and compacts its
+* Two passes count hashed grams by fragments of the hash space, words and pairs first,
+  then longer ones whose pairs are frequent, and keep those that may reach ``LEAST`` as
+  bitmaps of bounded size (``MOST_BITS``). Every word of a text then gives one gram, the
+  longest from there on that may be frequent with all its parts: an edge, or where it is
+  shorter the end of a piece of the graph. Any frequent gram is a prefix of what its
+  first word gives. A full bitmap only leaves more to count.
+* A task builds the graph of half a million words at a time and compacts its
   unary paths: edges between nodes with one way in, one way out and no piece that starts
   or ends there have one weight and travel as one run of words.
 * Edges and ends are combined before each shuffle, however frequent a phrase is.
@@ -36,12 +38,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientpulse.llm.bitmap import words_of
 from clientpulse.llm.common import Scratch, quoted, slices, text_of
-from clientpulse.llm.fragments import PACK_ITEMS, chunks_of, fragment_count, fragment_of, runs_of, slices_of
+from clientpulse.llm.fragments import chunks_of, fragment_count, fragment_of, runs_of, slices_of
 from clientpulse.llm.hashing import BYTE_VALUES, STEP, mix, prefix_sums, run_hashes
 
 MOST_WORDS = 5
@@ -49,6 +52,9 @@ LEAST = 100
 TOP = 2000
 BITS_PER_KEY = 32
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+#: Words whose graph a task builds at a time, and grams it adds up before they leave it.
+PACK_WORDS = 1 << 19
+MOST_HELD = 250_000
 #: Parts in which a language's best phrases are chosen before they meet.
 TOP_PARTS = 1024
 #: Bytes of text per word, to choose the number of fragments.
@@ -109,35 +115,69 @@ def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             pack.add(text, lang)
-            if pack.n_words >= PACK_ITEMS // 2:
+            if pack.n_words >= PACK_WORDS:
                 yield pack
                 pack = Words()
     if pack.n_words:
         yield pack
 
 
-def pair_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The hash of each word with the next one."""
-    return mix(hashes[:-1] * np.uint64(3) + mix(hashes[1:] + STEP))
-
-
 def item_ids(items: np.ndarray, fragments: int) -> np.ndarray:
     """What a fragment knows an item by: the fragment and 32 bits."""
     return (fragment_of(items, fragments) << np.uint64(32)) | (items & np.uint64(0xFFFFFFFF))
 
 
-def counters(fragments: int):
-    """Words and pairs of each pack, one row per fragment."""
+def gram_sums(hashes: np.ndarray) -> np.ndarray:
+    return prefix_sums(mix(hashes))
+
+
+def extended_by(shorter: np.ndarray, follows: np.ndarray, k: int) -> np.ndarray:
+    """Where a gram of ``k`` words of one piece starts whose two parts of k - 1 words pass."""
+    out = np.zeros(len(shorter), dtype=bool)
+    m = len(shorter) - k + 1
+    if m > 0:
+        out[:m] = shorter[:m] & shorter[1 : m + 1] & follows[k - 2 : k - 2 + m]
+    return out
+
+
+def grams_at(sums: np.ndarray, where: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of the grams of ``k`` words that ``where`` marks, and their hashes."""
+    at = np.flatnonzero(where)
+    return at, run_hashes(sums, at, at + k)
+
+
+def words_and_pairs(pack: Words) -> np.ndarray:
+    hashes, _, _, follows, _ = pack.arrays()
+    sums, every = gram_sums(hashes), np.ones(len(hashes), dtype=bool)
+    return np.concatenate([grams_at(sums, every, 1)[1], grams_at(sums, extended_by(every, follows, 2), 2)[1]])
+
+
+def longer_grams(test, width: int):
+    """The grams of 3 to ``width`` words all of whose pairs pass."""
+
+    def items(pack: Words) -> np.ndarray:
+        hashes, _, _, follows, _ = pack.arrays()
+        sums = gram_sums(hashes)
+        passes, found = passed(sums, follows, test.value, 2), []
+        for k in range(3, width + 1):
+            passes = extended_by(passes, follows, k)
+            found.append(grams_at(sums, passes, k)[1])
+        return np.concatenate(found)
+
+    return items
+
+
+def counters(items, fragments: int):
+    """The ``items`` of each pack with their counts, one row per fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in packs(batches):
-            hashes, _, _, follows, _ = pack.arrays()
-            items = np.sort(np.concatenate([hashes, pair_hashes(hashes)[follows[:-1]]]))
-            first, counts = runs_of(items)
-            items = items[first]
+            found = np.sort(items(pack))
+            first, counts = runs_of(found)
+            found = found[first]
             names, low, many, times = [], [], [], []
-            for name, i, j in slices_of(fragment_of(items, fragments)):
-                short, n = items[i:j].astype(np.uint32), counts[i:j]
+            for name, i, j in slices_of(fragment_of(found, fragments)):
+                short, n = found[i:j].astype(np.uint32), counts[i:j]
                 names.append(name)
                 low.append(short[n == 1].tobytes())
                 many.append(short[n > 1].tobytes())
@@ -185,10 +225,9 @@ class Filter:
         return hit
 
 
-def frequent_filter(docs: DataFrame, scratch: Scratch, least: int) -> Filter:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fragments = fragment_count(size // BYTES_PER_ITEM)
-    packed = docs.mapInArrow(counters(fragments), "fragment bigint, low binary, many binary, times binary")
+def frequent_filter(docs: DataFrame, scratch: Scratch, items, fragments: int, least: int):
+    """A broadcast filter of the ``items`` of all packs that may occur ``least`` times."""
+    packed = docs.mapInArrow(counters(items, fragments), "fragment bigint, low binary, many binary, times binary")
     found = scratch.keep(packed.groupBy("fragment").applyInArrow(frequent_items(least), "h0 bigint, h1 bigint"))
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, found.count() * BITS_PER_KEY) - 1).bit_length()))
     hits = found.select(F.explode(F.array(*(F.col(c).bitwiseAND(F.lit(bits - 1)) for c in ("h0", "h1")))).alias("position"))
@@ -197,18 +236,24 @@ def frequent_filter(docs: DataFrame, scratch: Scratch, least: int) -> Filter:
     words = np.zeros(bits // 64, dtype=np.int64)
     words[rows["word"].to_numpy(dtype=np.int64)] = rows["mask"].to_numpy(dtype=np.int64)
     scratch.drop(found)
-    return Filter(words.view(np.uint64), bits, fragments)
+    return docs.sparkSession.sparkContext.broadcast(Filter(words.view(np.uint64), bits, fragments))
 
 
-def all_of(flags: np.ndarray, width: int) -> np.ndarray:
-    """Are ``width`` flags in a row set, from each index on? Shorter by width - 1."""
-    sums = np.concatenate([[0], np.cumsum(flags)])
-    return sums[width:] - sums[:-width] == width
+def passed(sums: np.ndarray, follows: np.ndarray, test: Filter, width: int, before: np.ndarray | None = None, least: int = 1):
+    """Where grams of ``width`` words start that pass the test with all their parts of
+    ``least`` words and more; ``before`` tells where those of one word less do."""
+    where = np.ones(len(follows), dtype=bool) if before is None else before
+    for k in range(least, width + 1):
+        where = where if k == 1 else extended_by(where, follows, k)
+        at, grams = grams_at(sums, where, k)
+        where = np.zeros(len(follows), dtype=bool)
+        where[at[test(grams)]] = True
+    return where
 
 
-def pack_graph(pack: Words, test: Filter, width: int) -> Iterator[tuple[str, str | None, int]]:
-    """(lang, words, weight): the compacted paths of a pack's graph, the grams that end its
-    pieces, shorter than ``width``, and the number of words of each language."""
+def pack_graph(pack: Words, short: Filter, long: Filter, width: int) -> Iterator[tuple[str, str | None, int]]:
+    """(lang, words, weight): the compacted paths of a pack's graph; the grams where it ends,
+    shorter than ``width``; and, without words, the number of words of each language."""
     hashes, starts, ends, follows, lang_of = pack.arrays()
     totals: dict[str, int] = {}
     for lang, n in zip(pack.langs, np.bincount(lang_of, minlength=len(pack.langs)).tolist()):
@@ -220,30 +265,19 @@ def pack_graph(pack: Words, test: Filter, width: int) -> Iterator[tuple[str, str
     def text(i: int, j: int) -> str:
         return b" ".join(raw[starts[i] : ends[j - 1]].split()).decode() if j > i + 1 else raw[starts[i] : ends[i]].decode()
 
-    n = len(hashes)
-    known = test(hashes)
-    link = follows.copy()  # is the next word a part of the same run?
-    link[:-1] &= known[:-1] & known[1:]
-    at = np.flatnonzero(link)
-    link[at] = test(pair_hashes(hashes)[at]) if len(at) else link[at]
-    run_start = np.flatnonzero(np.concatenate([[True], ~link[:-1]]))
-    run_end = np.append(run_start[1:], n)
-    length = run_end - run_start
-    # ends: the last 1 .. width - 1 words of each run of known words
-    sums = prefix_sums(mix(hashes))
+    # the longest gram that passes, at each word: an edge, or an end where it is shorter
+    sums = gram_sums(hashes)
+    where = passed(sums, follows, short, 1)
     for k in range(1, width):
-        fits = run_end[(length >= k) & known[run_start]]
-        keys = run_hashes(sums, fits - k, fits)
-        _, where, counts = np.unique(keys, return_index=True, return_counts=True)
-        for i, c in zip((fits[where] - k).tolist(), counts.tolist()):
-            yield pack.langs[lang_of[i]], text(i, i + k), c
-    # edges: width words in a row of one run
-    if n < width:
-        return
-    at = np.flatnonzero(all_of(link[:-1], width - 1))
+        longer = passed(sums, follows, short if k < 2 else long, k + 1, where, k + 1)
+        at, keys = grams_at(sums, where & ~longer, k)
+        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        for i, n in zip(at[first].tolist(), counts.tolist()):
+            yield pack.langs[lang_of[i]], text(i, i + k), n
+        where = longer
+    at, edge = grams_at(sums, where, width)
     if not len(at):
         return
-    edge = run_hashes(sums, at, at + width)
     _, first, number, weight = np.unique(edge, return_index=True, return_inverse=True, return_counts=True)
     source, target = run_hashes(sums, at, at + width - 1), run_hashes(sums, at + 1, at + width)
     _, node = np.unique(np.concatenate([source, target]), return_inverse=True)
@@ -251,15 +285,14 @@ def pack_graph(pack: Words, test: Filter, width: int) -> Iterator[tuple[str, str
     out_degree = np.bincount(source[first], minlength=node.max() + 1)
     in_degree = np.bincount(target[first], minlength=node.max() + 1)
     unary = (out_degree == 1) & (in_degree == 1)
-    follow_on = np.append(at[1:] == at[:-1] + 1, False)  # the next edge starts at the next word
-    begins = np.concatenate([[True], ~follow_on[:-1]])
-    unary[source[begins]] = False
-    unary[target[~follow_on]] = False
+    goes_on = np.append(at[1:] == at[:-1] + 1, False)  # the next edge starts at the next word
+    unary[source[np.concatenate([[True], ~goes_on[:-1]])]] = False
+    unary[target[~goes_on]] = False
     shown = np.zeros(len(at), dtype=bool)
     shown[first] = True
     # the first showing of the edge behind a unary node follows the first showing before it
     bound = np.zeros(len(at), dtype=bool)
-    bound[:-1] = follow_on[:-1] & shown[:-1] & shown[1:] & unary[target[:-1]]
+    bound[:-1] = goes_on[:-1] & shown[:-1] & shown[1:] & unary[target[:-1]]
     heads = np.flatnonzero(shown & ~np.concatenate([[False], bound[:-1]]))
     tails = np.flatnonzero(shown & ~bound)
     for i, j in zip(heads.tolist(), tails.tolist()):
@@ -267,25 +300,51 @@ def pack_graph(pack: Words, test: Filter, width: int) -> Iterator[tuple[str, str
         yield pack.langs[lang_of[a]], text(a, b), int(weight[number[i]])
 
 
-def graphs(test, width: int):
-    """Rows of ``pack_graph`` over a task's packs."""
+PACKED = "fragment bigint, lang array<string>, words array<string>, n array<bigint>"
+
+
+def graphs(short, long, width: int, fragments: int):
+    """``pack_graph`` rows added up over a task's packs, ``MOST_HELD`` at a time: one row per
+    fragment of the grams' hashes."""
+
+    def packed(held: dict) -> pa.RecordBatch:
+        parts: dict[int, list] = {}
+        for key, n in held.items():
+            parts.setdefault(xxhash.xxh64_intdigest("\n".join(map(str, key))) % fragments, []).append((*key, n))
+        columns = [[[row[i] for row in rows] for rows in parts.values()] for i in range(3)]
+        types = (pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()))
+        arrays = [pa.array(list(parts), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))]
+        return pa.RecordBatch.from_arrays(arrays, names=["fragment", "lang", "words", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str | None], int] = {}
         for pack in packs(batches):
-            rows = list(pack_graph(pack, test.value, width))
-            for i in range(0, len(rows), 10_000):
-                langs, texts, weights = zip(*rows[i : i + 10_000])
-                arrays = [pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(weights, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "words", "n"])
+            for lang, words, n in pack_graph(pack, short.value, long.value, width):
+                held[lang, words] = held.get((lang, words), 0) + n
+                if len(held) >= MOST_HELD:
+                    yield packed(held)
+                    held.clear()
+        yield packed(held)
 
     return run
 
 
+def summed(table: pa.Table) -> pa.Table:
+    """A fragment's grams, each with its weight over all packs."""
+    names = ("lang", "words", "n")
+    rows = pa.table({name: table[name].combine_chunks().flatten() for name in names})
+    return rows.group_by(["lang", "words"]).aggregate([("n", "sum")]).rename_columns(list(names))
+
+
 def gram_counts(docs: DataFrame, scratch: Scratch, width: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, n) of the grams of up to ``width`` words that occur ``least`` times,
     and (lang, n) of all words. ``docs`` has lang and text, neither null."""
-    test = docs.sparkSession.sparkContext.broadcast(frequent_filter(docs, scratch, least))
-    rows = scratch.keep(docs.mapInArrow(graphs(test, width), "lang string, words string, n bigint"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = fragment_count(size // BYTES_PER_ITEM)
+    short = frequent_filter(docs, scratch, words_and_pairs, fragments, least)
+    long = frequent_filter(docs, scratch, longer_grams(short, width), fragments, least) if width > 2 else short
+    packed = docs.mapInArrow(graphs(short, long, width, fragments), PACKED)
+    rows = scratch.keep(packed.groupBy("fragment").applyInArrow(summed, "lang string, words string, n bigint"))
     totals = rows.where("words is null").groupBy("lang").agg(F.sum("n").alias("n"))
     split = F.split("words", " ")
     sized = rows.where("words is not null").withColumn("k", F.size(split))

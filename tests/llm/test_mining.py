@@ -164,6 +164,8 @@ def test_collocations_with_a_full_filter_and_small_packs(phrases, monkeypatch):
     want = plain_collocations(odd_phrases() * 2, 3)
     monkeypatch.setattr(collocations, "MOST_BITS", 64)
     monkeypatch.setattr(collocations, "LEAST_BITS", 64)
+    monkeypatch.setattr(collocations, "PACK_WORDS", 500)
+    monkeypatch.setattr(collocations, "MOST_HELD", 40)
     got = collocations.collocations(phrases, least=3).collect()
     assert sorted(map(tuple, got)) == want
     assert collocations.collocations(phrases.limit(0)).count() == 0
@@ -185,7 +187,7 @@ def test_paths_of_a_pack_weigh_what_its_grams_do():
             w = piece.split()
             want.update(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     got = Counter()
-    for _, words, n in collocations.pack_graph(pack, All(), 5):
+    for _, words, n in collocations.pack_graph(pack, All(), All(), 5):
         w = (words or "").split()
         for i in range(len(w) - 4):
             assert tuple(w[i : i + 5]) not in got
