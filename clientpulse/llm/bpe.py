@@ -4,11 +4,13 @@
 built when it is first taken. A state is what is still open of a piece: the last
 token emitted before it, the open bytes, and the last token of the encoding of each
 open prefix. The encoding of a prefix ends in the one token that may follow the
-encoding of what is before it, and two tokens may follow each other if merging
-their bytes gives just them. A token is emitted as soon as every token that could
+encoding of what is before it. Two tokens may follow each other if no merge across
+their border would have come before the merges that made them, which a walk down
+their merge trees tells. A token is emitted as soon as every token that could
 still be read starts behind it, so the open bytes are a bounded lookahead (the
-longest token, about). States and whole pieces met before are kept up to
-``MOST_STATES`` and ``MOST_PIECES``, then forgotten and built again.
+longest token, about). States met before are kept up to ``MOST_STATES``, then forgotten
+and built again; of whole pieces met before the last one to two times ``MOST_PIECES``
+stay known. Pieces that are a token themselves need no transition.
 
 ``decode_stream`` runs an incremental UTF-8 state machine over token bytes; bytes
 that are no UTF-8 become U+FFFD, whole characters appear as soon as they are complete.
@@ -22,10 +24,12 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -34,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientpulse.llm.common import quoted, slices, text_of
+from clientpulse.session import ship_package
 
-MOST_STATES = 200_000
+MOST_STATES = 500_000
 MOST_PIECES = 500_000
 MOST_PAIRS = 1_000_000
 #: The same pattern for texts whose characters below U+0250 are letters, ASCII digits
@@ -58,10 +63,11 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
 
 
 class State:
-    __slots__ = ("edges", "flush", "last", "open", "prefix")
+    __slots__ = ("edges", "flush", "last", "live", "open", "prefix")
 
-    def __init__(self, last: int, open_bytes: bytes, prefix: tuple[int, ...]):
+    def __init__(self, last: int, open_bytes: bytes, prefix: tuple[int, ...], live: tuple[int, ...] = ()):
         self.last, self.open, self.prefix = last, open_bytes, prefix
+        self.live = live  # where a token may start that goes on beyond the open bytes
         self.edges: dict[int, tuple[State, tuple[int, ...]]] = {}
         self.flush: tuple[int, ...] | None = None
 
@@ -71,73 +77,119 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.starts = {b[:i] for b in ranks for i in range(1, len(b) + 1)}
-        self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[bytes, bool] = {}
+        self.ends = {b[i:] for b in ranks for i in range(len(b))}
+        self.size = {r: len(b) for b, r in ranks.items()}
+        self.single = [bytes((b,)) for b in range(256)]
+        self.pairs: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
         self.start = State(-1, b"", ())
         self.states: dict[tuple[int, bytes], State] = {(-1, b""): self.start}
+        gc.collect()
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Merges by rank, lowest and leftmost first; for the short strings of two tokens."""
+    def merged_from(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of a token's own bytes joins; None for a byte,
+        and for a token that its bytes do not merge to."""
+        if token in self.halves:
+            return self.halves[token]
         get, none = self.ranks.get, len(self.ranks) + (1 << 32)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs and (best := min(pairs)) < none:
-            at = pairs.index(best)
+        text = self.bytes_of[token]
+        parts = [text[i : i + 1] for i in range(len(text))]
+        ranks = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        # lowest rank first, then leftmost
+        while len(parts) > 2 and (best := min(ranks)) < none:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
-            if at < len(pairs):
-                pairs[at] = get(parts[at] + parts[at + 1], none)
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], none)
             if at:
-                pairs[at - 1] = get(parts[at - 1] + parts[at], none)
-        return [self.ranks[p] for p in parts]
+                ranks[at - 1] = get(parts[at - 1] + parts[at], none)
+        found = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        self.halves[token] = found
+        return found
 
     def follows(self, left: int, right: int) -> bool:
         """May token ``right`` come directly after ``left`` (-1: the start) in an encoding?"""
-        key = (left, right)
+        key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            own = self.bytes_of[right]
-            if left < 0:
-                found = self.merge(own) == [right]
-            else:
-                found = self.merge(self.bytes_of[left] + own) == [left, right]
-            self.pairs[key] = found
+            made = len(self.bytes_of[right]) == 1 or self.merged_from(right) is not None
+            found = self.pairs[key] = made and (left < 0 or self.stays_apart(left, right))
         return found
 
+    def stays_apart(self, a: int, b: int) -> bool:
+        """Does no merge across the border of two encoded tokens come first? The merges at the
+        border are undone one by one, latest first; at each point the parts on both sides
+        would have joined, were the rank of their pair lower than that of the merge that
+        took one of them. Of equal ranks the left merge comes first."""
+        get, text = self.ranks.get, self.bytes_of
+        before = 1 << 62  # a merge across the border has to have a rank below
+        while True:
+            across = get(text[a] + text[b])
+            if across is not None and across < before:
+                return False
+            from_a, from_b = self.merged_from(a), self.merged_from(b)
+            if from_a is None and from_b is None:
+                return True
+            if from_b is None or (from_a is not None and a > b):
+                before, a = a, from_a[1]
+            else:
+                before, b = b + 1, from_b[0]
+
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """Build the transition of ``state`` on ``byte``: the next state, the tokens emitted."""
-        text = state.open + bytes((byte,))
-        n, ranks = len(text), self.ranks
+        text = state.open + self.single[byte]
+        n, ranks, ends, starts, size = len(text), self.ranks, self.ends, self.starts, self.size
+        before, pairs = state.prefix, self.pairs
+        # tokens that end here, longest last
+        ending, j = [], n - 1
+        tail = text[j:]
+        while tail in ends:
+            token = ranks.get(tail)
+            if token is not None:
+                ending.append((j, token))
+            if not j:
+                break
+            j -= 1
+            tail = text[j:]
         end = -1
-        for j in range(n):
-            token = ranks.get(text[j:])
-            if token is not None and self.follows(state.prefix[j - 1] if j else state.last, token):
+        while ending:
+            j, token = ending.pop()
+            left = before[j - 1] if j else state.last
+            fits = pairs.get(left << 32 | token)
+            if fits or (fits is None and self.follows(left, token)):
                 end = token
                 break
-        prefix = (*state.prefix, end)
+        prefix = before + (end,)
         # places where a later token may still start
-        live = [j for j in range(max(0, n - self.longest), n) if text[j:] in self.starts] + [n]
-        # the last place that the encodings of all of them pass
-        places = set(live)
-        while len(places) > 1:
-            far = max(places)
-            places.remove(far)
-            places.add(far - len(self.bytes_of[prefix[far - 1]]))
-        cut = places.pop()
-        common = self.chain(prefix, cut)
-        last = common[-1] if common else state.last
-        key = (last, text[cut:])
+        live = [j for j in state.live if text[j:] in starts]
+        live.append(n - 1)
+        # the last place that the encodings of all of them, and of the whole, pass
+        cut = n
+        for place in reversed(live):
+            while place != cut:
+                if place > cut:
+                    place -= size[prefix[place - 1]]
+                else:
+                    cut -= size[prefix[cut - 1]]
+            if not cut:
+                break
+        if cut:
+            common = self.chain(prefix, cut)
+            last, left_open = common[-1], text[cut:]
+        else:
+            common, last, left_open = (), state.last, text
+        key = (last, left_open)
         target = self.states.get(key)
         if target is None:
             if len(self.states) >= MOST_STATES:
                 self.reset()
-            target = State(last, text[cut:], prefix[cut:])
+            target = State(last, left_open, prefix[cut:], tuple([j - cut for j in live] if cut else live))
             self.states[key] = target
         edge = (target, tuple(common))
         state.edges[byte] = edge
@@ -149,7 +201,7 @@ class Transducer:
         while end:
             token = prefix[end - 1]
             out.append(token)
-            end -= len(self.bytes_of[token])
+            end -= self.size[token]
         out.reverse()
         return out
 
@@ -173,29 +225,35 @@ class Transducer:
 
 
 class Encoder:
-    """A transducer with the pieces it has met; pieces map to their ids as text."""
+    """A transducer with the pieces it has met: their ids, and those as text."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.split = splitter(pattern)
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
 
-    def ids_of(self, text: str) -> list[str]:
-        """Ids of each piece, joined by commas."""
+    def pieces_of(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
+        """Ids of each piece, joined by commas and as numbers."""
         known, out = self.known, []
         for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= MOST_PIECES:
-                    known.clear()
-                ids = ",".join(map(str, self.transducer.encode_piece(piece.encode())))
+            found = known.get(piece)
+            if found is None:
+                found = self.older.get(piece)
+                if found is None:
+                    ids = tuple(self.transducer.encode_piece(piece.encode()))
+                    found = (",".join(map(str, ids)), ids)
                 if len(piece) < 64:
-                    known[piece] = ids
-            out.append(ids)
+                    if len(known) >= MOST_PIECES:
+                        # what is still in use moves over from the older half
+                        self.older, self.known = known, {}
+                        known = self.known
+                    known[piece] = found
+            out.append(found)
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids in self.ids_of(text) for i in ids.split(",")]
+        return list(chain.from_iterable(ids for _, ids in self.pieces_of(text)))
 
 
 def decode_stream(chunks: Iterable[Iterable[int]], bytes_of: dict[int, bytes]) -> Iterator[str]:
@@ -213,13 +271,16 @@ def decode_stream(chunks: Iterable[Iterable[int]], bytes_of: dict[int, bytes]) -
 
 def ship(spark: SparkSession, path: str) -> str:
     """Send a vocabulary file to every executor; its name there."""
+    ship_package(spark)
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[-1]
 
 
 @lru_cache(maxsize=2)
 def encoder(name: str, pattern: str) -> Encoder:
-    """One per Python worker."""
+    """One per Python worker. Its states and pieces live long and are many, and only
+    ``reset`` leaves reference cycles behind, so it alone has them collected."""
+    gc.disable()
     with open(SparkFiles.get(name), "rb") as lines:
         return Encoder(read_ranks(lines), pattern)
 
@@ -267,10 +328,11 @@ def digest_table(
             table = code.transducer.bytes_of
             counts, ids_digests, text_digests = [], [], []
             for text in batch.column(1).to_pylist():
-                joined = ",".join(code.ids_of(text))
-                ids = joined.split(",") if joined else []
+                pieces = code.pieces_of(text)
+                joined = ",".join([names for names, _ in pieces])
+                ids = list(chain.from_iterable([numbers for _, numbers in pieces]))
                 decoded = hashlib.sha256()
-                parts = (map(int, ids[i : i + 4096]) for i in range(0, len(ids), 4096))
+                parts = (ids[i : i + 4096] for i in range(0, len(ids), 4096))
                 for part in decode_stream(parts, table):
                     decoded.update(part.encode())
                 counts.append(len(ids))
