@@ -91,7 +91,8 @@ def validation_counts(df: DataFrame, spec: EventSpec) -> DataFrame:
 def observed_events(df: DataFrame, spec: EventSpec) -> tuple[DataFrame, Observation]:
     """The clean rows, and the counters of ``validation_counts`` as an observation: they
     are collected by whatever job reads the rows, so writing the clean table counts the
-    raw one in the same scan. Rows pass the counters before invalid ones are dropped."""
+    raw one in the same scan. Rows pass the counters before invalid ones are dropped. Read
+    ``df`` in a session of its own (``session.side_session``)."""
     seen = Observation(f"validation_{spec.event_type}_{uuid.uuid4().hex}")
 
     def with_fault(*faults: str) -> Column:

@@ -33,7 +33,7 @@ from clientpulse.operators import audit, checks, cohorts, experiments, features,
 from clientpulse.operators import profile, serving, sketches, targets
 from clientpulse.operators.distribution import long_form
 from clientpulse.operators.score_index import ScoreIndex, build_index
-from clientpulse.session import pin_time_zone, shared_dir, stable
+from clientpulse.session import pin_time_zone, shared_dir, side_session, stable
 from clientpulse.sources import fixtures as fx
 from clientpulse.sources import readers
 
@@ -210,7 +210,8 @@ def validation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def validation_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of ``validation_counts``, collected while the clean table is written."""
-    raw = {t: fx.raw_events(spark, sf_dir, t) for t in EVENT_SPECS}
+    side = side_session(spark)
+    raw = {t: fx.raw_events(side, sf_dir, t) for t in EVENT_SPECS}
     clean, seen = prepare.prepare_observed(raw, include=(SEARCH, VISIT))
     stable(clean)
     return prepare.observed_report(spark, seen)

@@ -26,6 +26,7 @@ from clientpulse.operators.labels import build_labels, label_checks, training_se
 from clientpulse.operators.model import fit, score, split, temporal_split
 from clientpulse.operators.prepare import duplicate_summary, observed_report, prepare_events, prepare_observed, prepare_products
 from clientpulse.operators.serving import batch_score, score_checks, serving_export
+from clientpulse.session import side_session
 from clientpulse.sources import load_model, read_events, read_table, save_model, write_events, write_report, write_scores, write_table
 
 
@@ -33,7 +34,8 @@ def prepare(spark: SparkSession, raw: Mapping[str, str], products: str, out: str
     """Raw event and product tables to clean ones under ``out``, with reports of what was
     valid and what occurs twice. A raw table that is taken in is read once: its counters
     are observed while the clean rows are written, and duplicates are looked for in those."""
-    frames = {t: read_table(spark, path, EVENT_SPECS[t].required) for t, path in raw.items()}
+    side = side_session(spark)
+    frames = {t: read_table(side, path, EVENT_SPECS[t].required) for t, path in raw.items()}
     clean, seen = prepare_observed(frames, include)
     write_events(clean, f"{out}/events")
     validation = observed_report(spark, seen)
@@ -44,7 +46,7 @@ def prepare(spark: SparkSession, raw: Mapping[str, str], products: str, out: str
     ]
     for t in sorted(set(frames) - set(seen)):
         # left out of the clean table: only its reports are wanted
-        part = prepare_events(frames[t], EVENT_SPECS[t])
+        part = prepare_events(read_table(spark, raw[t], EVENT_SPECS[t].required), EVENT_SPECS[t])
         validation = validation.unionByName(part.report, True)
         duplicates.append(part.duplicates)
     write_report(validation, f"{out}/reports/validation")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _shipped: set[str] = set()
+_own_dirs: dict[str, str] = {}
 
 
 def build_session(app: str = "clientpulse", **conf: str) -> SparkSession:
@@ -55,17 +56,28 @@ def pin_time_zone(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def side_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` on the same cluster and shared folder. Observations stay with
+    the session that made them, and one that has any cannot be sent to tasks, as the
+    training summary of a fitted model tries to; so they get a session of their own."""
+    side = spark.newSession()
+    pin_time_zone(side)
+    return side
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. A temporary folder is used only by a local
     master, where the driver and the executors are the same machine, and goes with it."""
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if spark.sparkContext.applicationId in _own_dirs:
+        return _own_dirs[spark.sparkContext.applicationId]
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set(CHECKPOINT_CONF, folder)
+    _own_dirs[spark.sparkContext.applicationId] = folder
     return folder
 
 

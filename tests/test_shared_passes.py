@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from clientpulse import BUY, CART, SEARCH
 from clientpulse.config import EVENT_SPECS
-from clientpulse.operators import audit, cohorts, experiments, features, prepare, profile, sketches
+from clientpulse.operators import audit, cohorts, experiments, features, model, prepare, profile, sketches
 from clientpulse.plans import jobs
-from clientpulse.session import stable
+from clientpulse.session import side_session, stable
 from clientpulse.sources import fixtures as fx
 from clientpulse.sources import read_table
 
@@ -36,7 +36,8 @@ def raw_paths(spark, tmp_path_factory):
 
 def test_counters_come_from_the_write(spark, raw_paths):
     base, types = raw_paths
-    frames = {t: read_table(spark, f"{base}/{t}") for t in types}
+    side = side_session(spark)
+    frames = {t: read_table(side, f"{base}/{t}") for t in types}
     clean, seen = prepare.prepare_observed(frames, (SEARCH,))
     plan = clean._jdf.queryExecution().executedPlan().toString()
     assert [plan.count(f"{base}/{t}") for t in types] == [1, 1, 1] and plan.count("FileScan parquet") == 3
@@ -49,6 +50,14 @@ def test_counters_come_from_the_write(spark, raw_paths):
     assert found[CART]["invalid_rows"] == 3 and found[CART]["client_id_parse_failure_count"] == 1
 
 
+def test_models_fit_beside_observations(spark, raw_paths, tmp_path):
+    base, types = raw_paths
+    jobs.prepare(spark, {t: f"{base}/{t}" for t in types}, f"{base}/products", str(tmp_path / "run"))
+    rows = [(i, float(i % 7), int(i % 7 > 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "client_id long, a double, label int")
+    assert model.score(model.fit(df, ["a"]), df).count() == 60
+
+
 def test_prepare_writes_the_same_reports(spark, raw_paths, tmp_path):
     base, types = raw_paths
     out = str(tmp_path / "run")
