@@ -350,7 +350,7 @@ def _cohort_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def overlap_matrix_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The overlap matrix from theta sketches, exact up to ``2 ** THETA_LG`` clients."""
+    """The overlap matrix from theta sketches of slices of the clients."""
     return sketches.sketched_overlaps(_cohort_sketches(spark, sf_dir))
 
 
