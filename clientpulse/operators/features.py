@@ -192,9 +192,9 @@ def ratio_features(df: DataFrame) -> DataFrame:
 
 
 def fill_counts(df: DataFrame, windows: Sequence[int] = FEATURE_WINDOWS) -> DataFrame:
-    """Null counts to 0; recency, prices and ratios keep their nulls."""
+    """Null counts, and the difference of two, to 0; recency, prices and ratios keep their nulls."""
     counts = {f.name for f in feature_registry(tuple(windows)) if f.group == "activity_count"}
-    counts |= {"distinct_cart_category_count", "distinct_bought_category_count"}
+    counts |= {"distinct_cart_category_count", "distinct_bought_category_count", "cart_minus_remove_count"}
     return df.fillna({c: 0 for c in df.columns if c in counts})
 
 
