@@ -1,18 +1,19 @@
 """The client feature table and the engineered feature families.
 
-All windows and event types come out of one aggregation tree:
+All windows, event types and cutoffs come out of one aggregation tree of narrow rows:
 
-    (client, SKU)      counts, last date and window counts of the three SKU types
+    (client, SKU)      counts of the three SKU types
       + product by SKU joined after the reduction, not to raw events
     (client, category) SKUs and categories become countable rows
-    (client)           one row
+    (client, date)     counts of all types: windows, recency, searches, active days
+    (client)           one row for each snapshot
 
-Searches and active days come from (client, date) rows, which join the tree at
-its last level. A client's cart, removal and purchase of one SKU share a row, so
-the event type is never a shuffle key. Every level combines on the map side, and
-the first ones are keyed finer than the client, so a client with a third of all
-events is spread out. Searches have no SKU and never reach the product join,
-where they would all meet in one partition."""
+A client's cart, removal and purchase of one SKU share a row, so the event type is never a
+shuffle key. The (client, SKU) and (client, date) levels combine on the map side, so a client
+with a third of all events is spread out. After them the rows themselves are moved, not the
+wide buffers of the next level: a client has one row for each SKU in a category, one for each
+category and one for each day, however many events it has. Searches have no SKU and never
+reach the product join, where they would all meet in one partition."""
 
 from __future__ import annotations
 
@@ -40,7 +41,7 @@ from clientpulse.config import (
 from clientpulse.functions import in_history, safe_ratio
 from clientpulse.functions.predicates import day
 from clientpulse.operators.distribution import long_form, quantiles
-from clientpulse.operators.paths import recent_then, transition_counts
+from clientpulse.operators.paths import recent_then, transition_counts, transition_counts_of
 
 #: The column of a daily table that says how many events a row stands for.
 EVENT_COUNT = "event_count"
@@ -51,10 +52,6 @@ def history_of(events: DataFrame, cutoff: str, types: Sequence[str] = FEATURE_TY
     return events.where(in_history(cutoff) & F.col("event_type").isin(*types) & F.col("client_id").isNotNull())
 
 
-def since(cutoff: str, days: int) -> Column:
-    return F.col("event_date") >= F.date_sub(day(cutoff), days)
-
-
 def daily_activity(events: DataFrame, types: Sequence[str] = FEATURE_TYPES) -> DataFrame:
     """(client, type, SKU, day) rows with the number of events in ``EVENT_COUNT``. All that
     features and labels know of an event is in them, so a stored daily table serves any
@@ -70,16 +67,18 @@ def counted(events: DataFrame, hit: Column) -> Column:
     return F.count_if(hit)
 
 
-def sku_level(history: DataFrame, cutoff: str, windows: Sequence[int], types: Sequence[str] = SKU_TYPES) -> DataFrame:
-    aggregates = []
-    for t in types:
-        hit = F.col("event_type") == t
-        aggregates += [
-            counted(history, hit).alias(f"{t}_n"),
-            F.max(F.when(hit, F.col("event_date"))).alias(f"{t}_last"),
-            *(counted(history, hit & since(cutoff, w)).alias(f"{t}_n_{w}") for w in windows),
-        ]
-    return history.where(F.col("event_type").isin(*types)).groupBy("client_id", "sku").agg(*aggregates)
+def before(cutoff: str) -> Column:
+    return F.col("event_date") < day(cutoff)
+
+
+def sku_level(history: DataFrame, cutoffs: Sequence[str], types: Sequence[str] = SKU_TYPES) -> DataFrame:
+    """(client, SKU) rows; ``<type>_n_<i>`` is the number of events before the i-th cutoff."""
+    counts = [
+        counted(history, (F.col("event_type") == t) & before(cutoff)).alias(f"{t}_n_{i}")
+        for i, cutoff in enumerate(cutoffs)
+        for t in types
+    ]
+    return history.where(F.col("event_type").isin(*types)).groupBy("client_id", "sku").agg(*counts)
 
 
 def with_products(df: DataFrame, products: DataFrame) -> DataFrame:
@@ -88,95 +87,121 @@ def with_products(df: DataFrame, products: DataFrame) -> DataFrame:
     return df.join(products.select("sku", "category", "price"), "sku", "left")
 
 
-def category_level(skus: DataFrame, windows: Sequence[int], types: Sequence[str] = SKU_TYPES) -> DataFrame:
+def category_level(skus: DataFrame, cutoffs: Sequence[str], types: Sequence[str] = SKU_TYPES) -> DataFrame:
+    """(client, category) rows of what ``product_aggregates`` and ``sku_aggregates`` read."""
     price = F.col("price")
     aggregates = []
-    for t in types:
-        n = F.col(f"{t}_n")
-        aggregates += [F.sum(c).alias(c) for c in (f"{t}_n", *(f"{t}_n_{w}" for w in windows))]
-        aggregates += [F.max(f"{t}_last").alias(f"{t}_last"), F.count_if((n > 0) & F.col("sku").isNotNull()).alias(f"{t}_skus")]
-        if t in ELIGIBLE_TYPES:
-            aggregates += [
-                F.sum(F.when(price.isNotNull(), n)).alias(f"{t}_priced"),
-                F.sum(price.cast("double") * n).alias(f"{t}_price_sum"),
-                F.max(F.when(n > 0, price)).alias(f"{t}_max_price"),
-            ]
-    return skus.groupBy("client_id", "category").agg(*aggregates)
+    for i in range(len(cutoffs)):
+        for t in types:
+            n = F.col(f"{t}_n_{i}")
+            aggregates.append(F.count_if((n > 0) & F.col("sku").isNotNull()).alias(f"{t}_skus_{i}"))
+            if t in ELIGIBLE_TYPES:
+                aggregates += [
+                    F.sum(F.when(price.isNotNull(), n)).alias(f"{t}_priced_{i}"),
+                    F.sum(price.cast("double") * n).alias(f"{t}_price_sum_{i}"),
+                    F.max(F.when(n > 0, price)).alias(f"{t}_max_price_{i}"),
+                ]
+    return skus.repartition("client_id", "category").groupBy("client_id", "category").agg(*aggregates)
 
 
 def day_level(history: DataFrame) -> DataFrame:
+    """(client, date) rows with ``<type>_n``, the events of each type on that day."""
     return history.groupBy("client_id", "event_date").agg(
-        counted(history, F.col("event_type") == SEARCH).alias("searches")
+        *(counted(history, F.col("event_type") == t).alias(f"{t}_n") for t in FEATURE_TYPES)
     )
 
 
+def client_tree(parts: DataFrame, days: DataFrame) -> DataFrame:
+    """The rows of both levels by client, each with the struct ``of`` or ``on`` of its columns.
+    The rows are moved as they are, as the buffers of all features are many times as wide."""
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        return df.select("client_id", F.struct(*(c for c in df.columns if c != "client_id")).alias(name))
+
+    return packed(parts, "of").unionByName(packed(days, "on"), allowMissingColumns=True).repartition("client_id")
+
+
 def active_days(events: DataFrame, cutoff: str, days: int | None = None) -> DataFrame:
     """Distinct days with any included event, per client."""
     name = "active_days_count" if days is None else f"active_days_count_{days}d"
     history = history_of(events, cutoff)
     if days is not None:
         history = history.where(in_history(cutoff, days))
-    return day_level(history).groupBy("client_id").agg(F.count("*").alias(name))
+    return history.select("client_id", "event_date").distinct().groupBy("client_id").agg(F.count("*").alias(name))
 
 
 def total(column: str | Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0))
 
 
-def sku_aggregates(cutoff: str, windows: Sequence[int]) -> list[Column]:
+def sku_aggregates(i: int) -> list[Column]:
+    return [total(f"of.{t}_skus_{i}").alias(f"distinct_{t}_sku_count_{i}") for t in SKU_TYPES]
+
+
+def day_aggregates(i: int, cutoff: str, windows: Sequence[int], active_windows: Sequence[int] = ()) -> list[Column]:
+    date = F.col("on.event_date")
+    past = date < day(cutoff)
+
+    def within(w: int) -> Column:
+        return past & (date >= F.date_sub(day(cutoff), w))
+
     out = []
-    for t in SKU_TYPES:
+    for t in FEATURE_TYPES:
+        n = F.col(f"on.{t}_n")
         out += [
-            total(f"{t}_n").alias(f"{t}_count"),
-            total(f"{t}_skus").alias(f"distinct_{t}_sku_count"),
-            F.datediff(day(cutoff), F.max(f"{t}_last")).alias(f"days_since_last_{t}"),
-            *(total(f"{t}_n_{w}").alias(f"{t}_count_{w}d") for w in windows),
+            total(F.when(past, n)).alias(f"{t}_count_{i}"),
+            F.datediff(day(cutoff), F.max(F.when(past & (n > 0), date))).alias(f"days_since_last_{t}_{i}"),
+            *(total(F.when(within(w), n)).alias(f"{t}_count_{w}d_{i}") for w in windows),
         ]
-    return out
-
-
-def day_aggregates(cutoff: str, windows: Sequence[int], active_windows: Sequence[int] = ()) -> list[Column]:
-    """Of rows that have a date only when they are day rows."""
-    searches = F.col("searches")
-    last = F.max(F.when(searches > 0, F.col("event_date")))
     return [
-        total(searches).alias(f"{SEARCH}_count"),
-        F.count_if(searches > 0).alias("distinct_search_days"),
-        F.datediff(day(cutoff), last).alias(f"days_since_last_{SEARCH}"),
-        *(total(F.when(since(cutoff, w), searches)).alias(f"{SEARCH}_count_{w}d") for w in windows),
-        F.count("event_date").alias("active_days_count"),
-        *(F.count_if(since(cutoff, w)).alias(f"active_days_count_{w}d") for w in active_windows),
+        *out,
+        F.count_if(past & (F.col(f"on.{SEARCH}_n") > 0)).alias(f"distinct_search_days_{i}"),
+        F.count_if(past).alias(f"active_days_count_{i}"),
+        *(F.count_if(within(w)).alias(f"active_days_count_{w}d_{i}") for w in active_windows),
     ]
 
 
-def product_aggregates() -> list[Column]:
+def product_aggregates(i: int, of: str = "") -> list[Column]:
+    """``of`` is the prefix of the columns of ``category_level``."""
     out = []
     for prefix, t in PRODUCT_PREFIX.items():
-        known = F.col("category").isNotNull() & (F.col(f"{t}_n") > 0)
+        # a row with a category has a SKU
+        known = F.col(f"{of}category").isNotNull() & (F.col(f"{of}{t}_skus_{i}") > 0)
         out += [
-            F.count_if(known).alias(f"distinct_{prefix}_category_count"),
-            safe_ratio(F.sum(f"{t}_price_sum"), F.sum(f"{t}_priced")).alias(f"avg_{prefix}_price"),
-            F.max(f"{t}_max_price").alias(f"max_{prefix}_price"),
+            F.count_if(known).alias(f"distinct_{prefix}_category_count_{i}"),
+            safe_ratio(F.sum(f"{of}{t}_price_sum_{i}"), F.sum(f"{of}{t}_priced_{i}")).alias(f"avg_{prefix}_price_{i}"),
+            F.max(f"{of}{t}_max_price_{i}").alias(f"max_{prefix}_price_{i}"),
         ]
     return out
 
 
+def one_snapshot(wide: DataFrame, i: int = 0) -> DataFrame:
+    """The client and the columns of the i-th snapshot, under their own names."""
+    end = f"_{i}"
+    return wide.select("client_id", *(F.col(c).alias(c.removesuffix(end)) for c in wide.columns if c.endswith(end)))
+
+
 def activity_features(events: DataFrame, cutoff: str, windows: Sequence[int] = FEATURE_WINDOWS) -> DataFrame:
     """Counts, distinct SKUs, recency and window counts per event type."""
     history = history_of(events, cutoff)
-    skus = sku_level(history, cutoff, windows)
     one = F.col("sku").isNotNull()
-    skus = skus.withColumns({f"{t}_skus": (one & (F.col(f"{t}_n") > 0)).cast("long") for t in SKU_TYPES}).drop("sku")
-    tree = skus.unionByName(day_level(history), allowMissingColumns=True)
-    wanted = [*sku_aggregates(cutoff, windows), *day_aggregates(cutoff, windows)]
-    return tree.groupBy("client_id").agg(*wanted).drop("distinct_search_days", "active_days_count")
+    skus = sku_level(history, [cutoff]).select(
+        "client_id", *((one & (F.col(f"{t}_n_0") > 0)).cast("long").alias(f"{t}_skus_0") for t in SKU_TYPES)
+    )
+    wanted = [*sku_aggregates(0), *day_aggregates(0, cutoff, windows)]
+    found = client_tree(skus, day_level(history)).groupBy("client_id").agg(*wanted)
+    order = []
+    for t in FEATURE_TYPES:
+        order += [f"{t}_count", *([f"distinct_{t}_sku_count"] if t in SKU_TYPES else []), f"days_since_last_{t}"]
+        order += [f"{t}_count_{w}d" for w in windows]
+    return one_snapshot(found).select("client_id", *order)
 
 
 def product_features(events: DataFrame, products: DataFrame, cutoff: str) -> DataFrame:
     """Categories and prices of carted and bought SKUs, per client."""
-    skus = sku_level(history_of(events, cutoff, ELIGIBLE_TYPES), cutoff, (), ELIGIBLE_TYPES)
-    categories = category_level(with_products(skus, products), (), ELIGIBLE_TYPES)
-    return categories.groupBy("client_id").agg(*product_aggregates())
+    skus = sku_level(history_of(events, cutoff, ELIGIBLE_TYPES), [cutoff], ELIGIBLE_TYPES)
+    categories = category_level(with_products(skus, products), [cutoff], ELIGIBLE_TYPES).repartition("client_id")
+    return one_snapshot(categories.groupBy("client_id").agg(*product_aggregates(0)))
 
 
 def ratio_features(df: DataFrame) -> DataFrame:
@@ -198,6 +223,34 @@ def fill_counts(df: DataFrame, windows: Sequence[int] = FEATURE_WINDOWS) -> Data
     return df.fillna({c: 0 for c in df.columns if c in counts})
 
 
+def features_of_snapshots(
+    events: DataFrame,
+    products: DataFrame,
+    snapshots: Sequence[Snapshot],
+    windows: Sequence[int] = FEATURE_WINDOWS,
+    active_windows: Sequence[int] = (),
+) -> DataFrame:
+    """The rows of ``build_features`` of each snapshot, with its name in ``snapshot``, from one
+    pass: the levels below the client are shared by all cutoffs."""
+    cutoffs = [s.cutoff for s in snapshots]
+    history = history_of(events, max(cutoffs))
+    categories = category_level(with_products(sku_level(history, cutoffs), products), cutoffs)
+    aggregates = []
+    for i, cutoff in enumerate(cutoffs):
+        aggregates += [*sku_aggregates(i), *product_aggregates(i, "of."), *day_aggregates(i, cutoff, windows, active_windows)]
+    wide = client_tree(categories, day_level(history)).groupBy("client_id").agg(*aggregates)
+    names = [c.removesuffix("_0") for c in wide.columns if c.endswith("_0")]
+    rows = F.array(
+        *(F.struct(*(F.col(f"{c}_{i}").alias(c) for c in names), F.lit(s.name).alias("snapshot")) for i, s in enumerate(snapshots))
+    )
+    # a client without history before a cutoff has no day there
+    found = wide.select("client_id", F.inline(rows)).where(F.col("active_days_count") > 0)
+    in_cohort = F.col(f"{CART}_count") + F.col(f"{BUY}_count") > 0
+    found = ratio_features(found.withColumn(ELIGIBLE, in_cohort.cast("int")))
+    extra = [f"active_days_count_{w}d" for w in active_windows]
+    return found.select("client_id", *feature_names(tuple(windows)), *extra, "snapshot")
+
+
 def build_features(
     events: DataFrame,
     products: DataFrame,
@@ -207,18 +260,7 @@ def build_features(
 ) -> DataFrame:
     """One row per client with history, from events before the cutoff only.
     ``active_windows`` adds ``active_days_count_<w>d`` helper columns."""
-    cutoff = snapshot.cutoff
-    history = history_of(events, cutoff)
-    categories = category_level(with_products(sku_level(history, cutoff, windows), products), windows)
-    # Day rows have no category, category rows no date: one union, one shuffle.
-    tree = categories.unionByName(day_level(history), allowMissingColumns=True)
-    wide = tree.groupBy("client_id").agg(
-        *sku_aggregates(cutoff, windows), *product_aggregates(), *day_aggregates(cutoff, windows, active_windows)
-    )
-    in_cohort = F.col(f"{CART}_count") + F.col(f"{BUY}_count") > 0
-    wide = ratio_features(wide.withColumn(ELIGIBLE, in_cohort.cast("int")))
-    extra = [f"active_days_count_{w}d" for w in active_windows]
-    return wide.select("client_id", *feature_names(tuple(windows)), *extra)
+    return features_of_snapshots(events, products, [snapshot], windows, active_windows).drop("snapshot")
 
 
 def feature_catalog(df: DataFrame, windows: Sequence[int] = FEATURE_WINDOWS) -> DataFrame:
@@ -303,14 +345,24 @@ def transition_features(
 ) -> DataFrame:
     """Search-to-cart transitions of every client with a cart. The rate is
     smoothed, so it is 1 / (carts + 2) and not 0 where no cart had a search."""
-    return transition_counts(events, cutoff, days, recent_days).select(
+    return transition_columns(transition_counts(events, cutoff, days, recent_days))
+
+
+def transition_columns(counts: DataFrame, *keep: str) -> DataFrame:
+    return counts.select(
         "client_id",
         F.col("assisted").alias("search_before_cart_count"),
         ((F.col("assisted") + 1.0) / (F.col("carts") + 2.0)).alias("search_to_cart_rate"),
         F.when(F.col("last_cart") >= F.col("first_recent_search"), 1).otherwise(0).alias("recent_search_then_cart_flag"),
+        *keep,
     )
 
 
+def transitions_of_snapshots(events: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    """``transition_features`` of each snapshot, with its name in ``snapshot``, from one pass."""
+    return transition_columns(transition_counts_of(events, {s.name: s.cutoff for s in snapshots}), "snapshot")
+
+
 def add_transition_features(base: DataFrame, events: DataFrame, cutoff: str) -> DataFrame:
     return add_features(base, transition_features(events, cutoff), TRANSITION_FILLS)
 

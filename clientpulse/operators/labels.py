@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,24 @@ def labels_from_events(events: DataFrame, snapshot: Snapshot) -> DataFrame:
     )
 
 
+def labels_of_snapshots(events: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    """Client, label and snapshot of the eligible clients of each snapshot, from one pass."""
+    kind = F.col("event_type")
+    aggregates, used = [], F.lit(False)
+    for i, s in enumerate(snapshots):
+        history, target = in_history(s.cutoff), (kind == BUY) & in_target(s.cutoff, s.target_end)
+        used = used | history | target
+        count = F.count_if(target)
+        aggregates.append(
+            F.struct(
+                F.max(history).alias("in_cohort"), F.when(count > 0, 1).otherwise(0).alias("label"), F.lit(s.name).alias("snapshot")
+            ).alias(f"of_{i}")
+        )
+    found = events.where(kind.isin(CART, BUY) & used & F.col("client_id").isNotNull()).groupBy("client_id").agg(*aggregates)
+    rows = F.array(*(F.col(f"of_{i}") for i in range(len(snapshots))))
+    return found.select("client_id", F.inline(rows)).where("in_cohort").drop("in_cohort")
+
+
 def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Features of the eligible clients with their label as last column."""
     return eligible(features).join(labels.select("client_id", "label"), "client_id")

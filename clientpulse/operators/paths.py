@@ -7,7 +7,7 @@ slice travels between slices."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -180,24 +180,38 @@ def transition_counts(
 ) -> DataFrame:
     """Per client: carts, carts with a search in the ``days`` before, and whether
     a cart follows a search of the last ``recent_days`` days of history."""
+    return transition_counts_of(events, {"": cutoff}, days, recent_days).drop("snapshot")
+
+
+def transition_counts_of(
+    events: DataFrame, cutoffs: Mapping[str, str], days: int = TRANSITION_DAYS, recent_days: int = RECENT_SEARCH_DAYS
+) -> DataFrame:
+    """``transition_counts`` of each named cutoff, with its name in ``snapshot``. The search
+    before a cart does not depend on the cutoff, so all cutoffs share it."""
     kind, ts = F.col("event_type"), F.col("event_ts")
-    history = events.where(in_history(cutoff) & kind.isin(CART, SEARCH) & ts.isNotNull() & F.col("client_id").isNotNull())
+    history = events.where(
+        in_history(max(cutoffs.values())) & kind.isin(CART, SEARCH) & ts.isNotNull() & F.col("client_id").isNotNull()
+    )
     moments = history.groupBy("client_id", "event_ts").agg(
         F.count_if(kind == CART).alias("carts"), F.max(F.when(kind == SEARCH, ts)).alias("search_ts")
     )
     near = F.col("latest") >= ts - F.make_dt_interval(days=F.lit(days))
-    recent = F.to_date("search_ts") >= F.date_sub(day(cutoff), recent_days)
-    return (
-        latest_marked(moments, ["client_id"], "event_ts", "search_ts")
-        .groupBy("client_id")
-        .agg(
-            F.sum("carts").alias("carts"),
-            F.coalesce(F.sum(F.when(near, F.col("carts"))), F.lit(0)).alias("assisted"),
-            F.max(F.when(F.col("carts") > 0, ts)).alias("last_cart"),
-            F.min(F.when(recent, F.col("search_ts"))).alias("first_recent_search"),
+    aggregates = []
+    for i, (name, cutoff) in enumerate(cutoffs.items()):
+        past = F.to_date(ts) < day(cutoff)
+        recent = past & (F.to_date("search_ts") >= F.date_sub(day(cutoff), recent_days))
+        aggregates.append(
+            F.struct(
+                F.lit(name).alias("snapshot"),
+                F.coalesce(F.sum(F.when(past, F.col("carts"))), F.lit(0)).alias("carts"),
+                F.coalesce(F.sum(F.when(past & near, F.col("carts"))), F.lit(0)).alias("assisted"),
+                F.max(F.when(past & (F.col("carts") > 0), ts)).alias("last_cart"),
+                F.min(F.when(recent, F.col("search_ts"))).alias("first_recent_search"),
+            ).alias(f"of_{i}")
         )
-        .where(F.col("carts") > 0)
-    )
+    wide = latest_marked(moments, ["client_id"], "event_ts", "search_ts").groupBy("client_id").agg(*aggregates)
+    rows = F.array(*(F.col(f"of_{i}") for i in range(len(cutoffs))))
+    return wide.select("client_id", F.inline(rows)).where(F.col("carts") > 0)
 
 
 def recent_then(events: DataFrame, cutoff: str, recent_days: int = RECENT_SEARCH_DAYS) -> DataFrame:

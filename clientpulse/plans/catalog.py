@@ -25,6 +25,7 @@ from clientpulse.config import (
     SEARCH,
     VELOCITY_GROUPS,
     VISIT,
+    Snapshot,
     feature_families,
     feature_names,
 )
@@ -59,6 +60,7 @@ CARD = {
 SCORED_AT = "2024-01-01T00:00:00+00:00"
 LOOKUP_IDS = (3, 7, 42, -1)
 EXPORT_LIMIT = 100
+PAIR = (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT)
 SEARCH_LIMITS = (30, 90, 180)
 BUCKETED = ("add_to_cart_count", "days_since_last_product_buy", "buy_to_cart_ratio", "active_days_count", "search_query_count")
 TRANSITION_DAYS = 1
@@ -107,22 +109,48 @@ def table_stamp(spark: SparkSession, sf_dir: str) -> int:
     return max((e.getModificationTime() for e in entries), default=0)
 
 
-def feature_frame(spark: SparkSession, sf_dir: str, snap=fx.ORDERS_SNAPSHOT) -> DataFrame:
-    def build() -> DataFrame:
-        return features.build_features(
-            fx.order_events(spark, sf_dir), fx.products(spark, sf_dir), snap, active_windows=(30,)
+def by_snapshot(
+    spark: SparkSession, sf_dir: str, name: str, snaps: tuple[Snapshot, ...], build: Callable[[list[Snapshot]], DataFrame]
+) -> list[DataFrame]:
+    """The stored tables ``name`` of ``snaps``; those that are not stored yet come from one
+    table with their names as its last column ``snapshot``."""
+    keys = {s: (spark.sparkContext.applicationId, sf_dir, table_stamp(spark, sf_dir), f"{name}_{s.name}") for s in snaps}
+    missing = [s for s in snaps if keys[s] not in _stored]
+    if missing:
+        table = stable(build(missing), "snapshot")
+        for s in missing:
+            _stored[keys[s]] = table.where(F.col("snapshot") == s.name).drop("snapshot")
+    return [_stored[keys[s]] for s in snaps]
+
+
+def feature_frames(spark: SparkSession, sf_dir: str, *snaps: Snapshot) -> list[DataFrame]:
+    def build(missing: list[Snapshot]) -> DataFrame:
+        return features.features_of_snapshots(
+            fx.order_events(spark, sf_dir), fx.products(spark, sf_dir), missing, active_windows=(30,)
         )
 
-    return stored(spark, sf_dir, f"features_{snap.name}", build)
+    return by_snapshot(spark, sf_dir, "features", snaps, build)
 
 
-def training_frame(spark: SparkSession, sf_dir: str, snap=fx.ORDERS_SNAPSHOT) -> DataFrame:
-    def build() -> DataFrame:
-        table = feature_frame(spark, sf_dir, snap)
-        found = labels.labels_from_events(fx.order_events(spark, sf_dir, CART, BUY), snap)
-        return labels.training_set(table, found).drop("active_days_count_30d")
+def feature_frame(spark: SparkSession, sf_dir: str, snap=fx.ORDERS_SNAPSHOT) -> DataFrame:
+    return feature_frames(spark, sf_dir, snap)[0]
+
+
+def training_frames(spark: SparkSession, sf_dir: str, *snaps: Snapshot) -> list[DataFrame]:
+    def build(missing: list[Snapshot]) -> DataFrame:
+        found = stable(labels.labels_of_snapshots(fx.order_events(spark, sf_dir, CART, BUY), missing))
+        out = None
+        for s, table in zip(missing, feature_frames(spark, sf_dir, *missing)):
+            part = labels.training_set(table, found.where(F.col("snapshot") == s.name)).drop("active_days_count_30d")
+            part = part.withColumn("snapshot", F.lit(s.name))
+            out = part if out is None else out.unionByName(part)
+        return out
 
-    return stored(spark, sf_dir, f"training_{snap.name}", build)
+    return by_snapshot(spark, sf_dir, "training", snaps, build)
+
+
+def training_frame(spark: SparkSession, sf_dir: str, snap=fx.ORDERS_SNAPSHOT) -> DataFrame:
+    return training_frames(spark, sf_dir, snap)[0]
 
 
 def carded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,11 +465,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features_of_two_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature tables of both snapshots of a temporal pair from one stored daily table."""
     days = stored(spark, sf_dir, "daily_activity", lambda: features.daily_activity(fx.order_events(spark, sf_dir)))
-    pair = [
-        features.build_features(days, fx.products(spark, sf_dir), snap).withColumn("snapshot", F.lit(snap.name))
-        for snap in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT)
-    ]
-    return pair[0].unionByName(pair[1])
+    return features.features_of_snapshots(days, fx.products(spark, sf_dir), PAIR)
 
 
 @query
@@ -772,9 +796,7 @@ def lookup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _temporal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return model.temporal_split(
-        training_frame(spark, sf_dir, fx.ORDERS_TRAIN), training_frame(spark, sf_dir, fx.ORDERS_SNAPSHOT)
-    )
+    return model.temporal_split(*training_frames(spark, sf_dir, *PAIR))
 
 
 def _baseline(spark: SparkSession, sf_dir: str):
@@ -788,8 +810,8 @@ def fit_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = feature_frame(spark, sf_dir)
-    return serving.batch_score(_baseline(spark, sf_dir), table, "baseline_lr_v1", SCORED_AT)
+    fitted = _baseline(spark, sf_dir)  # stores the tables of both snapshots
+    return serving.batch_score(fitted, feature_frame(spark, sf_dir), "baseline_lr_v1", SCORED_AT)
 
 
 @query
@@ -804,7 +826,8 @@ def coefficient_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.card_rows(training_frame(spark, sf_dir), model.model_card(_baseline(spark, sf_dir)))
+    card = model.model_card(_baseline(spark, sf_dir))
+    return model.card_rows(training_frame(spark, sf_dir), card)
 
 
 # --- null groups, text ids, odd scores -----------------------------------------
@@ -990,23 +1013,30 @@ def combined_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _engineered(spark: SparkSession, sf_dir: str, snap) -> DataFrame:
-    """The training table with every engineered feature; recency limits come from
-    the train snapshot for both snapshots."""
+def _engineered(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The training tables of the temporal pair with every engineered feature; recency
+    limits come from the train snapshot for both snapshots."""
 
-    def build() -> DataFrame:
-        helper = feature_frame(spark, sf_dir, snap).select("client_id", "active_days_count_30d")
-        limits = features.recency_thresholds(training_frame(spark, sf_dir, fx.ORDERS_TRAIN))
-        table = features.velocity_features(training_frame(spark, sf_dir, snap).join(helper, "client_id"))
-        events = fx.order_events(spark, sf_dir, CART, SEARCH)
-        return features.add_transition_features(features.search_buckets(table, limits), events, snap.cutoff)
+    def build(missing: list[Snapshot]) -> DataFrame:
+        tables = dict(zip(PAIR, training_frames(spark, sf_dir, *PAIR)))
+        helpers = dict(zip(PAIR, feature_frames(spark, sf_dir, *PAIR)))
+        limits = features.recency_thresholds(tables[fx.ORDERS_TRAIN])
+        found = stable(features.transitions_of_snapshots(fx.order_events(spark, sf_dir, CART, SEARCH), missing))
+        out = None
+        for s in missing:
+            helper = helpers[s].select("client_id", "active_days_count_30d")
+            table = features.search_buckets(features.velocity_features(tables[s].join(helper, "client_id")), limits)
+            extra = found.where(F.col("snapshot") == s.name).drop("snapshot")
+            part = features.add_features(table, extra, features.TRANSITION_FILLS).withColumn("snapshot", F.lit(s.name))
+            out = part if out is None else out.unionByName(part)
+        return out
 
-    return stored(spark, sf_dir, f"engineered_{snap.name}", build)
+    return by_snapshot(spark, sf_dir, "engineered", PAIR, build)
 
 
 @query
 def pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
+    train, validation = _engineered(spark, sf_dir)
     base = FEATURE_SETS["v2_2"].columns(feature_names())
     return experiments.prune(train, validation, base)
 
@@ -1015,7 +1045,7 @@ def pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
 def velocity_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each velocity group removed from the set that has all of them: the structure of the
     fitted runs, without the metrics that depend on the optimiser."""
-    train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
+    train, validation = _engineered(spark, sf_dir)
     columns = FEATURE_SETS["e6"].columns(feature_names())
     table = experiments.ablate(train, validation, columns, VELOCITY_GROUPS)
     drops = F.greatest("pr_auc_drop_relative", "lift_5pct_drop_relative")
@@ -1031,7 +1061,7 @@ def velocity_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     def build() -> dict[str, DataFrame]:
-        train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
+        train, validation = _engineered(spark, sf_dir)
         return experiments.benchmark_sets(train, validation, *(FEATURE_SETS[n].columns(feature_names()) for n in ("v2_2", "v2_4")))
 
     return stored_once(spark, sf_dir, "benchmark", build)
@@ -1050,7 +1080,7 @@ def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_set_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, validation = (_engineered(spark, sf_dir, s) for s in (fx.ORDERS_TRAIN, fx.ORDERS_SNAPSHOT))
+    train, validation = _engineered(spark, sf_dir)
     sets = {name: fs.columns(feature_names()) for name, fs in FEATURE_SETS.items()}
     rules = {"v2_1": "not_worse", "v2_2": "not_worse", "e6": "review", "v2_4": "any_gain"}
     bases = {name: "v2_2" for name in ("v2_3a", "v2_3b", "v2_3c", "e6", "v2_4")}
