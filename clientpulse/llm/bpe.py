@@ -73,8 +73,8 @@ class State:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
+        self.ranks, self.share = ranks, share
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.starts = {b[:i] for b in ranks for i in range(1, len(b) + 1)}
         self.ends = {b[i:] for b in ranks for i in range(len(b))}
@@ -116,7 +116,7 @@ class Transducer:
         key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= MOST_PAIRS:
+            if len(self.pairs) >= MOST_PAIRS * self.share:
                 self.pairs.clear()
             made = len(self.bytes_of[right]) == 1 or self.merged_from(right) is not None
             found = self.pairs[key] = made and (left < 0 or self.stays_apart(left, right))
@@ -187,7 +187,7 @@ class Transducer:
         key = (last, left_open)
         target = self.states.get(key)
         if target is None:
-            if len(self.states) >= MOST_STATES:
+            if len(self.states) >= MOST_STATES * self.share:
                 self.reset()
             target = State(last, left_open, prefix[cut:], tuple([j - cut for j in live] if cut else live))
             self.states[key] = target
@@ -225,10 +225,12 @@ class Transducer:
 
 
 class Encoder:
-    """A transducer with the pieces it has met: their ids, and those as text."""
+    """A transducer with the pieces it has met: their ids, and those as text. ``share`` is the
+    part of ``MOST_STATES``, ``MOST_PIECES`` and ``MOST_PAIRS`` that it keeps; ids are the same."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0):
+        self.share = share
+        self.transducer = Transducer(ranks, share)
         self.split = splitter(pattern)
         self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
         self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
@@ -244,7 +246,7 @@ class Encoder:
                     ids = tuple(self.transducer.encode_piece(piece.encode()))
                     found = (",".join(map(str, ids)), ids)
                 if len(piece) < 64:
-                    if len(known) >= MOST_PIECES:
+                    if len(known) >= MOST_PIECES * self.share:
                         # what is still in use moves over from the older half
                         self.older, self.known = known, {}
                         known = self.known
@@ -277,12 +279,12 @@ def ship(spark: SparkSession, path: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str, pattern: str) -> Encoder:
+def encoder(name: str, pattern: str, share: float = 1.0) -> Encoder:
     """One per Python worker. Its states and pieces live long and are many, and only
     ``reset`` leaves reference cycles behind, so it alone has them collected."""
     gc.disable()
     with open(SparkFiles.get(name), "rb") as lines:
-        return Encoder(read_ranks(lines), pattern)
+        return Encoder(read_ranks(lines), pattern, share)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,16 +317,17 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def digest_table(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", share: float = 1.0
 ) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Ids are encoded
-    and decoded again text by text, so no list of ids leaves the task."""
+    and decoded again text by text, so no list of ids leaves the task. ``share`` is that of
+    ``Encoder``: workers keep what they met, next to what other stages need."""
     name = ship(docs.sparkSession, ranks_path)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            code = encoder(name, pattern)
+            code = encoder(name, pattern, share)
             table = code.transducer.bytes_of
             counts, ids_digests, text_digests = [], [], []
             for text in batch.column(1).to_pylist():

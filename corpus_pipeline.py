@@ -18,6 +18,8 @@ from clientpulse.llm import bpe, exact_dedup, minhash, mixing, quality
 from clientpulse.llm.common import Scratch
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The executors' JVMs have grown over four stages when the last one starts.
+ENCODER_SHARE = 0.2
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digest_table(docs, RANKS, public_tokenizers.PATTERN)
+    return bpe.digest_table(docs, RANKS, public_tokenizers.PATTERN, share=ENCODER_SHARE)
 
 
 STAGES = [
