@@ -41,7 +41,7 @@ from clientpulse.config import (
 from clientpulse.functions import in_history, safe_ratio
 from clientpulse.functions.predicates import day
 from clientpulse.operators.distribution import long_form, quantiles
-from clientpulse.operators.paths import recent_then, transition_counts, transition_counts_of
+from clientpulse.operators.paths import recent_then, transition_counts, transition_counts_of, transition_counts_of_moments
 
 #: The column of a daily table that says how many events a row stands for.
 EVENT_COUNT = "event_count"
@@ -90,18 +90,20 @@ def with_products(df: DataFrame, products: DataFrame) -> DataFrame:
 def category_level(skus: DataFrame, cutoffs: Sequence[str], types: Sequence[str] = SKU_TYPES) -> DataFrame:
     """(client, category) rows of what ``product_aggregates`` and ``sku_aggregates`` read."""
     price = F.col("price")
+    # the SKU itself is not moved
+    rows = skus.withColumn("has_sku", F.col("sku").isNotNull()).drop("sku")
     aggregates = []
     for i in range(len(cutoffs)):
         for t in types:
             n = F.col(f"{t}_n_{i}")
-            aggregates.append(F.count_if((n > 0) & F.col("sku").isNotNull()).alias(f"{t}_skus_{i}"))
+            aggregates.append(F.count_if((n > 0) & F.col("has_sku")).alias(f"{t}_skus_{i}"))
             if t in ELIGIBLE_TYPES:
                 aggregates += [
                     F.sum(F.when(price.isNotNull(), n)).alias(f"{t}_priced_{i}"),
                     F.sum(price.cast("double") * n).alias(f"{t}_price_sum_{i}"),
                     F.max(F.when(n > 0, price)).alias(f"{t}_max_price_{i}"),
                 ]
-    return skus.repartition("client_id", "category").groupBy("client_id", "category").agg(*aggregates)
+    return rows.repartition("client_id", "category").groupBy("client_id", "category").agg(*aggregates)
 
 
 def day_level(history: DataFrame) -> DataFrame:
@@ -363,6 +365,11 @@ def transitions_of_snapshots(events: DataFrame, snapshots: Sequence[Snapshot]) -
     return transition_columns(transition_counts_of(events, {s.name: s.cutoff for s in snapshots}), "snapshot")
 
 
+def transitions_of_moments(moments: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    """``transitions_of_snapshots`` from stored ``paths.cart_search_moments``."""
+    return transition_columns(transition_counts_of_moments(moments, {s.name: s.cutoff for s in snapshots}), "snapshot")
+
+
 def add_transition_features(base: DataFrame, events: DataFrame, cutoff: str) -> DataFrame:
     return add_features(base, transition_features(events, cutoff), TRANSITION_FILLS)
 

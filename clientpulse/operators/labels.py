@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +85,22 @@ def labels_of_snapshots(events: DataFrame, snapshots: Sequence[Snapshot]) -> Dat
     return found.select("client_id", F.inline(rows)).where("in_cohort").drop("in_cohort")
 
 
+def buyers_of_snapshots(events: DataFrame, snapshots: Sequence[Snapshot]) -> DataFrame:
+    """Client and snapshot of everyone with a purchase in the target window of a snapshot.
+    Reads nothing outside the windows: who is eligible is known from the features."""
+    within = [in_target(s.cutoff, s.target_end) for s in snapshots]
+    bought = events.where((F.col("event_type") == BUY) & reduce(or_, within) & F.col("client_id").isNotNull())
+    found = bought.groupBy("client_id").agg(*(F.max(hit).alias(f"in_{i}") for i, hit in enumerate(within)))
+    names = F.array_compact(F.array(*(F.when(F.col(f"in_{i}"), F.lit(s.name)) for i, s in enumerate(snapshots))))
+    return found.select("client_id", F.explode(names).alias("snapshot"))
+
+
+def training_rows(features: DataFrame, buyers: DataFrame) -> DataFrame:
+    """``training_set`` from the features and the clients who bought in the target window."""
+    cohort, bought = eligible(guard_features(features)), buyers.select("client_id", F.lit(1).alias("label"))
+    return cohort.join(bought, "client_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
 def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Features of the eligible clients with their label as last column."""
     return eligible(features).join(labels.select("client_id", "label"), "client_id")

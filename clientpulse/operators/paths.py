@@ -188,13 +188,26 @@ def transition_counts_of(
 ) -> DataFrame:
     """``transition_counts`` of each named cutoff, with its name in ``snapshot``. The search
     before a cart does not depend on the cutoff, so all cutoffs share it."""
+    return transition_counts_of_moments(cart_search_moments(events, max(cutoffs.values())), cutoffs, days, recent_days)
+
+
+def cart_search_moments(events: DataFrame, cutoff: str) -> DataFrame:
+    """(client, time) rows before the cutoff with their carts, and the time again where it has
+    a search. ``transition_counts_of_moments`` reads them twice, so they are worth storing."""
     kind, ts = F.col("event_type"), F.col("event_ts")
     history = events.where(
-        in_history(max(cutoffs.values())) & kind.isin(CART, SEARCH) & ts.isNotNull() & F.col("client_id").isNotNull()
+        in_history(cutoff) & kind.isin(CART, SEARCH) & ts.isNotNull() & F.col("client_id").isNotNull()
     )
-    moments = history.groupBy("client_id", "event_ts").agg(
+    return history.groupBy("client_id", "event_ts").agg(
         F.count_if(kind == CART).alias("carts"), F.max(F.when(kind == SEARCH, ts)).alias("search_ts")
     )
+
+
+def transition_counts_of_moments(
+    moments: DataFrame, cutoffs: Mapping[str, str], days: int = TRANSITION_DAYS, recent_days: int = RECENT_SEARCH_DAYS
+) -> DataFrame:
+    """``transition_counts_of`` from ``cart_search_moments`` up to the last cutoff."""
+    ts = F.col("event_ts")
     near = F.col("latest") >= ts - F.make_dt_interval(days=F.lit(days))
     aggregates = []
     for i, (name, cutoff) in enumerate(cutoffs.items()):

@@ -138,10 +138,10 @@ def feature_frame(spark: SparkSession, sf_dir: str, snap=fx.ORDERS_SNAPSHOT) ->
 
 def training_frames(spark: SparkSession, sf_dir: str, *snaps: Snapshot) -> list[DataFrame]:
     def build(missing: list[Snapshot]) -> DataFrame:
-        found = stable(labels.labels_of_snapshots(fx.order_events(spark, sf_dir, CART, BUY), missing))
+        buyers = stable(labels.buyers_of_snapshots(fx.order_events(spark, sf_dir, BUY), missing))
         out = None
         for s, table in zip(missing, feature_frames(spark, sf_dir, *missing)):
-            part = labels.training_set(table, found.where(F.col("snapshot") == s.name)).drop("active_days_count_30d")
+            part = labels.training_rows(table.drop("active_days_count_30d"), buyers.where(F.col("snapshot") == s.name))
             part = part.withColumn("snapshot", F.lit(s.name))
             out = part if out is None else out.unionByName(part)
         return out
@@ -1021,7 +1021,9 @@ def _engineered(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
         tables = dict(zip(PAIR, training_frames(spark, sf_dir, *PAIR)))
         helpers = dict(zip(PAIR, feature_frames(spark, sf_dir, *PAIR)))
         limits = features.recency_thresholds(tables[fx.ORDERS_TRAIN])
-        found = stable(features.transitions_of_snapshots(fx.order_events(spark, sf_dir, CART, SEARCH), missing))
+        last = max(s.cutoff for s in missing)
+        moments = stable(paths.cart_search_moments(fx.order_events(spark, sf_dir, CART, SEARCH), last))
+        found = stable(features.transitions_of_moments(moments, missing))
         out = None
         for s in missing:
             helper = helpers[s].select("client_id", "active_days_count_30d")
