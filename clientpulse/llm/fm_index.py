@@ -158,7 +158,9 @@ def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def with_spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
     repeats = Repeats(docs, UNITS, later_windows, True, id_col, text_col)
-    return meet_spans(docs, repeats.covered(), True, id_col, text_col)
+    met = meet_spans(docs, repeats.covered(), True, id_col, text_col)
+    repeats.scratch.clear()  # the spans are stored
+    return met
 
 
 def later_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

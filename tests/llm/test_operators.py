@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
 
 import fixtures as fx
 import plain
@@ -84,6 +85,21 @@ def test_repeated_bytes_of_the_sample(spark, sample):
     assert whole(queries.QUERIES["op1_suffix_dedup"](spark, fx.SF)) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("operator", [suffix_dedup, fm_index])
+def test_scratch_of_windows_goes_once_spans_are_stored(spark, odd, monkeypatch, operator):
+    roots, plain_init = [], anchors.Scratch.__init__
+
+    def noted(self, *args):
+        plain_init(self, *args)
+        roots.append(Path(self.root))
+
+    monkeypatch.setattr(anchors.Scratch, "__init__", noted)
+    clean, dirty, _ = operator.with_spans(odd, "doc_id", "text")
+    windows = [r for r in roots if r.name.startswith("windows")]
+    assert windows and not any(r.exists() for r in windows)
+    assert clean.count() + dirty.count() == odd.count()
+
+
 @pytest.mark.parametrize("most", [4096, 1])
 def test_hot_anchors_go_by_window_hashes(spark, monkeypatch, most):
     monkeypatch.setattr(anchors, "MOST_SEGMENTS", most)
