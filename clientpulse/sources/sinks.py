@@ -7,13 +7,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clientpulse.session import small_tasks
+
 SCORE_BUCKETS = 256
 ROW_GROUP_BYTES = 4 << 20
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with small_tasks(df.sparkSession):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def write_events(events: DataFrame, path: str) -> None:
