@@ -10,10 +10,11 @@ All windows, event types and cutoffs come out of one aggregation tree of narrow
 
 A client's cart, removal and purchase of one SKU share a row, so the event type is never a
 shuffle key. The (client, SKU) and (client, date) levels combine on the map side, so a client
-with a third of all events is spread out. After them the rows themselves are moved, not the
-wide buffers of the next level: a client has one row for each SKU in a category, one for each
-category and one for each day, however many events it has. Searches have no SKU and never
-reach the product join, where they would all meet in one partition."""
+with a third of all events is spread out. After them the rows themselves are moved once, by
+client, not the wide buffers of the next levels: a client has one row for each of its SKUs and
+one for each of its days, however many events it has. Categories are made where a client's
+rows are, without a shuffle of their own. Searches have no SKU and never reach the product
+join, where they would all meet in one partition."""
 
 from __future__ import annotations
 
@@ -87,23 +88,27 @@ def with_products(df: DataFrame, products: DataFrame) -> DataFrame:
     return df.join(products.select("sku", "category", "price"), "sku", "left")
 
 
-def category_level(skus: DataFrame, cutoffs: Sequence[str], types: Sequence[str] = SKU_TYPES) -> DataFrame:
-    """(client, category) rows of what ``product_aggregates`` and ``sku_aggregates`` read."""
-    price = F.col("price")
-    # the SKU itself is not moved
-    rows = skus.withColumn("has_sku", F.col("sku").isNotNull()).drop("sku")
-    aggregates = []
+def category_aggregates(cutoffs: Sequence[str], types: Sequence[str] = SKU_TYPES, of: str = "") -> list[Column]:
+    """What ``product_aggregates`` and ``sku_aggregates`` read, by client and category.
+    ``of`` is the prefix of the columns of ``with_products``."""
+    price = F.col(f"{of}price")
+    out = []
     for i in range(len(cutoffs)):
         for t in types:
-            n = F.col(f"{t}_n_{i}")
-            aggregates.append(F.count_if((n > 0) & F.col("has_sku")).alias(f"{t}_skus_{i}"))
+            n = F.col(f"{of}{t}_n_{i}")
+            out.append(F.count_if((n > 0) & F.col(f"{of}sku").isNotNull()).alias(f"{t}_skus_{i}"))
             if t in ELIGIBLE_TYPES:
-                aggregates += [
+                out += [
                     F.sum(F.when(price.isNotNull(), n)).alias(f"{t}_priced_{i}"),
                     F.sum(price.cast("double") * n).alias(f"{t}_price_sum_{i}"),
                     F.max(F.when(n > 0, price)).alias(f"{t}_max_price_{i}"),
                 ]
-    return rows.repartition("client_id", "category").groupBy("client_id", "category").agg(*aggregates)
+    return out
+
+
+def moved(skus: DataFrame) -> DataFrame:
+    """Rows of ``with_products`` as they are moved: of the SKU only whether there is one."""
+    return skus.withColumn("sku", F.when(F.col("sku").isNotNull(), True))
 
 
 def day_level(history: DataFrame) -> DataFrame:
@@ -137,10 +142,11 @@ def total(column: str | Column) -> Column:
 
 
 def sku_aggregates(i: int) -> list[Column]:
-    return [total(f"of.{t}_skus_{i}").alias(f"distinct_{t}_sku_count_{i}") for t in SKU_TYPES]
+    return [total(f"{t}_skus_{i}").alias(f"distinct_{t}_sku_count_{i}") for t in SKU_TYPES]
 
 
-def day_aggregates(i: int, cutoff: str, windows: Sequence[int], active_windows: Sequence[int] = ()) -> list[Column]:
+def day_parts(i: int, cutoff: str, windows: Sequence[int], active_windows: Sequence[int] = ()) -> list[Column]:
+    """Of some of a client's days, what ``day_aggregates`` puts together."""
     date = F.col("on.event_date")
     past = date < day(cutoff)
 
@@ -152,7 +158,7 @@ def day_aggregates(i: int, cutoff: str, windows: Sequence[int], active_windows:
         n = F.col(f"on.{t}_n")
         out += [
             total(F.when(past, n)).alias(f"{t}_count_{i}"),
-            F.datediff(day(cutoff), F.max(F.when(past & (n > 0), date))).alias(f"days_since_last_{t}_{i}"),
+            F.max(F.when(past & (n > 0), date)).alias(f"last_{t}_{i}"),
             *(total(F.when(within(w), n)).alias(f"{t}_count_{w}d_{i}") for w in windows),
         ]
     return [
@@ -163,16 +169,28 @@ def day_aggregates(i: int, cutoff: str, windows: Sequence[int], active_windows:
     ]
 
 
-def product_aggregates(i: int, of: str = "") -> list[Column]:
-    """``of`` is the prefix of the columns of ``category_level``."""
+def day_aggregates(i: int, cutoff: str, windows: Sequence[int], active_windows: Sequence[int] = ()) -> list[Column]:
+    """From the columns of ``day_parts``."""
+    out = []
+    for t in FEATURE_TYPES:
+        out += [
+            total(f"{t}_count_{i}").alias(f"{t}_count_{i}"),
+            F.datediff(day(cutoff), F.max(f"last_{t}_{i}")).alias(f"days_since_last_{t}_{i}"),
+            *(total(f"{t}_count_{w}d_{i}").alias(f"{t}_count_{w}d_{i}") for w in windows),
+        ]
+    counts = ["distinct_search_days", "active_days_count", *(f"active_days_count_{w}d" for w in active_windows)]
+    return [*out, *(total(f"{c}_{i}").alias(f"{c}_{i}") for c in counts)]
+
+
+def product_aggregates(i: int) -> list[Column]:
     out = []
     for prefix, t in PRODUCT_PREFIX.items():
         # a row with a category has a SKU
-        known = F.col(f"{of}category").isNotNull() & (F.col(f"{of}{t}_skus_{i}") > 0)
+        known = F.col("category").isNotNull() & (F.col(f"{t}_skus_{i}") > 0)
         out += [
             F.count_if(known).alias(f"distinct_{prefix}_category_count_{i}"),
-            safe_ratio(F.sum(f"{of}{t}_price_sum_{i}"), F.sum(f"{of}{t}_priced_{i}")).alias(f"avg_{prefix}_price_{i}"),
-            F.max(f"{of}{t}_max_price_{i}").alias(f"max_{prefix}_price_{i}"),
+            safe_ratio(F.sum(f"{t}_price_sum_{i}"), F.sum(f"{t}_priced_{i}")).alias(f"avg_{prefix}_price_{i}"),
+            F.max(f"{t}_max_price_{i}").alias(f"max_{prefix}_price_{i}"),
         ]
     return out
 
@@ -190,8 +208,9 @@ def activity_features(events: DataFrame, cutoff: str, windows: Sequence[int] = F
     skus = sku_level(history, [cutoff]).select(
         "client_id", *((one & (F.col(f"{t}_n_0") > 0)).cast("long").alias(f"{t}_skus_0") for t in SKU_TYPES)
     )
+    parts = [*(F.sum(f"of.{t}_skus_0").alias(f"{t}_skus_0") for t in SKU_TYPES), *day_parts(0, cutoff, windows)]
     wanted = [*sku_aggregates(0), *day_aggregates(0, cutoff, windows)]
-    found = client_tree(skus, day_level(history)).groupBy("client_id").agg(*wanted)
+    found = client_tree(skus, day_level(history)).groupBy("client_id").agg(*parts).groupBy("client_id").agg(*wanted)
     order = []
     for t in FEATURE_TYPES:
         order += [f"{t}_count", *([f"distinct_{t}_sku_count"] if t in SKU_TYPES else []), f"days_since_last_{t}"]
@@ -202,7 +221,8 @@ def activity_features(events: DataFrame, cutoff: str, windows: Sequence[int] = F
 def product_features(events: DataFrame, products: DataFrame, cutoff: str) -> DataFrame:
     """Categories and prices of carted and bought SKUs, per client."""
     skus = sku_level(history_of(events, cutoff, ELIGIBLE_TYPES), [cutoff], ELIGIBLE_TYPES)
-    categories = category_level(with_products(skus, products), [cutoff], ELIGIBLE_TYPES).repartition("client_id")
+    rows = moved(with_products(skus, products)).repartition("client_id")
+    categories = rows.groupBy("client_id", "category").agg(*category_aggregates([cutoff], ELIGIBLE_TYPES))
     return one_snapshot(categories.groupBy("client_id").agg(*product_aggregates(0)))
 
 
@@ -236,11 +256,14 @@ def features_of_snapshots(
     pass: the levels below the client are shared by all cutoffs."""
     cutoffs = [s.cutoff for s in snapshots]
     history = history_of(events, max(cutoffs))
-    categories = category_level(with_products(sku_level(history, cutoffs), products), cutoffs)
-    aggregates = []
+    skus = moved(with_products(sku_level(history, cutoffs), products))
+    parts, aggregates = category_aggregates(cutoffs, of="of."), []
     for i, cutoff in enumerate(cutoffs):
-        aggregates += [*sku_aggregates(i), *product_aggregates(i, "of."), *day_aggregates(i, cutoff, windows, active_windows)]
-    wide = client_tree(categories, day_level(history)).groupBy("client_id").agg(*aggregates)
+        parts += day_parts(i, cutoff, windows, active_windows)
+        aggregates += [*sku_aggregates(i), *product_aggregates(i), *day_aggregates(i, cutoff, windows, active_windows)]
+    # days are with the SKUs that have no category
+    categories = client_tree(skus, day_level(history)).groupBy("client_id", F.col("of.category").alias("category")).agg(*parts)
+    wide = categories.groupBy("client_id").agg(*aggregates)
     names = [c.removesuffix("_0") for c in wide.columns if c.endswith("_0")]
     rows = F.array(
         *(F.struct(*(F.col(f"{c}_{i}").alias(c) for c in names), F.lit(s.name).alias("snapshot")) for i, s in enumerate(snapshots))

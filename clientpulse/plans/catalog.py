@@ -126,7 +126,7 @@ def by_snapshot(
 def feature_frames(spark: SparkSession, sf_dir: str, *snaps: Snapshot) -> list[DataFrame]:
     def build(missing: list[Snapshot]) -> DataFrame:
         return features.features_of_snapshots(
-            fx.order_events(spark, sf_dir), fx.products(spark, sf_dir), missing, active_windows=(30,)
+            fx.order_events(spark, sf_dir, timed=False), fx.products(spark, sf_dir), missing, active_windows=(30,)
         )
 
     return by_snapshot(spark, sf_dir, "features", snaps, build)

@@ -73,17 +73,26 @@ def stream_events(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     )
 
 
-def order_events(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
+def order_events(spark: SparkSession, sf_dir: str, *types: str, timed: bool = True) -> DataFrame:
     """Line items as cart, purchase and removal events, orders as searches.
     Every line-item type comes from the same single join with ``orders``. Whole events
-    leave it, so branches that read different columns of them share its shuffles."""
+    leave it, so branches that read different columns of them share its shuffles. ``timed=False``
+    leaves ``event_ts`` out: times become dates before the join, whose rows are narrower."""
     types = types or FEATURE_TYPES
-    orders = table(spark, sf_dir, "orders")
-    ts = F.col("at").cast("timestamp")
-    columns = ("client_id", ts.alias("event_ts"), F.to_date(ts).alias("event_date"), "event_type", "sku")
+
+    def source(name: str, time: str, *others: str | Column) -> DataFrame:
+        at = F.col(time).cast("timestamp")
+        return table(spark, sf_dir, name).select(*others, (at if timed else F.to_date(at)).alias(time))
+
+    orders = source("orders", "o_orderdate", "o_orderkey", "o_custkey")
+    at = F.col("at")
+    times = (at.alias("event_ts"), F.to_date(at).alias("event_date")) if timed else (at.alias("event_date"),)
+    columns = ("client_id", *times, "event_type", "sku")
     parts = []
     if set(types) & {CART, BUY, REMOVE}:
-        lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        removed = (F.col("l_returnflag") == "R").alias("l_removed")
+        lines = source("lineitem", "l_shipdate", "l_orderkey", "l_partkey", removed)
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
         def made(event_type: str, at: str) -> Column:
             return F.struct(F.lit(event_type).alias("event_type"), F.col("l_partkey").alias("sku"), F.col(at).alias("at"))
@@ -91,7 +100,7 @@ def order_events(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
         made_of = {
             CART: made(CART, "o_orderdate"),
             BUY: made(BUY, "l_shipdate"),
-            REMOVE: F.when(F.col("l_returnflag") == "R", made(REMOVE, "l_shipdate")),
+            REMOVE: F.when(F.col("l_removed"), made(REMOVE, "l_shipdate")),
         }
         rows = [made_of[t] for t in types if t in made_of]
         client = F.col("o_custkey").alias("client_id")
