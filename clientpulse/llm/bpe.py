@@ -316,35 +316,48 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, text string")
 
 
+def forget() -> None:
+    """Give back the memory of the encoder that this worker has. All of it: parts of its tables
+    freed one by one leave their pages in use."""
+    encoder.cache_clear()
+    gc.collect()
+
+
+def digests(batch: pa.RecordBatch, code: Encoder) -> pa.RecordBatch:
+    table = code.transducer.bytes_of
+    counts, ids_digests, text_digests = [], [], []
+    for text in batch.column(1).to_pylist():
+        pieces = code.pieces_of(text)
+        joined = ",".join([names for names, _ in pieces])
+        ids = list(chain.from_iterable([numbers for _, numbers in pieces]))
+        decoded = hashlib.sha256()
+        parts = (ids[i : i + 4096] for i in range(0, len(ids), 4096))
+        for part in decode_stream(parts, table):
+            decoded.update(part.encode())
+        counts.append(len(ids))
+        ids_digests.append(hashlib.sha256(joined.encode()).hexdigest())
+        text_digests.append(decoded.hexdigest())
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests), pa.array(text_digests)],
+        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
+
+
 def digest_table(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", share: float = 1.0
 ) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Ids are encoded
     and decoded again text by text, so no list of ids leaves the task. ``share`` is that of
-    ``Encoder``: workers keep what they met, next to what other stages need."""
+    ``Encoder``; below 1 a task also forgets its encoder at its end, as idle workers would
+    keep it next to what other stages need."""
     name = ship(docs.sparkSession, ranks_path)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            code = encoder(name, pattern, share)
-            table = code.transducer.bytes_of
-            counts, ids_digests, text_digests = [], [], []
-            for text in batch.column(1).to_pylist():
-                pieces = code.pieces_of(text)
-                joined = ",".join([names for names, _ in pieces])
-                ids = list(chain.from_iterable([numbers for _, numbers in pieces]))
-                decoded = hashlib.sha256()
-                parts = (ids[i : i + 4096] for i in range(0, len(ids), 4096))
-                for part in decode_stream(parts, table):
-                    decoded.update(part.encode())
-                counts.append(len(ids))
-                ids_digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_digests.append(decoded.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests), pa.array(text_digests)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            yield digests(batch, encoder(name, pattern, share))
+        if share < 1:
+            forget()
 
     rows = docs.select(quoted(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
