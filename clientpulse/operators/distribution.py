@@ -21,6 +21,8 @@ from clientpulse.config import TOPK_PERCENTS
 ROWS_PER_RANGE = 50_000
 # Over all groups together; more rows than this many ranges hold make longer ranges.
 MOST_RANGES = 1024
+# Halvings of a search among edges: enough for four times as many as there are about.
+EDGE_STEPS = 12
 
 
 def null_safe(groups: Sequence[str], other: str) -> Column:
@@ -31,23 +33,41 @@ def null_safe(groups: Sequence[str], other: str) -> Column:
     return on
 
 
-def with_range(rows: DataFrame, key: str, groups: Sequence[str], rows_per_range: int) -> DataFrame:
-    """Add ``__range``: the number of edges below the key. Edges are keys drawn by their
-    hashes, about ``MOST_RANGES`` in all at most, none for a small table."""
+def drawn_edges(rows: DataFrame, key: str, groups: Sequence[str], rows_per_range: int) -> DataFrame:
+    """``__edges`` of each group, ascending: keys drawn by their hashes, about ``MOST_RANGES``
+    in all at most, none for a small table."""
     share = F.least(F.col("n") / rows_per_range, F.lit(float(MOST_RANGES))) / F.col("n")
     total = rows.agg(F.count("*").alias("n")).select(F.when(F.col("n") > rows_per_range, share).otherwise(0.0))
     drawn = F.pmod(F.xxhash64(F.lit("range"), key), F.lit(1 << 31)) / float(1 << 31)
     sample = rows.where(F.col(key).isNotNull() & (drawn < total.scalar()))
-    edges_of = F.sort_array(F.collect_set(key)).alias("__edges")
+    # bounded: as many as the search below tells apart
+    edges = F.slice(F.sort_array(F.collect_set(key)), 1, (1 << EDGE_STEPS) - 1)
+    return sample.groupBy(*groups).agg(edges.alias("__edges"))
+
+
+def edges_below(edges: Column, key: str) -> Column:
+    """The number of the ascending ``edges`` that are smaller than the key, found by halving:
+    a row takes a dozen comparisons, not one with every edge. Without edges it is 0."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(EDGE_STEPS))))
+
+    def search(value: Column) -> Column:
+        return F.reduce(steps, F.lit(0), lambda n, step: F.when(F.get(edges, n + step - 1) < value, n + step).otherwise(n))
+
+    # as a lambda's variable the key is made once a row, not once a step; never null, so that
+    # no filter for nulls repeats the search
+    return F.coalesce(F.get(F.transform(F.array(key), search), F.lit(0)), F.lit(0))
+
+
+def with_range(rows: DataFrame, key: str, groups: Sequence[str], rows_per_range: int) -> DataFrame:
+    """Add ``__range``: the number of edges of the group below the key."""
+    edges = drawn_edges(rows, key, groups, rows_per_range)
     if groups:
-        edges = sample.groupBy(*groups).agg(edges_of)
         side = edges.select(*(F.col(g).alias(f"__{g}_of_edges") for g in groups), "__edges")
         # bounded: about MOST_RANGES keys in all
         met = rows.join(F.broadcast(side), null_safe(groups, "__{}_of_edges"), "left")
     else:
-        met = rows.withColumn("__edges", sample.agg(edges_of).scalar())
-    below = F.size(F.filter("__edges", lambda edge: edge < F.col(key)))
-    return met.select(*rows.columns, F.when(F.col("__edges").isNull(), 0).otherwise(below).alias("__range"))
+        met = rows.withColumn("__edges", edges.scalar())
+    return met.select(*rows.columns, edges_below(F.col("__edges"), key).alias("__range"))
 
 
 def running_totals(
@@ -163,10 +183,35 @@ def score_counts(scored: DataFrame, score: str, by: Sequence[str] = ()) -> DataF
 
 
 def smallest_key_cutoff(df: DataFrame, key: str, k: int):
-    """The largest of the ``k`` smallest values of an ordered key, duplicates counted."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, key, ["n"])
-    return ranked.where(F.col("n_before") < k).agg(F.max(key).alias("cutoff")).first().cutoff
+    """The largest of the ``k`` smallest values of an ordered key, duplicates counted.
+
+    Rows are counted by range where they lie. Only the keys of the range with the ``k``-th
+    row are grouped and ranked, as many as one task of ``running_totals`` ranks."""
+    keys = df.select(key).where(F.col(key).isNotNull())
+
+    def before(order: str) -> Column:
+        preceding = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(preceding), F.lit(0)).alias("n_before")
+
+    ranges = with_range(keys, key, [], ROWS_PER_RANGE).groupBy("__range").agg(F.count("*").alias("n"))
+    edges = drawn_edges(keys, key, [], ROWS_PER_RANGE).scalar()
+    at = F.col("last.__range")
+    last = (
+        ranges.select("__range", before("__range"))
+        .where(F.col("n_before") < k)
+        .agg(F.max(F.struct("__range", "n_before")).alias("last"))
+        .select("last", edges.alias("edges"))
+        .select("last.n_before", F.get("edges", at - 1).alias("above"), F.get("edges", at).alias("up_to"))
+        .first()
+    )
+    if last.n_before is None:
+        return None
+    if last.above is not None:
+        keys = keys.where(F.col(key) > F.lit(last.above))
+    if last.up_to is not None:
+        keys = keys.where(F.col(key) <= F.lit(last.up_to))
+    ranked = keys.groupBy(key).agg(F.count("*").alias("n")).select(key, before(key))
+    return ranked.where(F.col("n_before") < k - last.n_before).agg(F.max(key).alias("cutoff")).first().cutoff
 
 
 def score_ranks(scored: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
